@@ -194,7 +194,7 @@ def commits(t: Tables) -> DataFrame:
         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@"), domain).alias("email"),
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.floor("value"))).alias("committed_at"),
-        F.concat_ws(" ", "event_type", "props").alias("message"),
+        F.concat_ws(" ", _pick(COMMIT_MESSAGES, "event_type"), F.col("props")).alias("message"),
         "event_id", "user_id", "value",
     )
 
@@ -203,10 +203,14 @@ COMMIT_DOMAINS = {
     "view": "example.com", "click": "mailinator.com", "error": "tempmail.org", "purchase": "example.org",
     "signup": "corp.example",
 }
+COMMIT_MESSAGES = {
+    "view": "update docs", "click": "Delete old API key", "error": "backdoor in login fixed", "purchase": "add billing",
+    "signup": "clean temp files",
+}
 SQL_COMMITS = f"""
 SELECT event_type AS repo, sha1(CAST(event_id AS VARCHAR)) AS hash, 'user' || user_id AS author,
        'user' || user_id || '@' || {sql_case(COMMIT_DOMAINS, 'event_type')} AS email, ts,
-       ts + to_seconds(CAST(floor(value) AS BIGINT)) AS committed_at, event_type || ' ' || props AS message, event_id, user_id, value
+       ts + to_seconds(CAST(floor(value) AS BIGINT)) AS committed_at, {sql_case(COMMIT_MESSAGES, 'event_type')} || ' ' || props AS message, event_id, user_id, value
 FROM events"""
 
 
@@ -230,3 +234,60 @@ SELECT sha1(CAST(l_orderkey AS VARCHAR)) AS hash, l_orderkey AS order_key,
        CASE l_returnflag WHEN 'R' THEN 'D' WHEN 'A' THEN 'M' ELSE 'A' END AS status,
        CAST(l_quantity AS BIGINT) AS added, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS removed, l_shipdate AS ts
 FROM lineitem"""
+
+
+# ----- findings, jobs -------------------------------------------------------
+
+FINDING_TYPES = {
+    "error": "malware", "view": "anomaly", "click": "secret_exposure", "purchase": "vulnerability", "signup": "data_leak",
+}
+
+
+def findings(t: Tables) -> DataFrame:
+    """findings: one per event, severity and confidence from its value, job from its user."""
+    v = F.col("value")
+    return t.events.select(
+        F.sha2(F.col("event_id").cast("string"), 256).alias("finding_id"),
+        F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("job_id"),
+        F.concat(F.lit("f/"), F.col("event_id").cast("string")).alias("path"),
+        _pick(FINDING_TYPES, "event_type").alias("finding_type"),
+        F.when(v >= 90, "critical").when(v >= 60, "high").when(v >= 30, "medium").when(v >= 10, "low")
+        .otherwise("info").alias("severity"),
+        F.concat(F.lit("Finding "), F.col("event_type")).alias("title"),
+        F.least(F.lit(1.0), F.round(v / 100, 2)).alias("confidence"),
+        F.concat(F.lit("CVE-"), F.col("user_id").cast("string")).alias("cve_id"),
+        F.col("ts").cast("timestamp").alias("detected_at"),
+        "event_id",
+    )
+
+
+SQL_FINDINGS = f"""
+SELECT sha256(CAST(event_id AS VARCHAR)) AS finding_id, 'job' || user_id AS job_id, 'f/' || event_id AS path,
+  {sql_case(FINDING_TYPES, 'event_type')} AS finding_type,
+  CASE WHEN value >= 90 THEN 'critical' WHEN value >= 60 THEN 'high' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'low' ELSE 'info' END AS severity,
+  'Finding ' || event_type AS title, least(1.0, round(value / 100, 2)) AS confidence, 'CVE-' || user_id AS cve_id, ts AS detected_at, event_id
+FROM events"""
+
+JOB_STATUS = {"O": "running", "F": "completed", "P": "queued"}
+JOB_PRIORITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "normal", "4-NOT SPECIFIED": "normal", "5-LOW": "low"}
+
+
+def jobs(t: Tables) -> DataFrame:
+    """jobs: one per order; only completed ones have an end."""
+    start = F.col("o_orderdate").cast("timestamp")
+    return t.orders.select(
+        F.col("o_orderkey").alias("id"),
+        _pick(JOB_STATUS, "o_orderstatus").alias("status"),
+        _pick(JOB_PRIORITY, "o_orderpriority").alias("priority"),
+        F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("submitter_id"),
+        F.concat(F.lit("case"), (F.col("o_custkey") % 100).cast("string")).alias("case_number"),
+        start.alias("created_at"), start.alias("started_at"),
+        F.when(F.col("o_orderstatus") == "F", start + F.make_dt_interval(secs=F.floor("o_totalprice"))).alias("completed_at"),
+    )
+
+
+SQL_JOBS = f"""
+SELECT o_orderkey AS id, {sql_case(JOB_STATUS, 'o_orderstatus')} AS status, {sql_case(JOB_PRIORITY, 'o_orderpriority')} AS priority,
+  'user' || o_custkey AS submitter_id, 'case' || (o_custkey % 100) AS case_number, o_orderdate AS created_at, o_orderdate AS started_at,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_seconds(CAST(floor(o_totalprice) AS BIGINT)) END AS completed_at
+FROM orders"""

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tracewright.plans import code, files, scan  # noqa: F401
+from tracewright.plans import code, files, history, scan  # noqa: F401
 from tracewright.plans.registry import ORACLE, QUERIES  # noqa: F401

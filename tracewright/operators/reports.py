@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.model import rank_of, severity_rank, severity_weight
+from tracewright.model import severity_rank, severity_weight
 
 # Weight x confidence is capped at 10.
 SCORE_CAP = 10.0
@@ -40,3 +40,170 @@ def job_risk(jobs: DataFrame, findings: DataFrame) -> DataFrame:
         "job_id", F.coalesce("total_findings", F.lit(0)).alias("total_findings"),
         F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
         F.coalesce("classification", F.lit("internal")).alias("classification"))
+
+
+def publishable(findings: DataFrame) -> DataFrame:
+    return findings.where(F.col("severity").isin("high", "critical"))
+
+
+def summarize_findings(findings: DataFrame, by: str = "job_id") -> DataFrame:
+    """Totals per severity and type; a first partial count per (job, type, severity) keeps the second small."""
+    cells = findings.groupBy(by, "finding_type", "severity").agg(
+        F.count("*").alias("n"), F.sum(severity_weight() * F.col("confidence")).alias("score"))
+    types = cells.groupBy(by, "finding_type").agg(F.sum("n").alias("n")).groupBy(by).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("finding_type", "n")))).alias("by_type"))
+
+    def of(column: str, value: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(column) == value, F.col("n"))), F.lit(0))
+
+    totals = cells.groupBy(by).agg(
+        F.sum("n").alias("total_findings"),
+        *[of("severity", s).alias(f"{s}_findings") for s in ("critical", "high", "medium", "low")],
+        of("finding_type", "secret_exposure").alias("secrets_found"),
+        F.bool_or(F.col("finding_type") == "malware").alias("malware_detected"),
+        F.least(F.lit(SCORE_CAP), F.sum("score") / F.sum("n")).alias("risk_score"),
+        _classification().alias("classification"),
+    )
+    return totals.join(types, by)
+
+
+def summarize_files(files: DataFrame) -> DataFrame:
+    """Totals, by type and by classification per job in one pass of grouping sets."""
+    return (
+        files.groupingSets([["job_id", "file_type"], ["job_id", "classification"], ["job_id"]],
+                           "job_id", "file_type", "classification")
+        .agg(F.count("*").alias("files"), F.grouping("file_type").alias("_t"), F.grouping("classification").alias("_c"))
+        .select(
+            "job_id",
+            F.when((F.col("_t") == 1) & (F.col("_c") == 1), "total").when(F.col("_t") == 0, "type")
+            .otherwise("classification").alias("dimension"),
+            F.coalesce("file_type", "classification").alias("value"), "files")
+    )
+
+
+def compliance_summary(findings: DataFrame, by: str = "job_id") -> DataFrame:
+    """Status plus the distinct issue titles with counts; the list is bounded by the rule set, not the data."""
+    titles = findings.groupBy(by, "title").agg(
+        F.count_if(F.col("severity").isin("high", "critical")).alias("n"),
+        F.bool_or(F.col("severity") == "critical").alias("critical"))
+    issue = F.when(F.col("n") > 0, F.struct(F.col("title").alias("title"), F.col("n").alias("count")))
+    return titles.groupBy(by).agg(
+        F.when(F.bool_or("critical"), "non_compliant").otherwise("compliant").alias("status"),
+        F.array_sort(F.collect_list(issue)).alias("issues"))
+
+
+def build_report(repositories: DataFrame, findings: DataFrame, files: DataFrame, as_of: Column) -> DataFrame:
+    """One nested report row per job: per-job aggregates joined on job_id."""
+    summary = summarize_findings(findings)
+    compliance = compliance_summary(findings)
+    per_file = summarize_files(files)
+
+    def counts(dimension: str) -> Column:
+        hit = F.when(F.col("dimension") == dimension, F.struct(F.coalesce("value", F.lit("unknown")), "files"))
+        return F.map_from_entries(F.array_sort(F.collect_list(hit)))
+
+    file_part = per_file.groupBy("job_id").agg(
+        F.max(F.when(F.col("dimension") == "total", F.col("files"))).alias("total_files"),
+        counts("type").alias("by_type"), counts("classification").alias("by_classification"))
+    body = [c for c in summary.columns if c != "job_id"]
+    joined = (
+        repositories.join(summary.select("job_id", F.struct(*body).alias("summary")), "job_id", "left")
+        .join(file_part.select("job_id", F.struct("total_files", "by_type", "by_classification").alias("files")), "job_id", "left")
+        .join(compliance.select("job_id", F.struct("status", "issues").alias("security_compliance")), "job_id", "left")
+    )
+    forensic = F.struct(
+        F.concat(F.lit("COC-"), F.col("job_id")).alias("chain_of_custody_id"),
+        F.sha2(F.to_json(F.struct("summary", "files", "security_compliance")), 256).alias("evidence_hash"),
+        as_of.alias("collection_timestamp"))
+    return joined.withColumn("forensic_metadata", forensic)
+
+
+def filter_results(
+    findings: DataFrame, classifications: list[str] | None = None, finding_types: list[str] | None = None,
+    raw: bool = False,
+) -> DataFrame:
+    out = findings
+    if finding_types:
+        out = out.where(F.col("finding_type").isin(finding_types))
+    if classifications:
+        jobs = classify_job(findings).where(F.col("classification").isin(classifications))
+        out = out.join(jobs.select("job_id"), "job_id", "left_semi")
+    return out if raw or "evidence" not in out.columns else out.drop("evidence")
+
+
+def list_jobs(
+    jobs: DataFrame, *, status: str | None = None, priority: str | None = None, submitter_id: str | None = None,
+    case_number: str | None = None, created_after: Column | None = None, created_before: Column | None = None,
+    limit: int = 50, offset: int = 0,
+) -> DataFrame:
+    """A page of jobs, newest first, with the total under the same filters and whether more follow."""
+    rows = jobs
+    for column, value in (("status", status), ("priority", priority), ("submitter_id", submitter_id),
+                          ("case_number", case_number)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    if created_after is not None:
+        rows = rows.where(F.col("created_at") >= created_after)
+    if created_before is not None:
+        rows = rows.where(F.col("created_at") <= created_before)
+    total = rows.agg(F.count("*")).scalar()
+    page = rows.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)
+    return page.withColumn("total", total).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+
+
+def job_findings(findings: DataFrame, job: str) -> DataFrame:
+    return findings.where(F.col("job_id") == job).orderBy(
+        severity_rank().desc(), F.col("detected_at").desc(), "finding_id")
+
+
+def job_files(files: DataFrame, job: str, time: str = "modified_at") -> DataFrame:
+    return files.where(F.col("job_id") == job).orderBy(time, "path")
+
+
+def upsert_repositories(target: DataFrame, batch: DataFrame, fields: list[str], as_of: str = "analyzed_at") -> DataFrame:
+    """Merge a batch into repositories(url, analysis_count, first_analyzed, last_analyzed, fields...).
+
+    Several batch rows per url count as that many analyses and the latest one wins.
+    """
+    latest = batch.groupBy("url").agg(
+        F.count("*").alias("_n"), F.min(as_of).alias("_first"), F.max(as_of).alias("_last"),
+        F.max_by(F.struct(*fields), F.struct(as_of, *fields)).alias("_new"))
+    merged = target.join(latest, "url", "full_outer")
+
+    def field(name: str) -> Column:
+        return F.when(F.col("_new").isNotNull(), F.col("_new")[name]).otherwise(F.col(name)).alias(name)
+
+    return merged.select(
+        "url",
+        (F.coalesce("analysis_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("analysis_count"),
+        F.coalesce("first_analyzed", "_first").alias("first_analyzed"),
+        F.coalesce("_last", "last_analyzed").alias("last_analyzed"), *[field(f) for f in fields])
+
+
+def job_durations(jobs: DataFrame) -> DataFrame:
+    ms = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("completed_at"))
+    return jobs.withColumn("duration_ms", ms).withColumn(
+        "progress", F.when(F.col("status") == "completed", 100).when(F.col("status") == "queued", 0).otherwise(50))
+
+
+def job_statistics(jobs: DataFrame) -> DataFrame:
+    return job_durations(jobs).groupBy("status").agg(
+        F.count("*").alias("jobs"), F.avg("duration_ms").alias("avg_duration_ms"),
+        F.max("duration_ms").alias("max_duration_ms"), F.avg("progress").alias("avg_progress"))
+
+
+def list_workflows(
+    rows: DataFrame, *, status: str | None = None, start: Column | None = None, end: Column | None = None,
+    token: tuple | None = None, page_size: int = 50,
+) -> DataFrame:
+    """Keyset page ordered by (ts, id): the token is the last (ts, id) of the previous page."""
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    if start is not None:
+        rows = rows.where(F.col("ts") >= start)
+    if end is not None:
+        rows = rows.where(F.col("ts") < end)
+    if token is not None:
+        ts, ident = F.lit(token[0]).cast("timestamp"), F.lit(token[1])
+        rows = rows.where((F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("id") > ident)))
+    return rows.orderBy("ts", "id").limit(page_size)

@@ -254,7 +254,7 @@ def findings(t: Tables) -> DataFrame:
         F.when(v >= 90, "critical").when(v >= 60, "high").when(v >= 30, "medium").when(v >= 10, "low")
         .otherwise("info").alias("severity"),
         F.concat(F.lit("Finding "), F.col("event_type")).alias("title"),
-        F.least(F.lit(1.0), F.round(v / 100, 2)).alias("confidence"),
+        F.least(F.lit(1.0), F.floor(v) / 100).alias("confidence"),
         F.concat(F.lit("CVE-"), F.col("user_id").cast("string")).alias("cve_id"),
         F.col("ts").cast("timestamp").alias("detected_at"),
         "event_id",
@@ -265,7 +265,7 @@ SQL_FINDINGS = f"""
 SELECT sha256(CAST(event_id AS VARCHAR)) AS finding_id, 'job' || user_id AS job_id, 'f/' || event_id AS path,
   {sql_case(FINDING_TYPES, 'event_type')} AS finding_type,
   CASE WHEN value >= 90 THEN 'critical' WHEN value >= 60 THEN 'high' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'low' ELSE 'info' END AS severity,
-  'Finding ' || event_type AS title, least(1.0, round(value / 100, 2)) AS confidence, 'CVE-' || user_id AS cve_id, ts AS detected_at, event_id
+  'Finding ' || event_type AS title, least(CAST(1.0 AS DOUBLE), floor(value) / 100) AS confidence, 'CVE-' || user_id AS cve_id, ts AS detected_at, event_id
 FROM events"""
 
 JOB_STATUS = {"O": "running", "F": "completed", "P": "queued"}
@@ -291,3 +291,48 @@ SELECT o_orderkey AS id, {sql_case(JOB_STATUS, 'o_orderstatus')} AS status, {sql
   'user' || o_custkey AS submitter_id, 'case' || (o_custkey % 100) AS case_number, o_orderdate AS created_at, o_orderdate AS started_at,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_seconds(CAST(floor(o_totalprice) AS BIGINT)) END AS completed_at
 FROM orders"""
+
+# ----- pipeline events ------------------------------------------------------
+
+EVENT_KINDS = {
+    "view": "model_deployment", "click": "data_pipeline", "error": "inference", "purchase": "compliance", "signup": "custom",
+}
+
+
+def pipeline_events(t: Tables) -> DataFrame:
+    """pipeline_events: one per event, with gaps in the required fields that follow from its value."""
+    v, e = F.floor("value"), F.col("event_id")
+    name = F.when(v == 7, "").otherwise(F.concat(F.lit("model-"), F.col("user_id").cast("string")))
+    digest = F.when(v == 11, "").when(v == 13, "not-a-hash").otherwise(F.sha2("props", 256))
+    first = F.struct(name.alias("name"), F.lit("s3://bucket/a").alias("uri"), digest.alias("hash_sha256"))
+    second = F.struct(F.lit("report").alias("name"), F.lit(None).cast("string").alias("uri"),
+                      F.when(v == 7, "").otherwise(F.sha2(e.cast("string"), 256)).alias("hash_sha256"))
+    return t.events.select(
+        F.when(v == 3, "").otherwise(F.concat(F.lit("ev-"), e.cast("string"))).alias("event_id"),
+        e.alias("seq"),
+        _pick(EVENT_KINDS, "event_type").alias("event_kind"),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("step"), (F.col("user_id") % 3).cast("string"))).alias("custom_name"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(v == 4, "").otherwise(F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string"))).alias("source"),
+        F.struct(F.lit("service").alias("type"),
+                 F.when(v == 5, "").otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("id"),
+                 F.lit(None).cast("string").alias("auth_provider")).alias("actor"),
+        F.when(v % 2 == 0, F.array(first)).otherwise(F.array(first, second)).alias("artifacts"),
+        F.create_map(F.lit("props"), F.col("props"), F.lit("kind"), F.col("event_type")).alias("metadata"),
+        F.when(v >= 80, "critical").when(v >= 50, "high").when(v >= 15, "normal").otherwise("low").alias("priority"),
+        F.when(F.col("event_type") == "purchase", "approval_sign").when(F.col("event_type") == "click", "batch_sign")
+        .when((F.col("event_type") == "signup") & (v > 40), "custom_flow").otherwise("simple_sign").alias("workflow_type"),
+        F.when(v % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("lead"), F.lit("cto"))).alias("approvers"),
+    )
+
+
+SQL_PIPELINE = f"""
+SELECT CASE WHEN v = 3 THEN '' ELSE 'ev-' || event_id END AS event_id, event_id AS seq, {sql_case(EVENT_KINDS, 'event_type')} AS event_kind,
+  CASE WHEN event_type = 'signup' THEN 'step' || (user_id % 3) END AS custom_name, ts,
+  CASE WHEN v = 4 THEN '' ELSE 'src' || (user_id % 5) END AS source, CASE WHEN v = 5 THEN '' ELSE 'user' || user_id END AS actor_id,
+  CASE WHEN v = 7 THEN '' ELSE 'model-' || user_id END AS name1, CASE WHEN v = 11 THEN '' WHEN v = 13 THEN 'not-a-hash' ELSE sha256(props) END AS hash1,
+  v % 2 <> 0 AS two, CASE WHEN v = 7 THEN '' ELSE sha256(CAST(event_id AS VARCHAR)) END AS hash2, props, event_type,
+  CASE WHEN v >= 80 THEN 'critical' WHEN v >= 50 THEN 'high' WHEN v >= 15 THEN 'normal' ELSE 'low' END AS priority,
+  CASE WHEN event_type = 'purchase' THEN 'approval_sign' WHEN event_type = 'click' THEN 'batch_sign'
+    WHEN event_type = 'signup' AND v > 40 THEN 'custom_flow' ELSE 'simple_sign' END AS workflow_type, v % 3 = 0 AS no_approvers
+FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM events)"""

@@ -14,9 +14,9 @@ JOBS = B.SQL_JOBS
 CLS = "CASE WHEN bool_or(severity = 'critical') THEN 'restricted' WHEN bool_or(severity = 'high') THEN 'confidential' ELSE 'internal' END"
 
 
-@query("g1_risk_score", f"SELECT job_id, round(least(10, avg({SQL_WEIGHT} * confidence)), 6) AS risk_score FROM ({FIND}) GROUP BY job_id")
+@query("g1_risk_score", f"SELECT job_id, round(least(10, avg({SQL_WEIGHT} * confidence)), 9) AS risk_score FROM ({FIND}) GROUP BY job_id")
 def g1(t):
-    return G.risk_score(B.findings(t)).select("job_id", F.round("risk_score", 6).alias("risk_score"))
+    return G.risk_score(B.findings(t)).select("job_id", F.round("risk_score", 9).alias("risk_score"))
 
 
 @query("g2_finding_risk", f"SELECT finding_id, round(least(10, {SQL_WEIGHT} * confidence), 6) AS risk FROM ({FIND})")
@@ -33,13 +33,13 @@ def g3(t):
 SELECT job_id, count(*) AS total_findings, count(*) FILTER (severity = 'critical') AS critical_findings, count(*) FILTER (severity = 'high') AS high_findings,
   count(*) FILTER (severity = 'medium') AS medium_findings, count(*) FILTER (severity = 'low') AS low_findings,
   count(*) FILTER (finding_type = 'secret_exposure') AS secrets_found, bool_or(finding_type = 'malware') AS malware_detected,
-  round(least(10, avg({SQL_WEIGHT} * confidence)), 6) AS risk_score, {CLS} AS classification, max(by_type) AS by_type
+  round(least(10, avg({SQL_WEIGHT} * confidence)), 9) AS risk_score, {CLS} AS classification, max(by_type) AS by_type
 FROM ({FIND}) JOIN (SELECT job_id AS j, string_agg(finding_type || '=' || n, ';' ORDER BY finding_type) AS by_type
   FROM (SELECT job_id, finding_type, count(*) AS n FROM ({FIND}) GROUP BY ALL) GROUP BY job_id) ON j = job_id GROUP BY job_id""")
 def g4(t):
     s = G.summarize_findings(B.findings(t))
     types = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
-    return s.withColumn("by_type", types).withColumn("risk_score", F.round("risk_score", 6))
+    return s.withColumn("by_type", types).withColumn("risk_score", F.round("risk_score", 9))
 
 
 @query("g5_summarize_files", f"""
@@ -76,10 +76,12 @@ def g7(t):
 
 
 @query("g8_filter_results", f"""
-SELECT finding_id, job_id, finding_type, severity FROM ({FIND}) WHERE finding_type IN ('malware', 'secret_exposure')
-  AND job_id IN (SELECT job_id FROM ({FIND}) GROUP BY job_id HAVING bool_or(severity = 'high') AND NOT bool_or(severity = 'critical'))""")
+WITH f AS (SELECT * REPLACE (job_id || strftime(detected_at, '-%d') AS job_id) FROM ({FIND}))
+SELECT finding_id, job_id, finding_type, severity FROM f WHERE finding_type IN ('malware', 'secret_exposure')
+  AND job_id IN (SELECT job_id FROM f GROUP BY job_id HAVING bool_or(severity = 'high') AND NOT bool_or(severity = 'critical'))""")
 def g8(t):
-    return G.filter_results(B.findings(t), ["confidential"], ["malware", "secret_exposure"]).select(
+    f = B.findings(t).withColumn("job_id", F.concat("job_id", F.date_format("detected_at", "-dd")))
+    return G.filter_results(f, ["confidential"], ["malware", "secret_exposure"]).select(
         "finding_id", "job_id", "finding_type", "severity")
 
 

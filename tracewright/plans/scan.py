@@ -203,7 +203,7 @@ SQL_WEIGHT = "CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'med
 
 
 @query("risk_by_source", f"""
-SELECT source AS job_id, coalesce(n, 0) AS total_findings, round(coalesce(score, 0), 6) AS risk_score, coalesce(cls, 'internal') AS classification
+SELECT source AS job_id, coalesce(n, 0) AS total_findings, round(coalesce(score, 0), 9) AS risk_score, coalesce(cls, 'internal') AS classification
 FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (
   SELECT job_id, count(*) AS n, least(10, avg({SQL_WEIGHT} * confidence)) AS score,
     CASE WHEN bool_or(severity = 'critical') THEN 'restricted' WHEN bool_or(severity = 'high') THEN 'confidential' ELSE 'internal' END AS cls
@@ -212,4 +212,4 @@ def risk_by_source(t):
     """Flagship: risk score and classification per source."""
     jobs = t.documents.select(F.col("source").alias("job_id")).distinct()
     return G.job_risk(jobs, flagship_findings(t)).select(
-        "job_id", "total_findings", F.round("risk_score", 6).alias("risk_score"), "classification")
+        "job_id", "total_findings", F.round("risk_score", 9).alias("risk_score"), "classification")

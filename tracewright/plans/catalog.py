@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tracewright.plans import code, evidence, files, history, integrity, reports, scan, text  # noqa: F401
+from tracewright.plans import code, evidence, files, history, integrity, policy, reports, scan, text  # noqa: F401
 from tracewright.plans.registry import ORACLE, QUERIES  # noqa: F401

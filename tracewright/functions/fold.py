@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.ordered import previous_row, running_sum, time_segment
+from tracewright.functions.ordered import run_ids, time_segment
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_seconds: float, slice_seconds: int) -> DataFrame:
@@ -19,11 +19,11 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_second
     independent and a busy key is folded by many tasks.
     """
     ts = order[0]
-    seg = time_segment(F.col(ts), slice_seconds)
-    rows = previous_row(df, keys, order, [ts], seg, prefix="_prev_")
-    pause = F.col(ts).cast("double") - F.col(f"_prev_{ts}").cast("double")
-    starts = F.when(pause > gap_seconds, 1).otherwise(0)
-    return running_sum(rows, keys, order, starts, seg, "_island").drop(f"_prev_{ts}")
+
+    def pause(before, now):
+        return now[ts].cast("double") - before[ts].cast("double") > gap_seconds
+
+    return run_ids(df, keys, order, [ts], pause, time_segment(F.col(ts), slice_seconds), "_island")
 
 
 def fold_sorted(

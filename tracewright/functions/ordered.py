@@ -8,7 +8,7 @@ per (key, segment) is carried across segments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,15 +54,15 @@ def running_sum(
     """Add the running total of ``value`` per key, current row included."""
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    seg = df.withColumn("_seg", segment).withColumn("_v", value.cast("long"))
+    seg = df.withColumn("_seg", segment).withColumn("_value", value.cast("long"))
     totals = _carry(
-        seg, keys, [F.sum("_v").alias("_t")], [F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_base")]
+        seg, keys, [F.sum("_value").alias("_t")], [F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_base")]
     )
     return (
-        seg.withColumn("_run", F.sum("_v").over(inside))
+        seg.withColumn("_inside", F.sum("_value").over(inside))
         .join(totals, [*keys, "_seg"], "left")
-        .withColumn(name, F.col("_run") + F.col("_base"))
-        .drop("_seg", "_v", "_run", "_base")
+        .withColumn(name, F.col("_inside") + F.col("_base"))
+        .drop("_seg", "_value", "_inside", "_base")
     )
 
 
@@ -71,6 +71,38 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment:
     return running_sum(df, keys, order, F.lit(1), segment, name)
 
 
+def run_ids(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+    starts: Callable[[Column, Column], Column], segment: Column, name: str,
+) -> DataFrame:
+    """Number the runs of each key: ``starts(before, now)`` says whether a row begins a new one.
+
+    ``before`` and ``now`` are structs of ``cols``. Wide rows are shuffled once; the per-segment
+    summary reads only the key, order and ``cols`` columns.
+    """
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_seg")
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        now = F.struct(*cols)
+        begins = F.coalesce(starts(F.lag(now).over(inside), now), F.lit(False))
+        return rows.withColumn("_begins", begins.cast("long"))
+
+    seg = df.withColumn("_seg", segment)
+    slim = list(dict.fromkeys([*keys, *order, *cols]))
+    summary = flagged(seg.select(*slim, "_seg")).groupBy(*keys, "_seg").agg(
+        F.sum("_begins").alias("_n"), F.min_by(F.struct(*cols), F.struct(*order)).alias("_head"),
+        F.max_by(F.struct(*cols), F.struct(*order)).alias("_tail"))
+    edge = F.coalesce(starts(F.lag("_tail").over(across), F.col("_head")), F.lit(False)).cast("long")
+    upto = across.rowsBetween(Window.unboundedPreceding, 0)
+    base = summary.withColumn("_edge", edge).select(
+        *keys, "_seg", (F.sum("_edge").over(upto) + F.sum("_n").over(upto) - F.col("_n")).alias("_base"))
+    rows = flagged(seg).withColumn(
+        "_inside", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(base, [*keys, "_seg"], "left").withColumn(
+        name, F.col("_inside") + F.col("_base")).drop("_seg", "_begins", "_inside", "_base")
+
+
 def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, segment: Column, name: str
 ) -> DataFrame:

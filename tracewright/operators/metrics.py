@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.ordered import previous_row, running_sum, time_segment
+from tracewright.functions.ordered import run_ids, time_segment
 
 BUCKETS = 1024
 
@@ -118,11 +118,10 @@ def sustained_alerts(
 ) -> DataFrame:
     """Runs of consecutive breaching points(name, id, ts, value) that last at least the duration."""
     keys, order = ["name"], ["ts", "id"]
-    seg = time_segment(F.col("ts"), slice_seconds)
     rows = points.withColumn("_hot", F.col("value") > threshold)
-    rows = previous_row(rows, keys, order, ["_hot"], seg, prefix="_p")
-    change = F.when(F.col("_p_hot").isNull() | (F.col("_p_hot") != F.col("_hot")), 1).otherwise(0)
-    runs = running_sum(rows, keys, order, change, seg, "_run").where("_hot")
+    runs = run_ids(
+        rows, keys, order, ["_hot"], lambda before, now: before["_hot"] != now["_hot"],
+        time_segment(F.col("ts"), slice_seconds), "_run").where("_hot")
     return runs.groupBy("name", "_run").agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("points"),
         F.max("value").alias("peak")

@@ -13,12 +13,19 @@ def join_counted(detail: DataFrame, groups: DataFrame, key: str, count: str, sha
 
     A key holding at least 1/shares of the counted rows is heavy. There can be at most
     ``shares`` such keys, so that side is broadcast with a proven bound; the rest is a
-    shuffle join in which no key exceeds 1/shares of the rows.
+    shuffle join in which no key exceeds 1/shares of the rows. The detail side is read once;
+    its heavy rows are salted over the partitions of that shuffle.
     """
     total = groups.agg(F.sum(count)).scalar()
-    marked = groups.withColumn("_heavy", F.col(count) * shares >= total)
-    heavy = marked.where("_heavy")
-    light = marked.where("not _heavy").drop("_heavy")
-    hot = detail.join(F.broadcast(heavy.drop("_heavy")), key)
-    cold = detail.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return hot.unionByName(cold)
+    cols = [c for c in groups.columns if c != key]
+    packed = groups.select(key, F.struct(*cols).alias("_v"), (F.col(count) * shares >= total).alias("_is_heavy"))
+    heavy = packed.where("_is_heavy").select(key, F.col("_v").alias("_heavy"))
+    light = packed.where("not _is_heavy").select(key, F.lit(0).alias("_salt"), F.col("_v").alias("_light"))
+    spread_heavy = 1 + F.pmod(F.xxhash64(*detail.columns), F.lit(shares)).cast("int")
+    return (
+        detail.join(F.broadcast(heavy), key, "left")
+        .withColumn("_salt", F.when(F.col("_heavy").isNotNull(), spread_heavy).otherwise(0))
+        .join(light, [key, "_salt"], "left")
+        .withColumn("_v", F.coalesce("_heavy", "_light")).where(F.col("_v").isNotNull())
+        .select(*detail.columns, *[F.col("_v")[c].alias(c) for c in cols])
+    )

@@ -177,14 +177,14 @@ def contains_pii(files: DataFrame) -> DataFrame:
 
 
 def classify_sensitivity(files: DataFrame) -> DataFrame:
-    text = F.col("content")
-    return files.withColumn(
+    text, low = F.col("content"), F.col("_low")
+    return files.withColumn("_low", F.lower(text)).withColumn(
         "classification",
-        F.when(has_secret_words(text), "confidential")
-        .when(any_contains(F.lower(text), R.RESTRICTED_WORDS), "restricted")
+        F.when(any_contains(low, R.SECRET_WORDS), "confidential")
+        .when(any_contains(low, R.RESTRICTED_WORDS), "restricted")
         .when(has_pii(text), "confidential")
         .otherwise("internal"),
-    )
+    ).drop("_low")
 
 
 def count_pii(files: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ def compliance_check(req: DataFrame, framework: str) -> DataFrame:
     every approver to differ from the requester and two qualified approvals.
     """
     controls = FRAMEWORK_CONTROLS[framework]
-    missing = F.filter(F.array(*[F.lit(c) for c in controls]), lambda c: ~F.array_contains(F.col("controls"), c))
+    missing = F.array_except(F.array(*[F.lit(c) for c in controls]), F.col("controls"))
     if framework != "SOX":
         return req.withColumn("missing", missing).withColumn("compliant", F.size("missing") == 0)
     others = F.forall("approvals", lambda a: a["user_id"] != F.col("requester"))

@@ -75,9 +75,13 @@ def scan_lines(
 
 
 def _any_rule(text: Column, rules: Sequence[Rule], language: Column | None) -> Column:
-    hit = None
+    """Whether any rule matches: one alternation per set of languages, so text is decoded once per set."""
+    by_language: dict[tuple[str, ...], list[Rule]] = {}
     for r in rules:
-        one = _guarded(r, text.rlike(r.pattern), language)
+        by_language.setdefault(("*",) if "*" in r.languages else r.languages, []).append(r)
+    hit = None
+    for same in by_language.values():
+        one = _guarded(same[0], text.rlike("|".join(f"(?:{r.pattern})" for r in same)), language)
         hit = one if hit is None else hit | one
     return hit
 

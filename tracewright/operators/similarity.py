@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.lines import any_contains, occurrences
+from tracewright.functions.plan import computed_once
 from tracewright.functions.skew import join_counted
 
 BLOCK_ROWS = 4096
@@ -38,12 +39,7 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 when lengths differ or a norm is 0."""
     scale = norm(a) * norm(b)
-    return F.when((F.size(a) != F.size(b)) | (scale == 0), F.lit(0.0)).otherwise(dot(a, b) / scale)
-
-
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(dot(a, b), scale), F.lit(0.0)))
 
 
 def collapse_equal(vectors: DataFrame, by: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
@@ -64,7 +60,9 @@ def copies_of(vectors: DataFrame) -> DataFrame:
 
 
 def _unit_rows(vectors: DataFrame) -> DataFrame:
-    return vectors.withColumn("_u", unit(F.col("embedding"))).where(F.col("_u").isNotNull())
+    """Rows with a non-zero vector, scaled to length 1; the norm is computed once per row."""
+    rows = computed_once(vectors, "_norm", norm(F.col("embedding"))).where(F.col("_norm") > 0)
+    return rows.withColumn("_u", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
 def _assign_cells(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
@@ -85,20 +83,39 @@ def _assign_cells(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
         "_angle", F.col("_c.angle")).drop("_c")
 
 
-def _plan_blocks(rows: DataFrame, group: str | None, threshold: float, block_rows: int):
-    """Blocks per (group, cell) and the block pairs that can hold a match; all bounded by MAX_BLOCKS."""
+def _plan_blocks(rows: DataFrame, group: str | None, block_rows: int):
+    """Blocks of at most per_block rows: small cells of a group share one, large cells get several."""
     keys = ([group] if group else []) + ["_cell"]
     stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_angle").alias("radius")).collect()
     total = sum(r["n"] for r in stats)
-    per_block = max(block_rows, math.ceil(total / MAX_BLOCKS))
+    per_block = max(block_rows, math.ceil(2 * total / MAX_BLOCKS))
     blocks, offsets = [], []
+    by_group: dict = {}
     for r in stats:
-        size = math.ceil(r["n"] / per_block)
-        offsets.append((r[group] if group else None, r["_cell"], len(blocks), size))
-        blocks += [(r[group] if group else None, r["_cell"], r["radius"])] * size
+        by_group.setdefault(r[group] if group else None, []).append(r)
+    for g, cells in by_group.items():
+        room = 0
+        for r in sorted(cells, key=lambda c: c["_cell"]):
+            if r["n"] > per_block:
+                size = math.ceil(r["n"] / per_block)
+                offsets.append((g, r["_cell"], len(blocks), size))
+                blocks += [(g, [(r["_cell"], r["radius"])])] * size
+                room = 0
+                continue
+            if r["n"] > room:
+                blocks.append((g, []))
+                room = per_block
+            blocks[-1][1].append((r["_cell"], r["radius"]))
+            offsets.append((g, r["_cell"], len(blocks) - 1, 1))
+            room -= r["n"]
     return blocks, offsets
 
 
+def _can_match(a: list, b: list, between: np.ndarray, reach: float) -> bool:
+    """Whether any cell of one block can hold a vector within ``reach`` of one of the other."""
+    return any(ca == cb or between[ca, cb] - ra - rb <= reach for ca, ra in a for cb, rb in b)
+
+
 def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block_rows: int) -> DataFrame:
     """(id_a, id_b, score) with score > threshold over distinct vectors, within ``group`` when given."""
     spark = vectors.sparkSession
@@ -109,15 +126,15 @@ def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block
     if not pivots:
         return spark.createDataFrame([], out)
     rows = _assign_cells(rows, pivots)
-    blocks, offsets = _plan_blocks(rows, group, threshold, block_rows)
+    blocks, offsets = _plan_blocks(rows, group, block_rows)
     p = np.array(pivots)
     between = np.arccos(np.clip(p @ p.T, -1.0, 1.0))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
     tasks = []
-    for i, (ga, ca, ra) in enumerate(blocks):
+    for i, (ga, cells_a) in enumerate(blocks):
         for j in range(i, len(blocks)):
-            gb, cb, rb = blocks[j]
-            if ga == gb and (ca == cb or between[ca, cb] - ra - rb <= reach):
+            gb, cells_b = blocks[j]
+            if ga == gb and _can_match(cells_a, cells_b, between, reach):
                 task = i * MAX_BLOCKS * 2 + j
                 tasks.append((i, task))
                 if j != i:
@@ -201,7 +218,8 @@ def search_similar(
     for f in filters:
         rows = rows.where(f)
     # The query vector becomes a column first: it may be a scalar subquery, which lambdas cannot hold.
-    scored = rows.withColumn("_probe", query_vec).withColumn("score", cosine(F.col("embedding"), F.col("_probe")))
+    probed = computed_once(rows, "_probe", query_vec)
+    scored = computed_once(probed, "score", cosine(F.col("embedding"), F.col("_probe")))
     return scored.where(F.col("score") >= threshold).orderBy(F.col("score").desc(), "id").limit(k).drop("_probe")
 
 

@@ -161,17 +161,21 @@ def language_anomalies(files: DataFrame) -> DataFrame:
 
 
 def concepts(files: DataFrame, words: Sequence[str] = R.CONCEPTS) -> DataFrame:
-    low = F.lower("content")
-    return files.withColumn("concepts", F.array_compact(F.array(*[
-        F.when(low.contains(w), F.lit(w)) for w in words])))
+    low = F.col("_low")
+    return files.withColumn("_low", F.lower("content")).withColumn("concepts", F.array_compact(F.array(*[
+        F.when(low.contains(w), F.lit(w)) for w in words]))).drop("_low")
 
 
 def sentiment(files: DataFrame, positive: Sequence[str] = R.POSITIVE_WORDS, negative: Sequence[str] = R.NEGATIVE_WORDS) -> DataFrame:
     """(positive - negative) / (positive + negative) word hits, 0 when there are none."""
-    low = F.lower("content")
-    pos = sum((occurrences(low, w) for w in positive), F.lit(0))
-    neg = sum((occurrences(low, w) for w in negative), F.lit(0))
-    return files.withColumn("sentiment", F.when(pos + neg == 0, F.lit(0.0)).otherwise((pos - neg) / (pos + neg)))
+    low, pos, neg = F.col("_low"), F.col("_pos"), F.col("_neg")
+    return (
+        files.withColumn("_low", F.lower("content"))
+        .withColumn("_pos", sum((occurrences(low, w) for w in positive), F.lit(0)))
+        .withColumn("_neg", sum((occurrences(low, w) for w in negative), F.lit(0)))
+        .withColumn("sentiment", F.when(pos + neg == 0, F.lit(0.0)).otherwise((pos - neg) / (pos + neg)))
+        .drop("_low", "_pos", "_neg")
+    )
 
 
 def entities(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import WHITESPACE
+from tracewright.functions.plan import spread
 from tracewright.plans.registry import Tables
 
 # Where a document lives and what it is called: folder by language, name by position in this list.
@@ -59,7 +60,7 @@ def doc_files(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(n) for n in NAMES])
     name = F.element_at(names, (F.col("doc_id") % len(NAMES) + 1).cast("int"))
     folder = F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv])[F.col("lang")]
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("source").alias("job_id"),
         F.concat_ws("/", folder, F.replace(name, F.lit("%"), F.col("doc_id").cast("string"))).alias("path"),
         F.octet_length("text").cast("long").alias("size_bytes"),
@@ -86,7 +87,7 @@ SELECT *, {SQL_EXT} AS extension FROM (SELECT *, string_split(path, '/')[-1] AS
 
 def page_files(t: Tables) -> DataFrame:
     """files from raw web pages; the job is the host."""
-    return t.pages.select(
+    return spread(t.pages).select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("job_id"),
         F.regexp_replace("url", r"^https?://", "").alias("path"),
         F.octet_length("html").cast("long").alias("size_bytes"),
@@ -143,7 +144,7 @@ def code_files(t: Tables) -> DataFrame:
         F.concat(F.repeat(F.lit("  step(x); \\\n"), F.floor(F.col("o_totalprice") / 6000).cast("int")), F.lit("}")),
         F.lit("  try { go() } catch (e) { }"),
     )
-    return t.orders.select(
+    return spread(t.orders).select(
         F.col("o_orderstatus").alias("job_id"),
         F.concat(F.lit("src/"), F.col("o_custkey").cast("string"), F.lit("/unit_"), key, F.lit("."),
                  F.element_at(F.array(*[F.lit(e) for e in CODE_EXT]), at)).alias("path"),
@@ -307,7 +308,7 @@ def pipeline_events(t: Tables) -> DataFrame:
     first = F.struct(name.alias("name"), F.lit("s3://bucket/a").alias("uri"), digest.alias("hash_sha256"))
     second = F.struct(F.lit("report").alias("name"), F.lit(None).cast("string").alias("uri"),
                       F.when(v == 7, "").otherwise(F.sha2(e.cast("string"), 256)).alias("hash_sha256"))
-    return t.events.select(
+    return spread(t.events).select(
         F.when(v == 3, "").otherwise(F.concat(F.lit("ev-"), e.cast("string"))).alias("event_id"),
         e.alias("seq"),
         _pick(EVENT_KINDS, "event_type").alias("event_kind"),

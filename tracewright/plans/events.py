@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.plan import spread
 from tracewright.operators import events as K
 from tracewright.operators import metrics as M
 from tracewright.plans import bindings as B
@@ -155,7 +156,7 @@ def payloads(t):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('", '), job, F.lit('"repository_url": "r", "threat_type": '),
         F.when(v % 13 == 0, F.lit("null")).otherwise(F.lit('"x"')), F.lit(', "severity": "'),
         F.when(v > 50, "High").when(v > 20, "Low").otherwise("Bogus"), F.lit('", "risk_score": '), score, F.lit(', "confidence": 1}'))
-    return t.events.select("event_id", F.when(v == 2, F.lit("[1, 2]")).otherwise(body).alias("payload"))
+    return spread(t.events).select("event_id", F.when(v == 2, F.lit("[1, 2]")).otherwise(body).alias("payload"))
 
 
 @query("k11_validate_schema", """

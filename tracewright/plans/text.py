@@ -65,7 +65,7 @@ REPS = f"SELECT embedding, min(id) AS id, count(*) AS copies, min(language) AS l
 WITH r AS MATERIALIZED ({REPS}) SELECT * FROM (
   SELECT a.id AS id_a, b.id AS id_b, round({AB}, 6) AS score, a.copies AS copies_a, b.copies AS copies_b FROM r a JOIN r b ON a.id < b.id) WHERE score > 0.3""")
 def f4(t):
-    return S.similar_pairs(vectors(t).select("id", "embedding"), 0.3, block_rows=256).withColumn("score", F.round("score", 6))
+    return S.similar_pairs(vectors(t).select("id", "embedding"), 0.3, block_rows=512).withColumn("score", F.round("score", 6))
 
 
 @query("f4_copies", f"""
@@ -80,7 +80,7 @@ SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, a.language, round({AB}, 6) AS
   FROM r a JOIN r b ON a.id < b.id AND a.language = b.language) WHERE score > 0.25""")
 def f5(t):
     chunks = vectors(t).withColumn("file", F.col("id").cast("string")).withColumn("bytes", F.size("embedding"))
-    return S.similar_chunks(chunks, 0.25, block_rows=64).withColumn("score", F.round("score", 6))
+    return S.similar_chunks(chunks, 0.25, block_rows=512).withColumn("score", F.round("score", 6))
 
 
 def _probe(t, vec_id):

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.ordered import run_ids, time_segment
+from tracewright.functions.ordered import run_ids, segment_of
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_seconds: float, slice_seconds: int) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_seconds: float,
+    slice_seconds: int | None = None,
+) -> DataFrame:
     """Add ``_island``: a new one starts after a pause longer than ``gap_seconds``.
 
     A window rule of that length cannot see across such a pause, so islands of one key are
@@ -23,7 +25,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_second
     def pause(before, now):
         return now[ts].cast("double") - before[ts].cast("double") > gap_seconds
 
-    return run_ids(df, keys, order, [ts], pause, time_segment(F.col(ts), slice_seconds), "_island")
+    return run_ids(df, keys, order, [ts], pause, segment_of(df, keys, ts, slice_seconds), "_island")
 
 
 def fold_sorted(

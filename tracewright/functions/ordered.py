@@ -19,6 +19,28 @@ def time_segment(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds)
 
 
+SEGMENT_ROWS = 1_000_000
+ONE_SEGMENT = 1_000_000_000
+
+
+def auto_segment(df: DataFrame, keys: Sequence[str], ts: str, rows: int = SEGMENT_ROWS) -> Column:
+    """Time slices short enough that the busiest key has about ``rows`` rows in each.
+
+    The slice length is a scalar subquery over partially aggregated per-key counts, so nothing is
+    run or collected on the driver; without busy keys everything is one slice.
+    """
+    epoch = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max(epoch) - F.min(epoch)).alias("_span"))
+    length = F.greatest(F.lit(1), F.floor(F.col("_span") * rows / F.col("_n")))
+    slice_length = per_key.agg(F.coalesce(F.min(F.when(F.col("_n") > rows, length)), F.lit(ONE_SEGMENT))).scalar()
+    return F.floor(epoch / slice_length)
+
+
+def segment_of(df: DataFrame, keys: Sequence[str], ts: str, seconds: int | None) -> Column:
+    """Slices of a given length, or chosen from the data."""
+    return auto_segment(df, keys, ts) if seconds is None else time_segment(F.col(ts), seconds)
+
+
 def index_segment(index: Column, rows: int = 100_000) -> Column:
     return F.floor(index / rows)
 

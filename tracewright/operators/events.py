@@ -195,7 +195,7 @@ def apply_filters(routed: DataFrame, filters: Sequence[Filter]) -> DataFrame:
 
 def rate_limit(
     routed: DataFrame, n: int = 100, seconds: int = 3600, key: str = "recipient_id", ident: str = "event_id",
-    slice_seconds: int = 86_400,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``admitted``: at most n admitted events per key in any window; rejected ones do not count.
 

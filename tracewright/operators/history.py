@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright import rules as R
 from tracewright.functions.lines import any_contains
-from tracewright.functions.ordered import previous_row, time_segment
+from tracewright.functions.ordered import previous_row, segment_of
 from tracewright.functions.skew import join_counted
 from tracewright.model import as_findings
 from tracewright.operators.scan import matching_rules
@@ -157,9 +157,9 @@ def suspicious_commits(
     )
 
 
-def commit_timeline(commits: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def commit_timeline(commits: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Author-to-committer delay and the gap since the author's previous commit, in seconds."""
-    rows = previous_row(commits, ["author"], ["ts", "hash"], ["ts"], time_segment(F.col("ts"), slice_seconds))
+    rows = previous_row(commits, ["author"], ["ts", "hash"], ["ts"], segment_of(commits, ["author"], "ts", slice_seconds))
     return rows.withColumn(
         "commit_delay", F.timestamp_diff("SECOND", F.col("ts"), F.col("committed_at"))
     ).withColumn("gap", F.timestamp_diff("SECOND", F.col("prev_ts"), F.col("ts"))).drop("prev_ts")

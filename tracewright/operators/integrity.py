@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.ordered import previous_row, row_index, time_segment
+from tracewright.functions.ordered import previous_row, row_index, segment_of, time_segment
 
 # Fixed value: the digest before the first block.
 ZERO_HASH = "0" * 64
@@ -97,7 +97,7 @@ def verify_chain(ledger: DataFrame) -> DataFrame:
     return checked.where(~F.col("hash_ok") | ~F.col("link_ok")).select("stream", "index", "hash_ok", "link_ok")
 
 
-def repository_hash(files: DataFrame, by: str = "job_id", hash_col: str = "hash_sha256", levels: tuple[int, ...] = (4, 2, 0)) -> DataFrame:
+def repository_hash(files: DataFrame, by: str = "job_id", hash_col: str = "hash_sha256", levels: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
     """One digest per group of files, independent of their order: a tree over hash prefixes.
 
     Copies are counted first, so a group of copies is one leaf entry. Leaves are then combined
@@ -127,11 +127,12 @@ def tamper_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
 CUSTODY_ORDER = ["ts", "event_id"]
 
 
-def custody_chain(custody: DataFrame, evidence_id=None, slice_seconds: int = 86_400) -> DataFrame:
+def custody_chain(custody: DataFrame, evidence_id=None, slice_seconds: int | None = None) -> DataFrame:
     """The ordered custody records of one item, or of every item with their position."""
     if evidence_id is not None:
         return custody.where(F.col("evidence_id") == evidence_id).orderBy(*CUSTODY_ORDER)
-    return row_index(custody, ["evidence_id"], CUSTODY_ORDER, time_segment(F.col("ts"), slice_seconds), "position")
+    seg = segment_of(custody, ["evidence_id"], "ts", slice_seconds)
+    return row_index(custody, ["evidence_id"], CUSTODY_ORDER, seg, "position")
 
 
 def current_holder(custody: DataFrame) -> DataFrame:
@@ -139,17 +140,17 @@ def current_holder(custody: DataFrame) -> DataFrame:
         F.max_by("actor", F.struct(*CUSTODY_ORDER)).alias("holder"), F.max("ts").alias("since"))
 
 
-def invalid_transfers(custody: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def invalid_transfers(custody: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Records whose ``from_actor`` is not the holder before them."""
     rows = previous_row(
-        custody, ["evidence_id"], CUSTODY_ORDER, ["actor"], time_segment(F.col("ts"), slice_seconds))
+        custody, ["evidence_id"], CUSTODY_ORDER, ["actor"], segment_of(custody, ["evidence_id"], "ts", slice_seconds))
     return rows.where(F.col("prev_actor").isNotNull() & (F.col("from_actor") != F.col("prev_actor")))
 
 
-def custody_breaks(custody: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def custody_breaks(custody: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Records whose ``hash_before`` is not the previous ``hash_after``."""
     rows = previous_row(
-        custody, ["evidence_id"], CUSTODY_ORDER, ["hash_after"], time_segment(F.col("ts"), slice_seconds))
+        custody, ["evidence_id"], CUSTODY_ORDER, ["hash_after"], segment_of(custody, ["evidence_id"], "ts", slice_seconds))
     return rows.where(F.col("prev_hash_after").isNotNull() & (F.col("hash_before") != F.col("prev_hash_after")))
 
 

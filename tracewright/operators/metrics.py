@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.ordered import run_ids, time_segment
+from tracewright.functions.ordered import run_ids, segment_of
 
-BUCKETS = 1024
+BUCKETS = 65_536
 
 
 def decisions_per_minute(decisions: DataFrame, ts: str = "evaluated_at") -> DataFrame:
@@ -55,33 +55,51 @@ def query_metrics(
         "name", F.col("w.start").alias("bucket"), "value")
 
 
+def _bucketed(rows: DataFrame, names: list[str], value: str) -> DataFrame:
+    """Add ``_slot``: one of BUCKETS equal-width buckets between the group's bounds."""
+    bounds = rows.groupBy(*names).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / BUCKETS
+    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(BUCKETS - 1))).otherwise(0)
+    return rows.join(bounds, names).withColumn("_slot", slot).drop("_lo", "_hi")
+
+
+def _bucket_counts(placed: DataFrame, names: list[str], *extra: Column) -> DataFrame:
+    """Rows per bucket with the rows of lower buckets; at most BUCKETS rows per group."""
+    below = Window.partitionBy(*names).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.groupBy(*names, "_slot").agg(F.sum("_n").alias("_in"), *extra).withColumn(
+        "_before", F.coalesce(F.sum("_in").over(below), F.lit(0)))
+
+
+def _holding_rank(hist: DataFrame, names: list[str]) -> DataFrame:
+    """The bucket that holds the wanted rank, with the rank counted from its start."""
+    inside = (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in"))
+    return hist.where(inside).select(*names, "_slot", (F.col("_rank") - F.col("_before")).alias("_rank"))
+
+
 def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """The value at index int(q*n) of the sorted list of each group, exactly, without sorting it all.
 
-    Values are counted, the counts are summed in at most BUCKETS equal-width buckets per group, and
-    only the bucket holding each rank is ranked in full.
+    Equal values are counted first. Two rounds of bucket counts then narrow each rank to one bucket
+    of a bucket, and only that is ranked in full.
     """
     keys = list(by)
     counts = calls.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    one = keys or [F.lit(0).alias("_g")]
+    if not keys:
+        counts = counts.withColumn("_g", F.lit(0))
     names = keys or ["_g"]
-    counts = counts.select(*one, value, "_n")
-    bounds = counts.groupBy(*names).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total"))
-    width = (F.col("_hi") - F.col("_lo")) / BUCKETS
-    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = counts.join(bounds, names).withColumn("_slot", slot)
-    hist = placed.groupBy(*names, "_slot").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_total"))
-    upto = Window.partitionBy(*names).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
-    wanted = hist.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn(
-        "_rank", F.floor(F.col("q") * F.col("_total")) + 1).where(
-        (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in")))
-    inside = Window.partitionBy(*names, "q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.drop("_lo", "_hi", "_total").join(
-        wanted.select(*names, "_slot", "q", "_rank", "_before"), [*names, "_slot"]
-    ).withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
-    out = ranked.where(F.col("_cum") >= F.col("_rank")).groupBy(*names, "q").agg(F.min(value).alias("value"))
+    placed = _bucketed(counts, names, value)
+    totals = counts.groupBy(*names).agg(F.sum("_n").alias("_total"))
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
+    hist = _bucket_counts(placed, names).join(totals, names).withColumn("q", wanted).withColumn(
+        "_rank", F.floor(F.col("q") * F.col("_total")) + 1)
+    names_q = [*names, "q"]
+    first = placed.join(_holding_rank(hist, names_q), [*names, "_slot"]).drop("_slot")
+    again = _bucketed(first, names_q, value)
+    hist = _bucket_counts(again, names_q, F.max("_rank").alias("_rank"))
+    last = again.drop("_rank").join(_holding_rank(hist, names_q), [*names_q, "_slot"])
+    upto = Window.partitionBy(*names_q).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = last.withColumn("_cum", F.sum("_n").over(upto)).where(F.col("_cum") >= F.col("_rank")).groupBy(*names_q).agg(
+        F.min(value).alias("value"))
     return out if keys else out.drop("_g")
 
 
@@ -114,14 +132,14 @@ def histogram(calls: DataFrame, buckets: Sequence[float], by: Sequence[str] = ()
 
 
 def sustained_alerts(
-    points: DataFrame, threshold: float, duration_seconds: int, slice_seconds: int = 3600
+    points: DataFrame, threshold: float, duration_seconds: int, slice_seconds: int | None = None
 ) -> DataFrame:
     """Runs of consecutive breaching points(name, id, ts, value) that last at least the duration."""
     keys, order = ["name"], ["ts", "id"]
     rows = points.withColumn("_hot", F.col("value") > threshold)
     runs = run_ids(
         rows, keys, order, ["_hot"], lambda before, now: before["_hot"] != now["_hot"],
-        time_segment(F.col("ts"), slice_seconds), "_run").where("_hot")
+        segment_of(points, keys, "ts", slice_seconds), "_run").where("_hot")
     return runs.groupBy("name", "_run").agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("points"),
         F.max("value").alias("peak")

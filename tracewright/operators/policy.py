@@ -178,7 +178,7 @@ def request_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def dedupe_requests(req: DataFrame, ttl: int = CACHE_TTL_SECONDS, slice_seconds: int = 86_400) -> DataFrame:
+def dedupe_requests(req: DataFrame, ttl: int = CACHE_TTL_SECONDS, slice_seconds: int | None = None) -> DataFrame:
     """Add ``hit``: an equal request was evaluated at most ``ttl`` seconds before and is still valid.
 
     Validity runs from the evaluation, not from the last hit, so each decision depends on earlier

@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 from tracewright.functions.lines import any_contains, occurrences
 from tracewright.functions.plan import computed_once
 from tracewright.functions.skew import join_counted
+from tracewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_BLOCKS = 1024
+MAX_BLOCK_ROWS = 65_536
 MAX_PIVOTS = 64
 KERNEL_ROWS = 2048
 
@@ -83,36 +84,38 @@ def _assign_cells(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
         "_angle", F.col("_c.angle")).drop("_c")
 
 
-def _plan_blocks(rows: DataFrame, group: str | None, block_rows: int):
-    """Blocks of at most per_block rows: small cells of a group share one, large cells get several."""
+def _rows_per_block(total: int, block_rows: int) -> int:
+    """Larger blocks for larger inputs (fewer copies per row), up to what one task holds easily."""
+    return min(max(block_rows, total // 1024), max(block_rows, MAX_BLOCK_ROWS))
+
+
+def _plan_units(rows: DataFrame, group: str | None, block_rows: int) -> list[dict]:
+    """Units of cells: small cells of a group share a unit of one block, a large cell has several blocks.
+
+    Reads one row per (group, cell), at most MAX_PIVOTS per group.
+    """
     keys = ([group] if group else []) + ["_cell"]
     stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_angle").alias("radius")).collect()
-    total = sum(r["n"] for r in stats)
-    per_block = max(block_rows, math.ceil(2 * total / MAX_BLOCKS))
-    blocks, offsets = [], []
+    per_block = _rows_per_block(sum(r["n"] for r in stats), block_rows)
     by_group: dict = {}
     for r in stats:
         by_group.setdefault(r[group] if group else None, []).append(r)
+    units, first = [], 0
     for g, cells in by_group.items():
         room = 0
         for r in sorted(cells, key=lambda c: c["_cell"]):
-            if r["n"] > per_block:
+            if r["n"] > per_block or r["n"] > room:
                 size = math.ceil(r["n"] / per_block)
-                offsets.append((g, r["_cell"], len(blocks), size))
-                blocks += [(g, [(r["_cell"], r["radius"])])] * size
-                room = 0
-                continue
-            if r["n"] > room:
-                blocks.append((g, []))
-                room = per_block
-            blocks[-1][1].append((r["_cell"], r["radius"]))
-            offsets.append((g, r["_cell"], len(blocks) - 1, 1))
+                units.append({"group": g, "cells": [], "first": first, "size": size})
+                first += size
+                room = per_block if size == 1 else 0
+            units[-1]["cells"].append((r["_cell"], r["radius"]))
             room -= r["n"]
-    return blocks, offsets
+    return units
 
 
 def _can_match(a: list, b: list, between: np.ndarray, reach: float) -> bool:
-    """Whether any cell of one block can hold a vector within ``reach`` of one of the other."""
+    """Whether any cell of one unit can hold a vector within ``reach`` of one of the other."""
     return any(ca == cb or between[ca, cb] - ra - rb <= reach for ca, ra in a for cb, rb in b)
 
 
@@ -125,42 +128,38 @@ def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block
     out = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("score", T.DoubleType())])
     if not pivots:
         return spark.createDataFrame([], out)
-    rows = _assign_cells(rows, pivots)
-    blocks, offsets = _plan_blocks(rows, group, block_rows)
+    rows = cut_lineage(_assign_cells(rows, pivots).select(*([group] if group else []), "id", "_u", "_cell", "_angle"))
+    units = _plan_units(rows, group, block_rows)
     p = np.array(pivots)
     between = np.arccos(np.clip(p @ p.T, -1.0, 1.0))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    tasks = []
-    for i, (ga, cells_a) in enumerate(blocks):
-        for j in range(i, len(blocks)):
-            gb, cells_b = blocks[j]
-            if ga == gb and _can_match(cells_a, cells_b, between, reach):
-                task = i * MAX_BLOCKS * 2 + j
-                tasks.append((i, task))
-                if j != i:
-                    tasks.append((j, task))
+    table = []
+    for u in units:
+        partners = [(w["first"], w["first"] + w["size"] - 1) for w in units
+                    if w["group"] == u["group"] and _can_match(u["cells"], w["cells"], between, reach)]
+        table += [(u["group"], cell, u["first"], u["size"], partners) for cell, _ in u["cells"]]
     gtype = vectors.schema[group].dataType if group else T.StringType()
-    where = spark.createDataFrame(offsets, T.StructType([
-        T.StructField("_g", gtype), T.StructField("_k", T.IntegerType()), T.StructField("_off", T.IntegerType()),
-        T.StructField("_size", T.IntegerType())]))
-    # Both small tables have at most MAX_BLOCKS and MAX_BLOCKS^2 rows, so broadcasting them is bounded.
+    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    where = spark.createDataFrame(table, T.StructType([
+        T.StructField("_g", gtype), T.StructField("_k", T.IntegerType()), T.StructField("_first", T.LongType()),
+        T.StructField("_size", T.IntegerType()), T.StructField("_partners", T.ArrayType(span))]))
     same = F.col("_cell") == F.col("_k")
     if group:
         same = same & F.col(group).eqNullSafe(F.col("_g"))
+    # One row per (group, cell) with at most MAX_PIVOTS partner spans: a broadcast of bounded size.
     placed = rows.join(F.broadcast(where), same).withColumn(
-        "_block", F.col("_off") + F.pmod(F.xxhash64("id"), F.col("_size")).cast("int"))
-    plan = spark.createDataFrame(tasks, "_block int, _task long")
-    work = placed.join(F.broadcast(plan), "_block").select("_task", "_block", "id", "_u")
+        "_block", F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_size")))
+    others = F.flatten(F.transform("_partners", lambda s: F.sequence(s["first"], s["last"])))
+    work = placed.select("_block", "id", "_u", F.explode(others).alias("_other")).select(
+        F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "id", "_u")
 
     def products(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cells = sorted(part["_block"].unique())
-        left = part[part["_block"] == cells[0]]
-        right = part[part["_block"] == cells[-1]]
+        inside = key[0] == key[1]
+        left, right = part[part["_block"] == key[0]], part[part["_block"] == key[1]]
         a_ids, b_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        a, b = np.vstack(left["_u"].to_numpy()), np.vstack(right["_u"].to_numpy())
-        inside = len(cells) == 1
-        if inside and key[0] // (MAX_BLOCKS * 2) != key[0] % (MAX_BLOCKS * 2):
+        if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id_a": a_ids[:0], "id_b": b_ids[:0], "score": np.zeros(0)})
+        a, b = np.vstack(left["_u"].to_numpy()), np.vstack(right["_u"].to_numpy())
         found = []
         for s in range(0, len(a), KERNEL_ROWS):
             scores = a[s:s + KERNEL_ROWS] @ b.T
@@ -171,7 +170,7 @@ def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block
             found.append(pd.DataFrame({"id_a": lo[keep], "id_b": hi[keep], "score": scores[x, y][keep]}))
         return pd.concat(found, ignore_index=True)
 
-    return work.groupBy("_task").applyInPandas(products, out)
+    return work.groupBy("_lo", "_hi").applyInPandas(products, out)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -234,7 +233,8 @@ def search_code(
 
 
 def _block_count(df: DataFrame, block_rows: int) -> int:
-    return min(MAX_BLOCKS, max(1, math.ceil(df.count() / block_rows)))
+    total = df.count()
+    return max(1, math.ceil(total / _rows_per_block(total, block_rows)))
 
 
 def _cross_blocks(queries: DataFrame, vectors: DataFrame, block_rows: int, best) -> DataFrame:

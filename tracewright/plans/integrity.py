@@ -39,7 +39,12 @@ def h2(t):
     return H.chain_tips(H.build_chain(chain_rows(t)))
 
 
-@query("h2_segment_tips")
+@query("h2_segment_tips", f"""
+WITH RECURSIVE r AS (SELECT user_id || '#' || CAST(floor(epoch(ts) / 86400) AS BIGINT) AS stream, CAST(floor(epoch(ts)) AS BIGINT) AS e, sha256(props) AS d,
+  row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) - 1 AS i FROM events),
+c AS (SELECT stream, i, {SQL_BLOCK.format(i='i', e='e', d='d', p="repeat('0', 64)")} AS h FROM r WHERE i = 0
+  UNION ALL SELECT r.stream, r.i, {SQL_BLOCK.format(i='r.i', e='r.e', d='r.d', p='c.h')} FROM r JOIN c ON c.stream = r.stream AND r.i = c.i + 1)
+SELECT stream, count(*) AS blocks, max_by(h, i) AS tip FROM c GROUP BY stream""")
 def h2s(t):
     return H.chain_tips(H.build_chain(H.segment_streams(chain_rows(t), 86_400)))
 
@@ -62,8 +67,8 @@ def h3(t):
 
 @query("h4_repository_hash", """
 WITH l AS (SELECT source AS job_id, sha256(text) AS h, count(*) AS n FROM documents GROUP BY ALL),
-a AS (SELECT job_id, substr(h, 1, 4) AS pos, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d FROM l GROUP BY ALL),
-b AS (SELECT job_id, substr(pos, 1, 2) AS pos2, sha256(string_agg(d, chr(10) ORDER BY pos)) AS d FROM a GROUP BY ALL)
+a AS (SELECT job_id, substr(h, 1, 6) AS pos, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d FROM l GROUP BY ALL),
+b AS (SELECT job_id, substr(pos, 1, 3) AS pos2, sha256(string_agg(d, chr(10) ORDER BY pos)) AS d FROM a GROUP BY ALL)
 SELECT job_id, sha256(string_agg(d, chr(10) ORDER BY pos2)) AS digest FROM b GROUP BY job_id""")
 def h4(t):
     return H.repository_hash(t.documents.select(F.col("source").alias("job_id"), F.sha2("text", 256).alias("hash_sha256")))

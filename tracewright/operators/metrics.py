@@ -76,6 +76,11 @@ def _holding_rank(hist: DataFrame, names: list[str]) -> DataFrame:
     return hist.where(inside).select(*names, "_slot", (F.col("_rank") - F.col("_before")).alias("_rank"))
 
 
+def _same_for_all(value: str) -> Column:
+    """0 for every row, but not a literal: a literal join key would turn equi-joins into nested loops."""
+    return F.floor(F.col(value).cast("double") * 0).cast("int")
+
+
 def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """The value at index int(q*n) of the sorted list of each group, exactly, without sorting it all.
 
@@ -83,9 +88,9 @@ def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str]
     of a bucket, and only that is ranked in full.
     """
     keys = list(by)
-    counts = calls.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     if not keys:
-        counts = counts.withColumn("_g", F.lit(0))
+        counts = counts.withColumn("_g", _same_for_all(value))
     names = keys or ["_g"]
     placed = _bucketed(counts, names, value)
     totals = counts.groupBy(*names).agg(F.sum("_n").alias("_total"))
@@ -106,7 +111,7 @@ def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str]
 def latency_stats(calls: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Mean, min, max and the p95 / p99 by index of each group."""
     keys = list(by)
-    base = calls if keys else calls.withColumn("_all", F.lit(0))
+    base = calls if keys else calls.withColumn("_all", _same_for_all(value))
     names = keys or ["_all"]
     stats = base.groupBy(*names).agg(
         F.count("*").alias("calls"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))

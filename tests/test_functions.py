@@ -51,6 +51,16 @@ def test_previous_row(frame):
     assert got == want
 
 
+def test_auto_segment_cuts_busy_keys_only(frame):
+    cut = frame.withColumn("s", O.auto_segment(frame, ["k"], "ts", 20)).groupBy("k", "s").count()
+    assert cut.where("k = 'hot'").count() > 5
+    whole = frame.withColumn("s", O.auto_segment(frame, ["k"], "ts")).select("s").distinct()
+    assert whole.count() == 1
+    got = {r["id"]: r["prev_v"] for r in O.previous_row(frame, ["k"], ["ts", "id"], ["v"], O.auto_segment(frame, ["k"], "ts", 20)).collect()}
+    want = {r["id"]: r["prev_v"] for r in O.previous_row(frame, ["k"], ["ts", "id"], ["v"], seg()).collect()}
+    assert got == want
+
+
 def test_running_sum_and_index(frame):
     got = {r["id"]: r["s"] for r in O.running_sum(frame, ["k"], ["ts", "id"], F.col("v"), seg(), "s").collect()}
     index = {r["id"]: r["i"] for r in O.row_index(frame, ["k"], ["ts", "id"], seg(), "i").collect()}

@@ -188,7 +188,7 @@ def sql_explode(source: str, keep: str) -> str:
 def commits(t: Tables) -> DataFrame:
     """commits(repo, hash, author, email, ts, committed_at, message): one per event."""
     domain = F.create_map(*[F.lit(x) for kv in COMMIT_DOMAINS.items() for x in kv])[F.col("event_type")]
-    return t.events.select(
+    return spread(t.events).select(
         F.col("event_type").alias("repo"),
         F.sha1(F.col("event_id").cast("string")).alias("hash"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"),
@@ -218,7 +218,7 @@ FROM events"""
 def commit_files(t: Tables) -> DataFrame:
     """commit_files(hash, path, status, added, removed): one per line item."""
     ext = F.when(F.col("l_returnflag") == "A", ".bin").when(F.col("l_returnflag") == "N", ".rs").otherwise(".key")
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.sha1(F.col("l_orderkey").cast("string")).alias("hash"),
         F.col("l_orderkey").alias("order_key"),
         F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), ext).alias("path"),

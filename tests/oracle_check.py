@@ -42,8 +42,15 @@ def connect(sf_dir: str):
     return con
 
 
+SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def compare(spark_df, con, sql):
     cols = sorted(spark_df.columns)
+    theirs = {r[0]: SPARK_TYPE.get(r[1], r[1]) for r in con.execute("DESCRIBE " + sql).fetchall()}
+    types = {c: (t, theirs.get(c)) for c, t in spark_df.dtypes if theirs.get(c) != t}
+    if types:
+        return f"types differ (spark, sql): {types}", -1
     ours = sorted(tuple(canon(r[c]) for c in cols) for r in spark_df.collect())
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]

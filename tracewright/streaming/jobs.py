@@ -120,24 +120,33 @@ def stream_rate_limit(routed: DataFrame, n: int = 100, seconds: int = 3600, dela
 
 
 class ApprovalWatch(StatefulProcessor):
-    """Waits for all required roles of one request until its deadline passes in event time."""
+    """Waits for all required roles of one request until its deadline passes in event time.
+
+    The first request of an id sets its terms. Answers without a request are dropped after ``keep_ms``.
+    """
+
+    def __init__(self, keep_ms: int = 7 * 86_400_000):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "required string, approved string, deadline_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        required, approved, deadline = "", "", None
+        required, approved, deadline, asked = "", "", None, 0
         if self.open.exists():
             required, approved, deadline = self.open.get()
+            asked = -1 if deadline is not None else 0
         have = set(filter(None, approved.split(",")))
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("ts_ms", kind="stable")
-        for r in batch.itertuples(index=False):
-            if r.kind == "request":
-                required, deadline = r.required, int(r.deadline_ms)
-        for r in batch.itertuples(index=False):
-            if r.kind == "approval" and (deadline is None or r.ts_ms <= deadline):
-                have.add(r.role)
+        answers = []
+        for batch in rows:
+            columns = [batch[c].tolist() for c in ("kind", "role", "required", "deadline_ms", "ts_ms")]
+            for kind, role, wanted, due, at in zip(*columns, strict=True):
+                if kind == "approval":
+                    answers.append((role, at))
+                elif deadline is None or at <= asked:
+                    required, deadline, asked = wanted, due, at
+        have |= {role for role, at in answers if deadline is None or at <= deadline}
         needed = set(filter(None, required.split(",")))
         if deadline is not None and needed <= have:
             self.open.clear()
@@ -146,12 +155,18 @@ class ApprovalWatch(StatefulProcessor):
             yield pd.DataFrame({"id": [key[0]], "state": ["approved"], "missing": [""]})
             return
         self.open.update((required, ",".join(sorted(have)), deadline))
-        if deadline is not None:
+        if deadline is None:
+            self.handle.registerTimer(max(at for _, at in answers) + self.keep_ms)
+        else:
             self.handle.registerTimer(deadline + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            required, approved, _ = self.open.get()
+        if not self.open.exists():
+            return
+        required, approved, deadline = self.open.get()
+        if deadline is None:
+            self.open.clear()
+        elif expiredTimerInfo.getExpiryTimeInMs() > deadline:
             missing = sorted(set(filter(None, required.split(","))) - set(filter(None, approved.split(","))))
             self.open.clear()
             yield pd.DataFrame({"id": [key[0]], "state": ["expired"], "missing": [",".join(missing)]})

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, secrets
+from tracewright.llm import bpe, quality, secrets, toxicity
 from tracewright.llm.decontaminate import decontaminate
+from tracewright.llm.lines import dedup_lines
+from tracewright.llm.shards import shard
 from tracewright.plans.registry import Tables
 from tracewright.session import prepare
 
@@ -60,6 +63,20 @@ def op1_decontaminate(t: Tables) -> DataFrame:
     return decontaminate(t.documents, t.benchmark)
 
 
+@query()
+def op2_weak_quality(t: Tables) -> DataFrame:
+    """Quality of every document by weak labels and the scorer they train."""
+    docs = t.documents
+    return quality.score_quality(docs, quality.train(docs))
+
+
+@query()
+def op5_toxicity_chain(t: Tables) -> DataFrame:
+    """Category probabilities of every document along the classifier chain."""
+    docs = t.documents.select("doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, t.labels)).drop("rest")
+
+
 @query()
 def op6_byte_bpe(t: Tables) -> DataFrame:
     """Token counts and digests of every text, encoded and decoded."""
@@ -70,3 +87,42 @@ def op6_byte_bpe(t: Tables) -> DataFrame:
 def op7_secret_links(t: Tables) -> DataFrame:
     """Secrets of every document, and the weak parts linked to them."""
     return secrets.scan_secrets(t.documents)
+
+
+@query()
+def op8_splitter_shards(t: Tables) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard(t.documents, 24)
+
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+f AS (
+  SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE regexp_matches(line, '[^\x09-\x0D\x20]') GROUP BY line),
+h AS (
+  SELECT line, n, first, unnest([n, n - 1]) AS q FROM f WHERE n >= 16),
+keys AS (
+  SELECT line, n, first, q, 'left' AS side, left(line, (q - 1) // 2) AS half FROM h
+  UNION ALL SELECT line, n, first, q, 'right', CASE WHEN (q - 1) // 2 = 0 THEN '' ELSE right(line, (q - 1) // 2) END FROM h),
+pairs AS (
+  SELECT DISTINCT a.line AS early, b.line AS late FROM keys a JOIN keys b ON a.q = b.q AND a.side = b.side AND a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1),
+near AS (
+  SELECT DISTINCT late AS line FROM pairs
+  WHERE CASE WHEN length(early) = length(late)
+    THEN len(list_filter(range(length(early)), i -> left(early, i) || substr(early, i + 2) = left(late, i) || substr(late, i + 2))) > 0
+    WHEN length(early) > length(late) THEN len(list_filter(range(length(early)), i -> left(early, i) || substr(early, i + 2) = late)) > 0
+    ELSE len(list_filter(range(length(late)), i -> left(late, i) || substr(late, i + 2) = early)) > 0 END),
+k AS (
+  SELECT l.*, f.line IS NULL OR (row(doc_id, line_no) = f.first AND near.line IS NULL) AS kept
+  FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT kept)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
+
+@query(LINES_SQL)
+def op10_line_dedup(t: Tables) -> DataFrame:
+    """Lines of every document that repeat an earlier line up to one edit, removed."""
+    return dedup_lines(t.documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

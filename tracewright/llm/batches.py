@@ -54,14 +54,14 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
 
 
-def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES, most_rows: int = 8192) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about ``limit`` bytes, at least a row each."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        end = max(first + 1, min(first + most_rows, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1))
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm.batches import byte_slices, span_hashes, text_column
+from tracewright.llm.batches import byte_slices, span_hashes, spread, text_column
 
 NO_RANK = np.int32(0x7FFFFFFF)
 #: Matrix cells of one merge batch, and pieces a worker remembers between slices.
@@ -253,12 +253,6 @@ class Bpe:
         return self.token_bytes[spread(self.token_start[ids], self.token_size[ids])].tobytes()
 
 
-def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... count times for each entry."""
-    total = int(count.sum())
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
-
-
 _made: dict[tuple, Bpe] = {}
 
 
@@ -298,8 +292,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Count and digest of the ids of each text, and digest of the bytes they decode to."""
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Count and digest of the ids of each text, digest of the bytes they decode to, and the ids themselves if asked."""
     def run(batches):
         bpe = coder(ranks_path, pattern)
         for batch in batches:
@@ -308,6 +302,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     batch.column(0).slice(first, len(ids)), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    *([pa.array([x.tobytes() for x in ids], pa.binary())] if with_ids else []),
+                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, quality, secrets, toxicity
 from tracewright.llm.decontaminate import decontaminate
+from tracewright.llm.jaccard import similar_documents
 from tracewright.llm.lines import dedup_lines
+from tracewright.llm.repeats import remove_repeats
 from tracewright.llm.shards import shard
+from tracewright.llm.vectors import near_vectors
 from tracewright.plans.registry import Tables
 from tracewright.session import prepare
 
@@ -70,6 +73,31 @@ def op2_weak_quality(t: Tables) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs))
 
 
+VECTORS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+comps AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT node AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM comps LEFT JOIN counts ON a = node
+""".replace("WITH v", "WITH RECURSIVE v")
+
+
+@query(VECTORS_SQL)
+def op3_pivot_vectors(t: Tables) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return near_vectors(t.embeddings)
+
+
+@query()
+def op4_bwt_repeats(t: Tables) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier too."""
+    return remove_repeats(t.documents).drop("kept")
+
+
 @query()
 def op5_toxicity_chain(t: Tables) -> DataFrame:
     """Category probabilities of every document along the classifier chain."""
@@ -95,6 +123,25 @@ def op8_splitter_shards(t: Tables) -> DataFrame:
     return shard(t.documents, 24)
 
 
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ways AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ways JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
+SELECT node AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen) AS component_id FROM reach LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+
+@query(JACCARD_SQL)
+def op9_order_jaccard(t: Tables) -> DataFrame:
+    """Shingle counts and components of all documents at Jaccard 0.85."""
+    return similar_documents(t.documents)
+
+
 LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),

@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and reread by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of documents. Documents with a null id are judged by their text like others, but are never
+dropped as copies, since only ids name the document that stays.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import bpe, toxicity
+from tracewright.llm.decontaminate import decontaminate
+from tracewright.llm.jaccard import similar_documents
+from tracewright.llm.lines import dedup_lines
+from tracewright.session import checkpoint_dir, cut_lineage
+
+#: Ids sent to all tasks at most; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 4 << 20
+
+
+def _without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Documents whose ``column`` is not among the ids."""
+    ids = cut_lineage(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, chain).where("NOT rejected")
+    return scored.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier; those of which nothing is left go."""
+    cut = dedup_lines(docs).where("n_removed = 0 OR text RLIKE '[^\\\\x09-\\\\x0D\\\\x20]'")
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("rest.n_chars")).alias("n_chars")}
+    return cut.select(*[kept.get(c, F.col(f"rest.{c}").alias(c)) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of similar ones."""
+    copies = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
+    return _without(docs, copies, "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    docs_by_key = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = decontaminate(docs_by_key.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs_by_key, found.where("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the bytes they decode to."""
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
-from tracewright.session import checkpoint_dir
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode_tokens),
+]
 #: The classifier and the tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
 
@@ -17,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what a stage keeps is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (_, stage) in enumerate(STAGES):
         place = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)

@@ -1,10 +1,10 @@
 """N-gram Jaccard join by prefix filters under several token orders.
 
 A document's set holds its distinct 4-word shingles. Two sets that reach the similarity share a token among
-the first ``n - ceil(t * n) + 1`` of each under any order of all tokens. Two orders are used; both put tokens
-in common use last, by the logarithm of their count, and break ties by different hashes. Documents that share
-a prefix token under the first order are candidates if they also share one under the second and their sizes
-allow it; what is left is verified on the whole sets.
+the first ``n - ceil(t * n) + 1`` of each under any order of all tokens. Three orders are used; all put tokens
+that recur last, by the logarithm of their count, and break ties by different hashes. Documents that share a
+prefix token under the first order are candidates if their sizes allow it and they also share one under each
+of the others; what is left is verified on the whole sets.
 
 Equal sets are one node. Inside a bucket (the nodes that share a token) the node with most shared tokens is
 verified against all others first. Members found connected need no more comparison, so a large group of near
@@ -32,11 +32,12 @@ from tracewright.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-#: Tokens reported as common by a task, tokens it looks at together, and entries of the common list.
-COMMON_IN_UNIT = 4
+#: Hash salts of the order that finds candidates and of those that filter them.
+FIRST = (11,)
+OTHERS = (12, 13)
+#: Tokens that a task counts together, and entries of the list of recurring tokens.
 UNIT_TOKENS = 4 << 20
-LEAST_COMMON = 16
-MOST_COMMON = 1 << 20
+MOST_COMMON = 2 << 20
 #: Row ids sent to all tasks at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 STAR_ROUNDS = 3
@@ -62,13 +63,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in common use and the logarithm of their counts."""
+    """Tokens that recur and the logarithm of their counts: all from a count that leaves MOST_COMMON of them."""
     def report(batches):
         held, n = [], 0
 
         def found():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= COMMON_IN_UNIT
+            often = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(counts[often], pa.int64())], names=["token", "n"])
 
         for batch in batches:
@@ -81,54 +82,59 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield found()
 
-    counted = docs.select("text").mapInArrow(report, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_COMMON}")
-    table = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    tokens, counts = table.column(0).to_numpy().astype(np.int64).astype(np.uint64), table.column(1).to_numpy()
+    counted = cut_lineage(docs.select("text").mapInArrow(report, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    least, room = 1 << 62, MOST_COMMON
+    level = F.floor(F.log2("n")).cast("int")
+    for row in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 63 rows
+        room -= row["count"]
+        if room < 0:
+            break
+        least = 1 << row["level"]
+    table = counted.where(F.col("n") >= least).select("token", level.alias("level")).toArrow()
+    tokens = table.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.minimum(np.log2(np.maximum(counts[order], 1)), 31).astype(np.uint64)
-
-
-def _prefixes(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """doc_id, text hash, node, n and the prefixes of each document under both orders."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
-
-    def cut(batches):
-        known, level = common.value
-        for batch in batches:
-            for first, end, data, offsets in byte_slices(text_column(batch)):
-                rows = end - first
-                row, token = shingle_sets(data, offsets, size)
-                n = np.bincount(row, minlength=rows)
-                begin = np.cumsum(n) - n
-                digest = np.zeros(rows, np.uint64)
-                np.add.at(digest, row, mix(token, 99))
-                rank = np.zeros(len(token), np.uint64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                    rank = np.where(known[place] == token, level[place] + np.uint64(1), np.uint64(0))
-                length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                stop = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                columns = []
-                for salt in (11, 12):
-                    key = (row.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(44)) | (mix(token, salt) >> np.uint64(20))
-                    order = np.argsort(key)
-                    first_ones = np.arange(len(row)) - begin[row] < length[row]
-                    columns.append(pa.ListArray.from_arrays(pa.array(stop), pa.array(token[order][first_ones].astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, rows), batch.column(2).slice(first, rows), pa.array(mix(digest + n.astype(np.uint64)).astype(np.int64)),
-                    pa.array(n, pa.int64()), *columns], names=["doc_id", "text_hash", "node", "n", "first", "second"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        cut, "doc_id long, text_hash long, node long, n long, first array<long>, second array<long>")
-
-
-def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the documents whose (doc_id, text_hash) is wanted."""
+    return tokens[order], table.column(1).to_numpy().astype(np.uint8)[order]
+
+
+class Orders:
+    """Prefixes of shingle sets under the token orders."""
+
+    def __init__(self, common: tuple[np.ndarray, np.ndarray], percent: int, size: int):
+        self.known, self.level = common
+        self.percent, self.size = percent, size
+
+    def prefixes(self, data: np.ndarray, offsets: np.ndarray, salts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """Set sizes, set digests, and the prefix of each row under the order of each salt."""
+        rows = len(offsets) - 1
+        row, token = shingle_sets(data, offsets, self.size)
+        n = np.bincount(row, minlength=rows)
+        begin = np.cumsum(n) - n
+        digest = np.zeros(rows, np.uint64)
+        np.add.at(digest, row, mix(token, 99))
+        rank = np.zeros(len(token), np.uint64)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
+            rank = np.where(self.known[place] == token, self.level[place], 0).astype(np.uint64)
+        length = np.where(n > 0, n - (self.percent * n + 99) // 100 + 1, 0)
+        stop = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+        inside = np.arange(len(row)) - begin[row] < length[row]
+        lists = []
+        for salt in salts:
+            key = (row.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(44)) | (mix(token, salt) >> np.uint64(20))
+            lists.append(pa.ListArray.from_arrays(stop, pa.array(token[np.argsort(key)][inside].astype(np.int64))))
+        return n, mix(digest + n.astype(np.uint64)), lists
+
+
+def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the documents whose (doc_id, text_hash) is wanted."""
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep_id"]) & (docs["text_hash"] == wanted["rep_hash"])).select("node", "text")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep_id"]) & (docs["text_hash"] == wanted["rep_hash"])).select("node", "text")
 
-    def sets(batches):
+
+def _sets(chosen: DataFrame, size: int) -> DataFrame:
+    """(node, tokens): whole sets."""
+    def run(batches):
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
                 row, token = shingle_sets(data, offsets, size)
@@ -136,25 +142,56 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(stop), pa.array(token.astype(np.int64)))], names=["node", "tokens"])
 
-    return chosen.mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"])
+    return chosen.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of at least ``percent`` Jaccard reach."""
     docs = docs.select("doc_id", "text")
-    table = cut_lineage(_prefixes(docs, percent, size))
-    members = table.select("doc_id", "text_hash", "node", "n")
+    orders = docs.sparkSession.sparkContext.broadcast(Orders(_common(docs, size), percent, size))
+
+    def first_prefix(batches):
+        for batch in batches:
+            for first, end, data, offsets in byte_slices(text_column(batch)):
+                n, node, lists = orders.value.prefixes(data, offsets, FIRST)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(node.astype(np.int64)), pa.array(n, pa.int64()), *lists],
+                    names=["doc_id", "text_hash", "node", "n", "first"])
+
+    def other_prefixes(batches):
+        for batch in batches:
+            for first, end, data, offsets in byte_slices(text_column(batch)):
+                lists = orders.value.prefixes(data, offsets, OTHERS)[2]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *lists], names=["node", *(f"p{k}" for k in range(len(OTHERS)))])
+
+    table = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        first_prefix, "doc_id long, text_hash long, node long, n long, first array<long>")
     prefix = table.where("n > 0").select(F.explode("first").alias("token"), "node", "n")
-    shared = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    shared = cut_lineage(prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     buckets = cut_lineage(prefix.join(shared, "token").distinct())
+    members = cut_lineage(table.select("doc_id", "text_hash", "node", "n"))
     degree = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    reps = members.join(degree.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
-    second = cut_lineage(table.join(degree.select("node"), "node").groupBy("node").agg(F.first("second").alias("second")))
-    sets = cut_lineage(_whole_sets(docs, cut_lineage(reps.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))), size))
+    reps = cut_lineage(
+        members.join(degree.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+        .select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        """Documents that stand for the nodes of the pairs."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return _chosen(docs, cut_lineage(reps.join(nodes, "node")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the second order and reach the similarity."""
-        both = pairs.join(second.toDF("a", "sa"), "a").join(second.toDF("b", "sb"), "b").where(F.arrays_overlap("sa", "sb")).select("a", "b")
+        """Pairs (a, b) that share a prefix token under every other order and reach the similarity."""
+        schema = "node long" + "".join(f", p{k} array<long>" for k in range(len(OTHERS)))
+        prefixes = of_pairs(pairs).mapInArrow(other_prefixes, schema).dropDuplicates(["node"])
+        one = prefixes.select(F.col("node").alias("a"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(len(OTHERS))])
+        other = prefixes.select(F.col("node").alias("b"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(len(OTHERS))])
+        both = pairs.join(one, "a").join(other, "b")
+        for k in range(len(OTHERS)):
+            both = both.where(F.arrays_overlap(f"a{k}", f"b{k}"))
+        both = cut_lineage(both.select("a", "b"))
+        sets = _sets(of_pairs(both), size)
         whole = both.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
         common = F.size(F.array_intersect("ta", "tb"))
         return whole.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")

@@ -37,11 +37,13 @@ def test_binary_and_executable(spark):
 
 
 def test_skip_and_size(spark):
-    df = files(spark, [("a/.git/x", ""), ("node_modules/y.js", ""), ("src/z.py", ""), ("b.png", ""), ("c.dll", "")], size_bytes=10)
+    paths = ["a/.git/x", "node_modules/y.js", "src/z.py", "b.png", "c.dll", "d.MKV", "e.flac", "f.tiff", "g.wmv"]
+    df = files(spark, [(p, "") for p in paths], size_bytes=10)
     kept = O.filter_analyzable(O.inventory(O.drop_skipped(df)))
-    assert sorted(r["path"] for r in kept.collect()) == ["c.dll", "src/z.py"]
+    assert {r["path"]: r["skip_reason"] for r in kept.collect()} == {
+        "src/z.py": None, "b.png": "binary", "c.dll": None, "d.MKV": "binary", "e.flac": "binary", "f.tiff": None, "g.wmv": None}
     big = O.inventory(files(spark, [("src/z.py", "")], size_bytes=200 * 1024 * 1024))
-    assert O.filter_analyzable(big).count() == 0 and O.filter_analyzable(big, 200).count() == 1
+    assert [r["skip_reason"] for r in O.filter_analyzable(big).collect() + O.filter_analyzable(big, 100).collect()] == [None, "too_large"]
 
 
 def test_encoding_of_bytes(spark):
@@ -208,7 +210,8 @@ def test_from_files_to_report(spark):
             ("node_modules/z.js", "eval(1)"), ("logo.png", "png")]
     raw = files(spark, rows, mode=0o644).withColumn("size_bytes", F.octet_length("content").cast("long"))
     analysed = O.analyze_files(raw)
-    assert sorted(r["path"] for r in analysed.collect()) == ["app/.env", "app/main.py", "conf/app.yaml"]
+    assert {r["path"]: (r["skip_reason"], r["hash_sha256"] is None) for r in analysed.collect()} == {
+        "app/.env": (None, False), "app/main.py": (None, False), "conf/app.yaml": (None, False), "logo.png": ("binary", True)}
     findings = S.scan_files(analysed).unionByName(S.scan_repository(analysed))
     got = sorted((r["path"], r["title"], r["severity"]) for r in findings.collect() if r["finding_type"] != "suspicious_code")
     assert got == [
@@ -216,4 +219,5 @@ def test_from_files_to_report(spark):
         ("app/main.py", "Potential backdoor pattern detected", "high"), ("conf/app.yaml", "Hardcoded credentials in configuration", "high")]
     report = G.build_report(spark.createDataFrame([("job",)], "job_id string"), findings, analysed, F.lit("2024-01-01").cast("timestamp")).first()
     assert report["summary"]["classification"] == "restricted" and report["summary"]["secrets_found"] == 2
-    assert report["files"]["total_files"] == 3 and report["security_compliance"]["status"] == "non_compliant"
+    assert [report["files"][c] for c in ("total_files", "analyzed_files", "skipped_files")] == [4, 3, 1]
+    assert report["license_compliance"]["status"] == "compliant" and report["security_compliance"]["status"] == "non_compliant"

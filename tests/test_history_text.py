@@ -72,6 +72,9 @@ def test_chunkers(spark):
     text = "\n".join(str(i) for i in range(120))
     assert [(s, e) for s, e, _ in chunks_of(spark, "text", text)] == [(1, 50), (51, 100), (101, 120)]
     assert chunks_of(spark, "text", "") == []
+    assert [(s, e) for s, e, _ in chunks_of(spark, "python", "def a():\n    x = 1\ndef b():\n    y = 2")] == [(1, 2), (3, 4)]
+    assert [(s, e) for s, e, _ in chunks_of(spark, "python", "class A:\n    def a(self):\n        x = 1\n    def b(self):\n        y = 2\nz = 1")] == [(1, 1), (2, 3), (4, 5)]
+    assert [(s, e) for s, e, _ in chunks_of(spark, "go", "func a() {\n x\nfunc b() {\n}\n")] == [(1, 2), (3, 4)]
 
 
 def test_text_features(spark):
@@ -88,7 +91,7 @@ def test_text_features(spark):
 def test_embedding_is_unit_and_stable(spark):
     text = "alpha beta gamma alpha " * 5
     df = spark.createDataFrame([(1, text), (2, text.upper()), (3, "short")], "id int, content string")
-    out = {r["id"]: np.array(r["embedding"]) for r in X.embed_text(df, 64).collect()}
+    out = {r["id"]: np.array(r["embedding"]) for r in X.embed_text(df, 64, min_bytes=50).collect()}
     assert set(out) == {1, 2} and np.allclose(out[1], out[2]) and np.linalg.norm(out[1]) == pytest.approx(1.0, abs=1e-5)
 
 
@@ -172,7 +175,7 @@ def test_external_and_exact_matches(spark, vectors):
 def test_chunk_pairs_skip_one_file(spark):
     rows = [(1, "f", "py", 60, [1.0, 0.0]), (2, "f", "py", 60, [1.0, 0.1]), (3, "g", "py", 60, [1.0, 0.05]), (4, "h", "go", 60, [1.0, 0.0]), (5, "i", "py", 10, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, file string, language string, bytes int, embedding array<float>")
-    assert sorted((r["id_a"], r["id_b"]) for r in S.similar_chunks(df).collect()) == [(1, 3), (2, 3)]
+    assert sorted((r["id_a"], r["id_b"]) for r in S.similar_chunks(df, min_bytes=50).collect()) == [(1, 3), (2, 3)]
 
 
 def test_cosine_edges(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import evidence as I
 from tracewright.operators import events as K
+from tracewright.operators import metrics as M
 from tracewright.plans import bindings as B
 from tracewright.plans.registry import Tables
 from tracewright.plans.streaming import StreamTables
@@ -105,11 +106,11 @@ def test_streaming_limiter_over_many_batches(spark, tmp_path):
     assert got == want and not all(want.values())
 
 
-def test_status_stream_in_update_mode(spark, tmp_path):
+def test_status_stream_holds_no_state(spark, tmp_path):
     rows, stream = split_events(spark, tmp_path, 3)
     shape = lambda d: d.select(F.col("user_id").alias("workflow_id"), F.col("event_id").alias("status_id"), F.col("event_type").alias("status"), F.col("value").alias("percentage"), "ts")
-    P.write_table(J.stream_status(shape(stream)), str(tmp_path / "o"), "t", str(tmp_path / "c"), "update").awaitTermination()
-    final = P.read_table(spark, str(tmp_path / "o"), "t").groupBy("workflow_id").agg(F.max_by("status", "batch_id").alias("status"))
+    J.write_status(shape(stream), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    final = J.read_status(spark, str(tmp_path / "o")).select("workflow_id", "status")
     want = I.latest_status(shape(rows)).select("workflow_id", "status")
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, want.collect()))
 
@@ -129,6 +130,41 @@ def test_approval_expiry(spark, tmp_path):
     assert got == [("r1", "expired", "b"), ("r2", "approved", "")]
 
 
+def test_approvals_are_kept_until_their_request(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "id string, kind string, role string, required string, deadline timestamp, ts timestamp"
+    day = timedelta(days=1)
+    parts = [
+        [("early", "approval", "a", None, None, T0), ("late", "approval", "a", None, None, T0 + timedelta(hours=30)), ("open", "request", None, "a", None, T0)],
+        [("tick", "approval", "x", None, None, T0 + 20 * day)],
+        [("early", "request", None, "a", T0 + 40 * day, T0 + 21 * day), ("late", "request", None, "a", T0 + timedelta(hours=20), T0 + 21 * day), ("open", "approval", "a", None, None, T0 + 30 * day)],
+        [("tick", "approval", "x", None, None, T0 + 60 * day)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    P.write_table(J.approval_timeouts(stream), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
+    got = sorted(tuple(r) for r in P.read_table(spark, str(tmp_path / "o"), "t").select("id", "state", "missing").collect())
+    assert got == [("early", "approved", ""), ("late", "expired", "a"), ("open", "approved", "")]
+
+
+def test_a_quiet_point_ends_a_streamed_run(spark, tmp_path):
+    src = str(tmp_path / "in")
+    minute = timedelta(minutes=1)
+    swing = [("swing", i, 30.0 if i % 2 else 1.0, T0 + i * minute) for i in range(60)]
+    steady = [("steady", 100 + i, 30.0 if i < 50 else 1.0, T0 + i * minute) for i in range(60)]
+    rows = swing + steady + [("end", 999, 1.0, T0 + timedelta(hours=5))]
+    schema = "name string, id long, value double, ts timestamp"
+    for part in (rows[:30] + rows[60:90], rows[30:60] + rows[90:120], rows[120:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    P.write_table(J.stream_sustained_alerts(stream, 15, 1800), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
+    got = [(r["name"], r["started_at"], r["points"]) for r in P.read_table(spark, str(tmp_path / "o"), "t").collect()]
+    assert [(n, p) for n, _, p in got] == [("steady", 50)]
+    batch = M.sustained_alerts(spark.createDataFrame(rows, schema), 15, 1800).collect()
+    assert [(r["name"], r["started_at"], r["points"]) for r in batch] == got
+
+
 def test_windows_match_batch(spark, tmp_path):
     rows, stream = split_events(spark, tmp_path, 3)
     shape = lambda d: d.select(F.col("event_type").alias("name"), "value", "ts")

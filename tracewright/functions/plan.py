@@ -1,4 +1,4 @@
-"""Two small plan shapers."""
+"""A small plan shaper."""
 
 from __future__ import annotations
 
@@ -6,21 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all slots when an input has fewer splits than the cluster has slots.
-
-    Large inputs already have more splits and pass through unchanged, with pushdown to the scan.
-    For small ones the always-true partition test keeps costly predicates above the exchange;
-    otherwise the optimizer would push them below it, back into the few scan tasks.
-    """
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots).where(F.spark_partition_id() >= 0)
-
-
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column behind a generator, so that later filters on it do not recompute it."""
     return df.select("*", F.explode(F.array(value)).alias(name))

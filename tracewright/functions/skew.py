@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_SHARES = 1000
 
 
-def join_counted(detail: DataFrame, groups: DataFrame, key: str, count: str, shares: int = HEAVY_SHARES) -> DataFrame:
+def join_counted(
+    detail: DataFrame, groups: DataFrame, key: str, count: str, shares: int = HEAVY_SHARES, *, salt: Sequence[str]
+) -> DataFrame:
     """Inner join of detail rows to one row per key, where ``groups[count]`` says how many rows a key has.
 
     A key holding at least 1/shares of the counted rows is heavy. There can be at most
     ``shares`` such keys, so that side is broadcast with a proven bound; the rest is a
     shuffle join in which no key exceeds 1/shares of the rows. The detail side is read once;
-    its heavy rows are salted over the partitions of that shuffle.
+    its heavy rows are salted by ``salt``, narrow columns that tell rows apart, over the partitions
+    of that shuffle.
     """
     total = groups.agg(F.sum(count)).scalar()
     cols = [c for c in groups.columns if c != key]
     packed = groups.select(key, F.struct(*cols).alias("_v"), (F.col(count) * shares >= total).alias("_is_heavy"))
     heavy = packed.where("_is_heavy").select(key, F.col("_v").alias("_heavy"))
     light = packed.where("not _is_heavy").select(key, F.lit(0).alias("_salt"), F.col("_v").alias("_light"))
-    spread_heavy = 1 + F.pmod(F.xxhash64(*detail.columns), F.lit(shares)).cast("int")
+    spread_heavy = 1 + F.pmod(F.xxhash64(*salt), F.lit(shares)).cast("int")
     return (
         detail.join(F.broadcast(heavy), key, "left")
         .withColumn("_salt", F.when(F.col("_heavy").isNotNull(), spread_heavy).otherwise(0))

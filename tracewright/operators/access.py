@@ -40,7 +40,7 @@ def check_permission(req: DataFrame, perms: DataFrame) -> DataFrame:
     Requests are first reduced to their distinct (roles, resource, action) signatures, so a hot
     role costs one row; wildcards are expanded to keep an equi-join.
     """
-    sig = F.xxhash64(F.array_sort("roles"), "resource", "action")
+    sig = F.struct(F.array_sort("roles").alias("roles"), "resource", "action")
     rows = req.withColumn("_sig", sig)
     shapes = rows.groupBy("_sig").agg(
         F.count("*").alias("_n"), F.first("roles").alias("roles"), F.first("resource").alias("resource"),
@@ -52,7 +52,7 @@ def check_permission(req: DataFrame, perms: DataFrame) -> DataFrame:
     verdict = shapes.select("_sig", "_n").join(
         allowed.select("_sig").distinct().withColumn("permitted", F.lit(True)), "_sig", "left").withColumn(
         "permitted", F.coalesce("permitted", F.lit(False)))
-    return join_counted(rows, verdict, "_sig", "_n").drop("_sig", "_n")
+    return join_counted(rows, verdict, "_sig", "_n", salt=["request_id"]).drop("_sig", "_n")
 
 
 @dataclass(frozen=True)

@@ -41,11 +41,15 @@ def flag_binary(files: DataFrame) -> DataFrame:
     return files.withColumn("is_binary", F.coalesce(F.col("extension").isin(R.BINARY_EXTENSIONS), F.lit(False)))
 
 
-def filter_analyzable(files: DataFrame, max_mb: int = 100) -> DataFrame:
-    """Drop files over the size limit and likely-binary files, keeping native executables."""
-    small = F.col("size_bytes") <= max_mb * 1024 * 1024
+def filter_analyzable(files: DataFrame, max_mb: int | None = None) -> DataFrame:
+    """Add ``skip_reason``: too_large over a limit the caller names, binary for likely-binary files that are
+    not native executables, else null. Every file stays a row."""
+    likely = F.coalesce(F.col("extension").isin(R.LIKELY_BINARY_EXTENSIONS), F.lit(False))
     native = F.coalesce(F.col("extension").isin(R.ANALYZABLE_BINARIES), F.lit(False))
-    return flag_binary(files).where(small & (~F.col("is_binary") | native))
+    reason = F.when(likely & ~native, "binary")
+    if max_mb is not None:
+        reason = F.when(F.col("size_bytes") > max_mb * 1024 * 1024, "too_large").otherwise(reason)
+    return files.withColumn("skip_reason", reason)
 
 
 def classify_file_type(files: DataFrame) -> DataFrame:
@@ -220,11 +224,16 @@ def content_findings(files: DataFrame) -> DataFrame:
     return per_file.unionByName(comments)
 
 
-def analyze_files(files: DataFrame, max_mb: int = 100) -> DataFrame:
-    """The file-analysis row: every per-file attribute in one scan, metrics as a struct."""
+def analyze_files(files: DataFrame, max_mb: int | None = None) -> DataFrame:
+    """The file-analysis row: every per-file attribute in one scan, metrics as a struct.
+
+    A file with a ``skip_reason`` keeps its row; whatever is read from its content is null.
+    """
     df = detect_language(classify_file_type(inventory(drop_skipped(files))))
-    df = comment_lines(content_flags(content_metrics(filter_analyzable(df, max_mb))))
-    df = classify_sensitivity(add_hashes(detect_encoding(df)))
+    read = F.col("skip_reason").isNull()
+    df = filter_analyzable(flag_binary(df), max_mb).withColumn("content", F.when(read, F.col("content")))
+    df = comment_lines(content_flags(content_metrics(df)))
+    df = classify_sensitivity(add_hashes(detect_encoding(df))).withColumn("classification", F.when(read, F.col("classification")))
     metrics = ["line_count", "char_count", "word_count", "blank_lines", "comment_lines", "byte_size",
                "contains_urls", "contains_emails", "contains_ip_addresses", "contains_secrets"]
     return df.withColumn("metrics", F.struct(*metrics)).drop(*metrics, "hash_md5", "hash_sha1", "hash_sha512")

@@ -170,7 +170,7 @@ def commit_graph(commits: DataFrame) -> DataFrame:
     edges = commits.select("hash", F.explode("parents").alias("parent"))
     wanted = edges.groupBy("parent").agg(F.count("*").alias("children"))
     missing = wanted.join(commits.select(F.col("hash").alias("parent")), "parent", "left_anti")
-    broken = join_counted(edges, missing, "parent", "children").groupBy("hash").agg(
+    broken = join_counted(edges, missing, "parent", "children", salt=["hash"]).groupBy("hash").agg(
         F.count("*").alias("missing_parents"))
     n = F.size("parents")
     return commits.join(broken, "hash", "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.ordered import run_ids, segment_of
 
-BUCKETS = 65_536
+FINE = 1024
 
 
 def decisions_per_minute(decisions: DataFrame, ts: str = "evaluated_at") -> DataFrame:
@@ -26,13 +26,14 @@ def _between(rows: DataFrame, start: Column | None, end: Column | None) -> DataF
 
 def query_audit(
     audit: DataFrame, *, user_id=None, action: str | None = None, resource: str | None = None,
-    result: str | None = None, start: Column | None = None, end: Column | None = None, limit: int = 100,
+    result: str | None = None, start: Column | None = None, end: Column | None = None, limit: int | None = None,
 ) -> DataFrame:
     rows = _between(audit, start, end)
     for column, value in (("user_id", user_id), ("action", action), ("resource", resource), ("result", result)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
-    return rows.orderBy(F.col("ts").desc(), "audit_id").limit(limit)
+    rows = rows.orderBy(F.col("ts").desc(), "audit_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def audit_report(audit: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -41,85 +42,76 @@ def audit_report(audit: DataFrame, start: Column | None = None, end: Column | No
 
 
 def query_metrics(
-    points: DataFrame, resolution: str, aggregation: str, *, names: Sequence[str] | None = None,
+    points: DataFrame, resolution: str, aggregations: str | Sequence[str], *, names: Sequence[str] | None = None,
     tags: dict[str, str] | None = None, start: Column | None = None, end: Column | None = None,
 ) -> DataFrame:
-    """points(name, value, tags, ts) per name and window with one of avg, sum, min, max."""
+    """points(name, value, tags, ts) per name and window with avg, sum, min or max.
+
+    One aggregation gives ``value``; a list gives a column each, in one pass.
+    """
     rows = _between(points, start, end)
     if names is not None:
         rows = rows.where(F.col("name").isin(list(names)))
     for k, v in (tags or {}).items():
         rows = rows.where(F.col("tags")[k] == v)
-    fn = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[aggregation]
-    return rows.groupBy("name", F.window("ts", resolution).alias("w")).agg(fn("value").alias("value")).select(
-        "name", F.col("w.start").alias("bucket"), "value")
-
-
-def _bucketed(rows: DataFrame, names: list[str], value: str) -> DataFrame:
-    """Add ``_slot``: one of BUCKETS equal-width buckets between the group's bounds."""
-    bounds = rows.groupBy(*names).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / BUCKETS
-    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(BUCKETS - 1))).otherwise(0)
-    return rows.join(bounds, names).withColumn("_slot", slot).drop("_lo", "_hi")
-
-
-def _bucket_counts(placed: DataFrame, names: list[str], *extra: Column) -> DataFrame:
-    """Rows per bucket with the rows of lower buckets; at most BUCKETS rows per group."""
-    below = Window.partitionBy(*names).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.groupBy(*names, "_slot").agg(F.sum("_n").alias("_in"), *extra).withColumn(
-        "_before", F.coalesce(F.sum("_in").over(below), F.lit(0)))
+    known = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+    wanted = {"value": aggregations} if isinstance(aggregations, str) else {a: a for a in aggregations}
+    return rows.groupBy("name", F.window("ts", resolution).alias("w")).agg(*[known[a]("value").alias(c) for c, a in wanted.items()]).select(
+        "name", F.col("w.start").alias("bucket"), *wanted)
 
 
-def _holding_rank(hist: DataFrame, names: list[str]) -> DataFrame:
-    """The bucket that holds the wanted rank, with the rank counted from its start."""
-    inside = (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in"))
-    return hist.where(inside).select(*names, "_slot", (F.col("_rank") - F.col("_before")).alias("_rank"))
+def _holding(hist: DataFrame, names: list[str]) -> DataFrame:
+    """The bucket of each group in which the 0-based ``_rank`` falls, with the rank counted from its start."""
+    order = [c for c in ("_slot", "_fine") if c in hist.columns][-1]
+    upto = F.sum("_n").over(Window.partitionBy(*names).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    inside = (F.col("_rank") >= F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_upto"))
+    return hist.withColumn("_upto", upto).where(inside).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).drop("_upto")
 
 
-def _same_for_all(value: str) -> Column:
-    """0 for every row, but not a literal: a literal join key would turn equi-joins into nested loops."""
-    return F.floor(F.col(value).cast("double") * 0).cast("int")
+def _ranked(calls: DataFrame, quantiles: Sequence[float], names: list[str], value: str) -> DataFrame:
+    """The value at index int(q * n) of each group's sorted values, with the group's count, mean and bounds.
 
-
-def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """The value at index int(q*n) of the sorted list of each group, exactly, without sorting it all.
-
-    Equal values are counted first. Two rounds of bucket counts then narrow each rank to one bucket
-    of a bucket, and only that is ranked in full.
+    Rows are counted in buckets of a fixed logarithmic scale (at most some 90,000), then those of the one
+    bucket that holds a rank in FINE equal parts, and only the values of one part are put in order. Each
+    step adds up before it shuffles; what it joins back is a row per group and quantile.
     """
-    keys = list(by)
-    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    if not keys:
-        counts = counts.withColumn("_g", _same_for_all(value))
-    names = keys or ["_g"]
-    placed = _bucketed(counts, names, value)
-    totals = counts.groupBy(*names).agg(F.sum("_n").alias("_total"))
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
-    hist = _bucket_counts(placed, names).join(totals, names).withColumn("q", wanted).withColumn(
-        "_rank", F.floor(F.col("q") * F.col("_total")) + 1)
+    v = F.col(value).cast("double")
+    scale = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 64).cast("int")
+    rows = calls.where(F.col(value).isNotNull()).withColumn("_slot", scale)
+    hist = rows.groupBy(*names, "_slot").agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    group = Window.partitionBy(*names)
+    hist = hist.withColumns({
+        "calls": F.sum("_n").over(group), "mean": F.sum("_sum").over(group) / F.sum("_n").over(group),
+        "min": F.min("_lo").over(group), "max": F.max("_hi").over(group)})
+    asked = hist.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn(
+        "_rank", F.least(F.floor(F.col("q") * F.col("calls")), F.col("calls") - 1))
     names_q = [*names, "q"]
-    first = placed.join(_holding_rank(hist, names_q), [*names, "_slot"]).drop("_slot")
-    again = _bucketed(first, names_q, value)
-    hist = _bucket_counts(again, names_q, F.max("_rank").alias("_rank"))
-    last = again.drop("_rank").join(_holding_rank(hist, names_q), [*names_q, "_slot"])
+    want = _holding(asked, names_q).drop("_n", "_sum")
+    width = (F.col("_hi") - F.col("_lo")) / FINE
+    fine = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(FINE - 1))).otherwise(0).cast("int")
+    first = rows.select(*names, "_slot", value).join(want, [*names, "_slot"]).withColumn("_fine", fine)
+    carried = ["calls", "mean", "min", "max"]
+    kept = [F.first(c).alias(c) for c in carried]
+    hist = first.groupBy(*names_q, "_slot", "_fine").agg(F.count("*").alias("_n"), F.first("_rank").alias("_rank"))
+    part = _holding(hist, names_q).drop("_n")
+    last = first.drop("_rank").join(part, [*names_q, "_slot", "_fine"]).groupBy(*names_q, value).agg(
+        F.count("*").alias("_n"), F.first("_rank").alias("_rank"), *kept)
     upto = Window.partitionBy(*names_q).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = last.withColumn("_cum", F.sum("_n").over(upto)).where(F.col("_cum") >= F.col("_rank")).groupBy(*names_q).agg(
-        F.min(value).alias("value"))
-    return out if keys else out.drop("_g")
+    return last.withColumn("_cum", F.sum("_n").over(upto)).where(F.col("_cum") > F.col("_rank")).groupBy(*names_q).agg(
+        F.min(value).alias("value"), *kept)
+
+
+def exact_ranks(calls: DataFrame, quantiles: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """The value at index int(q * n) of the sorted list of each group, exactly, without sorting it all."""
+    return _ranked(calls, quantiles, list(by), value).select(*by, "q", "value")
 
 
 def latency_stats(calls: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Mean, min, max and the p95 / p99 by index of each group."""
-    keys = list(by)
-    base = calls if keys else calls.withColumn("_all", _same_for_all(value))
-    names = keys or ["_all"]
-    stats = base.groupBy(*names).agg(
-        F.count("*").alias("calls"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    ranks = exact_ranks(base, [0.95, 0.99], names, value).groupBy(*names).agg(
+    return _ranked(calls, [0.95, 0.99], list(by), value).groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in ("calls", "mean", "min", "max")],
         F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"),
         F.max(F.when(F.col("q") == 0.99, F.col("value"))).alias("p99"))
-    out = stats.join(ranks, names)
-    return out if keys else out.drop("_all")
 
 
 def label_counters(calls: DataFrame, labels: Sequence[str]) -> DataFrame:

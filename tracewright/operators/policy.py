@@ -205,7 +205,7 @@ def cache_statistics(deduped: DataFrame) -> DataFrame:
 
 def query_decisions(
     decisions: DataFrame, *, user_id=None, policy_id=None, result=None, start: Column | None = None,
-    end: Column | None = None, limit: int = 100,
+    end: Column | None = None, limit: int | None = None,
 ) -> DataFrame:
     rows = decisions
     for column, value in (("user_id", user_id), ("policy_id", policy_id), ("result", result)):
@@ -215,7 +215,8 @@ def query_decisions(
         rows = rows.where(F.col("evaluated_at") >= start)
     if end is not None:
         rows = rows.where(F.col("evaluated_at") <= end)
-    return rows.orderBy(F.col("evaluated_at").desc(), "decision_id").limit(limit)
+    rows = rows.orderBy(F.col("evaluated_at").desc(), "decision_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def decision_analytics(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from tracewright.model import severity_rank, severity_weight
 
 # Weight x confidence is capped at 10.
 SCORE_CAP = 10.0
+RESOLVE_FIRST = "Resolve the findings of high and critical severity first"
 
 
 def finding_risk(findings: DataFrame) -> DataFrame:
@@ -46,8 +47,11 @@ def publishable(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("severity").isin("high", "critical"))
 
 
-def summarize_findings(findings: DataFrame, by: str = "job_id") -> DataFrame:
-    """Totals per severity and type; a first partial count per (job, type, severity) keeps the second small."""
+def summarize_findings(findings: DataFrame, by: str = "job_id", jobs: DataFrame | None = None) -> DataFrame:
+    """Totals per severity and type; a first partial count per (job, type, severity) keeps the second small.
+
+    With ``jobs`` every job has a row; one without findings counts and scores 0 and is internal.
+    """
     cells = findings.groupBy(by, "finding_type", "severity").agg(
         F.count("*").alias("n"), F.sum(severity_weight() * F.col("confidence")).alias("score"))
     types = cells.groupBy(by, "finding_type").agg(F.sum("n").alias("n")).groupBy(by).agg(
@@ -64,39 +68,62 @@ def summarize_findings(findings: DataFrame, by: str = "job_id") -> DataFrame:
         F.least(F.lit(SCORE_CAP), F.sum("score") / F.sum("n")).alias("risk_score"),
         _classification().alias("classification"),
     )
-    return totals.join(types, by)
+    out = totals.join(types, by)
+    if jobs is None:
+        return out
+    plain = {"malware_detected": F.lit(False), "risk_score": F.lit(0.0), "classification": F.lit("internal"),
+             "by_type": F.create_map().cast("map<string,bigint>")}
+    return jobs.select(by).join(out, by, "left").select(
+        by, *[F.coalesce(c, plain.get(c, F.lit(0))).alias(c) for c in out.columns if c != by])
+
+
+def _file_cells(files: DataFrame, *extra: Column) -> DataFrame:
+    """Files per job, by type and by classification in one pass of grouping sets."""
+    return files.groupingSets(
+        [["job_id", "file_type"], ["job_id", "classification"], ["job_id"]], "job_id", "file_type", "classification"
+    ).agg(F.count("*").alias("files"), F.grouping("file_type").alias("_t"), F.grouping("classification").alias("_c"), *extra).select(
+        "job_id",
+        F.when((F.col("_t") == 1) & (F.col("_c") == 1), "total").when(F.col("_t") == 0, "type")
+        .otherwise("classification").alias("dimension"),
+        F.coalesce("file_type", "classification").alias("value"), "files", *["skipped" for _ in extra])
 
 
 def summarize_files(files: DataFrame) -> DataFrame:
-    """Totals, by type and by classification per job in one pass of grouping sets."""
-    return (
-        files.groupingSets([["job_id", "file_type"], ["job_id", "classification"], ["job_id"]],
-                           "job_id", "file_type", "classification")
-        .agg(F.count("*").alias("files"), F.grouping("file_type").alias("_t"), F.grouping("classification").alias("_c"))
-        .select(
-            "job_id",
-            F.when((F.col("_t") == 1) & (F.col("_c") == 1), "total").when(F.col("_t") == 0, "type")
-            .otherwise("classification").alias("dimension"),
-            F.coalesce("file_type", "classification").alias("value"), "files")
-    )
+    """Totals, by type and by classification per job."""
+    return _file_cells(files)
+
 
+def compliance_summary(findings: DataFrame, by: str = "job_id", jobs: DataFrame | None = None) -> DataFrame:
+    """Status plus the distinct issue titles with counts; the list is bounded by the rule set, not the data.
 
-def compliance_summary(findings: DataFrame, by: str = "job_id") -> DataFrame:
-    """Status plus the distinct issue titles with counts; the list is bounded by the rule set, not the data."""
+    With ``jobs`` every job has a row; one without findings is compliant.
+    """
     titles = findings.groupBy(by, "title").agg(
         F.count_if(F.col("severity").isin("high", "critical")).alias("n"),
         F.bool_or(F.col("severity") == "critical").alias("critical"))
     issue = F.when(F.col("n") > 0, F.struct(F.col("title").alias("title"), F.col("n").alias("count")))
-    return titles.groupBy(by).agg(
+    out = titles.groupBy(by).agg(
         F.when(F.bool_or("critical"), "non_compliant").otherwise("compliant").alias("status"),
         F.array_sort(F.collect_list(issue)).alias("issues"))
+    if jobs is None:
+        return out
+    none = F.array().cast(out.schema["issues"].dataType)
+    return jobs.select(by).join(out, by, "left").select(
+        by, F.coalesce("status", F.lit("compliant")).alias("status"), F.coalesce("issues", none).alias("issues"))
 
 
 def build_report(repositories: DataFrame, findings: DataFrame, files: DataFrame, as_of: Column) -> DataFrame:
-    """One nested report row per job: per-job aggregates joined on job_id."""
-    summary = summarize_findings(findings)
-    compliance = compliance_summary(findings)
-    per_file = summarize_files(files)
+    """One nested report row per job of ``repositories``, whose other columns become its ``repository`` part.
+
+    A job without findings is compliant and scores 0. Files with a ``skip_reason`` count as skipped. The
+    findings themselves stay rows: ``write_report`` puts them beside the report.
+    """
+    if "skip_reason" not in files.columns:
+        files = files.withColumn("skip_reason", F.lit(None).cast("string"))
+    jobs = repositories.select("job_id")
+    summary = summarize_findings(findings, jobs=jobs)
+    compliance = compliance_summary(findings, jobs=jobs)
+    per_file = _file_cells(files, F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))
 
     def counts(dimension: str) -> Column:
         hit = F.when(F.col("dimension") == dimension, F.struct(F.coalesce("value", F.lit("unknown")), "files"))
@@ -104,12 +131,24 @@ def build_report(repositories: DataFrame, findings: DataFrame, files: DataFrame,
 
     file_part = per_file.groupBy("job_id").agg(
         F.max(F.when(F.col("dimension") == "total", F.col("files"))).alias("total_files"),
+        F.max(F.when(F.col("dimension") == "total", F.col("skipped"))).alias("skipped_files"),
         counts("type").alias("by_type"), counts("classification").alias("by_classification"))
     body = [c for c in summary.columns if c != "job_id"]
+    profile = [c for c in repositories.columns if c != "job_id"]
+    total, skipped = (F.coalesce(c, F.lit(0)) for c in ("total_files", "skipped_files"))
+    no_counts = F.create_map().cast("map<string,bigint>")
+    fine = F.struct(F.lit("compliant").alias("status"), F.array().cast("array<string>").alias("issues"), F.array().cast("array<string>").alias("recommendations"))
+    advice = F.when(F.size("issues") > 0, F.array(F.lit(RESOLVE_FIRST))).otherwise(F.array().cast("array<string>"))
     joined = (
-        repositories.join(summary.select("job_id", F.struct(*body).alias("summary")), "job_id", "left")
-        .join(file_part.select("job_id", F.struct("total_files", "by_type", "by_classification").alias("files")), "job_id", "left")
-        .join(compliance.select("job_id", F.struct("status", "issues").alias("security_compliance")), "job_id", "left")
+        repositories.select("job_id", *([F.struct(*profile).alias("repository")] if profile else []))
+        .join(summary.select("job_id", F.struct(*body).alias("summary")), "job_id")
+        .join(file_part, "job_id", "left")
+        .withColumn("files", F.struct(
+            total.alias("total_files"), (total - skipped).alias("analyzed_files"), skipped.alias("skipped_files"),
+            F.coalesce("by_type", no_counts).alias("by_type"), F.coalesce("by_classification", no_counts).alias("by_classification")))
+        .drop("total_files", "skipped_files", "by_type", "by_classification")
+        .withColumn("privacy_compliance", fine).withColumn("license_compliance", fine)
+        .join(compliance.select("job_id", F.struct("status", "issues", advice.alias("recommendations")).alias("security_compliance")), "job_id")
     )
     forensic = F.struct(
         F.concat(F.lit("COC-"), F.col("job_id")).alias("chain_of_custody_id"),
@@ -194,7 +233,7 @@ def job_statistics(jobs: DataFrame) -> DataFrame:
 
 def list_workflows(
     rows: DataFrame, *, status: str | None = None, start: Column | None = None, end: Column | None = None,
-    token: tuple | None = None, page_size: int = 50,
+    token: tuple | None = None, page_size: int | None = None,
 ) -> DataFrame:
     """Keyset page ordered by (ts, id): the token is the last (ts, id) of the previous page."""
     if status is not None:
@@ -206,4 +245,5 @@ def list_workflows(
     if token is not None:
         ts, ident = F.lit(token[0]).cast("timestamp"), F.lit(token[1])
         rows = rows.where((F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("id") > ident)))
-    return rows.orderBy("ts", "id").limit(page_size)
+    rows = rows.orderBy("ts", "id")
+    return rows if page_size is None else rows.limit(page_size)

@@ -56,7 +56,7 @@ def copies_of(vectors: DataFrame) -> DataFrame:
         F.col("id").alias("representative"), "copies")
     per_hash = groups.groupBy("_h").agg(
         F.sum("copies").alias("copies"), F.collect_list(F.struct("_rep_vec", "representative")).alias("_reps"))
-    joined = join_counted(key, per_hash, "_h", "copies").select("id", "embedding", F.explode("_reps").alias("_r"))
+    joined = join_counted(key, per_hash, "_h", "copies", salt=["id"]).select("id", "embedding", F.explode("_reps").alias("_r"))
     return joined.where(F.col("embedding") == F.col("_r._rep_vec")).select("_r.representative", "id")
 
 
@@ -188,7 +188,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int =
     )
 
 
-def similar_chunks(chunks: DataFrame, threshold: float = 0.8, min_bytes: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_chunks(chunks: DataFrame, threshold: float = 0.8, min_bytes: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Similar code chunks of one language in different files, each pair once.
 
     chunks(id, file, language, bytes, embedding). Chunks with the same vector stand for each
@@ -210,20 +210,21 @@ def similar_chunks(chunks: DataFrame, threshold: float = 0.8, min_bytes: int = 5
 
 
 def search_similar(
-    vectors: DataFrame, query_vec: Column, k: int = 10, threshold: float = 0.0, filters: Sequence[Column] = ()
+    vectors: DataFrame, query_vec: Column, k: int | None = None, threshold: float = 0.0, filters: Sequence[Column] = ()
 ) -> DataFrame:
-    """The k best matches with score >= threshold; filters run before scoring."""
+    """Matches with score >= threshold, best first, k of them if k is given; filters run before scoring."""
     rows = vectors
     for f in filters:
         rows = rows.where(f)
     # The query vector becomes a column first: it may be a scalar subquery, which lambdas cannot hold.
     probed = computed_once(rows, "_probe", query_vec)
     scored = computed_once(probed, "score", cosine(F.col("embedding"), F.col("_probe")))
-    return scored.where(F.col("score") >= threshold).orderBy(F.col("score").desc(), "id").limit(k).drop("_probe")
+    ranked = scored.where(F.col("score") >= threshold).orderBy(F.col("score").desc(), "id").drop("_probe")
+    return ranked if k is None else ranked.limit(k)
 
 
 def search_code(
-    chunks: DataFrame, query_vec: Column, language: str, exclude_job: str | None = None, k: int = 10,
+    chunks: DataFrame, query_vec: Column, language: str, exclude_job: str | None = None, k: int | None = None,
     threshold: float = 0.0,
 ) -> DataFrame:
     filters = [F.col("language") == language]
@@ -319,7 +320,7 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
 def duplicate_members(files: DataFrame) -> DataFrame:
     """Every member of every duplicate group beside its representative: one row per file, no lists."""
     rows = files.select("id", F.sha2("content", 256).alias("hash_sha256"))
-    return join_counted(rows, exact_duplicates(files), "hash_sha256", "copies").select(
+    return join_counted(rows, exact_duplicates(files), "hash_sha256", "copies", salt=["id"]).select(
         "hash_sha256", "first_id", "id")
 
 
@@ -330,7 +331,7 @@ def search_facets(hits: DataFrame, by: Sequence[str] = ("file_type", "classifica
 
 
 def search_text(
-    files: DataFrame, terms: Sequence[str], filters: Sequence[Column] = (), limit: int = 20, context: int = 40
+    files: DataFrame, terms: Sequence[str], filters: Sequence[Column] = (), limit: int | None = None, context: int = 40
 ) -> DataFrame:
     """Files holding any term, best first, with a marked snippet around the first hit."""
     rows = files

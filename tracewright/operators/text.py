@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright import rules as R
-from tracewright.functions.lines import WHITESPACE, any_contains, line_count, occurrences, split_lines
+from tracewright.functions.lines import WHITESPACE, any_contains, line_count, occurrences, split_lines, trimmed
 from tracewright.functions.skew import join_counted
 from tracewright.operators.scan import is_obfuscated_ml
 
@@ -23,8 +21,8 @@ BRACE_LANGUAGES = ["rust", "go", "java", "cpp", "c", "javascript", "typescript"]
 INDENT_LANGUAGES = ["python"]
 
 
-def embed_text(files: DataFrame, dim: int = 384, min_bytes: int = 50) -> DataFrame:
-    """Hashed term-frequency vector of unit length for each file of at least ``min_bytes``.
+def embed_text(files: DataFrame, dim: int = 384, min_bytes: int = 0) -> DataFrame:
+    """Hashed term-frequency vector of unit length for each file of at least ``min_bytes`` (all by default).
 
     Tokenizing, hashing and normalising are row-local JVM transforms that need no fitting.
     """
@@ -42,63 +40,67 @@ def embed_text(files: DataFrame, dim: int = 384, min_bytes: int = 50) -> DataFra
     )
 
 
-_CHUNKS = T.ArrayType(T.StructType([
-    T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-    T.StructField("content", T.StringType()),
-]))
-
-
-def _text_lines(text: str | None) -> list[str]:
-    lines = (text or "").split("\n")
-    return [ln.removesuffix("\r") for ln in (lines[:-1] if lines[-1] == "" else lines)]
-
-
-def _chunk(lines: list[str], start: int, end: int) -> dict:
-    return {"start_line": start + 1, "end_line": end + 1, "content": "\n".join(lines[start:end + 1])}
-
-
-@F.pandas_udf(_CHUNKS)
-def brace_chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Spans from a function header holding ``{`` to the line that balances its braces."""
-    starters = ("fn ", "func ", "function ", "def ")
-    for texts in batches:
-        out = []
-        for text in texts:
-            lines, chunks, start, depth = _text_lines(text), [], None, 0
-            for i, line in enumerate(lines):
-                balance = line.count("{") - line.count("}")
-                if "{" in line and any(s in line.strip(WHITESPACE) for s in starters):
-                    start, depth = i, balance
-                elif start is not None:
-                    depth += balance
-                    if depth <= 0:
-                        chunks.append(_chunk(lines, start, i))
-                        start = None
-            if start is not None:
-                chunks.append(_chunk(lines, start, len(lines) - 1))
-            out.append(chunks)
-        yield pd.Series(out)
-
-
-@F.pandas_udf(_CHUNKS)
-def indent_chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Spans from a def/class line to the last line indented below it."""
-    for texts in batches:
-        out = []
-        for text in texts:
-            lines, chunks, start, level = _text_lines(text), [], None, 0
-            for i, line in enumerate(lines):
-                body = line.strip(WHITESPACE)
-                indent = len(line) - len(line.lstrip(WHITESPACE))
-                if body.startswith(("def ", "class ")) and body.endswith(":"):
-                    start, level = i, indent
-                elif start is not None and body and indent <= level and not body.startswith("#"):
-                    chunks.append(_chunk(lines, start, i - 1))
-                    start = None
-            if start is not None:
-                chunks.append(_chunk(lines, start, len(lines) - 1))
-            out.append(chunks)
-        yield pd.Series(out)
+_SPANS = "struct<start:int,depth:int,spans:array<struct<first:int,last:int>>>"
+
+
+def _occurs(line: Column, token: str) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(token), F.lit("")))
+
+
+def _fold_spans(marks: Column, end_at: Column) -> Column:
+    """Spans of lines, 0-based, from marks(opens, level, step(acc, mark) ...) folded in line order.
+
+    A new opening line ends the open span on the line before it, so no text between two definitions is lost.
+    """
+    def ended(acc: Column, last: Column) -> Column:
+        return F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("first"), last.cast("int").alias("last"))))
+
+    def state(start: Column, depth: Column, spans: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), depth.cast("int").alias("depth"), spans.alias("spans")).cast(_SPANS)
+
+    def step(acc: Column, m: Column) -> Column:
+        is_open = acc["start"] >= 0
+        before = F.when(is_open, ended(acc, m["at"] - 1)).otherwise(acc["spans"])
+        depth = F.when(m["relative"], acc["depth"] + m["level"]).otherwise(acc["depth"])
+        closes = F.when(m["relative"], depth <= 0).otherwise(m["ends"] & (m["level"] <= acc["depth"]))
+        last = F.when(m["relative"], m["at"]).otherwise(m["at"] - 1)
+        return (
+            F.when(m["opens"], state(m["at"], m["level"], before))
+            .when(is_open & closes, state(F.lit(-1), F.lit(0), ended(acc, last)))
+            .when(is_open, state(acc["start"], depth, acc["spans"])).otherwise(acc))
+
+    empty = state(F.lit(-1), F.lit(0), F.array().cast("array<struct<first:int,last:int>>"))
+    return F.aggregate(marks, empty, step, lambda acc: F.when(acc["start"] >= 0, ended(acc, end_at)).otherwise(acc["spans"]))
+
+
+def _cut_spans(lines: Column, marks: Column) -> Column:
+    spans = _fold_spans(marks, F.size(lines) - 1)
+    return F.transform(spans, lambda s: F.struct(
+        (s["first"] + 1).alias("start_line"), (s["last"] + 1).alias("end_line"),
+        F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), "\n").alias("content")))
+
+
+def brace_chunks(content: Column) -> Column:
+    """Chunks from a function header holding ``{`` to the line that balances its braces, or to the next header."""
+    lines = split_lines(content)
+    starters = ["fn ", "func ", "function ", "def "]
+    return _cut_spans(lines, F.transform(lines, lambda line, i: F.struct(
+        i.alias("at"), (line.contains("{") & any_contains(trimmed(line), starters)).alias("opens"),
+        (_occurs(line, "{") - _occurs(line, "}")).alias("level"), F.lit(True).alias("relative"), F.lit(False).alias("ends"))))
+
+
+def indent_chunks(content: Column) -> Column:
+    """Chunks from a def or class line to the last line indented below it, or to the next such line."""
+    lines = split_lines(content)
+
+    def mark(line: Column, i: Column) -> Column:
+        body = trimmed(line)
+        indent = F.length(line) - F.length(F.ltrim(line, F.lit(WHITESPACE)))
+        opens = (body.startswith("def ") | body.startswith("class ")) & body.endswith(":")
+        return F.struct(i.alias("at"), opens.alias("opens"), indent.alias("level"), F.lit(False).alias("relative"),
+                        ((body != "") & ~body.startswith("#")).alias("ends"))
+
+    return _cut_spans(lines, F.transform(lines, mark))
 
 
 def block_chunks(content: Column, size: int = CHUNK_LINES) -> Column:
@@ -112,24 +114,20 @@ def block_chunks(content: Column, size: int = CHUNK_LINES) -> Column:
 
 
 def chunk_code(files: DataFrame) -> DataFrame:
-    """One row per chunk; the chunker follows the language."""
+    """One row per chunk; the chunker follows the language, in one pass over the files."""
     keep = [c for c in files.columns if c != "content"]
-    lang = F.coalesce("language", F.lit(""))
-
-    def rows(part: DataFrame, chunks: Column) -> DataFrame:
-        return part.select(*keep, F.explode(chunks).alias("c")).select(*keep, "c.start_line", "c.end_line", "c.content")
-
-    brace = rows(files.where(lang.isin(BRACE_LANGUAGES)), brace_chunks("content"))
-    indent = rows(files.where(lang.isin(INDENT_LANGUAGES)), indent_chunks("content"))
-    blocks = rows(files.where(~lang.isin(BRACE_LANGUAGES + INDENT_LANGUAGES)), block_chunks(F.col("content")))
-    return brace.unionByName(indent).unionByName(blocks)
+    lang, content = F.coalesce("language", F.lit("")), F.col("content")
+    chunks = (
+        F.when(lang.isin(BRACE_LANGUAGES), brace_chunks(content)).when(lang.isin(INDENT_LANGUAGES), indent_chunks(content))
+        .otherwise(block_chunks(content)))
+    return files.select(*keep, F.explode(chunks).alias("c")).select(*keep, "c.start_line", "c.end_line", "c.content")
 
 
 def size_outliers(files: DataFrame, sigma: float = 3.0, size: str = "size_bytes") -> DataFrame:
     """Files larger than mean + sigma population deviations of their job."""
     stats = files.groupBy("job_id").agg(
         F.avg(size).alias("mean_size"), F.stddev_pop(size).alias("std_dev"), F.count("*").alias("_n"))
-    rows = join_counted(files, stats, "job_id", "_n").drop("_n")
+    rows = join_counted(files, stats, "job_id", "_n", salt=["path"]).drop("_n")
     return rows.withColumn("threshold", F.col("mean_size") + sigma * F.col("std_dev")).where(
         F.col(size) > F.col("threshold"))
 

@@ -58,11 +58,12 @@ SQL_ADV = "SELECT 'lib_' || (p_partkey % 50) AS name, 'CVE-2024-' || lpad(CAST(p
 
 
 @query("d5_vulnerable_deps", f"""
-SELECT path, line_number, d.name AS dependency, a.cve_id, 'high' AS severity, CAST(0.9 AS DOUBLE) AS confidence
-FROM ({SQL_DEPS}) d JOIN (SELECT name, min(cve_id) AS cve_id FROM ({SQL_ADV}) GROUP BY name) a ON a.name = d.name""")
+SELECT path, line_number, d.name AS dependency, a.cve_id, cves, 'high' AS severity, CAST(0.9 AS DOUBLE) AS confidence
+FROM ({SQL_DEPS}) d JOIN (SELECT name, min(cve_id) AS cve_id, string_agg(DISTINCT cve_id, ',' ORDER BY cve_id) AS cves FROM ({SQL_ADV}) GROUP BY name) a ON a.name = d.name""")
 def d5(t):
     return C.vulnerable_deps(C.extract_dependencies(B.code_files(t)), _advisories(t)).select(
-        "path", "line_number", F.col("evidence")["dependency_name"].alias("dependency"), "cve_id", "severity", "confidence")
+        "path", "line_number", F.col("evidence")["dependency_name"].alias("dependency"), "cve_id",
+        F.col("evidence")["vulnerabilities"].alias("cves"), "severity", "confidence")
 
 
 @query("d6_outdated_deps", f"""

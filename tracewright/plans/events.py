@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.plan import spread
 from tracewright.operators import events as K
 from tracewright.operators import metrics as M
 from tracewright.plans import bindings as B
 from tracewright.plans.evidence import ERRORS, SQL_EVENT_ERROR
 from tracewright.plans.policy import points
 from tracewright.plans.registry import query
+from tracewright.plans.streaming import StreamTables
+from tracewright.streaming.jobs import route_failures
+from tracewright.streaming.topics import new_run_folder, read_routed
 
 q = B.sql_str
 FIND = B.SQL_FINDINGS
@@ -156,7 +158,7 @@ def payloads(t):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('", '), job, F.lit('"repository_url": "r", "threat_type": '),
         F.when(v % 13 == 0, F.lit("null")).otherwise(F.lit('"x"')), F.lit(', "severity": "'),
         F.when(v > 50, "High").when(v > 20, "Low").otherwise("Bogus"), F.lit('", "risk_score": '), score, F.lit(', "confidence": 1}'))
-    return spread(t.events).select("event_id", F.when(v == 2, F.lit("[1, 2]")).otherwise(body).alias("payload"))
+    return t.events.select("event_id", F.when(v == 2, F.lit("[1, 2]")).otherwise(body).alias("payload"))
 
 
 @query("k11_validate_schema", """
@@ -208,10 +210,14 @@ def _failing(t):
 
 
 @query("k15_dead_letter", f"""
-SELECT seq, message, CASE WHEN bad IS NOT NULL THEN 'validation' WHEN priority = 'critical' THEN 'network' ELSE 'signing' END AS error_type, bad IS NULL AS retryable
+SELECT seq, CASE WHEN bad IS NULL THEN 'retry' ELSE 'errors' END AS queue, message, CASE WHEN bad IS NOT NULL THEN 'validation' WHEN priority = 'critical' THEN 'network' ELSE 'signing' END AS error_type, bad IS NULL AS retryable
 FROM (SELECT seq, priority, {SQL_EVENT_ERROR} AS bad, coalesce({SQL_EVENT_ERROR}, CASE priority WHEN 'critical' THEN 'TransportError' WHEN 'high' THEN 'VaultError' END) AS message FROM ({B.SQL_PIPELINE})) WHERE message IS NOT NULL""")
 def k15(t):
-    return K.dead_letter(_failing(t)).select("seq", "message", "error_type", "retryable")
+    """The retry and the error table of a stream."""
+    folder = new_run_folder(t.spark, "failures")
+    route_failures(_failing(StreamTables(t.spark, t.folder)), folder, f"{folder}/checkpoint").awaitTermination()
+    tables = [read_routed(t.spark, folder, "queue", name) for name in ("retry", "errors")]
+    return tables[0].unionByName(tables[1]).select("seq", "queue", "message", "error_type", "retryable")
 
 
 @query("k18_sustained_alerts", """

@@ -38,11 +38,14 @@ def b1(t):
     return O.drop_skipped(B.doc_files(t)).select("job_id", "path")
 
 
+SKIPPED = """coalesce(extension IN ('bin', 'obj', 'o', 'a', 'lib', 'png', 'jpg', 'jpeg', 'gif', 'bmp', 'ico', 'svg', 'mp3', 'mp4', 'avi', 'mkv', 'wav', 'flac',
+  'zip', 'tar', 'gz', 'bz2', 'xz', '7z', 'rar', 'pdf', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx'), false)"""
+
+
 @query("b2_filter_analyzable", f"""
-SELECT path, size_bytes FROM ({INV}) WHERE size_bytes <= 1048576
-  AND (NOT coalesce(extension IN {B.sql_in(R.BINARY_EXTENSIONS)}, false) OR coalesce(extension IN ('exe','dll','so','dylib'), false))""")
+SELECT path, size_bytes, CASE WHEN size_bytes > 1048576 THEN 'too_large' WHEN {SKIPPED} THEN 'binary' END AS skip_reason FROM ({INV})""")
 def b2(t):
-    return O.filter_analyzable(O.inventory(B.doc_files(t)), max_mb=1).select("path", "size_bytes")
+    return O.filter_analyzable(O.inventory(B.doc_files(t)), max_mb=1).select("path", "size_bytes", "skip_reason")
 
 
 @query("b3_file_type", f"SELECT path, file_type FROM ({TYPED})")
@@ -185,9 +188,9 @@ def b17(t):
 
 
 @query("b_file_analysis", f"""
-SELECT path, file_type, {LANGUAGE} AS language, sha256(content) AS hash_sha256, {SENSITIVITY} AS classification, CAST(len({B.sql_lines('content')}) AS BIGINT) AS line_count
-FROM ({TYPED}) WHERE NOT {B.sql_any_contains('path', R.SKIP_FRAGMENTS)}
-  AND (NOT coalesce(extension IN {B.sql_in(R.BINARY_EXTENSIONS)}, false) OR coalesce(extension IN ('exe','dll','so','dylib'), false))""")
+SELECT path, file_type, {LANGUAGE} AS language, CASE WHEN {SKIPPED} THEN 'binary' END AS skip_reason, CASE WHEN NOT {SKIPPED} THEN sha256(content) END AS hash_sha256,
+  CASE WHEN NOT {SKIPPED} THEN {SENSITIVITY} END AS classification, CASE WHEN NOT {SKIPPED} THEN CAST(len({B.sql_lines('content')}) AS BIGINT) END AS line_count
+FROM ({TYPED}) WHERE NOT {B.sql_any_contains('path', R.SKIP_FRAGMENTS)}""")
 def b_all(t):
     return O.analyze_files(B.doc_files(t)).select(
-        "path", "file_type", "language", "hash_sha256", "classification", F.col("metrics.line_count").alias("line_count"))
+        "path", "file_type", "language", "skip_reason", "hash_sha256", "classification", F.col("metrics.line_count").alias("line_count"))

@@ -356,12 +356,10 @@ def points(t):
 SELECT '{a}' AS agg, event_type AS name, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS bucket, round({a}(value), 6) AS value FROM events
 WHERE event_type IN ('view', 'click') AND user_id % 4 = 2 AND ts >= TIMESTAMP '2024-01-02' GROUP BY 2, 3""" for a in ("avg", "sum", "min", "max")))
 def j25(t):
-    out = None
-    for a in ("avg", "sum", "min", "max"):
-        part = M.query_metrics(points(t), "6 hours", a, names=["view", "click"], tags={"shard": "2"}, start=F.lit("2024-01-02").cast("timestamp")).select(
-            F.lit(a).alias("agg"), "name", F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), F.round("value", 6).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = ["avg", "sum", "min", "max"]
+    wide = M.query_metrics(points(t), "6 hours", kinds, names=["view", "click"], tags={"shard": "2"}, start=F.lit("2024-01-02").cast("timestamp"))
+    return wide.unpivot(["name", "bucket"], kinds, "agg", "value").select(
+        "agg", "name", F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 @query("j26_latency_stats", """

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import reports as G
 from tracewright.plans import bindings as B
-from tracewright.plans.files import SENSITIVITY, TYPED, _typed
-from tracewright.operators.files import classify_sensitivity
+from tracewright.plans.files import SENSITIVITY, SKIPPED, TYPED, _typed
+from tracewright.operators.files import classify_sensitivity, filter_analyzable
 from tracewright.plans.registry import query
 from tracewright.plans.scan import SQL_WEIGHT
 
@@ -63,16 +63,17 @@ def g6(t):
 
 @query("g7_build_report", f"""
 WITH f AS (SELECT *, 'src' || CAST(substr(job_id, 4) AS INT) % 20 AS src FROM ({FIND}))
-SELECT source AS job_id, 'COC-' || source AS chain_of_custody_id, n AS total_findings, total_files, status FROM (SELECT DISTINCT source FROM documents)
-LEFT JOIN (SELECT src, count(*) AS n, CASE WHEN bool_or(severity = 'critical') THEN 'non_compliant' ELSE 'compliant' END AS status FROM f GROUP BY src) ON src = source
-LEFT JOIN (SELECT source AS s2, count(*) AS total_files FROM documents GROUP BY source) ON s2 = source""")
+SELECT source AS job_id, 'COC-' || source AS chain_of_custody_id, coalesce(n, 0) AS total_findings, coalesce(score, 0) AS risk_score, total_files, skipped_files,
+  coalesce(status, 'compliant') AS status, 'compliant' AS privacy FROM (SELECT DISTINCT source FROM documents)
+LEFT JOIN (SELECT src, count(*) AS n, round(least(10, avg({SQL_WEIGHT} * confidence)), 6) AS score, CASE WHEN bool_or(severity = 'critical') THEN 'non_compliant' ELSE 'compliant' END AS status FROM f GROUP BY src) ON src = source
+LEFT JOIN (SELECT job_id AS s2, count(*) AS total_files, count(*) FILTER ({SKIPPED}) AS skipped_files FROM ({TYPED}) GROUP BY job_id) ON s2 = source""")
 def g7(t):
     src = F.concat(F.lit("src"), (F.substring("job_id", 4, 20).cast("int") % 20).cast("string"))
     findings = B.findings(t).withColumn("job_id", src)
     repos = t.documents.select(F.col("source").alias("job_id")).distinct()
-    r = G.build_report(repos, findings, classify_sensitivity(_typed(t)), F.lit("2024-06-01").cast("timestamp"))
-    return r.select("job_id", "forensic_metadata.chain_of_custody_id", "summary.total_findings", "files.total_files",
-                    F.col("security_compliance.status").alias("status"))
+    r = G.build_report(repos, findings, filter_analyzable(classify_sensitivity(_typed(t))), F.lit("2024-06-01").cast("timestamp"))
+    return r.select("job_id", "forensic_metadata.chain_of_custody_id", "summary.total_findings", F.round("summary.risk_score", 6).alias("risk_score"),
+                    "files.total_files", "files.skipped_files", F.col("security_compliance.status").alias("status"), F.col("privacy_compliance.status").alias("privacy"))
 
 
 @query("g8_filter_results", f"""

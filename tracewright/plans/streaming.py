@@ -29,6 +29,37 @@ def _run(t, name, stream, mode="append"):
     return S.read_table(t.spark, folder, "out").drop("batch_id")
 
 
+PARTS = 4
+
+
+def _run_parts(t, name, start):
+    """Feed the events to a stream in consecutive slices of time, a micro-batch each, and return the run folder.
+
+    ``start(tables, folder, checkpoint)`` starts the query over the slices written so far; it is resumed from
+    its checkpoint after each.
+    """
+    folder = S.new_run_folder(t.spark, name)
+    bounds = t.events.agg(F.percentile_approx("ts", [k / PARTS for k in range(1, PARTS)]).alias("b")).first()["b"] or []
+    edges = [None, *bounds, None]
+
+    class Slices(Tables):
+        def __getattr__(self, table):
+            return self.spark.readStream.schema(t.events.schema).parquet(f"{folder}/in")
+
+    for low, high in zip(edges[:-1], edges[1:]):
+        inside = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
+        inside = inside if high is None else inside & (F.col("ts") < F.lit(high))
+        t.events.where(inside).write.mode("append").parquet(f"{folder}/in")
+        start(Slices(t.spark, t.folder), folder, f"{folder}/checkpoint").awaitTermination()
+    return folder
+
+
+def _latest(rows, keys):
+    """Of the rows that an update-mode stream wrote for a key, those of its last micro-batch."""
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+
+
 PIPE = B.SQL_PIPELINE
 KEPT = f"SELECT *, {TYPE} AS etype, {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({PIPE}) WHERE source IN ('src0', 'src1', 'src2', '') AND priority <> 'low'"
 
@@ -57,36 +88,52 @@ def _windows(size, slide):
   FROM events, range(CAST(epoch(INTERVAL {size}) / epoch(INTERVAL {slide}) AS BIGINT)) r(i)"""
 
 
+def _windowed(t, name, size, slide=None):
+    """Update mode: a window's state ends behind the watermark, its last update is the result."""
+    def start(tables, folder, checkpoint):
+        return S.write_table(J.windowed_metrics(stream_points(tables), size, slide, "1 hour"), folder, "out", checkpoint, "update")
+
+    rows = S.read_table(t.spark, _run_parts(t, name, start), "out")
+    return _latest(rows, ["name", "window_start", "window_end"])
+
+
 @query("k17_tumbling_metrics", f"""
 SELECT name, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS points, CAST(sum(v) AS BIGINT) AS total, max(v) AS peak FROM ({_windows('6 HOUR', '6 HOUR')}) GROUP BY name, w""")
 def k17(t):
-    """Complete mode keeps every window, so the result equals the batch one."""
-    out = J.windowed_metrics(stream_points(_streams(t)), "6 hours", delay="1 hour")
-    return _run(t, "tumbling", out, "complete").select(
+    return _windowed(t, "tumbling", "6 hours").select(
         "name", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "points", "total", "peak")
 
 
 @query("k17_sliding_metrics", f"""
 SELECT name, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS points, CAST(sum(v) AS BIGINT) AS total, max(v) AS peak FROM ({_windows('12 HOUR', '3 HOUR')}) GROUP BY name, w""")
 def k17s(t):
-    return J.windowed_metrics(stream_points(t), "12 hours", "3 hours").select(
+    return _windowed(t, "sliding", "12 hours", "3 hours").select(
         "name", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "points", "total", "peak")
 
 
 @query("k18_stream_sustained_alerts", """
-SELECT name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS points, max(value) AS peak FROM (
-  SELECT *, sum(CASE WHEN date_diff('microsecond', p, ts) >= 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY ts) AS s FROM (
-    SELECT event_type AS name, ts, CAST(floor(value) AS BIGINT) AS value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events WHERE floor(value) > 15))
-GROUP BY name, s HAVING date_sub('second', min(ts), max(ts)) >= 1800""")
+WITH p AS (SELECT event_type AS name, event_id AS id, ts, CAST(floor(value) AS DOUBLE) AS value, floor(value) > 15 AS hot FROM events),
+seen AS (SELECT * FROM p WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) - row_number() OVER (PARTITION BY name, hot ORDER BY ts, id) AS island,
+  lead(hot) OVER (PARTITION BY name ORDER BY ts, id) AS next FROM seen)
+SELECT name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS points, max(value) AS peak
+FROM i WHERE hot GROUP BY name, island HAVING bool_or(next IS NOT NULL AND NOT next) AND date_sub('second', min(ts), max(ts)) >= 1800""")
 def k18s(t):
-    out = J.stream_sustained_alerts(stream_points(t), 15, "15 minutes", 1800)
+    """Runs that a quiet point behind the watermark has ended."""
+    def start(tables, folder, checkpoint):
+        points = tables.events.select(
+            F.col("event_type").alias("name"), F.col("event_id").alias("id"), F.floor("value").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+        return S.write_table(J.stream_sustained_alerts(points, 15, 1800), folder, "out", checkpoint)
+
+    out = S.read_table(t.spark, _run_parts(t, "alerts", start), "out")
     return out.select("name", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "points", "peak")
 
 
 @query("k20_stream_status", f"""
 SELECT user_id AS workflow_id, max_by({B.sql_case(STATUS, 'event_type')}, (ts, event_id)) AS status, max_by(CAST(floor(value) AS BIGINT), (ts, event_id)) AS percentage, count(*) AS updates FROM events GROUP BY user_id""")
 def k20(t):
-    return _run(t, "status", J.stream_status(status_rows(_streams(t))), "complete").select("workflow_id", "status", "percentage", "updates")
+    folder = _run_parts(t, "status", lambda tables, folder, checkpoint: J.write_status(status_rows(tables), folder, checkpoint))
+    return J.read_status(t.spark, folder).select("workflow_id", "status", "percentage", "updates")
 
 
 @query("k8_stream_rate_limit", """

@@ -45,10 +45,23 @@ def f2(t):
 @query("f2_brace_chunks", f"""
 SELECT path, 7 AS start_line, CAST(8 + steps AS INT) AS end_line FROM (
   SELECT path, language, CAST(floor(o_totalprice / 6000) AS INT) AS steps FROM ({CODE}) JOIN orders ON o_orderkey = file_key)
-WHERE language IN {B.sql_in(X.BRACE_LANGUAGES)}""")
+WHERE language IN {B.sql_in(X.BRACE_LANGUAGES)}
+UNION ALL SELECT path, CAST((line_number - 1) // 50 * 50 + 1 AS INT), CAST(max(line_number) AS INT)
+FROM ({B.sql_explode("SELECT * FROM (" + CODE + ") WHERE language = 'csharp'", 'path')}) GROUP BY path, (line_number - 1) // 50""")
 def f2b(t):
-    return X.chunk_code(B.code_files(t).where(F.col("language").isin(X.BRACE_LANGUAGES))).select(
-        "path", "start_line", "end_line")
+    """Python files hold no def or class line here and have no chunk."""
+    return X.chunk_code(B.code_files(t)).select("path", "start_line", "end_line")
+
+
+@query("f2_indent_chunks", """
+SELECT o_orderkey AS id, start_line, end_line, n FROM orders, LATERAL (VALUES (1, 1, 1), (2, 2 + CAST(o_custkey % 7 AS INT), 1 + CAST(o_custkey % 7 AS INT)),
+  (4 + CAST(o_custkey % 7 AS INT), 5 + CAST(o_custkey % 7 AS INT), 2)) v(start_line, end_line, n)""")
+def f2i(t):
+    """A class with a method of some lines, a plain line and a function, per order."""
+    body = F.repeat(F.lit("        step()\n"), (F.col("o_custkey") % 7).cast("int"))
+    files = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("python").alias("language"), F.concat(
+        F.lit("class Unit:\n    def run(self):\n"), body, F.lit("value = 1\ndef last():\n    return 0")).alias("content"))
+    return X.chunk_code(files).select("id", "start_line", "end_line", F.size(F.split("content", "\n")).alias("n"))
 
 
 @query("f3_cosine", f"SELECT a.id, round({AB}, 6) AS score FROM ({VEC}) a, (SELECT * FROM ({VEC}) WHERE id = 0) b")

@@ -86,16 +86,20 @@ def retention_report(objects: DataFrame, as_of: Column, days: int = RETENTION_DA
         F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """One JSON document per job, in a folder per job."""
+def write_report(report: DataFrame, path: str, findings: DataFrame | None = None) -> None:
+    """One JSON document per job, in a folder per job; its findings as JSON rows in a folder beside it."""
     report.withColumn("job", F.col("job_id")).write.mode("overwrite").partitionBy("job").json(path)
+    if findings is not None:
+        findings.withColumn("job", F.col("job_id")).write.mode("overwrite").partitionBy("job").json(f"{path.rstrip('/')}-findings")
 
 
 def archive_events(events: DataFrame, path: str, start: Column, end: Column, ts: str = "ts") -> None:
-    """Write a time range to cold storage, one folder per day."""
+    """Write a time range to cold storage, one folder per day.
+
+    Days are rebalanced by size, so a large day is split over as many tasks as its bytes call for.
+    """
     inside = (F.col(ts) >= start) & (F.col(ts) < end)
-    events.where(inside).withColumn("day", F.to_date(ts)).repartition("day", F.pmod(F.xxhash64(ts), F.lit(32))).write.mode(
-        "overwrite").partitionBy("day").parquet(path)
+    events.where(inside).withColumn("day", F.to_date(ts)).hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def archive_summary(events: DataFrame, start: Column, end: Column, ts: str = "ts") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tracewright.operators.events import dead_letter
 from tracewright.operators.evidence import event_type_name, filter_events, package_hash, route_workflow, validate_event
-from tracewright.streaming.topics import write_outcomes
+from tracewright.streaming.topics import write_batch, write_outcomes, write_routed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -62,21 +63,101 @@ def windowed_metrics(points: DataFrame, size: str, slide: str | None = None, del
 
 
 def stream_status(status: DataFrame) -> DataFrame:
-    """Latest state per workflow; update mode emits each workflow that changed."""
-    last = F.max_by(F.struct("status", "percentage", "ts"), F.struct("ts", "status_id"))
+    """Latest state per workflow of a batch or a micro-batch, as mergeable rows."""
+    last = F.max_by(F.struct("status", "percentage", "ts", "status_id"), F.struct("ts", "status_id"))
     return status.groupBy("workflow_id").agg(last.alias("_l"), F.count("*").alias("updates")).select(
-        "workflow_id", F.col("_l.status").alias("status"), F.col("_l.percentage").alias("percentage"),
-        F.col("_l.ts").alias("ts"), "updates")
+        "workflow_id", "_l.status", "_l.percentage", "_l.ts", "_l.status_id", "updates")
+
+
+def write_status(status: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch writes the latest state of the workflows it saw; no state is held between them."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        write_batch(stream_status(batch), folder, "status_updates", batch_id)
+
+    return status.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+
+
+def read_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest state per workflow over all micro-batches."""
+    rows = spark.read.parquet(f"{folder}/status_updates")
+    last = F.max_by(F.struct("status", "percentage", "ts"), F.struct("ts", "status_id"))
+    return rows.groupBy("workflow_id").agg(last.alias("_l"), F.sum("updates").alias("updates")).select(
+        "workflow_id", "_l.status", "_l.percentage", "_l.ts", "updates")
+
+
+def route_failures(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Failed events of a stream: retryable ones go to the retry table, which feeds the input again, the rest to errors."""
+    failed = dead_letter(events).withColumn("queue", F.when(F.col("retryable"), "retry").otherwise("errors"))
+    return write_routed(failed, "queue", folder, checkpoint)
+
+
+class SustainedRuns(StatefulProcessor):
+    """Runs of breaching points of one name, in event time.
+
+    Points wait until the watermark has passed them, so they are seen in order; a quiet point ends the run.
+    """
+
+    def __init__(self, threshold: float, duration_seconds: int):
+        self.threshold, self.duration_us = threshold, duration_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts_us long, id long, value double")
+        self.run = handle.getValueState("run", "started long, ended long, points long, peak double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            self.held.appendList(list(zip(batch["ts_us"].tolist(), batch["id"].tolist(), batch["value"].tolist(), strict=True)))
+            low = int(batch["ts_us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.held.get()) if self.held.exists() else []
+        ready, later = [r for r in held if r[0] < now], [r for r in held if r[0] >= now]
+        run = self.run.get() if self.run.exists() else None
+        done = []
+        for ts, _, value in ready:
+            if value > self.threshold:
+                run = (ts, ts, 1, value) if run is None else (run[0], ts, run[2] + 1, max(run[3], value))
+            elif run is not None:
+                done.append(run)
+                run = None
+        if run is None:
+            self.run.clear()
+        else:
+            self.run.update(run)
+        if later:
+            self.held.put(later)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        else:
+            self.held.clear()
+        done = [r for r in done if r[1] - r[0] >= self.duration_us]
+        if done:
+            yield pd.DataFrame({
+                "name": [key[0]] * len(done), "started_us": [r[0] for r in done], "ended_us": [r[1] for r in done],
+                "points": [r[2] for r in done], "peak": [r[3] for r in done]})
+
+    def close(self) -> None:
+        pass
 
 
-def stream_sustained_alerts(points: DataFrame, threshold: float, gap: str, duration_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Sessions of breaching points with pauses below ``gap`` that last at least the duration."""
-    hot = points.where(F.col("value") > threshold)
-    hot = hot.withWatermark("ts", delay) if points.isStreaming else hot
-    return hot.groupBy("name", F.session_window("ts", gap).alias("w")).agg(
-        F.count("*").alias("points"), F.max("value").alias("peak"), F.max("ts").alias("ended_at")
-    ).select("name", F.col("w.start").alias("started_at"), "ended_at", "points", "peak").where(
-        F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")) >= duration_seconds)
+def stream_sustained_alerts(points: DataFrame, threshold: float, duration_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Runs of consecutive breaching points(name, id, ts, value) that last at least the duration, on a stream.
+
+    A run is reported once the quiet point that ends it is older than the watermark.
+    """
+    use_rocksdb(points.sparkSession)
+    rows = points.withWatermark("ts", delay).select(
+        "name", "ts", F.unix_micros("ts").alias("ts_us"), F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"))
+    out = rows.groupBy("name").transformWithStateInPandas(
+        statefulProcessor=SustainedRuns(threshold, duration_seconds),
+        outputStructType="name string, started_us long, ended_us long, points long, peak double", outputMode="Append", timeMode="EventTime")
+    return out.select("name", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"), "points", "peak")
 
 
 class RateLimiter(StatefulProcessor):
@@ -86,6 +167,7 @@ class RateLimiter(StatefulProcessor):
         self.n, self.seconds = n, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "epoch double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -99,9 +181,21 @@ class RateLimiter(StatefulProcessor):
                 recent.append(second)
         if recent:
             self.recent.put([(x,) for x in recent])
+            self.handle.registerTimer(int((recent[-1] + self.seconds) * 1000) + 1)
         batch["admitted"] = admitted
         yield batch
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """An idle recipient's state ends once nothing in it can matter."""
+        if self.recent.exists():
+            open_after = timerValues.getCurrentWatermarkInMs() / 1000 - self.seconds
+            live = [r for r in self.recent.get() if r[0] > open_after]
+            if live:
+                self.recent.put(live)
+            else:
+                self.recent.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -119,58 +213,62 @@ def stream_rate_limit(routed: DataFrame, n: int = 100, seconds: int = 3600, dela
         statefulProcessor=RateLimiter(n, seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
+NEVER_MS = 1 << 62
+
+
 class ApprovalWatch(StatefulProcessor):
     """Waits for all required roles of one request until its deadline passes in event time.
 
-    The first request of an id sets its terms. Answers without a request are dropped after ``keep_ms``.
+    The first request of an id sets its terms. Approvals that come before their request are kept, however
+    long it takes, with their times, since only the request's deadline tells which of them count. A request
+    without a deadline never expires.
     """
 
-    def __init__(self, keep_ms: int = 7 * 86_400_000):
-        self.keep_ms = keep_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "required string, approved string, deadline_ms long")
+        self.open = handle.getValueState("open", "required string, asked long, deadline_ms long")
+        self.answers = handle.getMapState("answers", "role string", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        required, approved, deadline, asked = "", "", None, 0
-        if self.open.exists():
-            required, approved, deadline = self.open.get()
-            asked = -1 if deadline is not None else 0
-        have = set(filter(None, approved.split(",")))
-        answers = []
+        request = tuple(self.open.get()) if self.open.exists() else None
+        known = {k[0]: v[0] for k, v in self.answers.iterator()} if self.answers.exists() else {}
         for batch in rows:
             columns = [batch[c].tolist() for c in ("kind", "role", "required", "deadline_ms", "ts_ms")]
             for kind, role, wanted, due, at in zip(*columns, strict=True):
                 if kind == "approval":
-                    answers.append((role, at))
-                elif deadline is None or at <= asked:
-                    required, deadline, asked = wanted, due, at
-        have |= {role for role, at in answers if deadline is None or at <= deadline}
+                    if at < known.get(role, NEVER_MS):
+                        known[role] = at
+                        self.answers.updateValue((role,), (at,))
+                elif request is None or (at, wanted, due) < (request[1], request[0], request[2]):
+                    request = (wanted, at, due)
+        if request is None:
+            return
+        required, _, deadline = request
         needed = set(filter(None, required.split(",")))
-        if deadline is not None and needed <= have:
-            self.open.clear()
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
+        if all(known.get(role, NEVER_MS) <= deadline and role in known for role in needed):
+            self._forget()
             yield pd.DataFrame({"id": [key[0]], "state": ["approved"], "missing": [""]})
             return
-        self.open.update((required, ",".join(sorted(have)), deadline))
-        if deadline is None:
-            self.handle.registerTimer(max(at for _, at in answers) + self.keep_ms)
-        else:
+        self.open.update(request)
+        if deadline < NEVER_MS:
             self.handle.registerTimer(deadline + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.open.exists():
             return
-        required, approved, deadline = self.open.get()
-        if deadline is None:
-            self.open.clear()
-        elif expiredTimerInfo.getExpiryTimeInMs() > deadline:
-            missing = sorted(set(filter(None, required.split(","))) - set(filter(None, approved.split(","))))
-            self.open.clear()
+        required, _, deadline = self.open.get()
+        if expiredTimerInfo.getExpiryTimeInMs() > deadline:
+            known = {k[0]: v[0] for k, v in self.answers.iterator()} if self.answers.exists() else {}
+            missing = sorted(r for r in set(filter(None, required.split(","))) if r not in known or known[r] > deadline)
+            self._forget()
             yield pd.DataFrame({"id": [key[0]], "state": ["expired"], "missing": [",".join(missing)]})
 
+    def _forget(self) -> None:
+        self.open.clear()
+        self.answers.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
     def close(self) -> None:
         pass
 
@@ -185,7 +283,7 @@ def approval_timeouts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     rows = stream.withWatermark("ts", delay).select(
         "id", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("required", F.lit("")).alias("required"),
-        F.coalesce(ms("deadline"), F.lit(0)).alias("deadline_ms"), ms("ts").alias("ts_ms"), "ts")
+        F.coalesce(ms("deadline"), F.lit(NEVER_MS)).alias("deadline_ms"), ms("ts").alias("ts_ms"), "ts")
     id_type = dict(rows.dtypes)["id"]
     return rows.groupBy("id").transformWithStateInPandas(
         statefulProcessor=ApprovalWatch(), outputStructType=f"id {id_type}, state string, missing string",

@@ -51,23 +51,29 @@ def write_batch(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{table}/batch_id={batch_id}")
 
 
-OUTCOME_TABLES = ("results", "status", "errors")
+OUTCOME_TABLES = {"results": "result", "status": "status", "errors": "error"}
 
 
-def write_outcomes(outcomes: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Three tables from one stream with ``outcome`` in (result, status, error) and its key columns."""
+def write_routed(stream: DataFrame, by: str, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """One table per value of ``by``, as partitions of a single idempotent write per micro-batch."""
     def split(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        for kind, table in zip(("result", "status", "error"), OUTCOME_TABLES, strict=True):
-            write_batch(batch.where(F.col("outcome") == kind), folder, table, batch_id)
-        batch.unpersist()
+        batch.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{by}/batch_id={batch_id}")
 
     return (
-        outcomes.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(split)
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(split)
         .trigger(availableNow=True).start()
     )
 
 
+def read_routed(spark: SparkSession, folder: str, by: str, value: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{by}").where(F.col(by) == value)
+
+
+def write_outcomes(outcomes: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Three tables from one stream with ``outcome`` in (result, status, error) and its key columns."""
+    return write_routed(outcomes, "outcome", folder, checkpoint, mode)
+
+
 def write_table(stream: DataFrame, folder: str, table: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     def save(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, folder, table, batch_id)
@@ -79,4 +85,6 @@ def write_table(stream: DataFrame, folder: str, table: str, checkpoint: str, mod
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    if table in OUTCOME_TABLES:
+        return read_routed(spark, folder, "outcome", OUTCOME_TABLES[table])
     return spark.read.parquet(f"{folder}/{table}")

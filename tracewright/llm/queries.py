@@ -75,8 +75,8 @@ def op2_weak_quality(t: Tables) -> DataFrame:
 
 VECTORS_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
 reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
@@ -92,7 +92,25 @@ def op3_pivot_vectors(t: Tables) -> DataFrame:
     return near_vectors(t.embeddings)
 
 
-@query()
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+edges AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM late),
+runs AS (
+  SELECT doc_id, run, min(i) AS low, max(i) + 100 AS high
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS a, low AS b FROM runs
+  UNION ALL SELECT doc_id, coalesce(max(high), 0), NULL FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
 def op4_bwt_repeats(t: Tables) -> DataFrame:
     """Every document without the bytes of 100-byte strings that start earlier too."""
     return remove_repeats(t.documents).drop("kept")
@@ -157,9 +175,9 @@ pairs AS (
 near AS (
   SELECT DISTINCT late AS line FROM pairs
   WHERE CASE WHEN length(early) = length(late)
-    THEN len(list_filter(range(length(early)), i -> left(early, i) || substr(early, i + 2) = left(late, i) || substr(late, i + 2))) > 0
-    WHEN length(early) > length(late) THEN len(list_filter(range(length(early)), i -> left(early, i) || substr(early, i + 2) = late)) > 0
-    ELSE len(list_filter(range(length(late)), i -> left(late, i) || substr(late, i + 2) = early)) > 0 END),
+    THEN len(list_filter(range(length(early)), lambda i: left(early, i) || substr(early, i + 2) = left(late, i) || substr(late, i + 2))) > 0
+    WHEN length(early) > length(late) THEN len(list_filter(range(length(early)), lambda i: left(early, i) || substr(early, i + 2) = late)) > 0
+    ELSE len(list_filter(range(length(late)), lambda i: left(late, i) || substr(late, i + 2) = early)) > 0 END),
 k AS (
   SELECT l.*, f.line IS NULL OR (row(doc_id, line_no) = f.first AND near.line IS NULL) AS kept
   FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))

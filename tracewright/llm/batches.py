@@ -123,6 +123,13 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array, which may be much the larger one."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start, start + 1, ... count times for each entry."""
     total = int(count.sum())

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm.batches import byte_slices, span_hashes, spread, text_column
+from tracewright.llm.batches import among, byte_slices, span_hashes, spread, text_column
 
 NO_RANK = np.int32(0x7FFFFFFF)
 #: Matrix cells of one merge batch, and pieces a worker remembers between slices.
@@ -239,7 +239,7 @@ class Bpe:
         hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > REMEMBERED:
             self._forget()
-        new = ~np.isin(hashes, self.known, assume_unique=True)
+        new = ~among(hashes, self.known)
         if new.any():
             self._learn(data, start[first[new]], (end - start)[first[new]], hashes[new])
         place = np.searchsorted(self.known, hashes)[which]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import ALNUM, Words, byte_slices, text_column, window_min
+from tracewright.llm.batches import ALNUM, Words, among, byte_slices, text_column, window_min
 
 WINDOW = 10
 GRAM = 5
@@ -84,7 +84,7 @@ class ItemIndex:
         first, length, item = [], [], []
         hashes, mask = kept(words, self.gram, self.window)
         at = np.flatnonzero(mask)
-        at = at[np.isin(hashes[at], self.known)]
+        at = at[among(hashes[at], self.known)]
         if len(at):
             low = np.searchsorted(self.key, hashes[at], "left")
             many = np.searchsorted(self.key, hashes[at], "right") - low

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import byte_slices, mix, powers, span_hashes, spread, text_column, window_min
+from tracewright.llm.batches import among, byte_slices, mix, powers, span_hashes, spread, text_column, window_min
 from tracewright.session import cut_lineage
 
 LENGTH = 100
@@ -90,7 +90,7 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> Dat
                 start, stop = at[begin], at[np.append(begin[1:], len(at)) - 1] + length
                 mini = least[start]
                 if known is not None:
-                    ok = np.isin(mini, known)
+                    ok = among(mini, known)
                     start, stop, mini = start[ok], stop[ok], mini[ok]
                 h = span_hashes(data, start, stop)
                 g = span_hashes(data ^ 0x55, start, stop)
@@ -240,7 +240,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     minis = cut_lineage(_occurrences(docs, length, gram).groupBy("mini").count().where("count > 1").select("mini"))
     sent = None
     if minis.count() <= BROADCAST_KEYS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy()).astype(np.int64).view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     def pieces(texts: bool) -> DataFrame:
         found = _pieces(docs, sent, length, gram, texts)

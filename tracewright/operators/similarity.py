@@ -1,9 +1,9 @@
 """Vector similarity, search and duplicates.
 
 Pair search is exact. Equal vectors are collapsed first, so a group of copies yields one
-representative and never its own pairs. The rest is cut into bounded blocks around pivot
-directions; the triangle inequality on angles removes block pairs that cannot reach the
-threshold, and each remaining block pair is one matrix product in one task.
+representative and never its own pairs. The rest is dealt to cells around pivot directions, whose
+number grows with the square root of the vectors; the triangle inequality says which other cells a
+vector may reach. Cells are cut into blocks of fixed size, and each block pair is one matrix product.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from tracewright.functions.skew import join_counted
 from tracewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_BLOCK_ROWS = 65_536
-MAX_PIVOTS = 64
+MAX_PIVOTS = 1024
 KERNEL_ROWS = 2048
 
 
@@ -66,111 +65,88 @@ def _unit_rows(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("_u", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def _assign_cells(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
-    """Nearest pivot and the angle to it, row by row."""
-    matrix = np.array(pivots, dtype=np.float64)
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+def _pivots(rows: DataFrame, count: int) -> np.ndarray:
+    """About the square root of ``count`` directions, in hash order: what the driver holds is bounded by MAX_PIVOTS."""
+    wanted = min(MAX_PIVOTS, max(1, math.isqrt(count)))
+    return np.array([r["_u"] for r in rows.orderBy(F.xxhash64("id"), "id").select("_u").limit(wanted).collect()], dtype=np.float64)
 
-    @F.pandas_udf(schema)
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        if len(vectors) == 0:
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "angle": pd.Series([], dtype="float64")})
-        scores = np.vstack(vectors.to_numpy()) @ matrix.T
-        best = scores.argmax(axis=1)
-        top = np.clip(scores[np.arange(len(best)), best], -1.0, 1.0)
-        return pd.DataFrame({"cell": best.astype("int32"), "angle": np.arccos(top)})
-
-    return rows.withColumn("_c", nearest("_u")).withColumn("_cell", F.col("_c.cell")).withColumn(
-        "_angle", F.col("_c.angle")).drop("_c")
 
+def _deal(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
+    """Rows by cell: each with its nearest pivot, and a copy in every cell ahead whose members it may reach.
 
-def _rows_per_block(total: int, block_rows: int) -> int:
-    """Larger blocks for larger inputs (fewer copies per row), up to what one task holds easily."""
-    return min(max(block_rows, total // 1024), max(block_rows, MAX_BLOCK_ROWS))
-
+    In the chord metric, a vector within ``reach`` of a member of another cell is at most its own pivot
+    distance plus twice the reach from that cell's pivot, and within the reach of the plane between the two
+    pivots. Of two cells only the one ahead in cyclic order gets copies, so every pair meets in one cell.
+    """
+    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    m = len(pivots)
+    cell = T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("member", T.BooleanType())]))
 
-def _plan_units(rows: DataFrame, group: str | None, block_rows: int) -> list[dict]:
-    """Units of cells: small cells of a group share a unit of one block, a large cell has several blocks.
+    @F.pandas_udf(cell)
+    def cells(vectors: pd.Series) -> pd.Series:
+        if len(vectors) == 0:
+            return pd.Series([], dtype=object)
+        d = np.sqrt(np.maximum(2 - 2 * np.vstack(vectors.to_numpy()) @ pivots.T, 0))
+        home = d.argmin(1)
+        near = d[np.arange(len(d)), home][:, None]
+        ahead = (np.arange(m)[None, :] - home[:, None]) % m
+        take = (
+            (ahead > 0) & ((2 * ahead < m) | ((2 * ahead == m) & (home[:, None] < np.arange(m)[None, :])))
+            & (d <= near + 2 * reach) & (d * d - near * near <= 2 * reach * between[home]))
+        return pd.Series([[{"cell": h, "member": True}, *({"cell": c, "member": False} for c in np.flatnonzero(t))] for h, t in zip(home, take)])
 
-    Reads one row per (group, cell), at most MAX_PIVOTS per group.
-    """
-    keys = ([group] if group else []) + ["_cell"]
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_angle").alias("radius")).collect()
-    per_block = _rows_per_block(sum(r["n"] for r in stats), block_rows)
-    by_group: dict = {}
-    for r in stats:
-        by_group.setdefault(r[group] if group else None, []).append(r)
-    units, first = [], 0
-    for g, cells in by_group.items():
-        room = 0
-        for r in sorted(cells, key=lambda c: c["_cell"]):
-            if r["n"] > per_block or r["n"] > room:
-                size = math.ceil(r["n"] / per_block)
-                units.append({"group": g, "cells": [], "first": first, "size": size})
-                first += size
-                room = per_block if size == 1 else 0
-            units[-1]["cells"].append((r["_cell"], r["radius"]))
-            room -= r["n"]
-    return units
-
-
-def _can_match(a: list, b: list, between: np.ndarray, reach: float) -> bool:
-    """Whether any cell of one unit can hold a vector within ``reach`` of one of the other."""
-    return any(ca == cb or between[ca, cb] - ra - rb <= reach for ca, ra in a for cb, rb in b)
+    return rows.withColumn("_c", F.explode(cells("_u"))).select(*rows.columns, F.col("_c.cell").alias("_cell"), F.col("_c.member").alias("_member"))
 
 
 def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block_rows: int) -> DataFrame:
-    """(id_a, id_b, score) with score > threshold over distinct vectors, within ``group`` when given."""
+    """(id_a, id_b, score) with score > threshold over distinct vectors, within ``group`` when given.
+
+    Cells are cut into blocks of about ``block_rows`` members and as many visitors, by counts that are
+    joined to the rows, and each pair of blocks is one matrix product.
+    """
     spark = vectors.sparkSession
-    rows = _unit_rows(vectors)
-    pivots = [r["_u"] for r in rows.orderBy(F.xxhash64("id"), "id").select("_u").limit(MAX_PIVOTS).collect()]
+    by = [group] if group else []
+    rows = cut_lineage(_unit_rows(vectors).select(*by, "id", "_u"))
     id_type = vectors.schema["id"].dataType
     out = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("score", T.DoubleType())])
-    if not pivots:
+    pivots = _pivots(rows, rows.count())
+    if not len(pivots):
         return spark.createDataFrame([], out)
-    rows = cut_lineage(_assign_cells(rows, pivots).select(*([group] if group else []), "id", "_u", "_cell", "_angle"))
-    units = _plan_units(rows, group, block_rows)
-    p = np.array(pivots)
-    between = np.arccos(np.clip(p @ p.T, -1.0, 1.0))
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    table = []
-    for u in units:
-        partners = [(w["first"], w["first"] + w["size"] - 1) for w in units
-                    if w["group"] == u["group"] and _can_match(u["cells"], w["cells"], between, reach)]
-        table += [(u["group"], cell, u["first"], u["size"], partners) for cell, _ in u["cells"]]
-    gtype = vectors.schema[group].dataType if group else T.StringType()
-    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-    where = spark.createDataFrame(table, T.StructType([
-        T.StructField("_g", gtype), T.StructField("_k", T.IntegerType()), T.StructField("_first", T.LongType()),
-        T.StructField("_size", T.IntegerType()), T.StructField("_partners", T.ArrayType(span))]))
-    same = F.col("_cell") == F.col("_k")
+    reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold)))) + 1e-9
+    dealt = cut_lineage(_deal(rows, pivots, reach))
     if group:
-        same = same & F.col(group).eqNullSafe(F.col("_g"))
-    # One row per (group, cell) with at most MAX_PIVOTS partner spans: a broadcast of bounded size.
-    placed = rows.join(F.broadcast(where), same).withColumn(
-        "_block", F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_size")))
-    others = F.flatten(F.transform("_partners", lambda s: F.sequence(s["first"], s["last"])))
-    work = placed.select("_block", "id", "_u", F.explode(others).alias("_other")).select(
-        F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "id", "_u")
-
-    def products(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        inside = key[0] == key[1]
-        left, right = part[part["_block"] == key[0]], part[part["_block"] == key[1]]
+        dealt = dealt.where(F.col(group).isNotNull())
+    place = [*by, "_cell"]
+    sizes = dealt.groupBy(*place).agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("_member") / block_rows)).cast("int").alias("_inside"),
+        F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("_outside"))
+    cut = dealt.join(sizes, place).withColumns({
+        "_own": F.pmod(F.xxhash64("id", F.lit(1)), F.col("_inside")).cast("int"), "_slot": F.pmod(F.xxhash64("id", F.lit(2)), F.col("_outside")).cast("int")})
+    homes = cut.where("_member").select(
+        *place, F.col("_own").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_outside") - 1)).alias("_slot"), F.lit(True).alias("_home"), F.col("_own").alias("_at"), "id", "_u")
+    from_block = F.when(F.col("_member"), F.col("_own")).otherwise(0)
+    guests = cut.select(
+        *place, F.explode(F.sequence(from_block, F.col("_inside") - 1)).alias("_block"), "_slot", F.lit(False).alias("_home"),
+        F.when(F.col("_member"), F.col("_own")).otherwise(-1).alias("_at"), "id", "_u")
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["_home"]], part[~part["_home"]]
         a_ids, b_ids = left["id"].to_numpy(), right["id"].to_numpy()
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id_a": a_ids[:0], "id_b": b_ids[:0], "score": np.zeros(0)})
         a, b = np.vstack(left["_u"].to_numpy()), np.vstack(right["_u"].to_numpy())
+        a_at, b_at = left["_at"].to_numpy(), right["_at"].to_numpy()
         found = []
         for s in range(0, len(a), KERNEL_ROWS):
             scores = a[s:s + KERNEL_ROWS] @ b.T
             x, y = np.nonzero(scores > threshold)
             ia, ib = a_ids[x + s], b_ids[y]
-            keep = (ia < ib) if inside else np.ones(len(ia), dtype=bool)
+            keep = (a_at[x + s] != b_at[y]) | (ia < ib)  # inside a block each pair once
             lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
             found.append(pd.DataFrame({"id_a": lo[keep], "id_b": hi[keep], "score": scores[x, y][keep]}))
         return pd.concat(found, ignore_index=True)
 
-    return work.groupBy("_lo", "_hi").applyInPandas(products, out)
+    return homes.unionByName(guests).groupBy(*place, "_block", "_slot").applyInPandas(products, out)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -234,8 +210,7 @@ def search_code(
 
 
 def _block_count(df: DataFrame, block_rows: int) -> int:
-    total = df.count()
-    return max(1, math.ceil(total / _rows_per_block(total, block_rows)))
+    return max(1, math.ceil(df.count() / block_rows))
 
 
 def _cross_blocks(queries: DataFrame, vectors: DataFrame, block_rows: int, best) -> DataFrame:

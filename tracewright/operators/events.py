@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.fold import fold_sorted, islands
+from tracewright.functions.skew import join_counted
 from tracewright.model import lookup
 from tracewright.operators.evidence import classify_errors, event_error
-from tracewright.operators.reports import finding_risk, publishable
+from tracewright.operators.reports import finding_risk, job_risk, publishable
 
 __all__ = ["publishable"]
 
@@ -166,7 +167,10 @@ def route(events: DataFrame, recipients: DataFrame, rules: Sequence[RoutingRule]
     if "explicit_recipients" in events.columns:
         ids.append(F.coalesce("explicit_recipients", none))
     wanted = events.withColumn("recipient_id", F.explode(F.array_distinct(F.concat(*ids))))
-    return wanted.join(recipients, "recipient_id")
+    if events.isStreaming:
+        return wanted.join(recipients, "recipient_id")
+    asked = wanted.groupBy("recipient_id").agg(F.count("*").alias("_n")).join(recipients, "recipient_id")
+    return join_counted(wanted, asked, "recipient_id", "_n", salt=["event_id"]).drop("_n")
 
 
 @dataclass(frozen=True)
@@ -362,13 +366,35 @@ def enrich_alerts(alerts: DataFrame) -> DataFrame:
 def fan_out_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(event, subscriber) for subscriptions(subscriber, event_type) to the exact type or ``*``.
 
-    Wildcards are widened to the event types that occur, so one equi-join covers both. Its
-    subscription side is broadcast only when the optimizer's size check allows it.
+    Every event is looked up under its type and under ``*``; a wildcard makes a subscriber's other
+    subscriptions redundant, so one equi-join covers both without a list of types.
     """
-    types = events.groupBy("event_type").agg(F.count("*").alias("_n")).agg(F.collect_list("event_type")).scalar()
-    exact = subscriptions.where(F.col("event_type") != "*")
-    wide = subscriptions.where(F.col("event_type") == "*").select("subscriber", F.explode(types).alias("event_type"))
-    return events.join(exact.unionByName(wide).distinct(), "event_type")
+    wild = subscriptions.where(F.col("event_type") == "*").select("subscriber").distinct()
+    exact = subscriptions.where(F.col("event_type") != "*").distinct().join(wild, "subscriber", "left_anti")
+    wanted = exact.select("subscriber", F.col("event_type").alias("_key")).unionByName(wild.withColumn("_key", F.lit("*")))
+    return events.withColumn("_key", F.explode(F.array("event_type", F.lit("*")))).join(wanted, "_key").drop("_key")
+
+
+def subscription_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Deliveries per subscriber and type: events are counted by type before they meet the subscriptions."""
+    per_type = events.groupBy("event_type").agg(F.count("*").alias("deliveries"))
+    return fan_out_subscriptions(per_type, subscriptions)
+
+
+def completion_events(jobs: DataFrame, findings: DataFrame) -> DataFrame:
+    """One event per finished job of jobs(job_id, repository_url, started_at, completed_at): duration, findings, score."""
+    done = jobs.where(F.col("completed_at").isNotNull())
+    risk = job_risk(done.select("job_id"), findings)
+    return done.join(risk, "job_id").select(
+        F.sha2(F.concat_ws("|", F.lit("completed"), "job_id"), 256).alias("event_id"), F.lit("analysis_completed").alias("event_kind"),
+        F.col("completed_at").alias("ts"), "job_id", "repository_url", F.lit(None).cast("string").alias("severity"),
+        F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("completed_at")).alias("duration_ms"), "total_findings", "risk_score")
+
+
+def alert_events(alerts: DataFrame) -> DataFrame:
+    """Alerts(event_id, ts, alert_level) with deadlines and contacts as events of their own kind."""
+    return enrich_alerts(alerts).withColumn("event_kind", F.lit("security_alert")).withColumn(
+        "severity", F.when(F.col("alert_level").isin("emergency", "critical"), "critical").when(F.col("alert_level") == "warning", "medium").otherwise("info"))
 
 
 def dead_letter(events: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tracewright.plans import bindings as B
 from tracewright.plans.evidence import ERRORS, SQL_EVENT_ERROR
 from tracewright.plans.policy import points
 from tracewright.plans.registry import query
+from tracewright.plans.scan import SQL_WEIGHT
 from tracewright.plans.streaming import StreamTables
 from tracewright.streaming.jobs import route_failures
 from tracewright.streaming.topics import new_run_folder, read_routed
@@ -199,8 +200,36 @@ def k14(t):
     k = F.col("s_nationkey") % 5
     subs = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("subscriber"),
                              F.when(k == 0, "*").when(k == 1, "click").when(k == 2, "view").when(k == 3, "error").otherwise("refund").alias("event_type"))
-    out = K.fan_out_subscriptions(t.events.select("event_id", "event_type"), subs)
-    return out.groupBy("subscriber", "event_type").agg(F.count("*").alias("deliveries"))
+    return K.subscription_counts(t.events, subs).select("subscriber", "event_type", "deliveries")
+
+
+@query("k1_completion_events", f"""
+SELECT sha256('completed|job' || c_custkey) AS event_id, CAST(60000 * c_nationkey AS BIGINT) AS duration_ms, coalesce(n, 0) AS total_findings, round(coalesce(score, 0), 9) AS risk_score
+FROM customer LEFT JOIN (SELECT job_id, count(*) AS n, least(10, avg({SQL_WEIGHT} * confidence)) AS score FROM ({FIND}) GROUP BY job_id) ON job_id = 'job' || c_custkey WHERE c_nationkey <> 3""")
+def k1c(t):
+    return K.completion_events(finished(t), B.findings(t)).select("event_id", "duration_ms", "total_findings", F.round("risk_score", 9).alias("risk_score"))
+
+
+def finished(t):
+    """A job per customer that took as many minutes as its nation's key; those of nation 3 still run."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    end = F.when(F.col("c_nationkey") != 3, start + F.make_dt_interval(mins=F.col("c_nationkey").cast("int")))
+    return t.customer.select(F.concat(F.lit("job"), F.col("c_custkey").cast("string")).alias("job_id"), F.concat(F.lit("repo/"), "c_name").alias("repository_url"),
+                             start.alias("started_at"), end.alias("completed_at"))
+
+
+@query("k5_completed_filter", "SELECT sha256('completed|job' || c_custkey) AS event_id, 'analysis-results' AS network FROM customer WHERE c_nationkey <> 3")
+def k5c(t):
+    """Finished jobs reach the networks that ask for them."""
+    return K.network_filter(K.completion_events(finished(t), B.findings(t))).select("event_id", "network")
+
+
+@query("k13_alert_events", """
+SELECT event_id, 'security_alert' AS event_kind, CASE WHEN value >= 60 THEN 'critical' WHEN value >= 20 THEN 'medium' ELSE 'info' END AS severity FROM events""")
+def k13e(t):
+    v = F.col("value")
+    alerts = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(v >= 95, "emergency").when(v >= 60, "critical").when(v >= 20, "warning").otherwise("info").alias("alert_level"))
+    return K.alert_events(alerts).select("event_id", "event_kind", "severity")
 
 
 def _failing(t):

@@ -5,8 +5,9 @@ they came in, and matches never cross documents.
 
 Windows of ``length`` bytes are dealt by their minimizer, the smallest hash of ``gram`` bytes in them, so equal
 windows meet. A run of windows with one minimizer is a piece of text. Minimizers that occur once are left
-out: their windows are unique. Equal pieces are one, at its earliest place; later ones are removed whole.
-Pieces are dealt to buckets of bounded size. A bucket sorts the suffixes of small shards, takes the shards'
+out: their windows are unique. Equal pieces are one, at its earliest place; later ones are removed whole. A
+minimizer with one piece that holds it once has no other repeats; the pieces of all others are merged.
+They are dealt to buckets of bounded size. A bucket sorts the suffixes of small shards, takes the shards'
 transforms and merges them: an interleave of the shards is refined one symbol a round, by a stable sort of
 the symbols before the suffixes, until suffixes are in order of their first ``length`` bytes. Blocks of the
 interleave split as their common prefixes end, so the blocks of the last round are the repeated intervals.
@@ -59,28 +60,34 @@ def windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return hashes, window_min(hashes, length - gram + 1), inside
 
 
+def chosen_places(hashes: np.ndarray, least: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
+    """Places whose hash is the minimizer of some window: it equals the largest minimizer of the windows that hold it."""
+    if not len(least):
+        return np.zeros(0, np.int64)
+    padded = np.concatenate([np.zeros(width - 1, np.uint64), np.where(inside, least, 0), np.zeros(width - 1, np.uint64)])
+    return np.flatnonzero(hashes == ~window_min(~padded, width))
+
+
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Every place whose hash is the minimizer of some window, as its hash."""
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in byte_slices(text_column(batch)):
                 hashes, least, inside = windows(data, offsets, length, gram)
-                width = length - gram + 1
-                # A place is chosen if it equals the largest of the minimizers of the windows that hold it.
-                padded = np.concatenate([np.zeros(width - 1, np.uint64), np.where(inside, least, 0), np.zeros(width - 1, np.uint64)])
-                chosen = hashes[hashes == ~window_min(~padded, width)] if len(least) else hashes[:0]
+                chosen = hashes[chosen_places(hashes, least, inside, length - gram + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int64))], names=["mini"])
 
     return docs.select("text").mapInArrow(run, "mini long")
 
 
 def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> DataFrame:
-    """(mini, h, g, doc_id, key, start, size) of the pieces under shared minimizers, all if ``shared`` is None; with their bytes if asked."""
+    """(mini, h, g, doc_id, key, start, size, twice) of the pieces under shared minimizers, all if ``shared`` is None; with
+    their bytes if asked. ``twice`` says that the minimizer stands in the piece more than once."""
     def run(batches):
         known = shared.value if shared is not None else None
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
-                _, least, inside = windows(data, offsets, length, gram)
+                hashes, least, inside = windows(data, offsets, length, gram)
                 at = np.flatnonzero(inside)
                 if not len(at):
                     continue
@@ -92,13 +99,20 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> Dat
                 if known is not None:
                     ok = among(mini, known)
                     start, stop, mini = start[ok], stop[ok], mini[ok]
+                if not len(start):
+                    continue
+                place = chosen_places(hashes, least, inside, length - gram + 1)
+                values, group = np.unique(hashes[place], return_inverse=True)
+                ordered = np.sort(group * (len(data) + 1) + place)
+                of_piece = np.searchsorted(values, mini) * (len(data) + 1)
+                twice = np.searchsorted(ordered, of_piece + stop - gram, "right") - np.searchsorted(ordered, of_piece + start, "left") > 1
                 h = span_hashes(data, start, stop)
                 g = span_hashes(data ^ 0x55, start, stop)
                 row = np.searchsorted(offsets, start, side="right") - 1
                 which = pa.array(row + first)
                 columns = [pa.array(mini.astype(np.int64)), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64)), batch.column(0).take(which), batch.column(2).take(which),
-                           pa.array(start - offsets[row]), pa.array(stop - start)]
-                names = ["mini", "h", "g", "doc_id", "key", "start", "size"]
+                           pa.array(start - offsets[row]), pa.array(stop - start), pa.array(twice)]
+                names = ["mini", "h", "g", "doc_id", "key", "start", "size", "twice"]
                 if texts:
                     size = stop - start
                     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -108,7 +122,7 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text", "key").mapInArrow(
-        run, "mini long, h long, g long, doc_id long, key long, start long, size long" + ", piece binary" * texts)
+        run, "mini long, h long, g long, doc_id long, key long, start long, size long, twice boolean" + ", piece binary" * texts)
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -237,23 +251,31 @@ def _single_windows(hot: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, low, high): byte ranges of documents (doc_id, text, key) covered by strings that also start earlier."""
-    minis = cut_lineage(_occurrences(docs, length, gram).groupBy("mini").count().where("count > 1").select("mini"))
-    sent = None
-    if minis.count() <= BROADCAST_KEYS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    def sent(minis: DataFrame):
+        """Sorted for every task if they fit the bound, else None."""
+        if minis.count() > BROADCAST_KEYS:
+            return None
+        return docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
-    def pieces(texts: bool) -> DataFrame:
-        found = _pieces(docs, sent, length, gram, texts)
-        return found if sent is not None else found.join(minis, "mini")
+    def pieces(minis: DataFrame, known, texts: bool) -> DataFrame:
+        found = _pieces(docs, known, length, gram, texts)
+        return found if known is not None else found.join(minis, "mini")
 
+    minis = cut_lineage(_occurrences(docs, length, gram).groupBy("mini").count().where("count > 1").select("mini"))
+    known = sent(minis)
     place = F.struct("doc_id", "key", "start")
-    firsts = cut_lineage(pieces(True).groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("piece").alias("piece")))
+    firsts = cut_lineage(pieces(minis, known, False).groupBy("mini", "h", "g").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max("size").alias("size")))
     copied = firsts.where("n > 1").select("h", "g", "first")
-    whole = pieces(False).join(copied, ["h", "g"]).where(place != F.col("first")).select("key", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
-    sizes = firsts.groupBy("mini").agg(F.sum(F.octet_length("piece")).alias("bytes"))
+    whole = pieces(minis, known, False).join(copied, ["h", "g"]).where(place != F.col("first")).select(
+        "key", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
+    # A single piece that holds its minimizer once repeats in its copies only.
+    sizes = cut_lineage(firsts.groupBy("mini").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("pieces"), F.max("twice").alias("twice"))
+                        .where("pieces > 1 OR twice").select("mini", "bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    texts = pieces(sizes.select("mini"), sent(sizes.select("mini")), True).groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
     hot = cut_lineage(sizes.where(f"bytes > {HOT_BYTES}").select("mini", F.lit(True).alias("hot")))
-    flat = firsts.join(F.broadcast(hot), "mini", "left").select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece", "hot")
+    flat = texts.join(F.broadcast(hot), "mini", "left").select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece", "hot")
     dealt = flat.where("hot IS NULL").drop("hot").union(_single_windows(flat.where("hot"), length))
     buckets = max(1, -(-total // BUCKET_BYTES))
     merged = (

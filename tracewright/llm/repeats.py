@@ -11,8 +11,8 @@ They are dealt to buckets of bounded size. A bucket sorts the suffixes of small
 transforms and merges them: an interleave of the shards is refined one symbol a round, by a stable sort of
 the symbols before the suffixes, until suffixes are in order of their first ``length`` bytes. Blocks of the
 interleave split as their common prefixes end, so the blocks of the last round are the repeated intervals.
-In each, all windows but the earliest are covered. A minimizer with too many pieces for a bucket is dealt
-window by window, by the whole window's hash.
+In each, all windows but the earliest are covered. The windows of a minimizer with too many pieces for a
+bucket are not merged: they are compared by a 128-bit hash of the whole window, which spreads them evenly.
 
 Cases: null texts are empty; texts under ``length`` bytes lose nothing; rows with equal doc_id and text are
 one document; null ids come first; other columns are ignored; an empty table gives an empty result.
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import among, byte_slices, mix, powers, span_hashes, spread, text_column, window_min
+from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spread, text_column, window_min
 from tracewright.session import cut_lineage
 
 LENGTH = 100
 GRAM = 28
 #: Bytes of a bucket, of one of its shards, and of a minimizer's pieces from which its windows are dealt singly.
-BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 1 << 19
-HOT_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
+HOT_BYTES = 1 << 20
 #: Repeated minimizers sent to all tasks at most; beyond, pieces are joined with them by a shuffle.
 BROADCAST_KEYS = 4 << 20
 
@@ -232,21 +232,21 @@ def _covered(table: pa.Table, length: int) -> pa.Table:
 
 
 def _single_windows(hot: DataFrame, length: int) -> DataFrame:
-    """The windows of pieces as pieces of their own, dealt by their whole content."""
+    """(h, g, doc_id, key, start): the hash of every window of the pieces (first, piece), and its place."""
     def run(batches):
         for batch in batches:
+            starts = batch.column(2).to_numpy()
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(4)[row].as_py(), np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                for low in range(0, len(at), 1 << 14):
-                    part = at[low:low + (1 << 14)]
-                    hashes = mix(span_hashes(raw, part, part + length), 3)
+                raw = np.frombuffer(batch.column(3)[row].as_py(), np.uint8)
+                for low in range(0, len(raw) - length + 1, 1 << 16):
+                    part = raw[low:low + (1 << 16) + length - 1]
+                    at = np.arange(len(part) - length + 1)
+                    which = pa.array(np.full(len(at), row))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(hashes.astype(np.int64)), *(batch.column(k).take(pa.array(np.full(len(part), row))) for k in (1, 2)),
-                        pa.array(part + batch.column(3)[row].as_py()), pa.array([raw[i:i + length].tobytes() for i in part], pa.binary())],
-                        names=["deal", "doc_id", "key", "start", "piece"])
+                        pa.array(span_hashes(part, at, at + length).astype(np.int64)), pa.array(span_hashes(part ^ 0x55, at, at + length).astype(np.int64)),
+                        batch.column(0).take(which), batch.column(1).take(which), pa.array(at + low + starts[row])], names=["h", "g", "doc_id", "key", "start"])
 
-    return hot.select("deal", "doc_id", "key", "start", "piece").mapInArrow(run, "deal long, doc_id long, key long, start long, piece binary")
+    return hot.select("doc_id", "key", "start", "piece").mapInArrow(run, "h long, g long, doc_id long, key long, start long")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -276,12 +276,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     texts = pieces(sizes.select("mini"), sent(sizes.select("mini")), True).groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
     hot = cut_lineage(sizes.where(f"bytes > {HOT_BYTES}").select("mini", F.lit(True).alias("hot")))
     flat = texts.join(F.broadcast(hot), "mini", "left").select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece", "hot")
-    dealt = flat.where("hot IS NULL").drop("hot").union(_single_windows(flat.where("hot"), length))
     buckets = max(1, -(-total // BUCKET_BYTES))
     merged = (
-        dealt.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
+        flat.where("hot IS NULL").drop("hot").withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
         .groupBy("bucket").applyInArrow(lambda table: _covered(table, length), "key long, low long, high long"))
-    return whole.union(merged)
+    ranges = whole.union(merged)
+    if not hot.limit(1).count():
+        return ranges
+    single = _single_windows(flat.where("hot"), length)
+    earliest = single.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    late = single.join(earliest, ["h", "g"]).where(place != F.col("first"))
+    return ranges.union(late.select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
 
 
 def _cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_toxicity_on_held_out_labels(labelled):
 def test_toxicity_cases(spark, docs_of):
     rng = random.Random(1)
     plain = ["some plain words that mean well", "other plain words of no harm"]
-    texts = [" ".join([rng.choice(plain), "idiot" if i % 4 == 0 else "", f"word{i % 7}"]) for i in range(200)] + [None, "", "x " * 50000 + "idiot"]
+    texts = [" ".join([rng.choice(plain), "idiot" if i % 4 == 0 else "", f"word{i % 97}"]) for i in range(200)] + [None, "", "x " * 50000 + "idiot"]
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(200)] + [(3, 0, 1), (None, 1, 1), (999, 1, 0), (5, None, 1)], "doc_id long, toxic int, quality int")
     docs = docs_of(texts).withColumn("rejected", F.lit("clash")).withColumn("toxic", F.lit(5))
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}

@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.batches import byte_slices, text_column
 from tracewright.llm.linear import BITS, apply_logistic, fit_logistic, present, word_features
+from tracewright.session import cut_lineage
 
 MAX_LABELLED = 8000
 FEATURES = 192
 FOLDS = 5
 LEAST_Z = 4.0
 #: Probability of the last category from which a document is rejected; toxic texts are the rarer class.
-REJECT_AT = 0.3
+REJECT_AT = 0.4
 #: Seed words by category, in the order of the chain.
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown"),
@@ -38,12 +39,12 @@ SEEDS = {
 CATEGORIES = (*SEEDS, "toxic")
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, limit: int):
-    """(toxic, buckets of distinct words) of at most ``limit`` distinct labelled texts."""
+def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(words, toxic): buckets of distinct words of at most ``limit`` labelled texts, equal ones once."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("long").alias("toxic"))
 
     def features(batches):
         for batch in batches:
@@ -51,14 +52,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, limit: int):
             for first, end, data, offsets in byte_slices(text_column(batch)):
                 row, bucket = word_features(data, offsets)
                 pairs = np.unique((row << BITS) | bucket)
-                stop = np.searchsorted(pairs >> BITS, np.arange(end - first), side="right")
-                found = (pairs & ((1 << BITS) - 1)).astype("<i4")
-                each = [found[a:b] for a, b in zip([0, *stop[:-1]], stop)]
-                yield pa.RecordBatch.from_arrays([toxic.slice(first, end - first), pa.array([x.tobytes() for x in each], pa.binary())], names=["toxic", "words"])
+                stop = np.searchsorted(pairs >> BITS, np.arange(end - first + 1)).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(stop), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([toxic.slice(first, end - first), words], names=["toxic", "words"])
 
-    rows = texts.mapInArrow(features, "toxic long, words binary").groupBy("words").agg(F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: bytes(r["words"]))
-    return np.array([r["toxic"] > 0 for r in rows], float), [np.frombuffer(r["words"], "<i4") for r in rows]
+    return cut_lineage(texts.mapInArrow(features, "toxic long, words array<int>").groupBy("words").agg(F.max("toxic").alias("toxic")))
 
 
 def seed_buckets(seeds) -> np.ndarray:
@@ -68,33 +66,26 @@ def seed_buckets(seeds) -> np.ndarray:
 
 
 class Chain:
-    """Feature buckets and one linear model per category."""
-
-    def __init__(self, toxic: np.ndarray, words: list[np.ndarray], features: int = FEATURES, folds: int = FOLDS):
-        many, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for y, w in zip(toxic, words):
-            many[w] += 1
-            bad[w] += y
-        share = toxic.mean() if len(toxic) else 0.0
-        z = (bad - many * share) / np.sqrt(many * share * (1 - share) + 1e-9)
-        z[many < 3] = 0
-        best = np.argsort(-z, kind="stable")[:features]
-        best = best[z[best] >= LEAST_Z]
+    """Feature buckets and one linear model per category.
+
+    ``rows`` are (toxic, buckets, fold, count) of the training texts; only the chosen ``buckets`` are features.
+    """
+
+    def __init__(self, buckets: list[int], rows: list[tuple], folds: int = FOLDS):
+        self.width, self.models = len(buckets), []
         self.column = np.full(1 << BITS, -1, np.int32)
-        self.column[best] = np.arange(len(best))
-        self.width, self.models = len(best), []
-        x = np.zeros((len(words), self.width))
-        for r, w in enumerate(words):
-            f = self.column[w]
+        self.column[buckets] = np.arange(len(buckets))
+        x = np.zeros((len(rows), self.width))
+        for r, (_, words, _, _) in enumerate(rows):
+            f = self.column[np.array(words, np.int64)]
             x[r, f[f >= 0]] = 1
-        fold = np.arange(len(words)) % folds
-        marks = [toxic * np.array([float(np.isin(seed_buckets(SEEDS[c]), w).any()) for w in words]) if c in SEEDS and len(words) else toxic for c in CATEGORIES]
-        # Texts alike in features, marks and fold are one row with a count.
-        rows, count = np.unique(np.column_stack([x, *marks, fold]), axis=0, return_counts=True)
-        x, fold = rows[:, :self.width], rows[:, -1]
-        for k in range(len(CATEGORIES)):
-            y = rows[:, self.width + k]
-            self.models.append(fit_logistic(x, y, count=count) if len(words) else np.r_[np.zeros(x.shape[1]), -35.0])
+        toxic, fold, count = (np.array([row[k] for row in rows], float) for k in (0, 2, 3))
+        for category in CATEGORIES:
+            y = toxic
+            if category in SEEDS:
+                seeds = set(seed_buckets(SEEDS[category]).tolist())
+                y = toxic * np.array([float(not seeds.isdisjoint(words)) for _, words, _, _ in rows])
+            self.models.append(fit_logistic(x, y, count=count) if len(rows) else np.r_[np.zeros(x.shape[1]), -35.0])
             unseen = np.zeros(len(rows))
             for f in range(folds):
                 here = fold == f
@@ -111,8 +102,18 @@ class Chain:
         return np.column_stack(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Chain:
-    return Chain(*_training_rows(docs, labels, max_labelled))
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, features: int = FEATURES) -> Chain:
+    """Choose the features by counts over the sample, then fit on its texts reduced to them."""
+    sample = _sample(docs, labels, max_labelled)
+    total, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = bad / max(total, 1)
+    n, z = F.col("n"), (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1e-9)
+    counts = sample.select(F.explode("words").alias("bucket"), "toxic").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    best = [r["bucket"] for r in counts.where(n >= 3).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(features).collect()]
+    used = sorted({*best, *(int(b) for seeds in SEEDS.values() for b in seed_buckets(seeds))})
+    fold = F.pmod(F.xxhash64("words"), F.lit(FOLDS)).alias("fold")
+    rows = sample.select("toxic", fold, F.array_sort(F.array_intersect("words", F.array(*map(F.lit, used)))).alias("words")).groupBy("toxic", "words", "fold").count().collect()
+    return Chain(best, sorted((r["toxic"], tuple(r["words"]), r["fold"], r["count"]) for r in rows))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, reject_at: float = REJECT_AT) -> DataFrame:

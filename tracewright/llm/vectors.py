@@ -41,14 +41,17 @@ def unit_rows(column: pa.Array, width: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For links (a, b) among n things: the smallest thing that each one's links reach."""
-    label = np.arange(n)
+def forest(close: np.ndarray, one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """For n things, of which row i is ``one[i]`` and column j ``two[j]``: the smallest that links reach.
+
+    The links stay a matrix of truth values; listing them would take many times its memory.
+    """
+    label = np.arange(n, dtype=np.int32)
+    most = np.int32(n)
     while True:
-        low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        np.minimum.at(new, one, np.where(close, label[two][None, :], most).min(1, initial=most))
+        np.minimum.at(new, two, np.where(close, label[one][:, None], most).min(0, initial=most))
         new = new[new]
         if (new == label).all():
             return label
@@ -116,13 +119,13 @@ def _links(dealt: DataFrame, sizes: list[tuple[int, int, int]], width: int, thre
         close = x[h] @ x[g].T >= threshold
         inside = at[h][:, None] == at[g][None, :]  # within a block each pair once
         close &= ~inside | (node[h][:, None] < node[g][None, :])
-        a, b = np.nonzero(close)
         nodes, place = np.unique(node, return_inverse=True)
-        one, two = place[h[a]], place[g[b]]
-        links = np.bincount(one, weights=copies[g[b]], minlength=len(nodes)) + np.bincount(two, weights=copies[h[a]], minlength=len(nodes))
+        one, two = place[h], place[g]
+        weight = close.astype(np.float32)
+        links = np.bincount(one, weights=weight @ copies[g].astype(np.float64), minlength=len(nodes)) + np.bincount(two, weights=copies[h].astype(np.float64) @ weight, minlength=len(nodes))
         some = np.flatnonzero(links)
-        root = forest(one, two, len(nodes))
-        return pa.table({"node": pa.array(nodes[some]), "other": pa.array(nodes[root[some]]), "links": pa.array(links[some].astype(np.int64))})
+        root = forest(close, one, two, len(nodes))
+        return pa.table({"node": pa.array(nodes[some]), "other": pa.array(nodes[root[some]]), "links": pa.array(np.rint(links[some]).astype(np.int64))})
 
     return homes.union(guests).groupBy("cell", "block", "slot").applyInArrow(meet, "node long, other long, links long")
 

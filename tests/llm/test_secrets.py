@@ -50,3 +50,15 @@ def test_links(spark, docs_of):
         7: ["weak_access", "weak_secret"], 8: [], 9: ["access", "weak_secret", "access"],
     }
     assert scan_secrets(docs_of([])).count() == 0
+
+
+def test_links_of_assigned_parts(spark, docs_of):
+    access, place = "AKIA" + "Z" * 16, "s3.eu-west-1.amazonaws.com"
+    texts = [
+        f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={WEAK}", f"export AWS_ACCESS_KEY_ID='{access}'\nexport AWS_SECRET_ACCESS_KEY='{WEAK}'",
+        f'{{"AccessKeyId": "{access}", "SecretAccessKey": "{WEAK}"}}', f"host={place}\nkey={WEAK}", f"key={WEAK}", f"key={WEAK}= {access}", f"key=x{WEAK} {access}",
+    ]
+    got = {i: [x.split(":")[0] for x in r["spans"].split(",") if x] for i, r in rows_of(spark, docs_of, texts).items()}
+    assert got == {
+        0: ["access", "weak_secret"], 1: ["access", "weak_secret"], 2: ["access", "weak_secret"], 3: ["endpoint", "weak_secret"], 4: [], 5: ["access"], 6: ["access"],
+    }

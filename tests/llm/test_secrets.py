@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tracewright.llm.queries import QUERIES
 from tracewright.llm.secrets import scan_secrets
 
 BASE = {
@@ -62,3 +63,11 @@ def test_links_of_assigned_parts(spark, docs_of):
     assert got == {
         0: ["access", "weak_secret"], 1: ["access", "weak_secret"], 2: ["access", "weak_secret"], 3: ["endpoint", "weak_secret"], 4: [], 5: ["access"], 6: ["access"],
     }
+
+
+def test_query_links_whole_paragraphs(spark, docs_of, tmp_path):
+    access, place, far = "AKIA" + "Z" * 16, "s3.eu-west-1.amazonaws.com", "x " * 900
+    texts = [f"{access} {far}{WEAK}", f"{WEAK}\n{far}\n{place}", f"{access} {far}\n\n{WEAK}", f"AKIAZZZZZZZZZZ {far}password=hunter22", f"{WEAK} {far}"]
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in QUERIES["op7_secret_links"](spark, str(tmp_path)).collect()}
+    assert got == {0: ["access", "weak_secret"], 1: ["weak_secret", "endpoint"], 2: ["access"], 3: ["weak_access", "assign"], 4: []}

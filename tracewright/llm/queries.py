@@ -131,8 +131,8 @@ def op6_byte_bpe(t: Tables) -> DataFrame:
 
 @query()
 def op7_secret_links(t: Tables) -> DataFrame:
-    """Secrets of every document, and the weak parts linked to them."""
-    return secrets.scan_secrets(t.documents)
+    """Secrets of every document, and the weak parts of their paragraph linked to them."""
+    return secrets.scan_secrets(t.documents, reach=None)
 
 
 @query()

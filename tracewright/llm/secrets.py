@@ -3,7 +3,7 @@
 Strong patterns report on their own: assignments, access identifiers and long hex strings. Weak parts are
 40-character secrets, short access identifiers and service endpoints, which alone are too common to report.
 Parts are linked by an interval join inside a scope (a paragraph; blank lines end one): a part reaches
-``reach`` code points to either side, and a weak secret is reported when an access identifier or an endpoint
+``reach`` code points to either side, or its whole scope where reach is None, and a weak secret is reported when an access identifier or an endpoint
 lies in its reach, an endpoint or a short identifier when a secret (weak, or the value of an assignment)
 does. The join sweeps sorted intervals, so a scope with many parts makes no pairs.
 
@@ -56,13 +56,15 @@ def weak_parts(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def meets(spans: np.ndarray, others: np.ndarray, reach: int) -> np.ndarray:
-    """Whether each (scope, start, end) has one of the others within reach in its scope.
+def meets(spans: np.ndarray, others: np.ndarray, reach: int | None) -> np.ndarray:
+    """Whether each (scope, start, end) has one of the others within reach in its scope; anywhere in it if reach is None.
 
     Both sides are sorted by (scope, start); running maxima of the ends answer each span by one search.
     """
     if not len(spans) or not len(others):
         return np.zeros(len(spans), bool)
+    if reach is None:
+        return np.isin(spans[:, 0], others[:, 0])
     others = others[np.lexsort((others[:, 1], others[:, 0]))]
     far = int(max(spans[:, 2].max(), others[:, 2].max())) + reach + 1
     start = others[:, 0] * 2 * far + others[:, 1]
@@ -71,7 +73,7 @@ def meets(spans: np.ndarray, others: np.ndarray, reach: int) -> np.ndarray:
     return (at >= 0) & (others[np.maximum(at, 0), 0] == spans[:, 0]) & (end[np.maximum(at, 0)] >= spans[:, 0] * 2 * far + spans[:, 1] - reach)
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int = REACH) -> list[tuple[int, str, int]]:
+def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None = REACH) -> list[tuple[int, str, int]]:
     """Weak parts whose complement lies within reach in the same scope."""
     weak = weak_parts(text)
     if not weak:
@@ -99,8 +101,8 @@ def listed(spans: list[tuple[int, str, int]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Spans per document, in code points with exclusive ends."""
+def scan_secrets(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """Spans per document, in code points with exclusive ends; reach None links parts over their whole scope."""
     def run(batches):
         for batch in batches:
             rows = []

@@ -9,7 +9,7 @@ from tracewright.operators import events as K
 from tracewright.operators import metrics as M
 from tracewright.plans import bindings as B
 from tracewright.plans.registry import Tables
-from tracewright.plans.streaming import StreamTables
+from tracewright.plans.streaming import StreamTables, latest_rows
 from tracewright.sources import files as S
 from tracewright.streaming import jobs as J
 from tracewright.streaming import topics as P
@@ -165,6 +165,25 @@ def test_a_quiet_point_ends_a_streamed_run(spark, tmp_path):
     assert [(r["name"], r["started_at"], r["points"]) for r in batch] == got
 
 
+def test_a_run_that_lasts_is_alerted(spark, tmp_path):
+    src, minute = str(tmp_path / "in"), timedelta(minutes=1)
+    rows = [("lasts", i, 30.0, T0 + i * minute) for i in range(120)]
+    rows += [("late end", 200 + i, 30.0 if i < 118 else 1.0, T0 + i * minute) for i in range(120)]
+    rows += [("short", 400 + i, 30.0 if i > 95 else 1.0, T0 + i * minute) for i in range(120)]
+    schema = "name string, id long, value double, ts timestamp"
+    for part in ([r for r in rows if r[3] < T0 + 60 * minute], [r for r in rows if r[3] >= T0 + 60 * minute], [(None, 0, None, T0 + timedelta(days=1))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    P.write_table(J.stream_alert_updates(stream, 15, 1800), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
+    told = P.read_table(spark, str(tmp_path / "o"), "t")
+    first = told.where("batch_id = 1 AND NOT ended").count() + told.where("batch_id = 2 AND NOT ended").count()
+    assert first > 0  # before the input ended
+    got = sorted((r["name"], r["ended_at"], r["points"], r["ended"]) for r in latest_rows(told, ["name", "started_at", "first_id"]).collect())
+    assert got == [("lasts", T0 + 119 * minute, 120, False), ("late end", T0 + 117 * minute, 118, True)]
+    batch = M.sustained_alerts(spark.createDataFrame(rows, schema), 15, 1800).collect()
+    assert sorted((r["name"], r["ended_at"], r["points"]) for r in batch) == [r[:3] for r in got]
+
+
 def test_windows_match_batch(spark, tmp_path):
     rows, stream = split_events(spark, tmp_path, 3)
     shape = lambda d: d.select(F.col("event_type").alias("name"), "value", "ts")

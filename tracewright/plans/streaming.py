@@ -32,9 +32,11 @@ def _run(t, name, stream, mode="append"):
 PARTS = 4
 
 
-def _run_parts(t, name, start):
+def run_parts(t, name, start, closing=None):
     """Feed the events to a stream in consecutive slices of time, a micro-batch each, and return the run folder.
 
+    ``closing(events)`` gives the rows of one more slice that ends the input.
+
     ``start(tables, folder, checkpoint)`` starts the query over the slices written so far; it is resumed from
     its checkpoint after each.
     """
@@ -46,15 +48,21 @@ def _run_parts(t, name, start):
         def __getattr__(self, table):
             return self.spark.readStream.schema(t.events.schema).parquet(f"{folder}/in")
 
-    for low, high in zip(edges[:-1], edges[1:]):
-        inside = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
-        inside = inside if high is None else inside & (F.col("ts") < F.lit(high))
-        t.events.where(inside).write.mode("append").parquet(f"{folder}/in")
+    def slices():
+        for low, high in zip(edges[:-1], edges[1:]):
+            inside = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
+            inside = inside if high is None else inside & (F.col("ts") < F.lit(high))
+            yield t.events.where(inside)
+        if closing is not None:
+            yield closing(t.events)
+
+    for rows in slices():
+        rows.write.mode("append").parquet(f"{folder}/in")
         start(Slices(t.spark, t.folder), folder, f"{folder}/checkpoint").awaitTermination()
     return folder
 
 
-def _latest(rows, keys):
+def latest_rows(rows, keys):
     """Of the rows that an update-mode stream wrote for a key, those of its last micro-batch."""
     values = [c for c in rows.columns if c not in (*keys, "batch_id")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
@@ -93,8 +101,8 @@ def _windowed(t, name, size, slide=None):
     def start(tables, folder, checkpoint):
         return S.write_table(J.windowed_metrics(stream_points(tables), size, slide, "1 hour"), folder, "out", checkpoint, "update")
 
-    rows = S.read_table(t.spark, _run_parts(t, name, start), "out")
-    return _latest(rows, ["name", "window_start", "window_end"])
+    rows = S.read_table(t.spark, run_parts(t, name, start), "out")
+    return latest_rows(rows, ["name", "window_start", "window_end"])
 
 
 @query("k17_tumbling_metrics", f"""
@@ -111,6 +119,13 @@ def k17s(t):
         "name", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "points", "total", "peak")
 
 
+def closing_row(events):
+    """One row of no name and no value a day behind all others, so that the watermark passes them."""
+    last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
+    given = {"ts": F.col("ts"), "event_id": F.lit(0)}
+    return last.select(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in events.dtypes])
+
+
 @query("k18_stream_sustained_alerts", """
 WITH p AS (SELECT event_type AS name, event_id AS id, ts, CAST(floor(value) AS DOUBLE) AS value, floor(value) > 15 AS hot FROM events),
 seen AS (SELECT * FROM p WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
@@ -119,20 +134,20 @@ i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) - row_numb
 SELECT name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS points, max(value) AS peak
 FROM i WHERE hot GROUP BY name, island HAVING bool_or(next IS NOT NULL AND NOT next) AND date_sub('second', min(ts), max(ts)) >= 1800""")
 def k18s(t):
-    """Runs that a quiet point behind the watermark has ended."""
+    """Runs that a quiet point behind the watermark has ended; k18_stream_alert_updates has all."""
     def start(tables, folder, checkpoint):
         points = tables.events.select(
             F.col("event_type").alias("name"), F.col("event_id").alias("id"), F.floor("value").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
         return S.write_table(J.stream_sustained_alerts(points, 15, 1800), folder, "out", checkpoint)
 
-    out = S.read_table(t.spark, _run_parts(t, "alerts", start), "out")
+    out = S.read_table(t.spark, run_parts(t, "alerts", start), "out")
     return out.select("name", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "points", "peak")
 
 
 @query("k20_stream_status", f"""
 SELECT user_id AS workflow_id, max_by({B.sql_case(STATUS, 'event_type')}, (ts, event_id)) AS status, max_by(CAST(floor(value) AS BIGINT), (ts, event_id)) AS percentage, count(*) AS updates FROM events GROUP BY user_id""")
 def k20(t):
-    folder = _run_parts(t, "status", lambda tables, folder, checkpoint: J.write_status(status_rows(tables), folder, checkpoint))
+    folder = run_parts(t, "status", lambda tables, folder, checkpoint: J.write_status(status_rows(tables), folder, checkpoint))
     return J.read_status(t.spark, folder).select("workflow_id", "status", "percentage", "updates")
 
 

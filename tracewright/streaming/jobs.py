@@ -95,6 +95,8 @@ class SustainedRuns(StatefulProcessor):
     """Runs of breaching points of one name, in event time.
 
     Points wait until the watermark has passed them, so they are seen in order; a quiet point ends the run.
+    A run that has reached the duration is reported while it lasts (``ended`` false), again whenever the
+    watermark has passed more of its points, and once more when it has ended.
     """
 
     def __init__(self, threshold: float, duration_seconds: int):
@@ -103,7 +105,7 @@ class SustainedRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "ts_us long, id long, value double")
-        self.run = handle.getValueState("run", "started long, ended long, points long, peak double")
+        self.run = handle.getValueState("run", "started long, ended long, points long, peak double, first_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -120,44 +122,60 @@ class SustainedRuns(StatefulProcessor):
         held = sorted(self.held.get()) if self.held.exists() else []
         ready, later = [r for r in held if r[0] < now], [r for r in held if r[0] >= now]
         run = self.run.get() if self.run.exists() else None
-        done = []
-        for ts, _, value in ready:
+        told = []
+        for ts, point, value in ready:
             if value > self.threshold:
-                run = (ts, ts, 1, value) if run is None else (run[0], ts, run[2] + 1, max(run[3], value))
+                run = (ts, ts, 1, value, point) if run is None else (run[0], ts, run[2] + 1, max(run[3], value), run[4])
             elif run is not None:
-                done.append(run)
+                told.append((*run, True))
                 run = None
         if run is None:
             self.run.clear()
         else:
             self.run.update(run)
+            if ready:
+                told.append((*run, False))
         if later:
             self.held.put(later)
             self.handle.registerTimer(later[0][0] // 1000 + 1)
         else:
             self.held.clear()
-        done = [r for r in done if r[1] - r[0] >= self.duration_us]
-        if done:
+        told = [r for r in told if r[1] - r[0] >= self.duration_us]
+        if told:
             yield pd.DataFrame({
-                "name": [key[0]] * len(done), "started_us": [r[0] for r in done], "ended_us": [r[1] for r in done],
-                "points": [r[2] for r in done], "peak": [r[3] for r in done]})
+                "name": [key[0]] * len(told), "started_us": [r[0] for r in told], "ended_us": [r[1] for r in told],
+                "points": [r[2] for r in told], "peak": [r[3] for r in told], "first_id": [r[4] for r in told], "ended": [r[5] for r in told]})
 
     def close(self) -> None:
         pass
 
 
-def stream_sustained_alerts(points: DataFrame, threshold: float, duration_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Runs of consecutive breaching points(name, id, ts, value) that last at least the duration, on a stream.
+def stream_alert_updates(points: DataFrame, threshold: float, duration_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Alerts of runs of consecutive breaching points(name, id, ts, value) on a stream, from the duration on.
 
-    A run is reported once the quiet point that ends it is older than the watermark.
+    A run gives a row once its points behind the watermark span the duration, a row whenever more of them
+    do, and a last one with ``ended`` when a quiet point has ended it. (name, started_at, first_id) names the
+    run, the row of its latest micro-batch holds. A bounded input needs a closing row later than all others
+    by more than ``delay``, or its last points stay ahead of the watermark.
     """
     use_rocksdb(points.sparkSession)
     rows = points.withWatermark("ts", delay).select(
         "name", "ts", F.unix_micros("ts").alias("ts_us"), F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"))
     out = rows.groupBy("name").transformWithStateInPandas(
         statefulProcessor=SustainedRuns(threshold, duration_seconds),
-        outputStructType="name string, started_us long, ended_us long, points long, peak double", outputMode="Append", timeMode="EventTime")
-    return out.select("name", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"), "points", "peak")
+        outputStructType="name string, started_us long, ended_us long, points long, peak double, first_id long, ended boolean",
+        outputMode="Append", timeMode="EventTime")
+    return out.select(
+        "name", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"), "points", "peak", "first_id", "ended")
+
+
+def stream_sustained_alerts(points: DataFrame, threshold: float, duration_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Ended runs of consecutive breaching points(name, id, ts, value) that last at least the duration, on a stream.
+
+    A run is reported once, when the quiet point that ends it is older than the watermark; runs that still
+    last are rows of ``stream_alert_updates``.
+    """
+    return stream_alert_updates(points, threshold, duration_seconds, delay).where("ended").drop("first_id", "ended")
 
 
 class RateLimiter(StatefulProcessor):

@@ -35,7 +35,7 @@ PARTS = 4
 def run_parts(t, name, start, closing=None):
     """Feed the events to a stream in consecutive slices of time, a micro-batch each, and return the run folder.
 
-    ``closing(events)`` gives the rows of one more slice that ends the input.
+    ``closing(events)`` gives rows that end the input, as part of the last slice.
 
     ``start(tables, folder, checkpoint)`` starts the query over the slices written so far; it is resumed from
     its checkpoint after each.
@@ -48,15 +48,11 @@ def run_parts(t, name, start, closing=None):
         def __getattr__(self, table):
             return self.spark.readStream.schema(t.events.schema).parquet(f"{folder}/in")
 
-    def slices():
-        for low, high in zip(edges[:-1], edges[1:]):
-            inside = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
-            inside = inside if high is None else inside & (F.col("ts") < F.lit(high))
-            yield t.events.where(inside)
-        if closing is not None:
-            yield closing(t.events)
-
-    for rows in slices():
+    for low, high in zip(edges[:-1], edges[1:]):
+        inside = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
+        inside = inside if high is None else inside & (F.col("ts") < F.lit(high))
+        rows = t.events.where(inside)
+        rows = rows.union(closing(t.events)) if closing is not None and high is None else rows
         rows.write.mode("append").parquet(f"{folder}/in")
         start(Slices(t.spark, t.folder), folder, f"{folder}/checkpoint").awaitTermination()
     return folder

@@ -44,8 +44,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of similar ones."""
-    copies = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
+    """One document, that of the smallest id, of each group of similar ones.
+
+    Documents are similar from 80 % of common five-word shingles on, the rule of stages on word shingles; the
+    thin query of op9 has a contract of its own.
+    """
+    copies = similar_documents(docs, percent=80, size=5).where("doc_id <> component_id").select("doc_id")
     return _without(docs, copies, "doc_id")
 
 

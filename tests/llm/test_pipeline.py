@@ -62,3 +62,17 @@ def test_stages_on_empty_and_null_ids(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert sorted((r[0] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()), key=str) == sorted(ids, key=str)
     assert docs.where(F.col("n_chars") == 3).count() == 0
+
+
+def kept_of(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    return sorted(((str(r[0]), r[1]) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).select("doc_id", "text").collect()), key=str)
+
+
+def test_copies_are_similar_from_eighty_percent_of_five_words(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(300))
+    near = base + " " + " ".join(f"t{i}" for i in range(66))  # 0.818
+    far = base + " " + " ".join(f"u{i}" for i in range(80))  # 0.789
+    cut = " ".join(f"x{i}" if i in (30, 60) else f"v{i}" for i in range(90))  # 76 of 96 five-word shingles, 79 of 95 four-word
+    rows = [(1, base, "en"), (2, near, "en"), (3, far, "en"), (4, " ".join(f"v{i}" for i in range(90)), "en"), (5, cut, "en")]
+    assert [r[0] for r in kept_of(spark, tmp_path, rows)] == ["1", "3", "4", "5"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, toxicity
 from tracewright.llm.decontaminate import decontaminate
-from tracewright.llm.jaccard import similar_documents
+from tracewright.llm.jaccard import linked_texts
 from tracewright.llm.lines import dedup_lines
 from tracewright.session import checkpoint_dir, cut_lineage
 
@@ -23,10 +23,10 @@ from tracewright.session import checkpoint_dir, cut_lineage
 BROADCAST_IDS = 4 << 20
 
 
-def _without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Documents whose ``column`` is not among the ids."""
+def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents that match the ids on all columns of these (left_semi), or do not (left_anti)."""
     ids = cut_lineage(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_anti")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +44,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of similar ones.
+    """One document, that of the smallest id, of each group of similar ones; rows of equal id and text are one.
 
     Documents are similar from 80 % of common five-word shingles on, the rule of stages on word shingles; the
-    thin query of op9 has a contract of its own.
+    thin query of op9 has a contract of its own. Rows are told apart by id and text.
     """
-    copies = similar_documents(docs, percent=80, size=5).where("doc_id <> component_id").select("doc_id")
-    return _without(docs, copies, "doc_id")
+    linked = cut_lineage(linked_texts(docs, percent=80, size=5).where("doc_id IS NOT NULL").select("doc_id", F.col("text_hash").alias("_hash"), "least"))
+    key = ["doc_id", "_hash"]
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = _joined(hashed, linked.where("doc_id <> least.doc_id OR _hash <> least.text_hash").select(*key), "left_anti")
+    repeated = cut_lineage(linked.groupBy(*key).count().where("count > 1").select(*key))
+    if repeated.limit(1).count():
+        kept = _joined(kept, repeated, "left_anti").unionByName(_joined(kept, repeated, "left_semi").dropDuplicates(key))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     docs_by_key = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     found = decontaminate(docs_by_key.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs_by_key, found.where("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(*docs.columns)
+    return _joined(docs_by_key, found.where("contaminated").select(F.col("doc_id").alias("_key")), "left_anti").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

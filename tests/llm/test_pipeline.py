@@ -76,3 +76,16 @@ def test_copies_are_similar_from_eighty_percent_of_five_words(spark, tmp_path):
     cut = " ".join(f"x{i}" if i in (30, 60) else f"v{i}" for i in range(90))  # 76 of 96 five-word shingles, 79 of 95 four-word
     rows = [(1, base, "en"), (2, near, "en"), (3, far, "en"), (4, " ".join(f"v{i}" for i in range(90)), "en"), (5, cut, "en")]
     assert [r[0] for r in kept_of(spark, tmp_path, rows)] == ["1", "3", "4", "5"]
+
+
+def test_copies_are_told_apart_by_id_and_text(spark, tmp_path):
+    text = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a"), "en"), (7, text("a"), "en"), (7, text("b"), "en"),  # only one text of id 7 is a copy
+            (5, text("c"), "en"), (5, text("c"), "de"), (5, text("c"), "en"),  # one row stays
+            (6, text("d"), "en"), (6, text("d") + " d30", "en"),  # copies under one id
+            (8, None, "en"), (8, None, "en"), (9, "", "en"), (8, "", "en"), (None, text("e"), "en"), (None, text("e"), "en"), (10, text("e"), "en")]
+    got = kept_of(spark, tmp_path, rows)
+    sixth = [t for i, t in got if i == "6"]
+    assert len(sixth) == 1 and sixth[0] in (text("d"), text("d") + " d30")
+    want = [("1", text("a")), ("7", text("b")), ("5", text("c")), ("8", None), ("9", ""), ("8", ""), ("None", text("e")), ("None", text("e")), ("10", text("e"))]
+    assert sorted((r for r in got if r[0] != "6"), key=str) == sorted(want, key=str)

@@ -147,6 +147,12 @@ def _sets(chosen: DataFrame, size: int) -> DataFrame:
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of at least ``percent`` Jaccard reach."""
+    return linked_texts(docs, percent, size).select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, n_shingles, least: the smallest (doc_id, text_hash) with an id that links reach, null if none has."""
     docs = docs.select("doc_id", "text")
     orders = docs.sparkSession.sparkContext.broadcast(Orders(_common(docs, size), percent, size))
 
@@ -227,6 +233,6 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
         if not left.limit(1).count():
             break
     named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(names, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    names = named.where("n > 0").groupBy("comp").agg(F.min(own).alias("least"))
+    return named.join(names, "comp", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).alias("least"))

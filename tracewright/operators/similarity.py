@@ -13,10 +13,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.functions import cells
 from tracewright.functions.lines import any_contains, occurrences
 from tracewright.functions.plan import computed_once
 from tracewright.functions.skew import join_counted
@@ -209,50 +212,110 @@ def search_code(
     return search_similar(chunks, query_vec, k, threshold, filters)
 
 
-def _block_count(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
-
-
-def _cross_blocks(queries: DataFrame, vectors: DataFrame, block_rows: int, best) -> DataFrame:
-    """Apply ``best`` (a matrix kernel) to every query block x vector block; each group is two blocks."""
-    nq, nv = _block_count(queries, block_rows), _block_count(vectors, block_rows)
-    q = _unit_rows(queries).select(
-        F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("_qb"), F.col("id").alias("qid"), "_u",
-        F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("_vb"))
-    v = _unit_rows(vectors).select(
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_qb"), F.col("id").alias("vid"), "_u",
-        F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("_vb"))
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", vectors.schema["id"].dataType),
-        T.StructField("score", T.DoubleType())])
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["qid"][:0], "id": right["vid"][:0], "score": []})
-        qid, vid = left["qid"].to_numpy(), right["vid"].to_numpy()
-        order = np.argsort(vid, kind="stable")
-        vid, b = vid[order], np.vstack(right["_u"].to_numpy())[order]
-        a = np.vstack(left["_u"].to_numpy())
+def _scores_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _kernel(choose):
+    """Products of two blocks, KERNEL_ROWS queries at a time; ``choose(scores)`` gives the (row, column) places that stay.
+
+    Columns are in the order of the ids.
+    """
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right.column("id")))
+        a, b = cells.matrix(left.column("_u")), cells.matrix(right.column("_u"))
         found = []
         for s in range(0, len(a), KERNEL_ROWS):
             scores = a[s:s + KERNEL_ROWS] @ b.T
-            x, y = best(scores)
-            found.append(pd.DataFrame({"query_id": qid[x + s], "id": vid[y], "score": scores[x, y]}))
-        return pd.concat(found, ignore_index=True)
+            x, y = choose(scores)
+            found.append(pa.table({
+                "query_id": left.column("id").take(pa.array(x + s)), "id": right.column("id").take(pa.array(y)), "score": pa.array(scores[x, y])}))
+        return pa.concat_tables(found)
+
+    return run
+
+
+def _best(k: int):
+    """The k best columns of every row, ties to the first; ties of the k-th are told apart in order."""
+    def choose(scores: np.ndarray):
+        rounded = np.round(scores, 12)
+        take = min(k, scores.shape[1])
+        least = np.partition(rounded, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+        x, y = np.nonzero(rounded >= least[:, None])
+        order = np.lexsort((y, -rounded[x, y], x))
+        x, y = x[order], y[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        return x[place < take], y[place < take]
+
+    return choose
+
+
+def _top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+    """The k best (score, id) of every query, with their rank."""
+    w = Window.partitionBy(by).orderBy(F.round("score", 12).desc(), "id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(kernel, schema)
+def _nearest(asked: DataFrame, members: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> DataFrame:
+    """The k nearest members (id, _u) of every asked (id, _u): first in the home cell, then in all cells the k-th distance reaches."""
+    dealt = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    rings = cells.Rings(dealt, pivots)
+    schema = _scores_schema(asked, members)
+    home = cells.deal(asked, pivots, lambda d, batch: cells.at_home(d) & (rings.count > 0))
+    first = cut_lineage(_top(cells.block_pairs(home, dealt, rings, block_rows, _kernel(_best(k)), schema), k))
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("_kth"))
+
+    def others(d: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        kth = batch.column(batch.schema.get_field_index("_kth")).to_numpy(zero_copy_only=False)
+        known = np.sqrt(np.maximum(2 - 2 * kth, 0) + 1e-10)  # scores that round to the same tie
+        return rings.within(d, np.fmin(known, rings.holding(d, k))) & ~cells.at_home(d)
+
+    away = cells.deal(asked.join(kth, "id", "left"), pivots, others).drop("_kth")
+    more = cells.block_pairs(cut_lineage(away), dealt, rings, block_rows, _kernel(_best(k)), schema)
+    return _top(first.drop("rank").unionByName(more), k)
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest vectors of every query, itself excluded; k per block, then k overall."""
-    def best(scores: np.ndarray):
-        take = min(k + 1, scores.shape[1])
-        cols = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :take]
-        return np.repeat(np.arange(len(scores)), take), cols.ravel()
+    """query_id, id, score, rank: the k nearest vectors of every query, itself (the same id) excluded; ties to the smaller id.
 
-    near = _cross_blocks(queries, vectors, block_rows, best).where(F.col("query_id") != F.col("id"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    Exact, in two rounds: the home cell of a query gives the distance of its k-th best, and a copy of the
+    query goes only to the other cells whose ring meets that distance; vectors stay in their cells. Equal
+    queries are asked once, and of equal vectors only the k + 1 of the smallest ids can be among the nearest, so a
+    group of copies costs as much as those. Where vectors have no clusters the rings prune nothing, and the
+    search is quadratic.
+    """
+    few = _top(vectors.select("id", "embedding", F.lit(0.0).alias("score")), k + 1, "embedding")
+    members = cut_lineage(_unit_rows(few.select("id", "embedding")).select("id", "_u"))
+    asked = cut_lineage(queries.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    units = cut_lineage(_unit_rows(asked).select("id", "_u"))
+    pivots = cells.pivots_of(members, members.count())
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], T.StructType([*_scores_schema(queries, vectors), T.StructField("rank", T.IntegerType())]))
+    near = _nearest(units, members, pivots, k + 1, block_rows)
+    lists = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("near"))  # k + 1 entries
+    answers = asked.join(lists, asked["id"] == lists["query_id"]).select("embedding", "copies", "near")
+    mine = join_counted(queries.select("id", "embedding"), answers, "embedding", "copies", salt=["id"])
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+    return mine.select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "_n")).select(
+        "query_id", F.col("_n.id").alias("id"), F.col("_n.score").alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+def _range_join(mine: DataFrame, known: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(query_id, id, score >= threshold) of two tables (id, embedding); the smaller one is copied over cell bounds."""
+    a, b = (cut_lineage(_unit_rows(side).select("id", "_u")) for side in (mine, known))
+    swapped = a.count() > b.count()
+    guests, members = (b, a) if swapped else (a, b)
+    pivots = cells.pivots_of(members, members.count())
+    schema = _scores_schema(guests, members)
+    if not len(pivots):
+        return mine.sparkSession.createDataFrame([], _scores_schema(mine, known))
+    reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold))))
+    dealt = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    rings = cells.Rings(dealt, pivots)
+    copies = cut_lineage(cells.deal(guests, pivots, lambda d, batch: rings.within(d, np.full(len(d), reach))))
+    hits = cells.block_pairs(copies, dealt, rings, block_rows, _kernel(lambda scores: np.nonzero(scores >= threshold)), schema)
+    return hits.select(F.col("id").alias("query_id"), F.col("query_id").alias("id"), "score") if swapped else hits
 
 
 def external_matches(
@@ -260,14 +323,12 @@ def external_matches(
 ) -> DataFrame:
     """My vectors against a known corpus(id, embedding, risk_level): every match at or above the threshold.
 
-    Equal vectors on either side are matched once through their representative.
+    A metric range join: the larger side stays in its cells, the smaller one is copied to the cells its
+    radius meets. Equal vectors on either side are matched once through their representative.
     """
-    def best(scores: np.ndarray):
-        return np.nonzero(scores >= threshold)
-
     mine = collapse_equal(vectors)
     known = collapse_equal(corpus, extra=[F.max("risk_level").alias("risk_level")])
-    hits = _cross_blocks(mine.select("id", "embedding"), known.select("id", "embedding"), block_rows, best)
+    hits = _range_join(mine.select("id", "embedding"), known.select("id", "embedding"), threshold, block_rows)
     return (
         hits.join(mine.select(F.col("id").alias("query_id"), "copies"), "query_id")
         .join(known.select("id", "risk_level"), "id")
@@ -275,6 +336,21 @@ def external_matches(
     )
 
 
+def external_links(
+    vectors: DataFrame, corpus: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row per representative of my vectors that has a match: how many corpus vectors (copies counted), the
+    closest one's id and score, and the highest risk level. Grows with my vectors, not with the pairs."""
+    mine = collapse_equal(vectors)
+    known = collapse_equal(corpus, extra=[F.max("risk_level").alias("risk_level")])
+    hits = _range_join(mine.select("id", "embedding"), known.select("id", "embedding"), threshold, block_rows)
+    best = F.min(F.struct((-F.round("score", 12)).alias("s"), "id", "score"))  # ties to the smaller id
+    links = hits.join(known.select("id", F.col("copies").alias("_c"), "risk_level"), "id").groupBy("query_id").agg(
+        F.sum("_c").alias("matches"), best.alias("_b"), F.max("risk_level").alias("risk_level"))
+    return links.join(mine.select(F.col("id").alias("query_id"), "copies"), "query_id").select(
+        "query_id", "copies", "matches", F.col("_b.id").alias("best_id"), F.col("_b.score").alias("best_score"), "risk_level")
+
+
 def exact_matches(files: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files whose content hash is in the corpus(id, content): one row per (hash, corpus item)."""
     mine = exact_groups(files)

@@ -187,6 +187,19 @@ def f13(t):
     return S.external_matches(mine, known, 0.28, block_rows=128).withColumn("score", F.round("score", 6))
 
 
+@query("f13_external_links", f"""
+WITH m AS MATERIALIZED (SELECT embedding, min(id) AS id, count(*) AS copies FROM ({VEC}) WHERE language < 'lang5' GROUP BY embedding),
+k AS MATERIALIZED (SELECT embedding, min(id) AS id, count(*) AS n, max(language) AS risk_level FROM ({VEC}) WHERE language >= 'lang5' GROUP BY embedding),
+h AS (SELECT a.id AS query_id, a.copies, b.id, b.n, risk_level, {AB} AS score FROM m a, k b WHERE {AB} >= 0.35)
+SELECT query_id, any_value(copies) AS copies, CAST(sum(n) AS BIGINT) AS matches, arg_min(id, (-round(score, 12), id)) AS best_id,
+  round(max(score), 6) AS best_score, max(risk_level) AS risk_level FROM h GROUP BY query_id""")
+def f13l(t):
+    v = vectors(t)
+    mine = v.where(F.col("language") < "lang5").select("id", "embedding")
+    known = v.where(F.col("language") >= "lang5").select("id", "embedding", F.col("language").alias("risk_level"))
+    return S.external_links(mine, known, 0.35, block_rows=512).withColumn("best_score", F.round("best_score", 6))
+
+
 @query("f14_size_outliers", """
 SELECT doc_id, round(m + 2 * s, 4) AS threshold FROM documents JOIN (SELECT source, avg(octet_length(encode(text))) AS m, stddev_pop(octet_length(encode(text))) AS s
   FROM documents GROUP BY source) USING (source) WHERE octet_length(encode(text)) > m + 2 * s""")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.fold import fold_sorted, islands
+from tracewright.functions.fold import calm_pieces, fold_sorted
 from tracewright.functions.skew import join_counted
 from tracewright.model import lookup
 from tracewright.operators.evidence import classify_errors, event_error
@@ -204,9 +204,10 @@ def rate_limit(
     """Add ``admitted``: at most n admitted events per key in any window; rejected ones do not count.
 
     Admission depends on earlier admissions, so rows are folded in order with the last n admitted
-    times as state. Keys are cut at pauses longer than the window, where the state is empty anyway.
+    times as state. Busy keys are cut where the state follows from the last rows alone: after a pause of a window, or where
+    fewer than n events lie in two windows. A key under permanent overload has no such place and is one task's stream.
     """
-    rows = islands(routed, [key], ["ts", ident], seconds, slice_seconds)
+    rows = calm_pieces(routed, [key], ["ts", ident], n, seconds, slice_seconds)
 
     def step(recent: deque, second: float):
         while recent and recent[0] <= second - seconds:
@@ -216,8 +217,8 @@ def rate_limit(
             return recent, True
         return recent, False
 
-    return fold_sorted(
-        rows, [key, "_island"], ["ts", ident], "admitted", T.BooleanType(), deque, step).drop("_island")
+    folded = fold_sorted(rows, [key, "_piece"], ["ts", ident], "admitted", T.BooleanType(), deque, step)
+    return folded.where("NOT _warm").drop("_piece", "_warm")
 
 
 def delivery_groups(routed: DataFrame) -> DataFrame:

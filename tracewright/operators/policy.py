@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.fold import fold_sorted, islands
+from tracewright.functions.fold import chain_entries, fold_sorted, slice_length
 from tracewright.model import lookup
 
 # Deployment risk table and approvers.
@@ -182,19 +182,27 @@ def dedupe_requests(req: DataFrame, ttl: int = CACHE_TTL_SECONDS, slice_seconds:
     """Add ``hit``: an equal request was evaluated at most ``ttl`` seconds before and is still valid.
 
     Validity runs from the evaluation, not from the last hit, so each decision depends on earlier
-    ones of the same key; keys are cut at pauses longer than the ttl and folded in order.
+    ones of the same key. Busy keys are cut into slices of time: a table of each slice says which evaluation
+    it leaves valid for any it is entered with, these compose to the entering one of every slice, and slices
+    are then folded side by side, whether the key ever pauses or not.
     req(request_key, ts, request_id, ...).
     """
-    rows = islands(req, ["request_key"], ["ts", "request_id"], ttl, slice_seconds)
-
-    def step(anchor, second):
+    keys, order = ["request_key"], ["ts", "request_id"]
+    length = slice_length(req, keys, "ts", ttl, slice_seconds)
+    entries = chain_entries(req, keys, order, ttl, length)
+    rows = req.withColumn("_second", F.col("ts").cast("double")).withColumn("_slice", F.floor(F.col("_second") / length)).join(
+        entries, [*keys, "_slice"], "left")
+
+    def step(anchor, second, enter):
+        if anchor is None:
+            anchor = enter if enter is not None and enter == enter else None
         if anchor is not None and second <= anchor + ttl:
             return anchor, True
         return second, False
 
     return fold_sorted(
-        rows, ["request_key", "_island"], ["ts", "request_id"], "hit", T.BooleanType(), lambda: None, step
-    ).drop("_island")
+        rows, [*keys, "_slice"], order, "hit", T.BooleanType(), lambda: None, step, ["_second", "_enter"]
+    ).select(*req.columns, "hit")
 
 
 def cache_statistics(deduped: DataFrame) -> DataFrame:

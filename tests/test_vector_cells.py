@@ -82,7 +82,8 @@ def test_rings_prune_clusters(spark):
     rows = spark.createDataFrame(clustered(600, 4, spread=0.01), SCHEMA)
     units = S._unit_rows(rows).select("id", "_u")
     pivots = cells.pivots_of(units, 600)
-    rings = cells.Rings(cells.deal(units, pivots, cells.at_home), pivots)
+    members = cells.deal(units, pivots, cells.at_home)
+    rings = cells.Rings(members, pivots)
     x = np.array([r["_u"] for r in units.collect()])
     d = cells.chord(x, pivots)
     taken = rings.within(d, np.full(len(d), 0.2))
@@ -90,5 +91,9 @@ def test_rings_prune_clusters(spark):
     close = cells.chord(x, x) <= 0.2
     home = d.argmin(1)
     assert all(taken[i, home[j]] for i, j in zip(*np.nonzero(close)))
+    packed = cells.Rings(members, pivots, 100)
+    assert packed.pack_count.sum() == 600 and 4 <= len(packed.pack_count) <= 6
+    homes = packed.packs(cells.at_home(d))
+    assert (homes.sum(1) == 1).all() and (packed.packs(taken) >= homes).all() and packed.packs(taken).mean() < 0.6
     held = rings.holding(d, 5)
     assert ((cells.chord(x, x) <= held[:, None] + 1e-9).sum(1) >= 5).all()

@@ -3,8 +3,8 @@
 All vectors are of unit length and compared in the chord metric, where cosine s is distance sqrt(2 - 2 s). A
 vector lives in the cell of its nearest pivot. For a radius r around a vector q only those cells can hold a
 match whose ring of pivot distances meets q's pivot distance within r, and whose side of the plane between
-the two pivots q comes within r of. Cells are cut into blocks of a fixed number of rows, so a dense cell is
-many tasks.
+the two pivots q comes within r of. Neighbouring cells are packed until they hold a block of rows, and larger
+packs are cut into blocks, so a vector is copied once a block, not once a cell, and a dense cell is many tasks.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
 
 
 def deal(rows: DataFrame, pivots: np.ndarray, choose: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """Rows with ``_cell`` and ``_far``, once for each cell that ``choose(distances, batch)`` marks for them."""
+    """Rows with ``_far`` from their nearest pivot and ``_place``, once for each place that ``choose(distances, batch)`` marks for them."""
     names = rows.columns
     at = names.index("_u")
 
@@ -52,13 +52,14 @@ def deal(rows: DataFrame, pivots: np.ndarray, choose: Callable[[np.ndarray, pa.R
             if not batch.num_rows:
                 continue
             d = chord(matrix(batch.column(at)), pivots)
-            row, cell = np.nonzero(choose(d, batch))
+            row, place = np.nonzero(choose(d, batch))
+            far = d.min(1)
             for low in range(0, len(row), BATCH_ROWS):
-                r, c = row[low:low + BATCH_ROWS], cell[low:low + BATCH_ROWS]
+                r, c = row[low:low + BATCH_ROWS], place[low:low + BATCH_ROWS]
                 yield pa.RecordBatch.from_arrays(
-                    [*(column.take(pa.array(r)) for column in batch.columns), pa.array(c, pa.int32()), pa.array(d[r, c])], names=[*names, "_cell", "_far"])
+                    [*(column.take(pa.array(r)) for column in batch.columns), pa.array(far[r]), pa.array(c, pa.int32())], names=[*names, "_far", "_place"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_far", T.DoubleType()), T.StructField("_place", T.IntegerType())]))
 
 
 def at_home(d: np.ndarray, batch: pa.RecordBatch | None = None) -> np.ndarray:
@@ -69,13 +70,38 @@ def at_home(d: np.ndarray, batch: pa.RecordBatch | None = None) -> np.ndarray:
 
 
 class Rings:
-    """Members and least and greatest pivot distance of every cell; cells without members have none."""
+    """Members and least and greatest pivot distance of every cell, and the packs of neighbouring cells; empty cells have none.
 
-    def __init__(self, members: DataFrame, pivots: np.ndarray):
-        self.count, self.low, self.high = np.zeros(len(pivots), np.int64), np.full(len(pivots), 9.0), np.full(len(pivots), -9.0)
-        for r in members.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_far").alias("low"), F.max("_far").alias("high")).collect():
-            self.count[r["_cell"]], self.low[r["_cell"]], self.high[r["_cell"]] = r["n"], r["low"], r["high"]
+    ``members`` are dealt to their cells. Tasks get this object, so it holds arrays only.
+    """
+
+    def __init__(self, members: DataFrame, pivots: np.ndarray, block_rows: int = 1):
+        m = len(pivots)
+        self.count, self.low, self.high = np.zeros(m, np.int64), np.full(m, 9.0), np.full(m, -9.0)
+        for r in members.groupBy("_place").agg(F.count("*").alias("n"), F.min("_far").alias("low"), F.max("_far").alias("high")).collect():
+            self.count[r["_place"]], self.low[r["_place"]], self.high[r["_place"]] = r["n"], r["low"], r["high"]
         self.between = chord(pivots, pivots)
+        self.pack = np.zeros(m, np.int64)
+        left, cell, held, number = set(range(m)), 0, 0, 0
+        while left:  # from cell to nearest cell
+            left.discard(cell)
+            self.pack[cell] = number
+            held += self.count[cell]
+            if held >= block_rows:
+                held, number = 0, number + 1
+            if left:
+                rest = np.fromiter(left, np.int64)
+                cell = int(rest[self.between[cell][rest].argmin()])
+        self.in_pack = self.pack[:, None] == np.arange(self.pack.max() + 1)[None, :]
+        self.pack_count = self.count @ self.in_pack
+
+    def packed(self, members: DataFrame) -> DataFrame:
+        """Members with their pack as ``_place``."""
+        return members.withColumn("_place", F.get(F.array(*[F.lit(int(p)) for p in self.pack]), F.col("_place")))
+
+    def packs(self, marked: np.ndarray) -> np.ndarray:
+        """Packs that have a marked cell with members."""
+        return (marked & (self.count > 0)).astype(np.float32) @ self.in_pack.astype(np.float32) > 0
 
     def holding(self, d: np.ndarray, k: int) -> np.ndarray:
         """A distance within which every row, given by its pivot distances, has k members: whole cells, the closest first."""
@@ -95,30 +121,30 @@ class Rings:
 
 
 def block_pairs(guests: DataFrame, members: DataFrame, rings: Rings, block_rows: int, kernel, schema: T.StructType) -> DataFrame:
-    """kernel(guests, members) over every block of guests and block of members of a cell.
+    """kernel(guests, members) over every block of guests and block of members of a pack.
 
-    Members move to as many tasks as their cell has blocks of guests; both block counts follow from counts by
-    cell, a table bounded by the pivots.
+    Members move to as many tasks as their pack has blocks of guests; both block counts follow from counts by
+    pack, tables bounded by the pivots.
     """
-    inside = {int(c): int(n) for c, n in enumerate(rings.count) if n}
-    cells = members.sparkSession.createDataFrame([(c, max(1, math.ceil(n / block_rows))) for c, n in inside.items()], "_cell int, _inside int")
-    asked = guests.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_outside"))
-    sizes = F.broadcast(cells.join(F.broadcast(asked), "_cell"))
+    spark = guests.sparkSession
+    packs = spark.createDataFrame([(p, max(1, math.ceil(n / block_rows))) for p, n in enumerate(rings.pack_count.tolist())], "_place int, _inside int")
+    asked = guests.groupBy("_place").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_outside"))
+    sizes = F.broadcast(packs.join(F.broadcast(asked), "_place"))
 
     def part(ident: Column, count: str) -> Column:
         return F.pmod(F.xxhash64(ident), F.col(count)).cast("int")
 
-    left = guests.join(sizes, "_cell").select(
-        "_cell", F.explode(F.sequence(F.lit(0), F.col("_inside") - 1)).alias("_block"), part(F.col("id"), "_outside").alias("_slot"), "id", "_u")
-    right = members.join(sizes, "_cell").select(
-        "_cell", part(F.col("id"), "_inside").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_outside") - 1)).alias("_slot"), "id", "_u")
+    left = guests.join(sizes, "_place").select(
+        "_place", F.explode(F.sequence(F.lit(0), F.col("_inside") - 1)).alias("_block"), part(F.col("id"), "_outside").alias("_slot"), "id", "_u")
+    right = rings.packed(members).join(sizes, "_place").select(
+        "_place", part(F.col("id"), "_inside").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_outside") - 1)).alias("_slot"), "id", "_u")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         found = [kernel(a, b)] if a.num_rows and b.num_rows else []
         return pa.concat_tables(found) if found else pa.table({f.name: pa.array([], f.type) for f in empty})
 
     empty = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
-    place = ["_cell", "_block", "_slot"]
+    place = ["_place", "_block", "_slot"]
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(meet, schema)
 
 

@@ -258,29 +258,31 @@ def _top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def _nearest(asked: DataFrame, members: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> DataFrame:
-    """The k nearest members (id, _u) of every asked (id, _u): first in the home cell, then in all cells the k-th distance reaches."""
-    dealt = cut_lineage(cells.deal(members, pivots, cells.at_home))
-    rings = cells.Rings(dealt, pivots)
+    """The k nearest members (id, _u) of every asked (id, _u): first around home, then in all cells the k-th distance reaches."""
+    members = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    rings = cells.Rings(members, pivots, block_rows)
     schema = _scores_schema(asked, members)
-    home = cells.deal(asked, pivots, lambda d, batch: cells.at_home(d) & (rings.count > 0))
-    first = cut_lineage(_top(cells.block_pairs(home, dealt, rings, block_rows, _kernel(_best(k)), schema), k))
+    home = cells.deal(asked, pivots, lambda d, batch: rings.packs(cells.at_home(d)))
+    first = cut_lineage(_top(cells.block_pairs(home, members, rings, block_rows, _kernel(_best(k)), schema), k))
+    if rings.in_pack.shape[1] == 1:
+        return first
     kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("_kth"))
 
     def others(d: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         kth = batch.column(batch.schema.get_field_index("_kth")).to_numpy(zero_copy_only=False)
         known = np.sqrt(np.maximum(2 - 2 * kth, 0) + 1e-10)  # scores that round to the same tie
-        return rings.within(d, np.fmin(known, rings.holding(d, k))) & ~cells.at_home(d)
+        return rings.packs(rings.within(d, np.fmin(known, rings.holding(d, k)))) & ~rings.packs(cells.at_home(d))
 
-    away = cells.deal(asked.join(kth, "id", "left"), pivots, others).drop("_kth")
-    more = cells.block_pairs(cut_lineage(away), dealt, rings, block_rows, _kernel(_best(k)), schema)
+    away = cells.deal(asked.join(kth, "id", "left"), pivots, others)
+    more = cells.block_pairs(away, members, rings, block_rows, _kernel(_best(k)), schema)
     return _top(first.drop("rank").unionByName(more), k)
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, id, score, rank: the k nearest vectors of every query, itself (the same id) excluded; ties to the smaller id.
 
-    Exact, in two rounds: the home cell of a query gives the distance of its k-th best, and a copy of the
-    query goes only to the other cells whose ring meets that distance; vectors stay in their cells. Equal
+    Exact, in two rounds: the cells around a query's home give the distance of its k-th best, and a copy of the
+    query goes only to the other packs of cells of which a ring meets that distance; vectors stay in their cells. Equal
     queries are asked once, and of equal vectors only the k + 1 of the smallest ids can be among the nearest, so a
     group of copies costs as much as those. Where vectors have no clusters the rings prune nothing, and the
     search is quadratic.
@@ -311,10 +313,10 @@ def _range_join(mine: DataFrame, known: DataFrame, threshold: float, block_rows:
     if not len(pivots):
         return mine.sparkSession.createDataFrame([], _scores_schema(mine, known))
     reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold))))
-    dealt = cut_lineage(cells.deal(members, pivots, cells.at_home))
-    rings = cells.Rings(dealt, pivots)
-    copies = cut_lineage(cells.deal(guests, pivots, lambda d, batch: rings.within(d, np.full(len(d), reach))))
-    hits = cells.block_pairs(copies, dealt, rings, block_rows, _kernel(lambda scores: np.nonzero(scores >= threshold)), schema)
+    members = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    rings = cells.Rings(members, pivots, block_rows)
+    copies = cells.deal(guests, pivots, lambda d, batch: rings.packs(rings.within(d, np.full(len(d), reach))))
+    hits = cells.block_pairs(copies, members, rings, block_rows, _kernel(lambda scores: np.nonzero(scores >= threshold)), schema)
     return hits.select(F.col("id").alias("query_id"), F.col("query_id").alias("id"), "score") if swapped else hits
 
 

@@ -121,7 +121,7 @@ WITH v AS MATERIALIZED ({VEC}) SELECT query_id, id, score, rank FROM (
   FROM v a JOIN v b ON a.id <> b.id) WHERE rank <= 5""")
 def f8(t):
     v = vectors(t).select("id", "embedding")
-    return S.knn_join(v, v, 5, block_rows=256).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return S.knn_join(v, v, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("f9_search_facets", f"""
@@ -197,7 +197,7 @@ def f13l(t):
     v = vectors(t)
     mine = v.where(F.col("language") < "lang5").select("id", "embedding")
     known = v.where(F.col("language") >= "lang5").select("id", "embedding", F.col("language").alias("risk_level"))
-    return S.external_links(mine, known, 0.35, block_rows=512).withColumn("best_score", F.round("best_score", 6))
+    return S.external_links(mine, known, 0.35).withColumn("best_score", F.round("best_score", 6))
 
 
 @query("f14_size_outliers", """

@@ -34,3 +34,55 @@ def join_counted(
         .withColumn("_v", F.coalesce("_heavy", "_light")).where(F.col("_v").isNotNull())
         .select(*detail.columns, *[F.col("_v")[c].alias(c) for c in cols])
     )
+
+
+#: A cell of a grid has so many pairs and rows at least; smaller keys are not cut.
+CELL_PAIRS = 1 << 20
+CELL_ROWS = 1 << 16
+ROW_SHARES = 100
+
+
+def grid_cells(
+    left: DataFrame, right: DataFrame, key: str, shares: int = HEAVY_SHARES, cell_pairs: int = CELL_PAIRS, cell_rows: int = CELL_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_i`` and ``_j``, so that rows of equal key meet in exactly one cell (key, _i, _j).
+
+    A key of a rows on the left and b on the right makes a * b pairs. A key with 1/shares of all pairs, or
+    1/ROW_SHARES of a side's rows, is heavy: there are at most shares + 2 * ROW_SHARES of these, a table that is
+    broadcast. Its pairs are a grid: left rows are dealt to stripes and copied along the other axis, right rows the other way
+    round, with stripes of the number that copies least. Rows are dealt by a hash of all their columns, so a task that
+    runs again deals alike; rows equal in all columns share a stripe. Heavy keys that one side lacks leave
+    before the shuffle; null keys too.
+    """
+    left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
+    counts = left.groupBy(key).agg(F.count("*").alias("_a")).join(right.groupBy(key).agg(F.count("*").alias("_b")), key, "full").select(
+        key, F.coalesce("_a", F.lit(0)).cast("double").alias("_a"), F.coalesce("_b", F.lit(0)).cast("double").alias("_b"))
+
+    def total(value):
+        return counts.agg(F.coalesce(F.sum(value), F.lit(0.0))).scalar()
+
+    a, b = F.col("_a"), F.col("_b")
+    sized = counts.select(
+        key, "_a", "_b", F.ceil(a * b / F.greatest(F.lit(float(cell_pairs)), total(a * b) / shares)).alias("_cells"),
+        F.ceil(a / F.greatest(F.lit(float(cell_rows)), total(a) / ROW_SHARES)).alias("_tall"),
+        F.ceil(b / F.greatest(F.lit(float(cell_rows)), total(b) / ROW_SHARES)).alias("_wide"))
+    heavy = sized.where("_cells > 1 OR _tall > 1 OR _wide > 1").select(
+        key, (a * b > 0).alias("_meets"),
+        F.greatest("_tall", F.least(a, F.ceil(F.sqrt(F.col("_cells") * F.try_divide(a, b))))).cast("int").alias("_rows"),
+        F.greatest("_wide", F.least(b, F.ceil(F.sqrt(F.col("_cells") * F.try_divide(b, a))))).cast("int").alias("_cols"))
+
+    def cut(side: DataFrame, own: str, dealt: str, copied: str, along: str) -> DataFrame:
+        part = F.coalesce(F.pmod(F.xxhash64(*side.columns), F.col(own)).cast("int"), F.lit(0))
+        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(along) - 1, F.lit(0))))
+        return side.join(F.broadcast(heavy), key, "left").where(F.coalesce("_meets", F.lit(True))).select(
+            *side.columns, part.alias(dealt), other.alias(copied))
+
+    return cut(left, "_rows", "_i", "_j", "_cols"), cut(right, "_cols", "_j", "_i", "_rows")
+
+
+def grid_join(
+    left: DataFrame, right: DataFrame, key: str, shares: int = HEAVY_SHARES, cell_pairs: int = CELL_PAIRS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Inner join on one key that may be heavy on both sides; see ``grid_cells``."""
+    one, two = grid_cells(left, right, key, shares, cell_pairs, cell_rows)
+    return one.join(two, [key, "_i", "_j"]).drop("_i", "_j")

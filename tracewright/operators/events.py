@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.fold import calm_pieces, fold_sorted
-from tracewright.functions.skew import join_counted
+from tracewright.functions.skew import grid_join, join_counted
 from tracewright.model import lookup
 from tracewright.operators.evidence import classify_errors, event_error
 from tracewright.operators.reports import finding_risk, job_risk, publishable
@@ -367,13 +367,15 @@ def enrich_alerts(alerts: DataFrame) -> DataFrame:
 def fan_out_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(event, subscriber) for subscriptions(subscriber, event_type) to the exact type or ``*``.
 
-    Every event is looked up under its type and under ``*``; a wildcard makes a subscriber's other
-    subscriptions redundant, so one equi-join covers both without a list of types.
+    A wildcard makes a subscriber's other subscriptions redundant. Exact types are an equi-join, wildcards
+    a join of their own in which all events have one key; both are cut into grids where types and their
+    subscribers are many on both sides.
     """
     wild = subscriptions.where(F.col("event_type") == "*").select("subscriber").distinct()
-    exact = subscriptions.where(F.col("event_type") != "*").distinct().join(wild, "subscriber", "left_anti")
-    wanted = exact.select("subscriber", F.col("event_type").alias("_key")).unionByName(wild.withColumn("_key", F.lit("*")))
-    return events.withColumn("_key", F.explode(F.array("event_type", F.lit("*")))).join(wanted, "_key").drop("_key")
+    exact = subscriptions.where(F.col("event_type") != "*").select("subscriber", "event_type").distinct().join(wild, "subscriber", "left_anti")
+    typed = grid_join(events.withColumn("_key", F.col("event_type")), exact.withColumnRenamed("event_type", "_key"), "_key")
+    everything = grid_join(events.withColumn("_key", F.lit("*")), wild.withColumn("_key", F.lit("*")), "_key")
+    return typed.unionByName(everything).drop("_key")
 
 
 def subscription_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:

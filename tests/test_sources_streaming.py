@@ -11,6 +11,7 @@ from tracewright.plans import bindings as B
 from tracewright.plans.registry import Tables
 from tracewright.plans.streaming import StreamTables, latest_rows
 from tracewright.sources import files as S
+from tracewright.streaming import carry as C
 from tracewright.streaming import jobs as J
 from tracewright.streaming import topics as P
 
@@ -99,9 +100,8 @@ def split_events(spark, tmp_path, parts):
 def test_streaming_limiter_over_many_batches(spark, tmp_path):
     rows, stream = split_events(spark, tmp_path, 4)
     pick = lambda d: d.select("event_id", (F.col("user_id") % 3).alias("recipient_id"), "ts")
-    out = J.stream_rate_limit(pick(stream), 5, 36_000)
-    P.write_table(out, str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
-    got = {r["event_id"]: r["admitted"] for r in P.read_table(spark, str(tmp_path / "o"), "t").collect()}
+    C.write_rate_limited(pick(stream), str(tmp_path / "o"), str(tmp_path / "c"), 5, 36_000).awaitTermination()
+    got = {r["event_id"]: r["admitted"] for r in C.read_rate_limited(spark, str(tmp_path / "o"), pick(rows)).collect()}
     want = {r["event_id"]: r["admitted"] for r in K.rate_limit(pick(rows), 5, 36_000).collect()}
     assert got == want and not all(want.values())
 
@@ -125,8 +125,8 @@ def test_approval_expiry(spark, tmp_path):
     for part in (first, second, third):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    P.write_table(J.approval_timeouts(stream), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
-    got = sorted(tuple(r) for r in P.read_table(spark, str(tmp_path / "o"), "t").select("id", "state", "missing").collect())
+    C.write_approvals(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    got = sorted(tuple(r) for r in C.read_approvals(spark, str(tmp_path / "o"), stream).select("id", "state", "missing").collect())
     assert got == [("r1", "expired", "b"), ("r2", "approved", "")]
 
 
@@ -143,8 +143,8 @@ def test_approvals_are_kept_until_their_request(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    P.write_table(J.approval_timeouts(stream), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
-    got = sorted(tuple(r) for r in P.read_table(spark, str(tmp_path / "o"), "t").select("id", "state", "missing").collect())
+    C.write_approvals(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    got = sorted(tuple(r) for r in C.read_approvals(spark, str(tmp_path / "o"), stream).select("id", "state", "missing").collect())
     assert got == [("early", "approved", ""), ("late", "expired", "a"), ("open", "approved", "")]
 
 
@@ -158,8 +158,8 @@ def test_a_quiet_point_ends_a_streamed_run(spark, tmp_path):
     for part in (rows[:30] + rows[60:90], rows[30:60] + rows[90:120], rows[120:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    P.write_table(J.stream_sustained_alerts(stream, 15, 1800), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
-    got = [(r["name"], r["started_at"], r["points"]) for r in P.read_table(spark, str(tmp_path / "o"), "t").collect()]
+    C.write_alert_updates(stream, str(tmp_path / "o"), str(tmp_path / "c"), 15, 1800).awaitTermination()
+    got = [(r["name"], r["started_at"], r["points"]) for r in C.read_alert_updates(spark, str(tmp_path / "o")).where("ended").collect()]
     assert [(n, p) for n, _, p in got] == [("steady", 50)]
     batch = M.sustained_alerts(spark.createDataFrame(rows, schema), 15, 1800).collect()
     assert [(r["name"], r["started_at"], r["points"]) for r in batch] == got
@@ -174,8 +174,8 @@ def test_a_run_that_lasts_is_alerted(spark, tmp_path):
     for part in ([r for r in rows if r[3] < T0 + 60 * minute], [r for r in rows if r[3] >= T0 + 60 * minute], [(None, 0, None, T0 + timedelta(days=1))]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    P.write_table(J.stream_alert_updates(stream, 15, 1800), str(tmp_path / "o"), "t", str(tmp_path / "c")).awaitTermination()
-    told = P.read_table(spark, str(tmp_path / "o"), "t")
+    C.write_alert_updates(stream, str(tmp_path / "o"), str(tmp_path / "c"), 15, 1800).awaitTermination()
+    told = C.read_alert_updates(spark, str(tmp_path / "o"))
     first = told.where("batch_id = 1 AND NOT ended").count() + told.where("batch_id = 2 AND NOT ended").count()
     assert first > 0  # before the input ended
     got = sorted((r["name"], r["ended_at"], r["points"], r["ended"]) for r in latest_rows(told, ["name", "started_at", "first_id"]).collect())
@@ -193,3 +193,54 @@ def test_windows_match_batch(spark, tmp_path):
     assert got and all(want[k] == n for k, n in got.items())
     open_windows = set(want) - set(got)
     assert {w for _, w in open_windows} <= {max(w for _, w in want)}
+
+
+def test_carried_state_survives_restarts_and_disorder(spark, tmp_path):
+    """Points that swap places between micro-batches, within the delay, change nothing; nor does a restart after each."""
+    import random
+
+    rnd = random.Random(6)
+    minute = timedelta(minutes=1)
+    rows = [(f"n{i % 3}", i, 30.0 if rnd.random() < 0.9 else 1.0, T0 + i * minute) for i in range(400)]
+    order = sorted(rows, key=lambda r: (r[3] + rnd.randrange(8) * minute))
+    schema = "name string, id long, value double, ts timestamp"
+    src = str(tmp_path / "in")
+    for k in range(5):
+        part = order[80 * k:80 * (k + 1)] + ([(None, 0, None, T0 + timedelta(days=2))] if k == 4 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        C.write_alert_updates(spark.readStream.schema(schema).parquet(src), str(tmp_path / "o"), str(tmp_path / "c"), 15, 900).awaitTermination()
+    got = latest_rows(C.read_alert_updates(spark, str(tmp_path / "o")), ["name", "started_at", "first_id"])
+    batch = M.sustained_alerts(spark.createDataFrame(rows, schema), 15, 900)
+    cols = ["name", "started_at", "ended_at", "points", "peak"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+    open_rows = spark.read.parquet(str(tmp_path / "o") + "/steps").groupBy("batch_id", "part").count().where("part = 'open'").collect()
+    assert open_rows and max(r["count"] for r in open_rows) <= 3
+
+
+def test_a_decided_request_is_not_asked_again(spark, tmp_path):
+    src, hour = str(tmp_path / "in"), timedelta(hours=1)
+    schema = "id string, kind string, role string, required string, deadline timestamp, ts timestamp"
+    parts = [
+        [("r", "request", None, "a,a", T0 + 4 * hour, T0), ("r", "approval", "a", None, None, T0 + hour), ("forever", "request", None, "a", None, T0)],
+        [("r", "request", None, "b", T0 + 4 * hour, T0 + 2 * hour), ("free", "request", None, None, T0 + 4 * hour, T0 + 3 * hour)],
+        [("tick", "approval", "x", None, None, T0 + 20 * hour), ("forever", "approval", "a", None, None, T0 + 19 * hour)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    C.write_approvals(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    got = sorted(tuple(r) for r in C.read_approvals(spark, str(tmp_path / "o"), stream).collect())
+    assert got == [("forever", "approved", "", 2), ("free", "approved", "", 1), ("r", "approved", "", 0)]
+
+
+def test_limits_hold_across_batches_and_late_events(spark, tmp_path):
+    src = str(tmp_path / "in")
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "recipient_id string, event_id long, ts timestamp"
+    parts = [[("a", 1, at(0)), ("a", 2, at(50)), ("a", 3, at(55)), ("b", 4, at(0))], [("a", 5, at(40)), ("a", 6, at(61)), ("a", 7, at(62))], [("a", 8, at(111)), ("b", 9, at(59)), ("b", 10, at(70))]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    C.write_rate_limited(stream, str(tmp_path / "o"), str(tmp_path / "c"), 2, 60).awaitTermination()
+    got = {r["event_id"]: r["admitted"] for r in C.read_rate_limited(spark, str(tmp_path / "o"), stream).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: True, 9: True, 10: True}

@@ -10,8 +10,9 @@ from tracewright.plans.policy import points
 from tracewright.plans.registry import ORACLE, query
 from tracewright.plans.scan import SQL_WEIGHT
 from tracewright.plans.streaming import StreamTables, closing_row, latest_rows, run_parts
-from tracewright.streaming.jobs import route_failures, stream_alert_updates
-from tracewright.streaming.topics import new_run_folder, read_routed, read_table, write_table
+from tracewright.streaming.carry import read_alert_updates, write_alert_updates
+from tracewright.streaming.jobs import route_failures
+from tracewright.streaming.topics import new_run_folder, read_routed
 
 q = B.sql_str
 FIND = B.SQL_FINDINGS
@@ -263,9 +264,9 @@ def k18(t):
 def k18u(t):
     """The rows of k18_sustained_alerts from a stream: also runs that still last at the end of the input."""
     def start(tables, folder, checkpoint):
-        return write_table(stream_alert_updates(points(tables).drop("tags"), 25, 1800), folder, "out", checkpoint)
+        return write_alert_updates(points(tables).drop("tags"), folder, checkpoint, 25, 1800)
 
-    rows = read_table(t.spark, run_parts(t, "alert_updates", start, closing_row), "out")
+    rows = read_alert_updates(t.spark, run_parts(t, "alert_updates", start, closing_row))
     return latest_rows(rows, ["name", "started_at", "first_id"]).select(
         "name", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"),
         F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"), "points", "peak")

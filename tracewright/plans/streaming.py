@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewright.plans import bindings as B
 from tracewright.plans.evidence import SQL_EVENT_ERROR, SQL_ROUTE, STATUS, TYPE, status_rows
 from tracewright.plans.registry import Tables, query
+from tracewright.streaming import carry as C
 from tracewright.streaming import jobs as J
 from tracewright.streaming import topics as S
 
@@ -22,13 +23,6 @@ def _streams(t):
     return StreamTables(t.spark, t.folder)
 
 
-def _run(t, name, stream, mode="append"):
-    """Run to the end of the input and read the written table."""
-    folder = S.new_run_folder(t.spark, name)
-    S.write_table(stream, folder, "out", f"{folder}/checkpoint", mode).awaitTermination()
-    return S.read_table(t.spark, folder, "out").drop("batch_id")
-
-
 PARTS = 4
 
 
@@ -124,19 +118,18 @@ def closing_row(events):
 
 @query("k18_stream_sustained_alerts", """
 WITH p AS (SELECT event_type AS name, event_id AS id, ts, CAST(floor(value) AS DOUBLE) AS value, floor(value) > 15 AS hot FROM events),
-seen AS (SELECT * FROM p WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
 i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) - row_number() OVER (PARTITION BY name, hot ORDER BY ts, id) AS island,
-  lead(hot) OVER (PARTITION BY name ORDER BY ts, id) AS next FROM seen)
+  lead(hot) OVER (PARTITION BY name ORDER BY ts, id) AS next FROM p)
 SELECT name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS points, max(value) AS peak
 FROM i WHERE hot GROUP BY name, island HAVING bool_or(next IS NOT NULL AND NOT next) AND date_sub('second', min(ts), max(ts)) >= 1800""")
 def k18s(t):
-    """Runs that a quiet point behind the watermark has ended; k18_stream_alert_updates has all."""
+    """Runs that a quiet point has ended; k18_stream_alert_updates has all."""
     def start(tables, folder, checkpoint):
         points = tables.events.select(
             F.col("event_type").alias("name"), F.col("event_id").alias("id"), F.floor("value").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
-        return S.write_table(J.stream_sustained_alerts(points, 15, 1800), folder, "out", checkpoint)
+        return C.write_alert_updates(points, folder, checkpoint, 15, 1800)
 
-    out = S.read_table(t.spark, run_parts(t, "alerts", start), "out")
+    out = C.read_alert_updates(t.spark, run_parts(t, "alerts", start, closing_row)).where("ended")
     return out.select("name", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "points", "peak")
 
 
@@ -154,8 +147,11 @@ c AS (SELECT k, rn, event_id, [ts] AS recent, true AS admitted FROM r WHERE rn =
     SELECT r.k, r.rn, r.event_id, r.ts, list_filter(c.recent, lambda x: x > r.ts - INTERVAL 21600 SECOND) AS live FROM c JOIN r ON r.k = c.k AND r.rn = c.rn + 1))
 SELECT event_id, k AS recipient_id, admitted FROM c""")
 def k8s(t):
-    rows = _streams(t).events.select("event_id", (F.col("user_id") % 20).alias("recipient_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(t, "limiter", J.stream_rate_limit(rows, 4, 21_600)).select("event_id", "recipient_id", "admitted")
+    def sent(tables):
+        return tables.events.select("event_id", (F.col("user_id") % 20).alias("recipient_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+    folder = run_parts(t, "limiter", lambda tables, folder, checkpoint: C.write_rate_limited(sent(tables), folder, checkpoint, 4, 21_600))
+    return C.read_rate_limited(t.spark, folder, sent(t)).select("event_id", "recipient_id", "admitted")
 
 
 def approval_stream(t):
@@ -175,4 +171,5 @@ a AS (SELECT id, bool_or(event_type = 'signup') AS asked, coalesce(bool_or(event
 SELECT id, CASE WHEN c AND v THEN 'approved' ELSE 'expired' END AS state, array_to_string(list_filter([CASE WHEN NOT c THEN 'click' END, CASE WHEN NOT v THEN 'view' END], lambda x: x IS NOT NULL), ',') AS missing
 FROM a WHERE asked AND (c AND v OR strptime(right(id, 8), '%Y%m%d') + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events))""")
 def k19(t):
-    return _run(t, "approvals", J.approval_timeouts(approval_stream(_streams(t))))
+    folder = run_parts(t, "approvals", lambda tables, folder, checkpoint: C.write_approvals(approval_stream(tables), folder, checkpoint))
+    return C.read_approvals(t.spark, folder, approval_stream(t)).select("id", "state", "missing")

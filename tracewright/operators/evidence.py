@@ -252,11 +252,15 @@ def classify_errors(errors: DataFrame) -> DataFrame:
                              ).withColumn("retryable", ~F.col("error_name").isin(NOT_RETRYABLE))
 
 
+def retry_delay(attempt: Column) -> Column:
+    """Seconds to wait after the attempt of that number, from 0 on."""
+    return F.least(F.lit(FIRST_DELAY) * F.pow(F.lit(BACKOFF), attempt), F.lit(MAX_DELAY)).cast("long")
+
+
 def retry_schedule(errors: DataFrame, retries: int = MAX_RETRIES) -> DataFrame:
     """One row per retry: its delay and the time it is due."""
     rows = errors.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1))))
-    delay = F.least(F.lit(FIRST_DELAY) * F.pow(F.lit(BACKOFF), F.col("attempt")), F.lit(MAX_DELAY)).cast("long")
-    return rows.withColumn("delay_seconds", delay)
+    return rows.withColumn("delay_seconds", retry_delay(F.col("attempt")))
 
 
 def latest_status(status: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from tracewright.plans.registry import ORACLE, query
 from tracewright.plans.scan import SQL_WEIGHT
 from tracewright.plans.streaming import StreamTables, closing_row, latest_rows, run_parts
 from tracewright.streaming.carry import read_alert_updates, write_alert_updates
-from tracewright.streaming.jobs import route_failures
-from tracewright.streaming.topics import new_run_folder, read_routed
+from tracewright.streaming.jobs import route_failures, write_with_retries
+from tracewright.streaming.topics import new_run_folder, read_routed, read_table
 
 q = B.sql_str
 FIND = B.SQL_FINDINGS
@@ -250,6 +250,26 @@ def k15(t):
     return tables[0].unionByName(tables[1]).select("seq", "queue", "message", "error_type", "retryable")
 
 
+NEEDED = "CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN seq % 4 ELSE 0 END"
+
+
+@query("k15_retries", f"""
+SELECT seq, CASE WHEN bad IS NOT NULL THEN 0 ELSE least({NEEDED}, 2) END AS attempt, CASE WHEN bad IS NULL AND {NEEDED} < 3 THEN 'done' ELSE 'errors' END AS queue,
+  CASE WHEN bad IS NOT NULL THEN 'validation' WHEN {NEEDED} >= 3 THEN 'signing' END AS error_type
+FROM (SELECT seq, priority, {SQL_EVENT_ERROR} AS bad FROM ({B.SQL_PIPELINE}))""")
+def k15r(t):
+    """Last attempt of every event: critical ones succeed on their second pass, high ones need up to four of the three allowed."""
+    needed = F.when(F.col("priority") == "critical", 1).when(F.col("priority") == "high", F.col("seq") % 4).otherwise(0)
+    name = F.when(F.col("priority") == "critical", F.lit("TransportError")).otherwise("VaultError")
+    folder = new_run_folder(t.spark, "retries")
+    for _ in range(3):
+        write_with_retries(
+            B.pipeline_events(StreamTables(t.spark, t.folder)), lambda rows: rows.withColumn("error_name", F.when(F.col("attempt") < needed, name)),
+            folder, f"{folder}/checkpoint", 3, "2100-01-01").awaitTermination()
+    last = read_table(t.spark, folder, "attempts").where("queue <> 'retry'")
+    return last.select("seq", F.col("attempt").cast("long").alias("attempt"), "queue", "error_type")
+
+
 @query("k18_sustained_alerts", """
 SELECT name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS points, max(value) AS peak FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) - row_number() OVER (PARTITION BY name, hot ORDER BY ts, id) AS island

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewright.operators.events import dead_letter
-from tracewright.operators.evidence import event_type_name, filter_events, package_hash, route_workflow, validate_event
+from tracewright.operators.evidence import (
+    event_error, event_type_name, filter_events, package_hash, retry_delay, route_workflow, validate_event)
 from tracewright.streaming.topics import write_batch, write_outcomes, write_routed
 def notarization_outcomes(
     events: DataFrame, types: Sequence[str] | None = None, sources: Sequence[str] | None = None,
@@ -78,3 +80,37 @@ def route_failures(events: DataFrame, folder: str, checkpoint: str) -> Streaming
     """Failed events of a stream: retryable ones go to the retry table, which feeds the input again, the rest to errors."""
     failed = dead_letter(events).withColumn("queue", F.when(F.col("retryable"), "retry").otherwise("errors"))
     return write_routed(failed, "queue", folder, checkpoint)
+
+
+def write_with_retries(
+    events: DataFrame, process: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, attempts: int, as_of: str | None = None
+) -> StreamingQuery:
+    """Run ``process`` on new events and on the due rows of the retry table, which is the second source of the stream.
+
+    ``process`` gets the events with ``attempt`` (0 at first) and adds ``error_name``, null on success. Every
+    attempt is a row of the attempts table with its ``queue``: done, retry or errors. Retryable failures go to the retry table with
+    the next attempt and the time they are due; after ``attempts`` of them, and for failures that
+    no retry mends, the queue is errors. Rows not due at ``as_of`` (now, if not given) go back as they are. A replayed
+    micro-batch overwrites its own folders. One run takes what is there when it starts: a stream that is
+    run again, or triggered on and on, takes the retries of the run before.
+    """
+    spark = events.sparkSession
+    schema = T.StructType([*events.schema.fields, T.StructField("attempt", T.IntegerType()), T.StructField("due", T.TimestampType())])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/retry/start")
+    again = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/retry")
+    source = events.withColumns({"attempt": F.lit(0), "due": F.col("ts").cast("timestamp")}).unionByName(again)
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        waits = (F.col("attempt") > 0) & (F.col("due") > now)
+        tried = process(batch.where(~waits))
+        last = F.col("attempt") + 1 >= attempts
+        failed = dead_letter(tried).withColumn("queue", F.when(F.col("retryable") & ~last, "retry").otherwise("errors"))
+        done = tried.where(event_error(tried).isNull() & F.col("error_name").isNull()).withColumn("queue", F.lit("done"))
+        write_batch(done.unionByName(failed, allowMissingColumns=True), folder, "attempts", batch_id)
+        written = spark.read.schema(T.StructType([*schema.fields, T.StructField("queue", T.StringType())])).parquet(f"{folder}/attempts/batch_id={batch_id}")
+        wait = F.make_dt_interval(secs=retry_delay(F.col("attempt")))
+        next_try = written.where("queue = 'retry'").withColumns({"due": F.greatest("due", F.col("ts").cast("timestamp")) + wait, "attempt": F.col("attempt") + 1})
+        next_try.drop("queue").unionByName(batch.where(waits)).write.mode("overwrite").parquet(f"{folder}/retry/{batch_id}")
+
+    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()

@@ -20,8 +20,9 @@ def trimmed(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without terminators; a final newline adds no line and empty text has none."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
+    plain = F.split(F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text), "\n", -1)
+    mixed = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).when(text.contains("\r"), mixed).otherwise(plain)
 
 
 def line_count(text: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from tracewright import rules as R
 from tracewright.functions.lines import (
-    WHITESPACE, any_contains, explode_lines, line_count, occurrences, split_lines, trimmed,
+    WHITESPACE, any_contains, line_count, occurrences, split_lines, trimmed,
 )
+from tracewright.functions.plan import computed_once
 from tracewright.model import lookup
 
 
@@ -202,26 +203,22 @@ def count_pii(files: DataFrame) -> DataFrame:
 
 
 def content_findings(files: DataFrame) -> DataFrame:
-    """Whole-file keyword findings and task comments of code files, one pass over the files."""
-    low = F.lower(F.col("content"))
+    """Whole-file keyword findings and task comments of code files: one array per file, from one pass over the texts."""
+    kinds = "array<struct<finding_type:string,severity:string,line_number:int,context:string>>"
+
+    def found(kind: str, severity: str, line: Column, context: Column) -> Column:
+        return F.struct(F.lit(kind).alias("finding_type"), F.lit(severity).alias("severity"), line.cast("int").alias("line_number"), context.cast("string").alias("context"))
+
+    none = F.lit(None)
+    low = computed_once(files, "_low", F.lower(F.col("content")))
     whole = F.array_compact(F.array(
-        F.when(has_secret_words(F.col("content")), F.struct(
-            F.lit("potential_secret").alias("finding_type"), F.lit("medium").alias("severity"))),
-        F.when(any_contains(low, R.SUSPICIOUS_WORDS), F.struct(
-            F.lit("suspicious_content").alias("finding_type"), F.lit("high").alias("severity"))),
-    ))
-    per_file = files.select("job_id", "path", F.explode(whole).alias("f")).select(
-        "job_id", "path", "f.finding_type", "f.severity",
-        F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("string").alias("context"),
-    )
-    code = files.where((F.col("file_type") == "code") & any_contains(low, R.TASK_WORDS))
-    comments = explode_lines(code.select("job_id", "path", "content")).where(
-        any_contains(F.lower("line"), R.TASK_WORDS)
-    ).select(
-        "job_id", "path", F.lit("code_comment").alias("finding_type"), F.lit("low").alias("severity"),
-        F.col("line_number").cast("int"), trimmed(F.col("line")).alias("context"),
-    )
-    return per_file.unionByName(comments)
+        F.when(any_contains(F.col("_low"), R.SECRET_WORDS), found("potential_secret", "medium", none, none)),
+        F.when(any_contains(F.col("_low"), R.SUSPICIOUS_WORDS), found("suspicious_content", "high", none, none)))).cast(kinds)
+    tagged = F.transform(split_lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    tasks = F.transform(F.filter(tagged, lambda x: any_contains(F.lower(x["line"]), R.TASK_WORDS)), lambda x: found("code_comment", "low", x["n"], trimmed(x["line"])))
+    has_tasks = (F.col("file_type") == "code") & any_contains(F.col("_low"), R.TASK_WORDS)
+    comments = F.when(has_tasks, tasks.cast(kinds)).otherwise(F.array().cast(kinds))
+    return low.select("job_id", "path", F.explode(F.concat(whole, comments)).alias("f")).select("job_id", "path", "f.*")
 
 
 def analyze_files(files: DataFrame, max_mb: int | None = None) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import rules as R
-from tracewright.functions.lines import any_match, explode_lines, split_lines, trimmed
+from tracewright.functions.lines import any_contains, any_match, explode_lines, split_lines, trimmed
 from tracewright.model import as_findings, severity_of
 from tracewright.operators.files import byte_entropy, file_name
 from tracewright.rules import Rule
@@ -30,15 +31,33 @@ def _guarded(rule: Rule, hit: Column, language: Column | None) -> Column:
     return hit if gate is None else gate & hit
 
 
+def _folds(rule: Rule) -> bool:
+    return rule.pattern.startswith("(?i)")
+
+
+def _has_needs(text: Column, rule: Rule) -> Column:
+    """Whether the text holds the literals of a rule."""
+    return reduce(lambda a, b: a & b, [any_contains(text, list(group)) for group in rule.needs])
+
+
+def may_match(text: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
+    """Whether the literals of any rule are there: byte searches in place of patterns. The text is folded once, if at all."""
+    free = [_guarded(r, F.lit(True), language) for r in rules if not r.needs]
+    plain = [_guarded(r, _has_needs(text, r), language) for r in rules if r.needs and not _folds(r)]
+    folded = [r for r in rules if r.needs and _folds(r)]
+    tests = free + plain
+    if folded:
+        tests.append(F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [_guarded(r, _has_needs(low, r), language) for r in folded])))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def matching_rules(text: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
     """Array of the indexes of the rules that match; patterns are literals, compiled once per task."""
-    return F.array_compact(F.array(*[
-        F.when(_guarded(r, text.rlike(r.pattern), language), F.lit(i)) for i, r in enumerate(rules)
-    ]))
-
+    def hit(rule: Rule) -> Column:
+        found = text.rlike(rule.pattern)
+        return _guarded(rule, found if not rule.needs or _folds(rule) else _has_needs(text, rule) & found, language)
 
-def _anchored(pattern: str) -> bool:
-    return "^" in pattern.replace("[^", "") or "$" in pattern.replace(r"\$", "")
+    return F.array_compact(F.array(*[F.when(hit(r), F.lit(i)) for i, r in enumerate(rules)]))
 
 
 def scan_lines(
@@ -46,18 +65,19 @@ def scan_lines(
 ) -> DataFrame:
     """Findings for every (line, rule) match.
 
-    Files in which no rule can match are dropped before lines are exploded (a line match is
-    also a match of the whole text unless the pattern is anchored), and lines without a match
-    before rules are.
+    Files without the literals of any rule are dropped before lines are exploded, lines without them before
+    patterns are tried.
     """
     language = F.col("language") if "language" in files.columns else None
     keep = ["job_id", "path"] + (["language"] if language is not None else [])
-    rows = files.select(*keep, F.col(content).alias("content"))
-    if not any(_anchored(r.pattern) for r in rules):
-        rows = rows.where(_any_rule(F.col("content"), rules, language))
-    lines = explode_lines(rows).where(_any_rule(F.col("line"), rules, language))
+    rows = files.select(*keep, F.col(content).alias("content")).where(may_match(F.col("content"), rules, language))
+    lines = explode_lines(rows).where(may_match(F.col("line"), rules, language))
     hits = lines.withColumn("_ix", F.explode(matching_rules(F.col("line"), rules, language)))
-    text = redact(F.col("line")) if redacted else trimmed(F.col("line"))
+    return _line_findings(hits, rules, redact(F.col("line")) if redacted else trimmed(F.col("line")))
+
+
+def _line_findings(hits: DataFrame, rules: Sequence[Rule], text: Column) -> DataFrame:
+    """Findings of (job_id, path, line_number, line, _ix) rows."""
     ix = F.col("_ix")
     return as_findings(
         hits,
@@ -74,18 +94,6 @@ def scan_lines(
     )
 
 
-def _any_rule(text: Column, rules: Sequence[Rule], language: Column | None) -> Column:
-    """Whether any rule matches: one alternation per set of languages, so text is decoded once per set."""
-    by_language: dict[tuple[str, ...], list[Rule]] = {}
-    for r in rules:
-        by_language.setdefault(("*",) if "*" in r.languages else r.languages, []).append(r)
-    hit = None
-    for same in by_language.values():
-        one = _guarded(same[0], text.rlike("|".join(f"(?:{r.pattern})" for r in same)), language)
-        hit = one if hit is None else hit | one
-    return hit
-
-
 def redact(text: Column) -> Column:
     for pattern, replacement in R.REDACTIONS:
         text = F.regexp_replace(text, pattern, replacement)
@@ -100,7 +108,7 @@ def scan_paths(files: DataFrame, fragments: Sequence[str] = R.SUSPICIOUS_PATH_FR
     return as_findings(
         hits, rule=F.concat(F.lit("path:"), F.col("fragment")), finding_type="suspicious_code", severity="medium",
         title="Suspicious file path detected", confidence=0.7, evidence={"pattern": F.col("fragment")},
-        recommendation="Review file purpose and ensure it's legitimate", path=F.col("path"),
+        recommendation="Find out what the file is for", path=F.col("path"),
     )
 
 
@@ -110,7 +118,7 @@ def scan_hidden(files: DataFrame) -> DataFrame:
     return as_findings(
         files.where(hidden), rule=F.lit("hidden"), finding_type="suspicious_code", severity="low",
         title="Hidden directory detected", confidence=0.5, evidence={"file_path": p},
-        recommendation="Verify the purpose of files in hidden directories", path=p,
+        recommendation="List what the directory holds and who put it there", path=p,
     )
 
 
@@ -133,7 +141,7 @@ def scan_entropy(files: DataFrame, threshold: float = 7.5) -> DataFrame:
     return as_findings(
         hot, rule=F.lit("entropy"), finding_type="malware", severity="medium", title="High entropy file detected",
         confidence=0.4, evidence={"entropy": F.round("entropy", 6)}, path=F.col("path"),
-        recommendation="Analyze file for potential malware or review encryption usage",
+        recommendation="Unpack or decrypt the file and look inside",
     )
 
 
@@ -179,7 +187,7 @@ def scan_obfuscated(files: DataFrame, density: float = 0.8) -> DataFrame:
         is_obfuscated(files, density).where("is_obfuscated"), rule=F.lit("obfuscated"),
         finding_type="suspicious_code", severity="medium", title="Potentially obfuscated code detected",
         confidence=0.6, evidence={"density": F.round("density", 6)}, path=F.col("path"),
-        recommendation="Review code for legitimate obfuscation or potential malicious intent",
+        recommendation="Ask for the source this was made from",
     )
 
 
@@ -201,7 +209,7 @@ def exec_ratio(files: DataFrame, limit: float = 0.3) -> DataFrame:
         title="Unusually high number of executable files", confidence=0.6,
         evidence={"executable_count": F.col("executables"), "total_files": F.col("total"),
                   "ratio": F.round("ratio", 6)},
-        recommendation="Review the purpose of executable files in the repository",
+        recommendation="Build programs from source; keep none in the repository",
     )
 
 
@@ -211,7 +219,7 @@ def scan_configs(files: DataFrame) -> DataFrame:
         hits, rule=F.lit("config_credentials"), finding_type="secret_exposure", severity="high",
         title="Hardcoded credentials in configuration", confidence=0.8,
         evidence={"detection_method": F.lit("credential_pattern_matching")}, path=F.col("path"),
-        recommendation="Use environment variables or secure credential management",
+        recommendation="Inject the credentials when the service starts",
     )
 
 
@@ -220,7 +228,7 @@ def exposed_files(files: DataFrame, names: Sequence[str] = R.EXPOSED_FILE_NAMES)
     return as_findings(
         files.where(name.isin(*names)), rule=F.lit("exposed"), finding_type="data_leak", severity="high",
         title="Potentially sensitive file exposed", confidence=0.8, evidence={"filename": name}, path=F.col("path"),
-        recommendation="Ensure sensitive files are properly secured and not exposed",
+        recommendation="Take the file out of the tree and its history",
     )
 
 
@@ -229,6 +237,67 @@ def scan_repository(files: DataFrame) -> DataFrame:
     return exec_ratio(files).unionByName(scan_configs(files)).unionByName(exposed_files(files))
 
 
+#: Line rules of a whole scan and whether the evidence is redacted.
+LINE_RULES = (
+    *((r, True) for r in R.SECRET_RULES), *((r, False) for r in R.VULNERABILITY_RULES), *((r, False) for r in R.BACKDOOR_RULES),
+    *((r, False) for r in R.LANGUAGE_RULES), *((r, False) for r in R.ANTI_PATTERN_RULES))
+
+
+def scan_all(files: DataFrame, line_rules: Sequence[tuple[Rule, bool]] = LINE_RULES) -> DataFrame:
+    """All findings of files(job_id, path, language, file_type, content) from one scan of the texts.
+
+    Every file gives one array: what its path and its whole text raise (path fragments, hidden folders, exposed names, configured
+    credentials, obfuscation) and the hits of all line rules, tagged by rule. Lines are only split where a rule's literals are in
+    the file, and patterns only tried where they are in the line. Rows are what the single scanners give.
+    """
+    rules, redacted = [r for r, _ in line_rules], [r.name for r, hidden in line_rules if hidden]
+    language, path, content = F.col("language"), F.col("path"), F.col("content")
+
+    def found(kind: str, evidence: Column, where: Column) -> Column:
+        return F.when(where, F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("_ix"), F.lit(None).cast("int").alias("line_number"), evidence.cast("string").alias("line")))
+
+    fragments = F.transform(
+        F.filter(F.array(*[F.lit(f) for f in R.SUSPICIOUS_PATH_FRAGMENTS]), lambda f: F.contains(F.lower(path), f)), lambda f: found("path", f, F.lit(True)))
+    name = file_name(path)
+    hidden = path.contains("/.") & ~path.contains("/.git/") & ~path.contains("/.github/")
+    whole = F.array(
+        found("hidden", path, hidden), found("exposed", name, name.isin(*R.EXPOSED_FILE_NAMES)),
+        found("config", F.lit("credential_pattern_matching"), (F.col("file_type") == "config") & any_match(content, R.CREDENTIAL_PATTERNS)),
+        found("obfuscated", F.round("density", 6), F.col("is_obfuscated")))
+    tagged = F.transform(split_lines(content), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    hits = F.flatten(F.transform(
+        F.filter(tagged, lambda x: may_match(x["line"], rules, language)),
+        lambda x: F.transform(matching_rules(x["line"], rules, language), lambda ix: F.struct(
+            F.lit("line").alias("kind"), ix.alias("_ix"), x["n"].cast("int").alias("line_number"), x["line"].alias("line")))))
+    empty = F.array().cast("array<struct<kind:string,_ix:int,line_number:int,line:string>>")
+    lines = F.when(may_match(content, rules, language), hits).otherwise(empty)
+    rows = is_obfuscated(files.select("job_id", "path", "language", "file_type", "content")).select(
+        "job_id", "path", F.explode(F.concat(fragments, F.array_compact(whole), lines)).alias("f")).select("job_id", "path", "f.*")
+    by_kind = {
+        "path": (F.concat(F.lit("path:"), F.col("line")), "suspicious_code", "medium", "Suspicious file path detected", 0.7),
+        "hidden": (F.lit("hidden"), "suspicious_code", "low", "Hidden directory detected", 0.5),
+        "exposed": (F.lit("exposed"), "data_leak", "high", "Potentially sensitive file exposed", 0.8),
+        "config": (F.lit("config_credentials"), "secret_exposure", "high", "Hardcoded credentials in configuration", 0.8),
+        "obfuscated": (F.lit("obfuscated"), "suspicious_code", "medium", "Potentially obfuscated code detected", 0.6)}
+    ix, text = F.coalesce("_ix", F.lit(0)), F.col("line")
+
+    def pick(place: int, of_rule: Column) -> Column:
+        out = of_rule
+        for kind, values in by_kind.items():
+            out = F.when(F.col("kind") == kind, values[place] if isinstance(values[place], Column) else F.lit(values[place])).otherwise(out)
+        return out
+
+    rule = _constants([r.name for r in rules], ix)
+    secret = _constants([r.finding_type == "secret_exposure" for r in rules], ix)
+    confidence = _constants([r.confidence for r in rules], ix)
+    shown = F.when(F.col("kind") != "line", text).when(rule.isin(*redacted), redact(text)).otherwise(trimmed(text))
+    return as_findings(
+        rows, rule=pick(0, rule), finding_type=pick(1, _constants([r.finding_type for r in rules], ix)),
+        severity=pick(2, F.when(secret, severity_of(confidence)).otherwise(_constants([r.severity for r in rules], ix))),
+        title=pick(3, _constants([r.title for r in rules], ix)), confidence=pick(4, confidence), evidence={"evidence": shown},
+        recommendation=F.when(F.col("kind") == "line", _constants([r.recommendation for r in rules], ix)), path=path, line_number=F.col("line_number"))
+
+
 def scan_files(files: DataFrame, secret_rules: Sequence[Rule] = R.SECRET_RULES) -> DataFrame:
     """All per-file findings."""
     parts = [

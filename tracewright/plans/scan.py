@@ -184,6 +184,32 @@ def c15(t):
     return flat(S.scan_repository(_typed(t)))
 
 
+ALL_FILES = f"SELECT job_id, path, CAST(NULL AS VARCHAR) AS language, file_type, content FROM ({TYPED}) UNION ALL SELECT job_id, path, language, file_type, content FROM ({CODE})"
+NAME = "string_split(path, '/')[-1]"
+SQL_DENSE = f"""
+SELECT * FROM (SELECT *, {B.sql_lines('content')} AS ls FROM f)
+WHERE list_sum([octet_length(encode(x)) for x in ls]) / len(ls) > 100 OR len([x for x in ls if octet_length(encode(x)) > 200]) / len(ls) > 0.1
+  OR length(regexp_replace(content, '\\s', '', 'g')) / octet_length(encode(content)) > 0.8"""
+
+
+@query("c15_scan_all", f"WITH f AS MATERIALIZED ({ALL_FILES}), lines AS MATERIALIZED ({B.sql_explode('SELECT * FROM f', 'job_id, path, language')}) " + " UNION ALL ".join([
+    *(sql_finding("SELECT * FROM f", q("path:" + w), "'suspicious_code'", "'medium'", "'Suspicious file path detected'", 0.7, None, f"contains(lower(path), {q(w)})")
+      for w in R.SUSPICIOUS_PATH_FRAGMENTS),
+    sql_finding("SELECT * FROM f", "'hidden'", "'suspicious_code'", "'low'", "'Hidden directory detected'", 0.5, None,
+                "contains(path, '/.') AND NOT contains(path, '/.git/') AND NOT contains(path, '/.github/')"),
+    sql_finding("SELECT * FROM f", "'exposed'", "'data_leak'", "'high'", "'Potentially sensitive file exposed'", 0.8, None, f"{NAME} IN {B.sql_in(R.EXPOSED_FILE_NAMES)}"),
+    sql_finding("SELECT * FROM f", "'config_credentials'", "'secret_exposure'", "'high'", "'Hardcoded credentials in configuration'", 0.8, None,
+                "file_type = 'config' AND (" + " OR ".join(f"regexp_matches(content, {q(p)})" for p in R.CREDENTIAL_PATTERNS) + ")"),
+    sql_finding(SQL_DENSE, "'obfuscated'", "'suspicious_code'", "'medium'", "'Potentially obfuscated code detected'", 0.6),
+    *(sql_finding("SELECT * FROM lines", q(r.name), q(r.finding_type), q(r.severity), q(r.title), r.confidence, None,
+                  f"regexp_matches(line, {q(r.pattern)})" + ("" if "*" in r.languages else f" AND language IN {B.sql_in(r.languages)}"), "line_number")
+      for r, _ in S.LINE_RULES)]))
+def c15all(t):
+    """Every finding of all files from one scan of their texts."""
+    docs = _typed(t).select("job_id", "path", F.lit(None).cast("string").alias("language"), "file_type", "content")
+    return flat(S.scan_all(docs.unionByName(B.code_files(t).select(*docs.columns))))
+
+
 def flagship_findings(t) -> DataFrame:
     """Credential findings (any line of any document) and personal-data findings, per source."""
     files = B.doc_files(t)

@@ -12,11 +12,11 @@ from tracewright.streaming import topics as S
 
 
 class StreamTables(Tables):
-    """The given tables as streams of their files."""
+    """The given tables as streams of their files; a table is a file or a folder of files."""
 
     def __getattr__(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
 
 def _streams(t):

@@ -82,6 +82,46 @@ def chain_tips(ledger: DataFrame) -> DataFrame:
         F.count("*").alias("blocks"), F.max_by("block_hash", "index").alias("tip"))
 
 
+def _seal_data(segment: Column, blocks: Column, tip: Column) -> Column:
+    return F.sha2(F.concat_ws("|", segment, blocks.cast("string"), tip), 256)
+
+
+def seal_segments(ledger: DataFrame, seconds: int) -> DataFrame:
+    """A chain over the tips of segments that were built in parallel: it proves their order and that none is missing.
+
+    ledger: the chains of ``segment_streams``. One row per segment: stream, index, ts (the start of its slice),
+    data_hash (of segment, blocks and tip), the chain columns, and segment, blocks, tip. ``chain_tips`` of the seals is the
+    one digest of each stream to keep elsewhere.
+    """
+    number = F.regexp_extract("stream", r"#(-?\d+)\z", 1).cast("long")
+    tips = chain_tips(ledger).select(
+        F.regexp_replace("stream", r"#-?\d+\z", "").alias("stream"), F.timestamp_seconds(number * seconds).alias("ts"), number.alias("seq"),
+        F.col("stream").alias("segment"), "blocks", "tip", _seal_data(F.col("stream"), F.col("blocks"), F.col("tip")).alias("data_hash"))
+    chain = build_chain(tips.select("stream", "ts", "seq", "data_hash"))
+    return chain.join(tips.select("stream", "ts", "segment", "blocks", "tip"), ["stream", "ts"])
+
+
+def verify_segments(ledger: DataFrame, seals: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(segment, problem) across segments: missing (sealed, but not in the ledger), unsealed (the other way round), altered (its
+    tip or block count is not the sealed one), broken (the seal's own hash or its link to the seal before).
+
+    heads(stream, blocks, tip): the kept digests of the streams; a stream whose seals end elsewhere is truncated. Inside a
+    segment ``verify_chain`` tells which block is bad.
+    """
+    now = chain_tips(ledger).select(F.col("stream").alias("segment"), F.col("blocks").alias("_blocks"), F.col("tip").alias("_tip"))
+    problem = (
+        F.when(F.col("_tip").isNull(), "missing").when(F.col("tip").isNull(), "unsealed")
+        .when(_seal_data(F.col("segment"), F.col("_blocks"), F.col("_tip")) != F.col("data_hash"), "altered"))
+    found = seals.select("segment", "tip", "data_hash").join(now, "segment", "full_outer").select("segment", problem.alias("problem"))
+    broken = verify_chain(seals).join(seals.select("stream", "index", "segment"), ["stream", "index"]).select("segment", F.lit("broken").alias("problem"))
+    out = found.where(F.col("problem").isNotNull()).unionByName(broken)
+    if heads is not None:
+        ends = chain_tips(seals).select("stream", F.col("blocks").alias("_blocks"), F.col("tip").alias("_tip"))
+        short = heads.join(ends, "stream", "left").where(~F.col("tip").eqNullSafe(F.col("_tip")) | ~F.col("blocks").eqNullSafe(F.col("_blocks")))
+        out = out.unionByName(short.select(F.col("stream").cast("string").alias("segment"), F.lit("truncated").alias("problem")))
+    return out
+
+
 def verify_chain(ledger: DataFrame) -> DataFrame:
     """Bad blocks: own hash does not recompute, or the link to the block before is broken.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.model import severity_rank, severity_weight
+from tracewright.session import cut_lineage
 
 # Weight x confidence is capped at 10.
 SCORE_CAP = 10.0
@@ -219,6 +221,35 @@ def upsert_repositories(target: DataFrame, batch: DataFrame, fields: list[str],
         F.coalesce("_last", "last_analyzed").alias("last_analyzed"), *[field(f) for f in fields])
 
 
+def merge_repositories(
+    spark: SparkSession, path: str, batch: DataFrame, fields: list[str], as_of: str = "analyzed_at", buckets: int = 64, batch_id: int | None = None
+) -> None:
+    """Upsert a batch into the table at ``path``, which lies in folders by hash of the url; only folders the batch touches are rewritten.
+
+    Every row keeps the last ``batch_id`` that changed it, so a batch that is merged again after a failure
+    changes nothing twice. At most ``buckets`` folder numbers go through the driver.
+    """
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    named = batch.where(F.col("url").isNotNull()).withColumn("_bucket", bucket)
+    touched = [r[0] for r in named.select("_bucket").distinct().collect()]
+    kinds = {f.name: f.dataType for f in batch.schema.fields}
+    schema = T.StructType([
+        T.StructField("url", T.StringType()), T.StructField("analysis_count", T.LongType()), T.StructField("first_analyzed", kinds[as_of]),
+        T.StructField("last_analyzed", kinds[as_of]), *[T.StructField(f, kinds[f]) for f in fields], T.StructField("last_batch", T.LongType()),
+        T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
+    target = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(touched))
+    number = F.lit(batch_id).cast("long")
+    done = target.where(F.coalesce(F.col("last_batch") >= number, F.lit(False))).select("url")
+    fresh = named.drop("_bucket").join(done, "url", "left_anti")
+    merged = upsert_repositories(target, fresh, fields, as_of).join(
+        fresh.select("url").distinct().withColumn("_hit", F.lit(True)), "url", "left").join(
+        target.select("url", F.col("last_batch").alias("_old")), "url", "left").select(
+        "url", "analysis_count", "first_analyzed", "last_analyzed", *fields,
+        F.when(F.col("_hit"), F.coalesce(number, F.col("_old"))).otherwise(F.col("_old")).alias("last_batch"), bucket.alias("bucket"))
+    cut_lineage(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def job_durations(jobs: DataFrame) -> DataFrame:
     ms = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("completed_at"))
     return jobs.withColumn("duration_ms", ms).withColumn(

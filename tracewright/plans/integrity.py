@@ -49,6 +49,20 @@ def h2s(t):
     return H.chain_tips(H.build_chain(H.segment_streams(chain_rows(t), 86_400)))
 
 
+@query("h2_dropped_segments", """
+WITH s AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d, count(*) AS n FROM events GROUP BY ALL),
+k AS (SELECT *, user_id || '#' || d AS segment, (user_id * 31 + d) % 11 = 0 AS dropped, (user_id + d) % 13 = 0 AS cut FROM s)
+SELECT segment, CASE WHEN dropped OR n = 1 THEN 'missing' ELSE 'altered' END AS problem FROM k WHERE dropped OR cut""")
+def h2d(t):
+    """Some segments are dropped from the sealed ledger and some lose their first block: the seals tell which."""
+    day = 86_400
+    ledger = H.build_chain(H.segment_streams(chain_rows(t), day))
+    user, at = F.split_part("stream", F.lit("#"), F.lit(1)).cast("long"), F.split_part("stream", F.lit("#"), F.lit(2)).cast("long")
+    left = ledger.where(((user * 31 + at) % 11 != 0) & (((user + at) % 13 != 0) | (F.col("index") > 0)))
+    seals = H.seal_segments(ledger, day)
+    return H.verify_segments(left, seals, H.chain_tips(seals))
+
+
 @query("h3_verify_chain", """
 SELECT stream, CAST(i AS BIGINT) AS index, NOT bad AS hash_ok, NOT coalesce(prev_cut, false) AS link_ok FROM (
   SELECT stream, i, bad, lag(cut) OVER (PARTITION BY stream ORDER BY i) AS prev_cut FROM (

@@ -8,6 +8,8 @@ from tracewright.plans.files import SENSITIVITY, SKIPPED, TYPED, _typed
 from tracewright.operators.files import classify_sensitivity, filter_analyzable
 from tracewright.plans.registry import query
 from tracewright.plans.scan import SQL_WEIGHT
+from tracewright.streaming.jobs import write_repositories
+from tracewright.streaming.topics import new_run_folder
 
 FIND = B.SQL_FINDINGS
 JOBS = B.SQL_JOBS
@@ -124,6 +126,22 @@ def g12(t):
     return G.upsert_repositories(target, batch, ["size_bytes", "kind"])
 
 
+@query("g12_stream_upserts", r"""
+SELECT regexp_extract(url, '^https?://(?:m\.|www\.)?([^/]+)', 1) AS url, count(*) AS analysis_count, min(page_id) AS first_analyzed, max(page_id) AS last_analyzed,
+  max_by(octet_length(encode(html)), page_id) AS size_bytes FROM pages GROUP BY 1""")
+def g12s(t):
+    """Pages in three files, a micro-batch each, merged into the table of hosts."""
+    p = t.pages.select(
+        F.regexp_extract("url", r"^https?://(?:m\.|www\.)?([^/]+)", 1).alias("url"), F.col("page_id").alias("analyzed_at"), F.octet_length("html").cast("long").alias("size_bytes"))
+    folder = new_run_folder(t.spark, "repositories")
+    low, high = p.agg(F.percentile_approx("analyzed_at", [0.3, 0.6])).first()[0] or (0, 0)
+    for inside in (F.col("analyzed_at") < low, (F.col("analyzed_at") >= low) & (F.col("analyzed_at") < high), F.col("analyzed_at") >= high):
+        p.where(inside).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(p.schema).parquet(f"{folder}/in")
+        write_repositories(stream, f"{folder}/table", f"{folder}/checkpoint", ["size_bytes"], buckets=16).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/table").drop("bucket", "last_batch")
+
+
 @query("g13_job_statistics", f"""
 SELECT status, count(*) AS jobs, round(avg(d), 4) AS avg_duration_ms, max(d) AS max_duration_ms,
   round(avg(CASE status WHEN 'completed' THEN 100 WHEN 'queued' THEN 0 ELSE 50 END), 4) AS avg_progress

@@ -7,7 +7,7 @@ from tracewright.plans.files import INV
 from tracewright.operators.files import inventory
 from tracewright.plans.registry import query
 from tracewright.sources import files as S
-from tracewright.streaming.topics import decode_events
+from tracewright.streaming.topics import decode_events, new_run_folder, read_events, read_table, split_decoded, write_table
 
 q = B.sql_str
 
@@ -18,6 +18,18 @@ def a1(t):
         "job_id", "path", "size_bytes", "name", "extension", F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss").alias("modified_at"))
 
 
+@query("a1_scan_files", """
+SELECT 'lang=' || lang || '/group=' || (doc_id // 100) AS folder, 'txt' AS extension, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes,
+  sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS hash_sha256 FROM documents GROUP BY lang, doc_id // 100""")
+def a1s(t):
+    """A tree of text files of up to 100 documents each, written to the shared folder and read back as files."""
+    root = f"{new_run_folder(t.spark, 'tree')}/files"
+    docs = t.documents.select("lang", F.floor(F.col("doc_id") / 100).alias("group"), "doc_id", "text")
+    docs.repartition("lang", "group").sortWithinPartitions("lang", "group", "doc_id").select("lang", "group", "text").write.partitionBy("lang", "group").text(root)
+    found = S.scan_files(t.spark, root).where(F.col("extension") == "txt")
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "extension", "size_bytes", F.sha2("content", 256).alias("hash_sha256"))
+
+
 def log_lines(t):
     """Log lines rendered from events: sign-ups are cut short and view times are not numbers."""
     epoch = F.when(F.col("event_type") == "view", F.lit("soon")).otherwise(F.unix_timestamp("ts").cast("string"))
@@ -78,6 +90,19 @@ def a7(t):
     return decode_events(raw, "k long").select("event_id", F.col("corrupt").isNotNull().alias("is_bad"), F.col("event.k").alias("k"))
 
 
+@query("a7_read_events", """
+SELECT CASE WHEN event_type <> 'error' THEN event_id END AS event_id, event_type = 'error' AS is_bad, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+def a7r(t):
+    """Event files of JSON lines, some of them broken, through the stream reader: good events and error rows."""
+    folder = new_run_folder(t.spark, "event-files")
+    line = F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    t.events.select(F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), "props")).otherwise(line).alias("value")).write.text(f"{folder}/in")
+    write_table(read_events(t.spark, f"{folder}/in", "event_id long, k long"), folder, "events", f"{folder}/checkpoint").awaitTermination()
+    good, bad = split_decoded(read_table(t.spark, folder, "events"))
+    return good.select("event.event_id", F.lit(False).alias("is_bad"), "event.k").unionByName(
+        bad.select(F.lit(None).cast("long").alias("event_id"), F.lit(True).alias("is_bad"), F.lit(None).cast("long").alias("k")))
+
+
 @query("a9_storage_stats", f"SELECT count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM ({B.SQL_DOC_FILES}) WHERE starts_with(path, 'src/')")
 def a9(t):
     return S.storage_stats(B.doc_files(t), "src/")

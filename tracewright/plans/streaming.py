@@ -86,15 +86,22 @@ def _windows(size, slide):
   FROM events, range(CAST(epoch(INTERVAL {size}) / epoch(INTERVAL {slide}) AS BIGINT)) r(i)"""
 
 
-def _windowed(t, name, size, slide=None):
+def _windowed(t, name, size):
     """Update mode: a window's state ends behind the watermark, its last update is the result."""
     def start(tables, folder, checkpoint):
-        return S.write_table(J.windowed_metrics(stream_points(tables), size, slide, "1 hour"), folder, "out", checkpoint, "update")
+        return S.write_table(J.windowed_metrics(stream_points(tables), size, None, "1 hour"), folder, "out", checkpoint, "update")
 
     rows = S.read_table(t.spark, run_parts(t, name, start), "out")
     return latest_rows(rows, ["name", "window_start", "window_end"])
 
 
+def closing_row(events):
+    """One row of no name and no value a day behind all others, so that the watermark passes them."""
+    last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
+    given = {"ts": F.col("ts"), "event_id": F.lit(0)}
+    return last.select(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in events.dtypes])
+
+
 @query("k17_tumbling_metrics", f"""
 SELECT name, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS points, CAST(sum(v) AS BIGINT) AS total, max(v) AS peak FROM ({_windows('6 HOUR', '6 HOUR')}) GROUP BY name, w""")
 def k17(t):
@@ -105,15 +112,13 @@ def k17(t):
 @query("k17_sliding_metrics", f"""
 SELECT name, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS points, CAST(sum(v) AS BIGINT) AS total, max(v) AS peak FROM ({_windows('12 HOUR', '3 HOUR')}) GROUP BY name, w""")
 def k17s(t):
-    return _windowed(t, "sliding", "12 hours", "3 hours").select(
-        "name", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "points", "total", "peak")
-
+    """Append mode: panes of 3 hours are added up to windows, each of which comes once."""
+    def start(tables, folder, checkpoint):
+        return S.write_table(J.windowed_metrics(stream_points(tables), "12 hours", "3 hours", "1 hour"), folder, "out", checkpoint)
 
-def closing_row(events):
-    """One row of no name and no value a day behind all others, so that the watermark passes them."""
-    last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
-    given = {"ts": F.col("ts"), "event_id": F.lit(0)}
-    return last.select(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in events.dtypes])
+    rows = S.read_table(t.spark, run_parts(t, "sliding", start, closing_row), "out").where("name IS NOT NULL")
+    return rows.select(
+        "name", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "points", "total", "peak")
 
 
 @query("k18_stream_sustained_alerts", """

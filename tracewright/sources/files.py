@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ RETENTION_DAYS = 2555
 def scan_files(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """Recursive inventory of a folder with size, time, name, extension and (pruned when unused) content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace("path", rf"^(?:file:)?/*\Q{root.strip('/')}\E/", "")
+    inside = urlsplit(root).path.strip("/")  # the source names files with or without scheme and host
+    relative = F.regexp_replace("path", rf"^(?:[A-Za-z0-9+.-]+:)?/*(?:[^/]+/)??\Q{inside}\E/", "")
     cols = [relative.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
     if with_content:
         cols.append(F.col("content"))

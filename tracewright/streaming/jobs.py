@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracewright.operators.events import dead_letter
 from tracewright.operators.evidence import (
     event_error, event_type_name, filter_events, package_hash, retry_delay, route_workflow, validate_event)
+from tracewright.operators.reports import merge_repositories
 from tracewright.streaming.topics import write_batch, write_outcomes, write_routed
 def notarization_outcomes(
     events: DataFrame, types: Sequence[str] | None = None, sources: Sequence[str] | None = None,
@@ -44,13 +46,25 @@ def notarize_stream(
     return write_outcomes(notarization_outcomes(events, types, sources, min_priority), folder, checkpoint)
 
 
+def _seconds(spark: SparkSession, span: str) -> int:
+    return spark.sql(f"SELECT unix_seconds(timestamp_seconds(0) + INTERVAL '{span}')").first()[0]
+
+
 def windowed_metrics(points: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling or sliding metric windows per name; rows later than ``delay`` are dropped on a stream."""
+    """Tumbling or sliding metric windows per name; rows later than ``delay`` are dropped on a stream.
+
+    Sliding windows add up panes, the longest spans of which size and slide are whole numbers: a point is
+    aggregated once, and only one row a pane and name is copied to the windows that cover it. On a stream that is two
+    aggregations, which Spark runs in append mode: a window comes once, when the watermark has passed it.
+    """
     rows = points.withWatermark("ts", delay) if points.isStreaming else points
-    window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return rows.groupBy("name", window.alias("w")).agg(
-        F.count("*").alias("points"), F.sum("value").alias("total"), F.max("value").alias("peak")
-    ).select("name", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "points", "total", "peak")
+    pane = size
+    if slide:
+        pane = f"{math.gcd(_seconds(points.sparkSession, size), _seconds(points.sparkSession, slide))} seconds"
+    sums = rows.groupBy("name", F.window("ts", pane).alias("w")).agg(F.count("*").alias("points"), F.sum("value").alias("total"), F.max("value").alias("peak"))
+    if slide:
+        sums = sums.groupBy("name", F.window("w", size, slide).alias("w")).agg(F.sum("points").alias("points"), F.sum("total").alias("total"), F.max("peak").alias("peak"))
+    return sums.select("name", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "points", "total", "peak")
 
 
 def stream_status(status: DataFrame) -> DataFrame:
@@ -76,6 +90,16 @@ def read_status(spark: SparkSession, folder: str) -> DataFrame:
         "workflow_id", "_l.status", "_l.percentage", "_l.ts", "updates")
 
 
+def write_repositories(
+    analyses: DataFrame, path: str, checkpoint: str, fields: list[str], as_of: str = "analyzed_at", buckets: int = 64
+) -> StreamingQuery:
+    """Each micro-batch of analyses(url, analyzed_at, fields...) is merged into the folders of the table that it touches."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        merge_repositories(batch.sparkSession, path, batch, fields, as_of, buckets, batch_id)
+
+    return analyses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+
+
 def route_failures(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Failed events of a stream: retryable ones go to the retry table, which feeds the input again, the rest to errors."""
     failed = dead_letter(events).withColumn("queue", F.when(F.col("retryable"), "retry").otherwise("errors"))

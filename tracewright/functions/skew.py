@@ -92,16 +92,21 @@ def grid_join(
 BITMAP_BITS = 1 << 28
 
 
-def maybe_repeated(rows: DataFrame, hashed: str, more_than: int, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows whose 64-bit ``hashed`` value may occur more than ``more_than`` times; all others leave without a shuffle.
+def maybe_in(rows: DataFrame, hashed: str, wanted: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows whose 64-bit ``hashed`` value may be among ``wanted[key]``; all others leave without a shuffle.
 
-    Counts of hashes are added up partially and by shuffle, and those above the limit set bits of a bitmap of fixed size, which is broadcast
-    in pages of 32,768 bits. A row stays if its bit is set, so some rare rows stay too and the caller counts what is left.
+    The wanted values set bits of a bitmap of fixed size, which is broadcast in pages of 32,768 bits. A row stays if
+    its bit is set, so some others stay too and the caller joins or counts what is left.
     """
-    spot = F.pmod(F.col(hashed), F.lit(bits))
-    repeated = rows.groupBy(hashed).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).withColumn("_spot", spot)
-    pages = repeated.groupBy(F.bitmap_bucket_number("_spot").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    spot = wanted.select(F.pmod(F.col(key), F.lit(bits)).alias("_spot"))
+    pages = spot.groupBy(F.bitmap_bucket_number("_spot").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
     bit = F.bitmap_bit_position("_spot")
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = rows.withColumn("_spot", spot).withColumn("_page", F.bitmap_bucket_number("_spot")).join(F.broadcast(pages), "_page")
+    kept = rows.withColumn("_spot", F.pmod(F.col(hashed), F.lit(bits))).withColumn("_page", F.bitmap_bucket_number("_spot")).join(F.broadcast(pages), "_page")
     return kept.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def maybe_repeated(rows: DataFrame, hashed: str, more_than: int, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows whose 64-bit ``hashed`` value may occur more than ``more_than`` times: counts of hashes are added up, the rest is ``maybe_in``."""
+    repeated = rows.groupBy(hashed).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than)
+    return maybe_in(rows, hashed, repeated, hashed, bits)

@@ -38,3 +38,16 @@ def test_other_pattern():
     raw = "It's  a wordè 12 times".encode()
     ids, count = own.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert ids.tolist() == other.encode_ordinary(raw.decode()) and count.tolist() == [len(ids)]
+
+
+def test_long_pieces_of_equal_polynomial_hash():
+    """Pieces that agree under any polynomial modulo 2**64, and random long ones, have ids of their own."""
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    rng = random.Random(9)
+    made = ["".join(rng.choice("abcdé") for _ in range(rng.choice([255, 256, 257, 1500]))) for _ in range(20)]
+    rows = [one[:1024], two[:1024], one, two, *made]
+    raw = [r.encode() for r in rows]
+    ids, count = bpe.Bpe(bpe.read_ranks(PATH), PATTERN).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [ENCODING.encode_ordinary(r) for r in rows]

@@ -67,6 +67,19 @@ def test_quality_cases(spark, docs_of):
     assert quality.score_quality(docs_of([]), quality.train(docs_of([]))).count() == 0
 
 
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    """One id with many rows and texts: the samples are bounded by texts."""
+    texts = [f"Text number {i} of one id, with some words in it. " * (i % 5 + 1) for i in range(300)]
+    rows = [(7, t) for t in texts] + [(7, texts[0])] * 200 + [(i, texts[1]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(quality, "fit_logistic", lambda x, y, **k: seen.append(len(x)) or fit_logistic(x, y, **k))
+    scorer = quality.train(docs, 40)
+    assert 0 < seen[0] <= 40 and quality.score_quality(docs, scorer).count() == len(rows)
+    labels = spark.createDataFrame([(7, 1, 1), (3, 0, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity._sample(docs, labels, 25).count() <= 25
+
+
 def test_labeller_accuracies_are_recovered():
     rng = np.random.default_rng(3)
     good = rng.random(20000) < 0.8

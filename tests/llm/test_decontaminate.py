@@ -55,3 +55,37 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r[1:4]) for r in decontaminate(docs_of(["a b", None]), none).orderBy("doc_id").collect()] == [(2, 0, 0), (0, 0, 0)]
     assert decontaminate(docs_of([]), none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_words_alike_under_polynomial_hashes(spark, docs_of, limit):
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    items = spark.createDataFrame([(1, f"{one} is an item of ten words that stand here"), (2, one[:1024])], "item_id long, text string")
+    texts = [f"{two} is an item of ten words that stand here", two[:1024], f"x {one[:1024]} y", f"{one} is an item of ten words that stand here"]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate(docs_of(texts), items, broadcast_bytes=limit).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (1, 1), 3: (10, 1)}
+
+
+def test_a_template_of_many_items():
+    """Twenty thousand items of one template: a text full of it meets one list, not a list a word."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tracewright.llm.batches import ALNUM, Words
+    from tracewright.llm.decontaminate import ItemIndex
+
+    template = "the following question has exactly one right answer please read all choices before you reply"
+    index = ItemIndex(list(range(20_000)), [f"{template} item{i} own{i}" for i in range(20_000)], 5, 10)
+    raw = (template + " and more ") * 2000
+    data = np.frombuffer(raw.encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]), ALNUM)
+    tracemalloc.start()
+    start, length, lists = index.spans(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(raw) and len(np.unique(lists)) == 1
+    assert index.named(tuple(np.unique(lists).tolist()))[0] == 20_000
+    assert len(start) == 2000 * (len(template.split()) - 9)

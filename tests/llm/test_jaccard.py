@@ -64,6 +64,27 @@ def test_chains_and_ids(spark, docs_of):
     assert similar_documents(docs_of([])).count() == 0
 
 
+def test_blocks_of_large_buckets(spark, docs_of, monkeypatch):
+    """Buckets cut into blocks, after a single round of stars, find what the stars leave."""
+    from tracewright.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 100)
+    monkeypatch.setattr(jaccard, "FAIR_SHARE", 2)
+    texts = near_copies(5, 6, 25, (60, 140), (0, 9))
+    assert {r[0]: (r[1], r[2]) for r in similar_documents(docs_of(texts)).collect()} == brute(texts)
+
+
+def test_words_alike_under_polynomial_hashes(spark, docs_of):
+    """Words that agree under any polynomial modulo 2**64 are different words."""
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    texts = [one[:1024], two[:1024], one, two, one[:1024]]
+    assert {r[0]: (r[1], r[2]) for r in similar_documents(docs_of(texts)).collect()} == {0: (1, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 0)}
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9), (50, 50)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm.batches import among, byte_slices, span_hashes, spread, text_column
+from tracewright.llm.batches import among, byte_slices, spread, text_column, word_hashes
 
 NO_RANK = np.int32(0x7FFFFFFF)
 #: Matrix cells of one merge batch, and pieces a worker remembers between slices.
@@ -148,7 +148,7 @@ class Bpe:
         self.token_start[number], self.token_size[number] = end - size, size
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        whole = span_hashes(self.token_bytes, end - size, end)
+        whole = word_hashes(self.token_bytes, end - size, end)
         order = np.argsort(whole)
         self.whole, self.whole_rank = whole[order], number[order].astype(np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], ranks[t]) for t in tokens for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -236,7 +236,7 @@ class Bpe:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > REMEMBERED:
             self._forget()
         new = ~among(hashes, self.known)

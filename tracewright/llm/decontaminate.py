@@ -6,7 +6,8 @@ hit is extended to the windows of the item that hold it; a document word inside
 
 Cases: null and empty texts have no words and give a row of zeros; an item with fewer than ``window`` words
 is one window; items without words or without id match nothing; equal rows give equal results; items that
-share an id count once; other columns are ignored; an empty benchmark contaminates nothing.
+share an id count once; a text is never cut, and a task holds some thirty times the bytes of a very long one; other
+columns are ignored; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import ALNUM, Words, among, byte_slices, text_column, window_min
+from tracewright.llm.batches import ALNUM, Words, among, byte_slices, mix, text_column, window_min
 
 WINDOW = 10
 GRAM = 5
+#: A word before capitals are folded.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmarks of at most so many text bytes are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -40,78 +43,76 @@ def kept(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ItemIndex:
-    """Kept hashes, window hashes and short items of a bounded benchmark."""
+    """Kept hashes and windows of a bounded benchmark; each distinct window knows the list of its items.
+
+    Windows of one passage have one list however many items hold it, so a text that repeats a template of thousands of
+    items meets their list once, not once a word.
+    """
 
     def __init__(self, ids: list, texts: list[str], gram: int, window: int):
-        self.ids, self.gram, self.window = [str(i) for i in ids], gram, window
+        self.ids, which = np.unique(np.array([str(i) for i in ids], object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.gram, self.window = gram, window
         column = pa.array(texts, pa.large_string())
-        keys, items, places, ends = [], [], [], []
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        short: dict[int, list] = {}
-        self.windows = {}
-        all_windows, base = [], 0
+        known, found = [], {}
         for first, end, data, offsets in byte_slices(column):
             words = Words(data, offsets, ALNUM)
             counts = words.per_row(end - first)
-            starts = np.concatenate([[0], np.cumsum(counts)])
-            for n in np.unique(counts[(counts > 0) & (counts < window)]):
-                hashes, _ = words.grams(int(n))
-                for r in np.flatnonzero(counts == n):
-                    short.setdefault(int(n), []).append((hashes[starts[r]], first + r))
             hashes, mask = kept(words, gram, window)
-            at = np.flatnonzero(mask)
-            keys.append(hashes[at])
-            items.append(words.row[at] + first)
-            places.append(at + base)
-            ends.append(starts[words.row[at] + 1] + base)
-            self_windows, whole = words.grams(window)
-            padded = np.zeros(len(words.hash), np.uint64)
-            padded[:len(self_windows)] = np.where(whole, self_windows, 0)
-            all_windows.append(padded)
-            base += len(words.hash)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        key = join(keys, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], join(items, np.int64)[order], join(places, np.int64)[order]
-        self.window_hash = join(all_windows, np.uint64)
-        self.known = np.unique(self.key)
-        for n, pairs in short.items():
-            pairs.sort()
-            self.short[n] = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+            known.append(hashes[mask])
+            for n in [window, *np.unique(counts[(counts > 0) & (counts < window)])]:
+                here, whole = words.grams(int(n))
+                row = words.row[:len(here)]
+                at = np.flatnonzero(whole & ((counts[row] == n) | (n == window)))
+                found.setdefault(int(n), []).append((here[at], which[row[at] + first]))
+        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.lists: list[np.ndarray] = []
+        for n, parts in found.items():
+            hashes, items = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((items, hashes))
+            hashes, items = hashes[order], items[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])
+            hashes, items = hashes[new], items[new]
+            if not len(hashes):
+                continue
+            each, begin = np.unique(hashes, return_index=True)
+            stop = np.append(begin[1:], len(hashes))
+            alike = mix(np.add.reduceat(mix(items.astype(np.uint64), 3), begin) + (stop - begin).astype(np.uint64))
+            _, one, list_of = np.unique(alike, return_index=True, return_inverse=True)
+            self.windows[n] = each, list_of + len(self.lists)
+            self.lists += [items[begin[i]:stop[i]] for i in one]
+        self._names: dict[tuple, tuple[int, str]] = {}
 
     def spans(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, number of words and item of every window of an item that occurs in the words."""
-        first, length, item = [], [], []
-        hashes, mask = kept(words, self.gram, self.window)
-        at = np.flatnonzero(mask)
-        at = at[among(hashes[at], self.known)]
-        if len(at):
-            low = np.searchsorted(self.key, hashes[at], "left")
-            many = np.searchsorted(self.key, hashes[at], "right") - low
-            doc = np.repeat(at, many)
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            here, whole = words.grams(self.window)
-            for back in range(self.window - self.gram + 1):
-                a, b = doc - back, self.place[entry] - back
-                ok = (a >= 0) & (b >= 0) & (a < len(here))
-                a, b, e = a[ok], b[ok], entry[ok]
-                ok = whole[a] & (here[a] == self.window_hash[b])
-                first.append(a[ok])
-                item.append(self.item[e[ok]])
-                length.append(np.full(ok.sum(), self.window))
-        for n, (key, which) in self.short.items():
+        """First word, number of words and list of items of every window of an item that occurs in the words."""
+        out = []
+        for n, (each, list_of) in self.windows.items():
             here, whole = words.grams(n)
-            low = np.searchsorted(key, here, "left")
-            many = np.where(whole, np.searchsorted(key, here, "right") - low, 0)
-            doc = np.repeat(np.arange(len(here)), many)
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(doc) else doc
-            first.append(doc)
-            item.append(which[entry])
-            length.append(np.full(len(doc), n))
-        if not first:
+            at = np.flatnonzero(whole)
+            if n == self.window:  # only windows around a kept hash that the items keep too
+                hashes, mask = kept(words, self.gram, self.window)
+                hit = np.flatnonzero(mask)
+                hit = hit[among(hashes[hit], self.known)]
+                near = np.zeros(len(here) + self.window, bool)
+                for back in range(self.window - self.gram + 1):
+                    near[np.maximum(hit - back, 0)] = True
+                at = np.flatnonzero(whole & near[:len(here)])
+            at = at[among(here[at], each)]
+            out.append((at, np.full(len(at), n), list_of[np.searchsorted(each, here[at])]))
+        if not out:
             none = np.zeros(0, np.int64)
             return none, none, none
-        return np.concatenate(first), np.concatenate(length), np.concatenate(item)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def named(self, lists: tuple[int, ...]) -> tuple[int, str]:
+        """Number and digest of the items of some lists."""
+        if lists not in self._names:
+            if len(self._names) >= 4096:
+                self._names.clear()
+            items = np.unique(np.concatenate([self.lists[k] for k in lists])) if lists else []
+            self._names[lists] = len(items), digest(self.ids[items]) if lists else digest([])
+        return self._names[lists]
 
 
 def digest(ids) -> str:
@@ -128,24 +129,23 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, gram: int, window: int) ->
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], gram, window))
 
     def search(batches):
-        found, empty = index.value, digest([])
+        found = index.value
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
                 rows = end - first
                 words = Words(data, offsets, ALNUM)
-                start, length, item = found.spans(words)
+                start, length, lists = found.spans(words)
                 change = np.zeros(len(words.hash) + 1, np.int64)
                 np.add.at(change, start, 1)
                 np.add.at(change, start + length, -1)
                 hit = np.cumsum(change[:-1]) > 0
                 n_hit = np.bincount(words.row[hit], minlength=rows)
-                names: dict[int, set] = {}
-                for r, i in np.unique(np.stack([words.row[start], item]), axis=1).T if len(start) else ():
-                    names.setdefault(int(r), set()).add(found.ids[i])
+                met = np.unique(np.stack([words.row[start], lists]), axis=1) if len(start) else np.zeros((2, 0), np.int64)
+                edge = np.searchsorted(met[0], np.arange(rows + 1))
+                names = [found.named(tuple(met[1, a:b].tolist())) for a, b in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, rows), pa.array(words.per_row(rows), pa.int64()), pa.array(n_hit, pa.int64()),
-                    pa.array([len(names.get(r, ())) for r in range(rows)], pa.int64()),
-                    pa.array([digest(names[r]) if r in names else empty for r in range(rows)]), pa.array(n_hit > 0),
+                    pa.array([n for n, _ in names], pa.int64()), pa.array([d for _, d in names], pa.string()), pa.array(n_hit > 0),
                 ], schema=_ARROW)
 
     return docs.mapInArrow(search, SCHEMA)
@@ -186,8 +186,7 @@ def _prints(df: DataFrame, key: str, gram: int, window: int, lengths: list[int],
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, gram: int, window: int) -> DataFrame:
     reach = window - gram
-    lengths_of = F.udf(lambda t: len(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), ALNUM).hash), "int")
-    lengths = sorted(r[0] for r in items.select(lengths_of("text").alias("n")).where(f"n > 0 and n < {window}").distinct().collect())
+    lengths = sorted(r[0] for r in items.select(F.regexp_count("text", F.lit(WORD)).alias("n")).where(f"n > 0 and n < {window}").distinct().collect())
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     mine = _prints(keyed, "key", gram, window, lengths, False)
     theirs = _prints(items, "item", gram, window, lengths, True).select("item", "n", "hash", F.col("near").alias("theirs")).distinct()
@@ -211,7 +210,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, gram: int, window: int) -> Da
     counted = keyed.mapInArrow(_count_words, "key struct<doc_id: long, h: long>, n_words long")
     return counted.join(found, counted["key"].eqNullSafe(found["key"]), "left").select(
         counted["key.doc_id"].alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 

@@ -3,20 +3,21 @@
 A document's set holds its distinct 4-word shingles. Two sets that reach the similarity share a token among
 the first ``n - ceil(t * n) + 1`` of each under any order of all tokens. Three orders are used; all put tokens
 that recur last, by the logarithm of their count, and break ties by different hashes. Documents that share a
-prefix token under the first order are candidates if their sizes allow it and they also share one under each
-of the others; what is left is verified on the whole sets.
+prefix token under the first order (a bucket) are candidates if their sizes and the token's places allow it and they also
+share one under each of the others; what is left is verified on the whole sets.
 
-Equal sets are one node. Inside a bucket (the nodes that share a token) the node with most shared tokens is
-verified against all others first. Members found connected need no more comparison, so a large group of near
-copies costs its size, not its square; pairs across the components of a bucket are then compared until none
-is left, and no pair of unconnected members is left out.
+Equal sets are one node. Inside a bucket the node with most shared tokens is verified against all others first.
+Members found connected need no more comparison, so a large group of near copies costs its size, not its
+square; this is repeated with other nodes as long as it finds links in a fair share of what it tries. Members of a
+bucket that are then in different components are compared inside tasks, in blocks, by their sizes and the token's places;
+only pairs that may be similar leave the task, and no pair of unconnected members is left out.
 
 Counts of common tokens come from all documents: tasks report what recurs among a few million tokens. They
 only steer the orders, so their bound (``MOST_COMMON`` entries) does not touch results.
 
 Cases: fewer than 4 words make one shingle; null, empty and blank texts have no shingles and link with
-nothing; equal rows are linked; null ids never name a component; other columns are ignored; an empty table
-gives an empty result.
+nothing; equal rows are linked; null ids never name a component; a very long text is read whole by one task, which
+holds some thirty times its bytes; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import NONSPACE, Words, byte_slices, mix, text_column
+from tracewright.functions.skew import maybe_in, maybe_repeated
+from tracewright.llm.batches import NONSPACE, Words, byte_slices, mix, spread, text_column
 from tracewright.llm.graph import components
 from tracewright.session import cut_lineage
 
@@ -35,12 +37,15 @@ PERCENT = 85
 #: Hash salts of the order that finds candidates and of those that filter them.
 FIRST = (11,)
 OTHERS = (12, 13)
+OTHER_COLUMNS = ("p0", "p1")
 #: Tokens that a task counts together, and entries of the list of recurring tokens.
 UNIT_TOKENS = 4 << 20
 MOST_COMMON = 2 << 20
-#: Row ids sent to all tasks at most; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
-STAR_ROUNDS = 3
+#: Stars go on while they find links in this share of the pairs they verify.
+FAIR_SHARE = 1 / 16
+#: Members of a bucket that a task compares with as many others at a time, and pairs that it holds at once.
+BLOCK = 1024
+PAIRS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -125,24 +130,97 @@ class Orders:
         return n, mix(digest + n.astype(np.uint64)), lists
 
 
-def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the documents whose (doc_id, text_hash) is wanted."""
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep_id"]) & (docs["text_hash"] == wanted["rep_hash"])).select("node", "text")
+def _sets(docs: DataFrame, wanted: DataFrame, orders, size: int) -> DataFrame:
+    """(node, tokens, p0, p1): whole sets of the wanted (node, rep_id, rep_hash), and their prefixes under the other orders.
 
+    Texts that are not wanted leave by a bitmap of their hashes, so only the others are shuffled.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    near = maybe_in(hashed, "text_hash", wanted, "rep_hash")
+    chosen = near.join(wanted, near["doc_id"].eqNullSafe(wanted["rep_id"]) & (near["text_hash"] == wanted["rep_hash"])).select("node", "text")
 
-def _sets(chosen: DataFrame, size: int) -> DataFrame:
-    """(node, tokens): whole sets."""
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
                 row, token = shingle_sets(data, offsets, size)
                 stop = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
+                lists = orders.value.prefixes(data, offsets, OTHERS)[2]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(stop), pa.array(token.astype(np.int64)))], names=["node", "tokens"])
+                    [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(stop), pa.array(token.astype(np.int64))), *lists], names=["node", "tokens", *OTHER_COLUMNS])
+
+    return chosen.mapInArrow(run, "node long, tokens array<long>" + "".join(f", {c} array<long>" for c in OTHER_COLUMNS)).dropDuplicates(["node"])
+
+
+def _needed(one: str, other: str, percent: int) -> str:
+    """SQL for the filters on sizes and places: enough tokens must be left from the shared one on, if it is the first common one."""
+    return (f"100 * least({one}.n, {other}.n) >= {percent} * greatest({one}.n, {other}.n)"
+            f" AND least({one}.n - {one}.pos, {other}.n - {other}.pos) >= ceil({percent} * ({one}.n + {other}.n) / {100 + percent})")
+
+
+def _compare(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of equal (token, unit) that the filters on sizes and places leave; rows lie in order of these."""
+    token, unit = (table.column(c).to_numpy() for c in ("token", "unit"))
+    n, comp, pos, side = (table.column(c).to_numpy() for c in ("n", "comp", "pos", "side"))
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
+    group_end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+    ahead = group_end - np.arange(len(token)) - 1
+    found, first = [], 0
+    while first < len(token):
+        last = max(first + 1, int(np.searchsorted(np.cumsum(ahead[first:]), PAIRS, side="right")) + first)
+        a = np.repeat(np.arange(first, last), ahead[first:last])
+        b = spread(np.arange(first, last) + 1, ahead[first:last])
+        first = last
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        need = -(-percent * (n[a] + n[b]) // (100 + percent))  # common tokens of a similar pair
+        ok = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == BOTH)) & (100 * small >= percent * large)
+        ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        found.append((a[ok], b[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+#: Sides of a unit: members of one block meet each other, those of two blocks meet across.
+BOTH = 2
+#: Rows that a task compares together, whole buckets at a time.
+UNIT_ROWS = 16_384
+
+
+def _open_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one bucket in different components that pass the filters on sizes and places.
+
+    Large buckets are cut into blocks, and every two blocks are a unit; units are dealt to tasks, which read them in
+    order and list pairs of some units at a time.
+    """
+    counted = left.join(left.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "token")
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    cut = counted.withColumn("block", block)
+    # Block k meets itself (unit k * blocks + k, side both) and every other block (unit of the lower and the higher).
+    units = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) * blocks + greatest(o, block) AS unit, CASE WHEN o = block THEN 2 WHEN o < block THEN 1 ELSE 0 END AS side))")
+    dealt = cut.withColumn("u", F.explode(units)).select("token", "u.unit", "u.side", "node", "n", "comp", "pos")
 
-    return chosen.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= UNIT_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                token, unit = table.column("token").to_numpy(), table.column("unit").to_numpy()
+                change = np.flatnonzero((token[1:] != token[:-1]) | (unit[1:] != unit[:-1])) + 1
+                if len(change):
+                    yield pairs_of(table.slice(0, int(change[-1])))
+                    table = table.slice(int(change[-1]))
+                held, rows = table.to_batches(), table.num_rows
+        if rows:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        a, b = _compare(table.combine_chunks(), percent)
+        node = table.column("node").to_numpy()
+        pair = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    return dealt.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -164,75 +242,58 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
                     batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(node.astype(np.int64)), pa.array(n, pa.int64()), *lists],
                     names=["doc_id", "text_hash", "node", "n", "first"])
 
-    def other_prefixes(batches):
-        for batch in batches:
-            for first, end, data, offsets in byte_slices(text_column(batch)):
-                lists = orders.value.prefixes(data, offsets, OTHERS)[2]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *lists], names=["node", *(f"p{k}" for k in range(len(OTHERS)))])
-
-    table = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        first_prefix, "doc_id long, text_hash long, node long, n long, first array<long>")
-    prefix = table.where("n > 0").select(F.explode("first").alias("token"), "node", "n")
-    shared = cut_lineage(prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    buckets = cut_lineage(prefix.join(shared, "token").distinct())
-    members = cut_lineage(table.select("doc_id", "text_hash", "node", "n"))
-    degree = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    reps = cut_lineage(
-        members.join(degree.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
-        .select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
-
-    def of_pairs(pairs: DataFrame) -> DataFrame:
-        """Documents that stand for the nodes of the pairs."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return _chosen(docs, cut_lineage(reps.join(nodes, "node")))
+    table = cut_lineage(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        first_prefix, "doc_id long, text_hash long, node long, n long, first array<long>"))
+    members = table.select("doc_id", "text_hash", "node", "n")
+    prefix = table.where("n > 0").select(F.posexplode("first").alias("pos", "token"), "node", "n")
+    likely = cut_lineage(maybe_repeated(prefix, "token", 1).distinct())
+    shared = likely.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    buckets = cut_lineage(likely.join(shared, "token"))
+    state = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("comp", F.col("node"))
+    reps = members.join(state.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    state = cut_lineage(state.join(reps, "node").select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _sets(docs, cut_lineage(state.join(nodes.select("node").distinct(), "node").select("node", "rep_id", "rep_hash")), orders, size)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that share a prefix token under every other order and reach the similarity."""
-        schema = "node long" + "".join(f", p{k} array<long>" for k in range(len(OTHERS)))
-        prefixes = of_pairs(pairs).mapInArrow(other_prefixes, schema).dropDuplicates(["node"])
-        one = prefixes.select(F.col("node").alias("a"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(len(OTHERS))])
-        other = prefixes.select(F.col("node").alias("b"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(len(OTHERS))])
-        both = pairs.join(one, "a").join(other, "b")
-        for k in range(len(OTHERS)):
-            both = both.where(F.arrays_overlap(f"a{k}", f"b{k}"))
-        both = cut_lineage(both.select("a", "b"))
-        sets = _sets(of_pairs(both), size)
-        whole = both.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        both = pairs.join(sets.toDF("a", "ta", *(f"{c}a" for c in OTHER_COLUMNS)), "a").join(sets.toDF("b", "tb", *(f"{c}b" for c in OTHER_COLUMNS)), "b")
+        for c in OTHER_COLUMNS:
+            both = both.where(F.arrays_overlap(f"{c}a", f"{c}b"))
         common = F.size(F.array_intersect("ta", "tb"))
-        return whole.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        return pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-
-    def pair(one: str, other: str) -> list:
-        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
-
-    edges = tried = labels = None
-    left = buckets.withColumn("comp", F.col("node"))
-    for number in range(STAR_ROUNDS + 1):
-        if number < STAR_ROUNDS:
-            lead = left.join(degree, "node").groupBy("token").agg(
-                F.max_by(F.struct("node", "n", "comp"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
-            pairs = left.join(lead, "token").where("comp <> hub.comp").select(
-                *pair("node", "hub.node"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-        else:
-            other = left.select("token", F.col("node").alias("node2"), F.col("n").alias("nb"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "token").where("node < node2 AND comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("na"), "nb")
-        fresh = fits(pairs).distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh = cut_lineage(fresh)
-        tried = fresh if tried is None else cut_lineage(tried.union(fresh))
-        links = cut_lineage(verified(fresh))
-        edges = links if edges is None else edges.union(links)
-        labels = components(edges)
-        left = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_tokens = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        left = cut_lineage(left.join(open_tokens, "token"))
+        return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The nodes with their components after the links: links are taken between the components known so far."""
+        comps = state.select("node", "comp")
+        between = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        moved = components(between).toDF("comp", "_to")
+        return cut_lineage(state.join(moved, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).select(*state.columns))
+
+    def still_open() -> DataFrame:
+        left = buckets.join(state.select("node", "comp", "degree"), "node")
+        tokens = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        return cut_lineage(left.join(tokens, "token"))
+
+    number = 0
+    while True:
+        left = still_open()
         if not left.limit(1).count():
             break
-    named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
+        stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
+            F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        stars = cut_lineage(stars.distinct())
+        links = cut_lineage(verified(stars))
+        tried, good = stars.count(), links.count()
+        state = joined(links)
+        number += 1
+        if good < FAIR_SHARE * tried or not good:
+            state = joined(cut_lineage(verified(cut_lineage(_open_pairs(still_open(), percent)))))
+            break
+    named = members.join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
     names = named.where("n > 0").groupBy("comp").agg(F.min(own).alias("least"))
     return named.join(names, "comp", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).alias("least"))

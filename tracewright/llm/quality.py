@@ -5,11 +5,12 @@ all documents, and expectation-maximisation on these counts estimates how often
 good and on bad texts. The posterior of each pattern labels a bounded sample of distinct documents, on which
 a linear scorer over hashed token shapes is fitted; it scores every document.
 
-The sample holds at most ``max_sample`` documents of each pattern-weighted draw in hash order: the bound on
-what the driver sees. Vote patterns number at most 3 ** labellers.
+The sample holds at most ``max_sample`` distinct texts in hash order, whatever ids they have: the bound on what the
+driver sees. Vote patterns number at most 3 ** labellers.
 
 Cases: null and empty texts have no tokens and score by the bias, with the votes of an empty text; equal texts
-get equal results; other columns are ignored; an empty table gives an empty result.
+get equal results, and repeated ids or rows count in the votes but once in the sample; very long texts are read whole, a
+task holds some thirty times their bytes; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Scorer:
     patterns = np.array([p for p, _ in counted], np.int64)
     table = (patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8).reshape(-1, len(LABELLERS))
     posterior = estimate(table, np.array([n for _, n in counted], float))
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
+    hashed = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    chosen = hashed.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(max_sample)
 
     def features(batches):
         for batch in batches:
@@ -159,7 +161,7 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Scorer:
                 x = shape_features(data, words, end - first).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array(_pattern(votes(data, words, end - first))), pa.array([r.tobytes() for r in x], pa.binary())], names=["pattern", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(features, "pattern long, x binary").distinct().collect()
+    rows = hashed.join(F.broadcast(chosen), "h").select("text").mapInArrow(features, "pattern long, x binary").distinct().collect()
     rows.sort()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], float).reshape(-1, BUCKETS)
     y = posterior[np.searchsorted(patterns, [r["pattern"] for r in rows])] if rows else np.zeros(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spread, text_column, window_min
+from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spread, text_column, window_min, word_hashes
 from tracewright.session import cut_lineage
 
 LENGTH = 100
@@ -106,7 +106,7 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> Dat
                 ordered = np.sort(group * (len(data) + 1) + place)
                 of_piece = np.searchsorted(values, mini) * (len(data) + 1)
                 twice = np.searchsorted(ordered, of_piece + stop - gram, "right") - np.searchsorted(ordered, of_piece + start, "left") > 1
-                h = span_hashes(data, start, stop)
+                h = word_hashes(data, start, stop)
                 g = span_hashes(data ^ 0x55, start, stop)
                 row = np.searchsorted(offsets, start, side="right") - 1
                 which = pa.array(row + first)

@@ -1,14 +1,15 @@
 """Secret scan with multipart linking.
 
-Strong patterns report on their own: assignments, access identifiers and long hex strings. Weak parts are
-40-character secrets, short access identifiers and service endpoints, which alone are too common to report.
-Parts are linked by an interval join inside a scope (a paragraph; blank lines end one): a part reaches
-``reach`` code points to either side, or its whole scope where reach is None, and a weak secret is reported when an access identifier or an endpoint
-lies in its reach, an endpoint or a short identifier when a secret (weak, or the value of an assignment)
-does. The join sweeps sorted intervals, so a scope with many parts makes no pairs.
+Strong patterns report on their own: assignments, access identifiers and long hex strings. Weak parts are the secrets,
+identifiers and service endpoints of some vendors (``VENDOR_PARTS``), which alone are too common to report.
+Parts are linked by an interval join inside a scope (a paragraph; blank lines end one): a part reaches over its
+whole scope, or ``reach`` code points to either side if the caller sets it, and a weak secret is reported when an access
+identifier or an endpoint lies in its reach, an endpoint or a weak identifier when a secret (weak, or the value of an
+assignment) does. The join sweeps sorted intervals, so a scope with many parts makes no pairs.
 
 Cases: null and empty texts have no spans; equal rows give equal results; overlapping spans of different
-kinds are all kept; other columns are ignored; an empty table gives an empty result.
+kinds are all kept; every search is linear in the text, so very long ones and such of dots or digits alone take no more a
+byte; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,25 @@ from tracewright.llm.batches import text_column
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::\d+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)\b", re.ASCII)
+#: Weak parts by vendor: kind, pattern, least and most length, and a string a text must hold (a secret without one
+#: needs a digit and both cases). Lengths and prefixes are the vendors'.
+VENDOR_PARTS = {
+    "aws": (("weak_secret", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 40, 40, ""), ("weak_access", r"AKIA[A-Z0-9]+", 12, 19, "AKIA")),
+    "azure": (("weak_secret", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{86}==(?![A-Za-z0-9+/=])", 88, 88, "=="), ("weak_access", r"\bAccountName=[a-z0-9]+(?![A-Z])", 15, 36, "AccountName=")),
+    "google": (("weak_secret", r"\bGOCSPX-[A-Za-z0-9_-]+", 35, 35, "GOCSPX-"),
+               ("weak_access", r"(?<![0-9])[0-9]+-[a-z0-9]{32}\.apps\.googleusercontent\.com\b", 66, 84, ".apps.googleusercontent.com")),
+}
+_PARTS = [(kind, re.compile(pattern, re.ASCII), least, most, hint) for parts in VENDOR_PARTS.values() for kind, pattern, least, most, hint in parts]
+_MIXED = [re.compile(p) for p in ("[0-9]", "[A-Z]", "[a-z]")]
+URL = re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::\d+)?", re.ASCII)
+#: Domains of the vendors' services; a host below one is an endpoint.
+DOMAINS = ("amazonaws.com", "core.windows.net", "googleapis.com")
+_LABELS = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*+", re.ASCII)
+_DOMAIN = re.compile(r"\.(?:" + "|".join(map(re.escape, DOMAINS)) + r")\b", re.ASCII)
+_WORD_EDGE = re.compile(r"\b(?=[a-z0-9-])", re.ASCII)
 SCOPE_END = re.compile(r"\n[\x20\t]*\n")
 #: Order in which kinds are listed at one start.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "endpoint")
-REACH = 400
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -46,25 +60,46 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of URLs' hosts and of host names below the vendors' domains.
+
+    A host is a chain of labels up to the last vendor domain in it; chains are cut once from left to right, so
+    the search takes one pass whatever the text.
+    """
+    out = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    if not any(d in text for d in DOMAINS):
+        return out
+    inside = np.array(out, np.int64).reshape(-1, 2)
+    for chain in _LABELS.finditer(text):
+        if not any(d in chain[0] for d in DOMAINS):
+            continue
+        k = int(np.searchsorted(inside[:, 0], chain.start(), side="right")) - 1
+        low = max(chain.start(), int(inside[k, 1])) if k >= 0 else chain.start()  # a URL may end inside the chain
+        first = _WORD_EDGE.search(text, low, chain.end()) if low < chain.end() else None
+        last = [m for m in _DOMAIN.finditer(text, low, chain.end() + 1) if m.end() <= chain.end()] if first else []
+        if last and last[-1].start() > first.start():
+            out.append((first.start(), last[-1].end()))
+    return out
+
+
 def weak_parts(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of parts that are reported only beside their complement."""
-    out = [(m.start(), "weak_secret", m.end()) for m in WEAK_SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
-    if "AKIA" in text:
-        out += [(m.start(), "weak_access", m.end()) for m in ACCESS.finditer(text) if 12 <= m.end() - m.start() < 20]
-    if "://" in text or ".com" in text or ".net" in text:
-        out += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
-    return out
+    out = set()
+    for kind, pattern, least, most, hint in _PARTS:
+        if hint in text:
+            for m in pattern.finditer(text):
+                if least <= m.end() - m.start() <= most and (hint or all(p.search(m[0]) for p in _MIXED)):
+                    out.add((m.start(), kind, m.end()))
+    return sorted(out) + [(a, "endpoint", b) for a, b in endpoints(text)]
 
 
-def meets(spans: np.ndarray, others: np.ndarray, reach: int | None) -> np.ndarray:
-    """Whether each (scope, start, end) has one of the others within reach in its scope; anywhere in it if reach is None.
+def meets(spans: np.ndarray, others: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each (scope, start, end) has one of the others within reach in its scope.
 
     Both sides are sorted by (scope, start); running maxima of the ends answer each span by one search.
     """
     if not len(spans) or not len(others):
         return np.zeros(len(spans), bool)
-    if reach is None:
-        return np.isin(spans[:, 0], others[:, 0])
     others = others[np.lexsort((others[:, 1], others[:, 0]))]
     far = int(max(spans[:, 2].max(), others[:, 2].max())) + reach + 1
     start = others[:, 0] * 2 * far + others[:, 1]
@@ -73,8 +108,9 @@ def meets(spans: np.ndarray, others: np.ndarray, reach: int | None) -> np.ndarra
     return (at >= 0) & (others[np.maximum(at, 0), 0] == spans[:, 0]) & (end[np.maximum(at, 0)] >= spans[:, 0] * 2 * far + spans[:, 1] - reach)
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None = REACH) -> list[tuple[int, str, int]]:
-    """Weak parts whose complement lies within reach in the same scope."""
+def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None = None) -> list[tuple[int, str, int]]:
+    """Weak parts whose complement lies within reach in the same scope; a scope is no longer than the text."""
+    reach = len(text) if reach is None else reach
     weak = weak_parts(text)
     if not weak:
         return []
@@ -101,7 +137,7 @@ def listed(spans: list[tuple[int, str, int]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scan_secrets(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Spans per document, in code points with exclusive ends; reach None links parts over their whole scope."""
     def run(batches):
         for batch in batches:

@@ -6,11 +6,11 @@ model learns from the errors that earlier ones make on unseen texts. Labels name
 toxic text belongs to a category if it holds one of its seed words, and the last category is toxicity itself.
 
 The chain is fitted on at most ``max_labelled`` distinct labelled texts, taken in hash order: the bound on
-what the driver sees. Its features are the word buckets whose share among toxic texts stands out most.
+what the driver sees, also where an id has many texts. Its features are the word buckets whose share among toxic texts stands out most.
 
 Cases: null and empty texts get the models' base rates; without toxic labels nothing is rejected; labels that
-are null, repeated or without a document are ignored or counted once; equal texts get equal results; other
-columns are ignored; an empty table gives an empty result.
+are null, repeated or without a document are ignored or counted once; equal texts get equal results; very long texts
+are read whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +56,8 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
                 words = pa.ListArray.from_arrays(pa.array(stop), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([toxic.slice(first, end - first), words], names=["toxic", "words"])
 
-    return cut_lineage(texts.mapInArrow(features, "toxic long, words array<int>").groupBy("words").agg(F.max("toxic").alias("toxic")))
+    return cut_lineage(texts.mapInArrow(features, "toxic long, words array<int>").groupBy("words").agg(F.max("toxic").alias("toxic"))
+                       .orderBy(F.xxhash64("words"), "words").limit(limit))
 
 
 def seed_buckets(seeds) -> np.ndarray:

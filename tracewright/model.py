@@ -15,7 +15,7 @@ CLASSIFICATIONS = ["public", "internal", "confidential", "restricted"]
 
 FINDING_COLUMNS = [
     "finding_id", "job_id", "path", "line_number", "finding_type", "severity", "title",
-    "evidence", "recommendation", "confidence", "cve_id", "references", "detected_at",
+    "evidence", "recommendation", "confidence", "cve_id", "references", "detected_at", "description", "file_id",
 ]
 
 
@@ -73,7 +73,7 @@ def as_findings(
     job_id: Column | None = None,
     detected_at: Column | None = None,
 ) -> DataFrame:
-    """Project any rows to the finding schema.
+    """Project any rows to the finding schema; ``file_id`` is the id of (job, path), null for findings of a whole job.
 
     ``detected_at`` defaults to the row's own column of that name, else null: the
     engine never reads the wall clock.
@@ -104,4 +104,6 @@ def as_findings(
         (F.lit(None) if cve_id is None else cve_id).cast("string").alias("cve_id"),
         (F.array().cast("array<string>") if references is None else references).alias("references"),
         when.cast("timestamp").alias("detected_at"),
+        F.concat_ws(" ", col(title), F.concat(F.lit("in "), where), F.concat(F.lit("at line "), line.cast("string"))).alias("description"),
+        F.when(where.isNotNull(), stable_id(job, where)).alias("file_id"),
     )

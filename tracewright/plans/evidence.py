@@ -223,13 +223,13 @@ def i15(t):
 
 @query("i16_outcome_feed", """
 SELECT 'result' AS feed, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value > 10 AS success, CAST(NULL AS VARCHAR) AS message FROM events WHERE event_type = 'purchase'
-UNION ALL SELECT 'status', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL, props FROM events WHERE event_type IN ('view', 'click')
+UNION ALL SELECT 'status', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL, props FROM events WHERE event_type IN ('view', 'click', 'signup')
 UNION ALL SELECT 'error', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL, 'failed' FROM events WHERE event_type = 'error'""")
 def i16(t):
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     feed = I.outcome_feed(
         e.where("event_type = 'purchase'").select("event_id", "ts", (F.col("value") > 10).alias("success")),
-        e.where("event_type in ('view', 'click')").select("event_id", "ts", F.col("props").alias("message")),
+        e.where("event_type in ('view', 'click', 'signup')").select("event_id", "ts", F.col("props").alias("message")),
         e.where("event_type = 'error'").select("event_id", "ts", F.lit("failed").alias("message")))
     return feed.select("feed", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "success", "message")
 

@@ -144,14 +144,19 @@ def h9(t):
 
 
 @query("h10_export_manifest", f"""
-SELECT job_id, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'custody') AS custody_records, '2024-06-01' AS exported_at FROM (
-  SELECT job_id, 'file' AS kind FROM ({DOC}) UNION ALL SELECT 'src' || (user_id % 20), 'custody' FROM events) GROUP BY job_id""")
+WITH m AS (SELECT job_id, 'file' AS kind, sha256(content) AS h FROM ({DOC}) UNION ALL SELECT 'src' || (user_id % 20), 'custody', sha256('COC-' || event_id) FROM events),
+l AS (SELECT job_id, h, count(*) AS n FROM m GROUP BY ALL),
+a AS (SELECT job_id, substr(h, 1, 6) AS pos, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d FROM l GROUP BY ALL),
+b AS (SELECT job_id, substr(pos, 1, 3) AS pos2, sha256(string_agg(d, chr(10) ORDER BY pos)) AS d FROM a GROUP BY ALL),
+r AS (SELECT job_id, sha256(string_agg(d, chr(10) ORDER BY pos2)) AS digest FROM b GROUP BY job_id)
+SELECT job_id, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'custody') AS custody_records, '2024-06-01' AS exported_at, any_value(digest) AS digest
+FROM m JOIN r USING (job_id) GROUP BY job_id""")
 def h10(t):
     files = B.doc_files(t).select("job_id", "path", F.sha2("content", 256).alias("hash_sha256"))
     cust = t.events.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("job_id"),
                            F.concat(F.lit("COC-"), F.col("event_id").cast("string")).alias("custody_id"))
     m = H.export_manifest(files, cust, F.lit("2024-06-01").cast("timestamp"))
-    return H.manifest_summary(m).select("job_id", "files", "custody_records", F.date_format("exported_at", "yyyy-MM-dd").alias("exported_at"))
+    return H.manifest_summary(m).select("job_id", "files", "custody_records", F.date_format("exported_at", "yyyy-MM-dd").alias("exported_at"), "digest")
 
 
 PLAN = """

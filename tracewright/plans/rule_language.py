@@ -70,17 +70,16 @@ def collection_functions(t):
 
 
 @query("a8_write_outcomes", f"""
-SELECT 'status' AS name, coalesce(route, 'none') AS route, count(*) AS messages FROM (SELECT {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({B.SQL_PIPELINE})) WHERE bad IS NULL AND route IN ('approval', 'batch') GROUP BY route
-UNION ALL SELECT 'results', 'simple', count(*) FROM (SELECT {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({B.SQL_PIPELINE})) WHERE bad IS NULL AND route = 'simple'
-UNION ALL SELECT 'errors', coalesce(route, 'none'), count(*) FROM (SELECT {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({B.SQL_PIPELINE})) WHERE bad IS NOT NULL OR route IS NULL GROUP BY route""")
+SELECT CASE WHEN bad IS NOT NULL OR route IS NULL THEN 'errors' WHEN route = 'simple' THEN 'results' ELSE 'status' END AS name, coalesce(route, 'none') AS route, seq, event_id,
+  coalesce(route, 'none') || '-signing-' || event_id AS workflow_id FROM (SELECT seq, event_id, {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({B.SQL_PIPELINE}))""")
 def write_outcomes(t):
+    """Every message of the three outcome tables with its keys."""
     folder = P.new_run_folder(t.spark, "outcomes")
     outcomes = J.notarization_outcomes(B.pipeline_events(StreamTables(t.spark, t.folder)))
     P.write_outcomes(outcomes, folder, f"{folder}/checkpoint").awaitTermination()
     out = None
     for name in P.OUTCOME_TABLES:
-        part = P.read_table(t.spark, folder, name).groupBy(F.coalesce("route", F.lit("none")).alias("route")).agg(
-            F.count("*").alias("messages")).select(F.lit(name).alias("name"), "route", "messages")
+        part = P.read_table(t.spark, folder, name).select(F.lit(name).alias("name"), F.coalesce("route", F.lit("none")).alias("route"), "seq", "event_id", "workflow_id")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -62,8 +62,14 @@ PIPE = B.SQL_PIPELINE
 KEPT = f"SELECT *, {TYPE} AS etype, {SQL_EVENT_ERROR} AS bad, {SQL_ROUTE} AS route FROM ({PIPE}) WHERE source IN ('src0', 'src1', 'src2', '') AND priority <> 'low'"
 
 
+# The package of an event as JSON: fixed field order, null fields left out, metadata keys sorted.
+PACKAGE = """base64(unhex(sha256('{"spec_version":"1.0.0","timestamp_utc":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","event_type":"' || etype ||
+  '","actor":{"type":"service","id":"' || actor_id || '"},"artifacts":[{"name":"' || name1 || '","uri":"s3://bucket/a","hash_sha256":"' || hash1 || '"}' ||
+  CASE WHEN two THEN ',{"name":"report","hash_sha256":"' || hash2 || '"}' ELSE '' END || '],"metadata":{"kind":"' || event_type || '","props":"' || replace(props, '"', chr(92) || '"') || '"}}')))"""
+
+
 @query("k16_notarize_stream", f"""
-SELECT seq, CASE WHEN bad IS NOT NULL OR route IS NULL THEN 'error' WHEN route = 'simple' THEN 'result' ELSE 'status' END AS outcome, etype AS event_type, route,
+SELECT seq, event_id, coalesce(route, 'none') || '-signing-' || event_id AS workflow_id, CASE WHEN bad IS NULL AND route IS NOT NULL THEN {PACKAGE} END AS package_hash, CASE WHEN bad IS NOT NULL OR route IS NULL THEN 'error' WHEN route = 'simple' THEN 'result' ELSE 'status' END AS outcome, etype AS event_type, route,
   coalesce(bad, CASE WHEN route IS NULL THEN 'Custom workflow not supported: custom_flow' END) AS message,
   CASE WHEN bad IS NOT NULL OR route IS NULL THEN 'failed' WHEN route = 'simple' THEN 'completed' WHEN route = 'approval' THEN 'pending_approval' ELSE 'processing' END AS status FROM ({KEPT})""")
 def k16(t):
@@ -72,7 +78,7 @@ def k16(t):
                       sources=["src0", "src1", "src2", ""], min_priority="normal").awaitTermination()
     out = None
     for table in S.OUTCOME_TABLES:
-        part = S.read_table(t.spark, folder, table).select("seq", "outcome", "event_type", "route", "message", "status")
+        part = S.read_table(t.spark, folder, table).select("seq", "event_id", "workflow_id", "package_hash", "outcome", "event_type", "route", "message", "status")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -25,7 +25,10 @@ COS = "list_dot_product({a}.embedding, {b}.embedding) / sqrt(list_dot_product({a
 AB = COS.format(a="a", b="b")
 
 
-@query("f1_embed_text")
+@query("f1_embed_text", f"""
+SELECT doc_id, CASE WHEN regexp_matches(content, '[\\p{{L}}\\p{{N}}_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm, 384 AS dim,
+  CAST(len({B.sql_lines('content')}) AS BIGINT) AS line_count, length(content) AS char_count,
+  CAST(CASE WHEN length(content) <= {X.SNIPPET_CHARS} THEN length(content) ELSE {X.SNIPPET_CHARS + 3} END AS INT) AS snippet_chars FROM ({DOC})""")
 def f1(t):
     out = X.embed_text(B.doc_files(t))
     return out.select(

@@ -63,3 +63,13 @@ def test_merged_intervals_of_many_shards():
             seen.add(raw)
         for shard_bytes in (1, 40, 10000):
             assert set(zip(*(x.tolist() for x in repeats.later_windows(pieces, document, start, length, shard_bytes)))) == want
+
+
+def test_pieces_alike_under_polynomial_hashes(spark, docs_of):
+    """Strings that agree under any polynomial modulo 2**64 are not copies of each other."""
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    texts = [one, two, "head " + one + " tail", "x" * 300 + two]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs_of(texts)).collect()}
+    assert got == brute(texts, 100)

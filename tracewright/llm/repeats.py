@@ -14,7 +14,7 @@ interleave split as their common prefixes end, so the blocks of the last round a
 In each, all windows but the earliest are covered. The windows of a minimizer with too many pieces for a
 bucket are not merged: they are compared by a 128-bit hash of the whole window, which spreads them evenly.
 
-Cases: null texts are empty; texts under ``length`` bytes lose nothing; rows with equal doc_id and text are
+Cases: null texts are empty; a very long text is read whole by one task, which holds some thirty times its bytes; texts under ``length`` bytes lose nothing; rows with equal doc_id and text are
 one document; null ids come first; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,7 +31,8 @@ from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spr
 from tracewright.session import cut_lineage
 
 LENGTH = 100
-GRAM = 28
+#: Longer grams recur less by chance, so less text is merged; shorter ones give fewer and longer pieces.
+GRAM = 64
 #: Bytes of a bucket, of one of its shards, and of a minimizer's pieces from which its windows are dealt singly.
 BUCKET_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18

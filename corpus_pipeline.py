@@ -19,8 +19,8 @@ from tracewright.llm.jaccard import linked_texts
 from tracewright.llm.lines import dedup_lines
 from tracewright.session import checkpoint_dir, cut_lineage
 
-#: Ids sent to all tasks at most; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 4 << 20
+#: Ids sent to all tasks at most, some 32 MB; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
 
 
 def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

@@ -9,7 +9,7 @@ vector may reach. Cells are cut into blocks of fixed size, and each block pair i
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,6 @@ from tracewright.functions.skew import join_counted
 from tracewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
 KERNEL_ROWS = 2048
 
 
@@ -68,12 +67,6 @@ def _unit_rows(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("_u", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def _pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """About the square root of ``count`` directions, in hash order: what the driver holds is bounded by MAX_PIVOTS."""
-    wanted = min(MAX_PIVOTS, max(1, math.isqrt(count)))
-    return np.array([r["_u"] for r in rows.orderBy(F.xxhash64("id"), "id").select("_u").limit(wanted).collect()], dtype=np.float64)
-
-
 def _deal(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
     """Rows by cell: each with its nearest pivot, and a copy in every cell ahead whose members it may reach.
 
@@ -81,24 +74,28 @@ def _deal(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
     distance plus twice the reach from that cell's pivot, and within the reach of the plane between the two
     pivots. Of two cells only the one ahead in cyclic order gets copies, so every pair meets in one cell.
     """
-    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    m = len(pivots)
-    cell = T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("member", T.BooleanType())]))
-
-    @F.pandas_udf(cell)
-    def cells(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        d = np.sqrt(np.maximum(2 - 2 * np.vstack(vectors.to_numpy()) @ pivots.T, 0))
-        home = d.argmin(1)
-        near = d[np.arange(len(d)), home][:, None]
-        ahead = (np.arange(m)[None, :] - home[:, None]) % m
-        take = (
-            (ahead > 0) & ((2 * ahead < m) | ((2 * ahead == m) & (home[:, None] < np.arange(m)[None, :])))
-            & (d <= near + 2 * reach) & (d * d - near * near <= 2 * reach * between[home]))
-        return pd.Series([[{"cell": h, "member": True}, *({"cell": c, "member": False} for c in np.flatnonzero(t))] for h, t in zip(home, take)])
-
-    return rows.withColumn("_c", F.explode(cells("_u"))).select(*rows.columns, F.col("_c.cell").alias("_cell"), F.col("_c.member").alias("_member"))
+    between = cells.chord(pivots, pivots)
+    m, names = len(pivots), rows.columns
+    at = names.index("_u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = cells.chord(cells.matrix(batch.column(at)), pivots)
+            home = d.argmin(1)
+            near = d[np.arange(len(d)), home][:, None]
+            ahead = (np.arange(m)[None, :] - home[:, None]) % m
+            take = (
+                (ahead > 0) & ((2 * ahead < m) | ((2 * ahead == m) & (home[:, None] < np.arange(m)[None, :])))
+                & (d <= near + 2 * reach) & (d * d - near * near <= 2 * reach * between[home]))
+            row, cell = np.nonzero(take | (ahead == 0))
+            for low in range(0, len(row), cells.BATCH_ROWS):
+                r, c = row[low:low + cells.BATCH_ROWS], cell[low:low + cells.BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [*(column.take(pa.array(r)) for column in batch.columns), pa.array(c, pa.int32()), pa.array(home[r] == c)], names=[*names, "_cell", "_member"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_member", T.BooleanType())]))
 
 
 def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block_rows: int) -> DataFrame:
@@ -112,7 +109,7 @@ def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block
     rows = cut_lineage(_unit_rows(vectors).select(*by, "id", "_u"))
     id_type = vectors.schema["id"].dataType
     out = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("score", T.DoubleType())])
-    pivots = _pivots(rows, rows.count())
+    pivots = cells.pivots_of(rows, rows.count())
     if not len(pivots):
         return spark.createDataFrame([], out)
     reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold)))) + 1e-9

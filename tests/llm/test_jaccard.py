@@ -89,3 +89,28 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9), (50, 50)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 3: 3, 7: 3, 9: 3}
+
+
+def test_class_counts_keep_every_similar_pair():
+    """The bound by class counts lets similar pairs through, also where counts end at 255, and stops most unlike ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewright.llm.jaccard import CLASSES, _may_reach
+
+    rng = np.random.default_rng(4)
+    rows, similar = [], []
+    for k in range(400):
+        n = int(rng.choice([1, 5, 60, 500, 80_000])) if k % 40 == 0 else int(rng.choice([1, 5, 60, 500]))
+        a = rng.integers(0, 1 << 62, n)
+        changed = rng.random(n) < rng.choice([0, 0.02, 0.07, 0.09, 0.3, 0.9])
+        b = np.where(changed, rng.integers(0, 1 << 62, n), a)
+        both = len(np.intersect1d(a, b))
+        similar.append(100 * both >= 85 * (2 * n - both))
+        count = lambda x: np.minimum(np.bincount(x % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes()
+        rows.append((k, k, n, n, count(a), count(b)))
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (4, 5))], names=["a", "b", "na", "nb", "sa", "sb"])
+    kept = {x for part in _may_reach([batch], 85) for x in part.column(0).to_pylist()}
+    assert {k for k, s in enumerate(similar) if s} <= kept
+    unlike = [k for k, s in enumerate(similar) if not s]
+    assert sum(k in kept for k in unlike) < len(unlike) / 2

@@ -4,7 +4,8 @@ A document's set holds its distinct 4-word shingles. Two sets that reach the sim
 the first ``n - ceil(t * n) + 1`` of each under any order of all tokens. Three orders are used; all put tokens
 that recur last, by the logarithm of their count, and break ties by different hashes. Documents that share a
 prefix token under the first order (a bucket) are candidates if their sizes and the token's places allow it and they also
-share one under each of the others; what is left is verified on the whole sets.
+share one under each of the others; what is left is verified on the whole sets. Before texts are read again for that, counts
+of tokens in 256 classes bound what two sets can have in common.
 
 Equal sets are one node. Inside a bucket the node with most shared tokens is verified against all others first.
 Members found connected need no more comparison, so a large group of near copies costs its size, not its
@@ -41,6 +42,8 @@ OTHER_COLUMNS = ("p0", "p1")
 #: Tokens that a task counts together, and entries of the list of recurring tokens.
 UNIT_TOKENS = 4 << 20
 MOST_COMMON = 2 << 20
+#: Classes of tokens whose counts bound how many two sets can share.
+CLASSES = 256
 #: Stars go on while they find links in this share of the pairs they verify.
 FAIR_SHARE = 1 / 16
 #: Members of a bucket that a task compares with as many others at a time, and pairs that it holds at once.
@@ -108,12 +111,14 @@ class Orders:
         self.known, self.level = common
         self.percent, self.size = percent, size
 
-    def prefixes(self, data: np.ndarray, offsets: np.ndarray, salts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
-        """Set sizes, set digests, and the prefix of each row under the order of each salt."""
+    def prefixes(self, data: np.ndarray, offsets: np.ndarray, salts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, pa.Array, list[pa.Array]]:
+        """Set sizes, set digests, tokens counted by class, and the prefix of each row under the order of each salt."""
         rows = len(offsets) - 1
         row, token = shingle_sets(data, offsets, self.size)
         n = np.bincount(row, minlength=rows)
         begin = np.cumsum(n) - n
+        held = np.bincount(row * CLASSES + (token >> np.uint64(56)).astype(np.int64) % CLASSES, minlength=rows * CLASSES)
+        sketch = pa.array([r.tobytes() for r in np.minimum(held, 255).astype(np.uint8).reshape(rows, CLASSES)], pa.binary())
         digest = np.zeros(rows, np.uint64)
         np.add.at(digest, row, mix(token, 99))
         rank = np.zeros(len(token), np.uint64)
@@ -127,7 +132,7 @@ class Orders:
         for salt in salts:
             key = (row.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(44)) | (mix(token, salt) >> np.uint64(20))
             lists.append(pa.ListArray.from_arrays(stop, pa.array(token[np.argsort(key)][inside].astype(np.int64))))
-        return n, mix(digest + n.astype(np.uint64)), lists
+        return n, mix(digest + n.astype(np.uint64)), sketch, lists
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, orders, size: int) -> DataFrame:
@@ -137,18 +142,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, orders, size: int) -> DataFrame:
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     near = maybe_in(hashed, "text_hash", wanted, "rep_hash")
-    chosen = near.join(wanted, near["doc_id"].eqNullSafe(wanted["rep_id"]) & (near["text_hash"] == wanted["rep_hash"])).select("node", "text")
+    chosen = near.join(wanted, near["doc_id"].eqNullSafe(wanted["rep_id"]) & (near["text_hash"] == wanted["rep_hash"])).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
                 row, token = shingle_sets(data, offsets, size)
                 stop = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
-                lists = orders.value.prefixes(data, offsets, OTHERS)[2]
+                lists = orders.value.prefixes(data, offsets, OTHERS)[3]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(stop), pa.array(token.astype(np.int64))), *lists], names=["node", "tokens", *OTHER_COLUMNS])
 
-    return chosen.mapInArrow(run, "node long, tokens array<long>" + "".join(f", {c} array<long>" for c in OTHER_COLUMNS)).dropDuplicates(["node"])
+    return chosen.mapInArrow(run, "node long, tokens array<long>" + "".join(f", {c} array<long>" for c in OTHER_COLUMNS))
 
 
 def _needed(one: str, other: str, percent: int) -> str:
@@ -179,6 +184,19 @@ def _compare(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _may_reach(batches, percent: int):
+    """Pairs whose tokens, counted by class, can have enough in common: no more in a class than either set has there."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+        sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES) for k in (4, 5))
+        most = np.minimum(sa, sb).sum(1, dtype=np.int64)
+        full = (sa.max(1) == 255) | (sb.max(1) == 255)  # counts end at 255
+        keep = pa.array(full | (100 * most >= percent * (na + nb - most)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 #: Sides of a unit: members of one block meet each other, those of two blocks meet across.
 BOTH = 2
 #: Rows that a task compares together, whole buckets at a time.
@@ -237,13 +255,13 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     def first_prefix(batches):
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch)):
-                n, node, lists = orders.value.prefixes(data, offsets, FIRST)
+                n, node, sketch, lists = orders.value.prefixes(data, offsets, FIRST)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(node.astype(np.int64)), pa.array(n, pa.int64()), *lists],
-                    names=["doc_id", "text_hash", "node", "n", "first"])
+                    batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(node.astype(np.int64)), pa.array(n, pa.int64()), sketch, *lists],
+                    names=["doc_id", "text_hash", "node", "n", "sketch", "first"])
 
     table = cut_lineage(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        first_prefix, "doc_id long, text_hash long, node long, n long, first array<long>"))
+        first_prefix, "doc_id long, text_hash long, node long, n long, sketch binary, first array<long>"))
     members = table.select("doc_id", "text_hash", "node", "n")
     prefix = table.where("n > 0").select(F.posexplode("first").alias("pos", "token"), "node", "n")
     likely = cut_lineage(maybe_repeated(prefix, "token", 1).distinct())
@@ -252,12 +270,15 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     state = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("comp", F.col("node"))
     reps = members.join(state.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     state = cut_lineage(state.join(reps, "node").select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    sketches = cut_lineage(table.select("node", "n", "sketch").join(state.select("node"), "node").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return _sets(docs, cut_lineage(state.join(nodes.select("node").distinct(), "node").select("node", "rep_id", "rep_hash")), orders, size)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that share a prefix token under every other order and reach the similarity."""
+        one, other = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+        pairs = cut_lineage(pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _may_reach(x, percent), "a long, b long"))
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         both = pairs.join(sets.toDF("a", "ta", *(f"{c}a" for c in OTHER_COLUMNS)), "a").join(sets.toDF("b", "tb", *(f"{c}b" for c in OTHER_COLUMNS)), "b")
         for c in OTHER_COLUMNS:

@@ -1,8 +1,12 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and reread by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of documents. Documents with a null id are judged by their text like others, but are never
-dropped as copies, since only ids name the document that stays.
+the columns of documents.
+
+Cases: documents with a null id are judged by their text like others, but are never dropped as copies, since only ids
+name the document that stays. Null and empty texts pass all stages and have no tokens. Rows that share an id are told
+apart by their texts; rows of equal id and text are one from the third stage on. Very long texts are read whole. Ties go to
+the smaller id. Other columns of documents are carried along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -124,15 +124,25 @@ def file_churn(commit_files: DataFrame, often: int = 100, binary_often: int = 10
     return counts.withColumn("severity", F.explode(classes))
 
 
-def repository_profile(commits: DataFrame, files: DataFrame, as_of: Column) -> DataFrame:
-    """Two independent per-repo aggregates joined on repo."""
+def repository_profile(commits: DataFrame, files: DataFrame, as_of: Column, refs: DataFrame | None = None) -> DataFrame:
+    """Independent per-repo aggregates joined on repo.
+
+    refs(repo, kind, name, ts, is_head): branches and tags; they add the current branch, the number of tags and the latest one.
+    """
     c = commits.groupBy("repo").agg(
         F.count("*").alias("commit_count"), F.count_distinct("email").alias("contributors"),
-        F.max("ts").alias("last_commit"), F.datediff(as_of, F.min("ts")).alias("age_days"))
+        F.max("ts").alias("last_commit"), F.max_by("hash", F.struct("ts", "hash")).alias("head_commit"), F.datediff(as_of, F.min("ts")).alias("age_days"))
     f = files.groupBy(F.col("job_id").alias("repo")).agg(
         F.count("*").alias("file_count"), F.sum("size_bytes").alias("size_bytes"),
         F.array_sort(F.collect_set("language")).alias("languages"))
-    return c.join(f, "repo", "full_outer")
+    out = c.join(f, "repo", "full_outer")
+    if refs is None:
+        return out
+    tag, place = F.col("kind") == "tag", F.struct("ts", "name")
+    named = refs.groupBy("repo").agg(
+        F.max(F.when((F.col("kind") == "branch") & F.col("is_head"), F.col("name"))).alias("branch"), F.count_if(tag).alias("tags"),
+        F.max_by(F.when(tag, F.col("name")), F.when(tag, place)).alias("latest_tag"))
+    return out.join(named, "repo", "left").withColumn("tags", F.coalesce("tags", F.lit(0)))
 
 
 def suspicious_commits(

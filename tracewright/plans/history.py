@@ -134,19 +134,30 @@ def e12(t):
         "path", "modifications", F.date_format("last_modified", "yyyy-MM-dd").alias("last_modified"), "severity")
 
 
+REFS = """SELECT 'src' || (user_id % 20) AS repo, CASE WHEN event_type IN ('signup', 'error') THEN 'tag' ELSE 'branch' END AS kind,
+  CASE WHEN event_type IN ('signup', 'error') THEN 'v' || event_id ELSE event_type || '-' || user_id END AS name, ts, event_type = 'purchase' AS is_head FROM events WHERE user_id % 20 <> 7"""
+
+
 @query("e13_repository_profile", f"""
-SELECT repo, commit_count, contributors, last_commit, age_days, file_count, size_bytes, languages FROM (
+SELECT repo, commit_count, contributors, last_commit, head_commit, age_days, file_count, size_bytes, languages, branch, coalesce(tags, 0) AS tags, latest_tag FROM (
   SELECT 'src' || (user_id % 20) AS repo, count(*) AS commit_count, count(DISTINCT email) AS contributors,
-    strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_commit, CAST(date_diff('day', CAST(min(ts) AS DATE), DATE '2024-06-01') AS INT) AS age_days
+    strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_commit, max_by(hash, (ts, hash)) AS head_commit, CAST(date_diff('day', CAST(min(ts) AS DATE), DATE '2024-06-01') AS INT) AS age_days
   FROM ({COMMITS}) GROUP BY 1)
 FULL JOIN (SELECT job_id AS repo, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
-  array_to_string(list_sort(list_distinct(list({LANGUAGE}))), ',') AS languages FROM ({INV}) GROUP BY job_id) USING (repo)""")
+  array_to_string(list_sort(list_distinct(list({LANGUAGE}))), ',') AS languages FROM ({INV}) GROUP BY job_id) USING (repo)
+LEFT JOIN (SELECT repo, max(name) FILTER (kind = 'branch' AND is_head) AS branch, count(*) FILTER (kind = 'tag') AS tags, max_by(name, (ts, name)) FILTER (kind = 'tag') AS latest_tag
+  FROM ({REFS}) GROUP BY repo) USING (repo)""")
 def e13(t):
     commits = B.commits(t).withColumn("repo", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")))
     files = O.detect_language(O.inventory(B.doc_files(t)))
-    return H.repository_profile(commits, files, F.lit("2024-06-01").cast("date")).select(
-        "repo", "commit_count", "contributors", _stamp("last_commit"), "age_days", "file_count", "size_bytes",
-        F.array_join("languages", ",").alias("languages"))
+    tag = F.col("event_type").isin("signup", "error")
+    refs = t.events.where("user_id % 20 <> 7").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("repo"), F.when(tag, "tag").otherwise("branch").alias("kind"),
+        F.when(tag, F.concat(F.lit("v"), F.col("event_id").cast("string"))).otherwise(F.concat_ws("-", "event_type", F.col("user_id").cast("string"))).alias("name"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("is_head"))
+    return H.repository_profile(commits, files, F.lit("2024-06-01").cast("date"), refs).select(
+        "repo", "commit_count", "contributors", _stamp("last_commit"), "head_commit", "age_days", "file_count", "size_bytes",
+        F.array_join("languages", ",").alias("languages"), "branch", "tags", "latest_tag")
 
 
 _MSG = " OR ".join(f"regexp_matches(message, {q(r.pattern)})" for r in R.MESSAGE_RULES)

@@ -31,8 +31,8 @@ from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spr
 from tracewright.session import cut_lineage
 
 LENGTH = 100
-#: Longer grams recur less by chance, so less text is merged; shorter ones give fewer and longer pieces.
-GRAM = 64
+#: Longer grams recur less by chance, but give more and shorter pieces, of which each holds LENGTH - 1 bytes of the next.
+GRAM = 28
 #: Bytes of a bucket, of one of its shards, and of a minimizer's pieces from which its windows are dealt singly.
 BUCKET_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18

@@ -92,6 +92,11 @@ def grid_join(
 BITMAP_BITS = 1 << 28
 
 
+def bits_for(keys: int) -> int:
+    """Bits by which one other key in sixteen or less is taken for one of so many, up to the largest bitmap."""
+    return min(BITMAP_BITS, 1 << max(20, (16 * keys - 1).bit_length()))
+
+
 def maybe_in(rows: DataFrame, hashed: str, wanted: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Rows whose 64-bit ``hashed`` value may be among ``wanted[key]``; all others leave without a shuffle.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.skew import maybe_in, maybe_repeated
+from tracewright.functions.skew import bits_for, maybe_in, maybe_repeated
 from tracewright.llm.batches import NONSPACE, Words, byte_slices, mix, spread, text_column
 from tracewright.llm.graph import components
 from tracewright.session import cut_lineage
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, orders, size: int) -> DataFrame:
     Texts that are not wanted leave by a bitmap of their hashes, so only the others are shuffled.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    near = maybe_in(hashed, "text_hash", wanted, "rep_hash")
+    near = maybe_in(hashed, "text_hash", wanted, "rep_hash", bits_for(wanted.count()))
     chosen = near.join(wanted, near["doc_id"].eqNullSafe(wanted["rep_id"]) & (near["text_hash"] == wanted["rep_hash"])).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
@@ -264,9 +264,10 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         first_prefix, "doc_id long, text_hash long, node long, n long, sketch binary, first array<long>"))
     members = table.select("doc_id", "text_hash", "node", "n")
     prefix = table.where("n > 0").select(F.posexplode("first").alias("pos", "token"), "node", "n")
-    likely = cut_lineage(maybe_repeated(prefix, "token", 1).distinct())
+    likely = cut_lineage(maybe_repeated(prefix, "token", 1, bits_for(4 * table.count())).distinct())
     shared = likely.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = cut_lineage(likely.join(shared, "token"))
+    del likely, shared  # their files may go
     state = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("comp", F.col("node"))
     reps = members.join(state.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     state = cut_lineage(state.join(reps, "node").select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
@@ -298,11 +299,8 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         tokens = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
         return cut_lineage(left.join(tokens, "token"))
 
-    number = 0
-    while True:
-        left = still_open()
-        if not left.limit(1).count():
-            break
+    number, left = 0, buckets.join(state.select("node", "comp", "degree"), "node")
+    while left.limit(1).count():
         lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
         stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
@@ -310,10 +308,11 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         links = cut_lineage(verified(stars))
         tried, good = stars.count(), links.count()
         state = joined(links)
-        number += 1
+        left, number = still_open(), number + 1
         if good < FAIR_SHARE * tried or not good:
-            state = joined(cut_lineage(verified(cut_lineage(_open_pairs(still_open(), percent)))))
+            state = joined(cut_lineage(verified(cut_lineage(_open_pairs(left, percent)))))
             break
+    orders.destroy()  # all that used it is written
     named = members.join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
     names = named.where("n > 0").groupBy("comp").agg(F.min(own).alias("least"))

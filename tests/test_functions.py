@@ -134,3 +134,14 @@ def test_trim_and_occurrences(spark):
     r = spark.range(1).select(
         trimmed(F.lit("\t　 x y \r\n")).alias("t"), occurrences(F.lit("aaaa"), "aa").alias("n")).first()
     assert (r["t"], r["n"]) == ("x y", 2)
+
+
+def test_salt_stays_a_key_of_the_shuffle(frame):
+    groups = frame.groupBy("k").agg(F.count("*").alias("n"))
+    frame.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = join_counted(frame, groups, "k", "n", salt=["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        frame.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert joins and all("_salt" in line for line in joins)

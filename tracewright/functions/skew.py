@@ -25,7 +25,8 @@ def join_counted(
     cols = [c for c in groups.columns if c != key]
     packed = groups.select(key, F.struct(*cols).alias("_v"), (F.col(count) * shares >= total).alias("_is_heavy"))
     heavy = packed.where("_is_heavy").select(key, F.col("_v").alias("_heavy"))
-    light = packed.where("not _is_heavy").select(key, F.lit(0).alias("_salt"), F.col("_v").alias("_light"))
+    none = F.pmod(F.col(f"_v.{count}"), F.lit(1)).cast("int")  # 0, but no literal: that would leave the join's keys, and with it the salt
+    light = packed.where("not _is_heavy").select(key, none.alias("_salt"), F.col("_v").alias("_light"))
     spread_heavy = 1 + F.pmod(F.xxhash64(*salt), F.lit(shares)).cast("int")
     return (
         detail.join(F.broadcast(heavy), key, "left")

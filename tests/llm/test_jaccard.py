@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm.graph import components
@@ -64,14 +65,15 @@ def test_chains_and_ids(spark, docs_of):
     assert similar_documents(docs_of([])).count() == 0
 
 
-def test_blocks_of_large_buckets(spark, docs_of, monkeypatch):
-    """Buckets cut into blocks, after a single round of stars, find what the stars leave."""
+@pytest.mark.parametrize("crowd", [1e9, 0])
+def test_blocks_of_large_buckets(spark, docs_of, monkeypatch, crowd):
+    """Buckets cut into blocks, after a single round of stars or as many as find links, find what the stars leave."""
     from tracewright.llm import jaccard
 
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "PAIRS", 50)
     monkeypatch.setattr(jaccard, "UNIT_ROWS", 100)
-    monkeypatch.setattr(jaccard, "FAIR_SHARE", 2)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     texts = near_copies(5, 6, 25, (60, 140), (0, 9))
     assert {r[0]: (r[1], r[2]) for r in similar_documents(docs_of(texts)).collect()} == brute(texts)
 

@@ -9,7 +9,7 @@ of tokens in 256 classes bound what two sets can have in common.
 
 Equal sets are one node. Inside a bucket the node with most shared tokens is verified against all others first.
 Members found connected need no more comparison, so a large group of near copies costs its size, not its
-square; this is repeated with other nodes as long as it finds links in a fair share of what it tries. Members of a
+square; this is repeated with other nodes while it finds links and buckets are crowded. Members of a
 bucket that are then in different components are compared inside tasks, in blocks, by their sizes and the token's places;
 only pairs that may be similar leave the task, and no pair of unconnected members is left out.
 
@@ -44,8 +44,8 @@ UNIT_TOKENS = 4 << 20
 MOST_COMMON = 2 << 20
 #: Classes of tokens whose counts bound how many two sets can share.
 CLASSES = 256
-#: Stars go on while they find links in this share of the pairs they verify.
-FAIR_SHARE = 1 / 16
+#: Stars go on while they find links and open buckets hold so many pairs a member or more.
+CROWD = 16
 #: Members of a bucket that a task compares with as many others at a time, and pairs that it holds at once.
 BLOCK = 1024
 PAIRS = 1 << 18
@@ -299,19 +299,24 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         tokens = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
         return cut_lineage(left.join(tokens, "token"))
 
+    def crowded(left: DataFrame) -> bool:
+        each = left.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        members, pairs = each.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+        return pairs > CROWD * members
+
     number, left = 0, buckets.join(state.select("node", "comp", "degree"), "node")
-    while left.limit(1).count():
+    while True:
         lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
         stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        stars = cut_lineage(stars.distinct())
-        links = cut_lineage(verified(stars))
-        tried, good = stars.count(), links.count()
+        links = cut_lineage(verified(cut_lineage(stars.distinct())))
+        if not links.limit(1).count():
+            break
         state = joined(links)
         left, number = still_open(), number + 1
-        if good < FAIR_SHARE * tried or not good:
-            state = joined(cut_lineage(verified(cut_lineage(_open_pairs(left, percent)))))
+        if not crowded(left):
             break
+    state = joined(cut_lineage(verified(cut_lineage(_open_pairs(still_open() if number == 0 else left, percent)))))
     orders.destroy()  # all that used it is written
     named = members.join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -59,3 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints of frames that are no longer held.
+
+    It does so when the driver collects its garbage, which an iteration that writes much but allocates little may
+    not reach before disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.skew import bits_for, maybe_in, maybe_repeated
 from tracewright.llm.batches import NONSPACE, Words, byte_slices, mix, spread, text_column
 from tracewright.llm.graph import components
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, release
 
 SHINGLE = 4
 PERCENT = 85
@@ -267,7 +267,7 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     likely = cut_lineage(maybe_repeated(prefix, "token", 1, bits_for(4 * table.count())).distinct())
     shared = likely.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = cut_lineage(likely.join(shared, "token"))
-    del likely, shared  # their files may go
+    del likely, shared, prefix  # their files may go
     state = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("comp", F.col("node"))
     reps = members.join(state.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     state = cut_lineage(state.join(reps, "node").select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
@@ -314,9 +314,14 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
             break
         state = joined(links)
         left, number = still_open(), number + 1
+        del lead, stars, links
+        release(docs.sparkSession)
         if not crowded(left):
             break
-    state = joined(cut_lineage(verified(cut_lineage(_open_pairs(still_open() if number == 0 else left, percent)))))
+    links = cut_lineage(verified(cut_lineage(_open_pairs(still_open() if number == 0 else left, percent))))
+    del left, buckets, sketches
+    release(docs.sparkSession)
+    state = joined(links)
     orders.destroy()  # all that used it is written
     named = members.join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))

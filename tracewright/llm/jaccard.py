@@ -9,7 +9,7 @@ of tokens in 256 classes bound what two sets can have in common.
 
 Equal sets are one node. Inside a bucket the node with most shared tokens is verified against all others first.
 Members found connected need no more comparison, so a large group of near copies costs its size, not its
-square; this is repeated with other nodes while it finds links and buckets are crowded. Members of a
+square; this is repeated with other nodes while it links a fair share of what it tries and buckets are crowded. Members of a
 bucket that are then in different components are compared inside tasks, in blocks, by their sizes and the token's places;
 only pairs that may be similar leave the task, and no pair of unconnected members is left out.
 
@@ -44,8 +44,9 @@ UNIT_TOKENS = 4 << 20
 MOST_COMMON = 2 << 20
 #: Classes of tokens whose counts bound how many two sets can share.
 CLASSES = 256
-#: Stars go on while they find links and open buckets hold so many pairs a member or more.
+#: Stars go on while open buckets hold so many pairs a member or more, and links are found in this share of the pairs tried.
 CROWD = 16
+FAIR_SHARE = 1 / 16
 #: Members of a bucket that a task compares with as many others at a time, and pairs that it holds at once.
 BLOCK = 1024
 PAIRS = 1 << 18
@@ -309,14 +310,16 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
         stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        links = cut_lineage(verified(cut_lineage(stars.distinct())))
-        if not links.limit(1).count():
+        stars = cut_lineage(stars.distinct())
+        links = cut_lineage(verified(stars))
+        tried, good = stars.count(), links.count()
+        if not good:
             break
         state = joined(links)
         left, number = still_open(), number + 1
         del lead, stars, links
         release(docs.sparkSession)
-        if not crowded(left):
+        if good < FAIR_SHARE * tried or not crowded(left):
             break
     links = cut_lineage(verified(cut_lineage(_open_pairs(still_open() if number == 0 else left, percent))))
     del left, buckets, sketches

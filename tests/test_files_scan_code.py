@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,25 @@ def test_long_functions(spark):
     assert got == want and want
 
 
+def test_function_spans_of_any_lines(spark):
+    """Lines without braces or headers are left out of the fold, which must not move an end."""
+    rnd = random.Random(5)
+    pieces = ["fn a(x) {", "def p(a):", "fn b(", "} func c(z) {", "{", "}", "x", "", "x fn(", "\u00a0} \t", "{{", "}}", "function(", "\r"]
+    texts = {str(i): "\n".join(rnd.choice(pieces) for _ in range(rnd.randrange(12))) for i in range(600)}
+    df = files(spark, list(texts.items()))
+    spans = {r["path"]: [tuple(s) for s in r["s"]] for r in df.select("path", C.function_spans(F.col("content")).alias("s")).collect()}
+    assert spans == {p: reference_spans(t) for p, t in texts.items()}
+    for limit in (0, 1, 2, 5):
+        got = {(r["path"], r["evidence"]["function_name"], r["line_number"]) for r in C.long_functions(df, limit).collect()}
+        assert got == {(p, n, s) for p, t in texts.items() for n, s, ln in reference_spans(t) if ln > limit}
+
+
+def test_short_files_leave_before_their_lines_are_split(spark):
+    plan = C.long_functions(files(spark, [("a", "fn go(x) {\n}")]))._jdf.queryExecution().optimizedPlan().toString()
+    split = next(line for line in plan.splitlines() if "aggregate(" in line)
+    assert "length(replace(" in plan.split(split)[1] and "Filter" in plan.split(split)[1]
+
+
 def test_vulnerable_deps_gathers_rows_by_name(spark, tmp_path):
     """Long advisory lists are stored once a file, not once a row."""
     rows = [("j", f"p{i}", 1, f"lib_{i % 20}", "1.0") for i in range(4000)]  # an RDD's size is not known, so the advisories are broadcast

@@ -73,3 +73,27 @@ def test_pieces_alike_under_polynomial_hashes(spark, docs_of):
     texts = [one, two, "head " + one + " tail", "x" * 300 + two]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs_of(texts)).collect()}
     assert got == brute(texts, 100)
+
+
+def test_merge_keeps_only_suffixes_that_repeat():
+    """Rows that the merge gives back are the suffixes whose first symbols another one has, in blocks of equal ones."""
+    rnd = np.random.default_rng(3)
+    for letters, depth in [(2, 5), (3, 8), (2, 12), (256, 1), (256, 2), (40, 3)]:
+        pieces = [rnd.integers(0, letters, rnd.integers(1, 60)).astype(np.uint8) for _ in range(12)]
+        pieces += [pieces[0], pieces[3][2:], np.arange(256, dtype=np.uint8)]
+        shards = [pieces[:4], pieces[4:5], pieces[5:]]
+        made = [repeats.transform(shard, depth) for shard in shards]
+        texts = []
+        for shard, (order, _, _) in zip(shards, made):
+            strings = [p.tobytes() for p in shard]
+            suffixes = [s[k:] for s in strings for k in range(len(s) + 1)]
+            texts += [suffixes[k] for k in order]
+        rows, block = repeats.merge_transforms([m[1] for m in made], [m[2] for m in made], depth)
+        want = {}
+        for row, text in enumerate(texts):
+            if len(text) >= depth:
+                want.setdefault(text[:depth], set()).add(row)
+        got = {}
+        for row, b in zip(rows.tolist(), block.tolist()):
+            got.setdefault(b, set()).add(row)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1), (letters, depth)

@@ -51,6 +51,16 @@ def span_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * back[start])
 
 
+def gram_spans(code: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of the ``size`` bytes from every place that has so many."""
+    forth, back = powers(len(code))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[code] * forth[:len(code)], out=sums[1:])
+    spans = sums[size:] - sums[:len(sums) - size]
+    spans *= back[:len(spans)]
+    return mix(spans)
+
+
 #: Spans longer than this many bytes are hashed by a cryptographic function.
 LONG_SPAN = 256
 _HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)

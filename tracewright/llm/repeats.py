@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import among, byte_slices, powers, span_hashes, spread, text_column, window_min, word_hashes
+from tracewright.llm.batches import among, byte_slices, gram_spans, span_hashes, spread, text_column, window_min, word_hashes
 from tracewright.session import cut_lineage
 
 LENGTH = 100
@@ -45,9 +45,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` bytes from every place."""
     if len(data) < gram:
         return np.zeros(0, np.uint64)
-    start = np.arange(len(data) - gram + 1)
-    powers(len(data))
-    return span_hashes(data, start, start + gram)
+    return gram_spans(data, gram)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +79,9 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "mini long")
 
 
-def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> DataFrame:
-    """(mini, h, g, doc_id, key, start, size, twice) of the pieces under shared minimizers, all if ``shared`` is None; with
-    their bytes if asked. ``twice`` says that the minimizer stands in the piece more than once."""
+def _pieces(docs: DataFrame, shared, length: int, gram: int, more: str = "") -> DataFrame:
+    """(mini, h, g, doc_id, key, start, size) of the pieces under shared minimizers, all if ``shared`` is None, and ``more``:
+    ``piece``, their bytes, or ``twice``, whether the minimizer stands in the piece more than once."""
     def run(batches):
         known = shared.value if shared is not None else None
         for batch in batches:
@@ -102,52 +100,65 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, texts: bool) -> Dat
                     start, stop, mini = start[ok], stop[ok], mini[ok]
                 if not len(start):
                     continue
-                place = chosen_places(hashes, least, inside, length - gram + 1)
-                values, group = np.unique(hashes[place], return_inverse=True)
-                ordered = np.sort(group * (len(data) + 1) + place)
-                of_piece = np.searchsorted(values, mini) * (len(data) + 1)
-                twice = np.searchsorted(ordered, of_piece + stop - gram, "right") - np.searchsorted(ordered, of_piece + start, "left") > 1
                 h = word_hashes(data, start, stop)
                 g = span_hashes(data ^ 0x55, start, stop)
                 row = np.searchsorted(offsets, start, side="right") - 1
                 which = pa.array(row + first)
                 columns = [pa.array(mini.astype(np.int64)), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64)), batch.column(0).take(which), batch.column(2).take(which),
-                           pa.array(start - offsets[row]), pa.array(stop - start), pa.array(twice)]
-                names = ["mini", "h", "g", "doc_id", "key", "start", "size", "twice"]
-                if texts:
+                           pa.array(start - offsets[row]), pa.array(stop - start)]
+                names = ["mini", "h", "g", "doc_id", "key", "start", "size"]
+                if more == "twice":
+                    place = chosen_places(hashes, least, inside, length - gram + 1)
+                    values, group = np.unique(hashes[place], return_inverse=True)
+                    ordered = np.sort(group * (len(data) + 1) + place)
+                    of_piece = np.searchsorted(values, mini) * (len(data) + 1)
+                    twice = np.searchsorted(ordered, of_piece + stop - gram, "right") - np.searchsorted(ordered, of_piece + start, "left") > 1
+                    columns.append(pa.array(twice))
+                    names.append(more)
+                elif more == "piece":
                     size = stop - start
                     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     raw = data[spread(start, size)]
                     columns.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())]))
-                    names.append("piece")
+                    names.append(more)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text", "key").mapInArrow(
-        run, "mini long, h long, g long, doc_id long, key long, start long, size long, twice boolean" + ", piece binary" * texts)
+        run, "mini long, h long, g long, doc_id long, key long, start long, size long" + {"": "", "twice": ", twice boolean", "piece": ", piece binary"}[more])
+
+
+#: Symbols of a suffix that its first key takes in, nine bits each.
+PACKED = 7
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of strings laid end to end, by their first ``depth`` symbols at least; ``ends`` are the terminators."""
-    rank = symbols.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    n, have = len(symbols), 1
+    n, have = len(symbols), PACKED
+    key, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(PACKED, np.int64)])
+    for k in range(PACKED):  # what follows a terminator does not count
+        key = (key << 9) + np.where(alive, padded[k:k + n], 0)
+        alive &= padded[k:k + n] > 0
+    order = np.argsort(key, kind="stable")  # of equal ones that end alike the earlier has the earlier terminator
     while True:
-        later = np.zeros(n, np.int64)
-        if have < n:
-            later[:-have] = rank[have:] + 1
-        key = rank * (max(n, 256 + len(ends)) + 2) + later
-        order = np.argsort(key, kind="stable")
-        if (have := have * 2) >= depth:
+        if have >= depth:
             return order
         sorted_key = key[order]
         fresh = np.zeros(n, np.int64)
-        fresh[1:] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
+        fresh[1:] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
         rank = np.empty(n, np.int64)
-        rank[order] = fresh
+        rank[order] = np.cumsum(fresh)
+        later = np.zeros(n, np.int64)
+        if have < n:
+            later[:-have] = rank[have:] + 1
+        key = rank * (n + 2) + later
+        alive[:] = True  # terminators have told these apart
+        have *= 2
+        order = order[np.argsort(key[order], kind="stable")]
 
 
-def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix places and the symbols before them (0 before a string's first) of one shard."""
+def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix places of one shard, the symbols before them (0 before a string's first), and the rows of the suffixes these begin."""
     sizes = np.array([len(p) + 1 for p in pieces])
     ends = np.cumsum(sizes) - 1
     symbols = np.zeros(int(sizes.sum()), np.uint16)
@@ -155,33 +166,42 @@ def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     inner[ends] = False
     symbols[inner] = np.concatenate(pieces).astype(np.uint16) + 1
     order = suffix_order(symbols, ends, depth)
-    return order, symbols[order - 1]
+    row = np.empty(len(order), np.int32)
+    row[order] = np.arange(len(order), dtype=np.int32)
+    return order, symbols[order - 1], row[order - 1]
 
 
-def merge_transforms(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each suffix in the merged order of ``depth`` symbols, and the block of suffixes it shares them with.
+def merge_transforms(parts: list[np.ndarray], steps: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the shards' transforms, numbered through, of the suffixes that share their first ``depth`` symbols with another,
+    and the block of suffixes they share them with.
 
-    Rows of terminators come first, by shard, each a block of its own; only their order is known beforehand.
+    A round sorts the rows by the two symbols before them and steps to the rows of the suffixes these begin, which refines
+    the interleave of the shards by two symbols; an odd depth begins with a round of one. A suffix alone in its block is settled,
+    and so are all that end in it: they leave, so a round costs what still repeats. Terminators are unlike each other.
     """
-    strings = [int((p == 0).sum()) for p in parts]
-    first = np.repeat(np.arange(len(parts), dtype=np.uint8), strings)
-    shard = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p) for p in parts])
-    block = np.zeros(len(shard), np.int32)
-    used = np.unique(np.concatenate(parts))
-    if len(used) <= 256:  # one byte a symbol sorts faster
-        parts = [np.searchsorted(used, p).astype(np.uint8) for p in parts]
-    before = np.empty(len(shard), parts[0].dtype)
-    m = len(first)
-    for _ in range(depth):
-        for x, part in enumerate(parts):
-            before[shard == x] = part
-        order = np.argsort(before, kind="stable")[m:]
-        shard = np.concatenate([first, shard[order]])
-        symbol, old = before[order], block[order]
-        split = np.ones(len(shard), bool)
-        split[m + 1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(split, dtype=np.int32)
-    return shard, block
+    first = np.cumsum([0] + [len(p) for p in parts])
+    before = np.concatenate(parts)
+    step = np.concatenate([s + np.int32(f) for s, f in zip(steps, first)])
+    starts = before == 0
+    used = np.bincount(before, minlength=1) > 0
+    used[0] = False
+    narrow = (np.cumsum(used) - 1).astype(np.uint8)  # 256 bytes at most
+    before = narrow[before]
+    pair, twice, early = before[step] * np.uint16(256) + before, step[step], starts | starts[step]
+    rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
+    while depth > 0 and len(rows):
+        symbols, onward, gone, taken = (before, step, starts, 1) if depth % 2 else (pair, twice, early, 2)
+        inner = ~gone[rows]
+        rows, block = rows[inner], block[inner]
+        symbol = symbols[rows]
+        order = np.argsort(symbol, kind="stable")
+        rows, symbol, block = onward[rows[order]], symbol[order], block[order]
+        split = np.ones(len(rows) + 1, bool)
+        split[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        shared = ~(split[:-1] & split[1:])
+        rows, block = rows[shared], np.cumsum(split[:-1], dtype=np.int32)[shared]
+        depth -= taken
+    return rows, block
 
 
 def later_windows(pieces: list[np.ndarray], document: np.ndarray, start: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -193,21 +213,18 @@ def later_windows(pieces: list[np.ndarray], document: np.ndarray, start: np.ndar
             size = 0
         shards[-1].append(k)
         size += len(piece)
-    places, parts, owner = [], [], []
+    places, parts, steps, owner = [], [], [], []
     for members in shards:
-        order, before = transform([pieces[k] for k in members], length)
+        order, before, step = transform([pieces[k] for k in members], length)
         sizes = np.array([len(pieces[k]) + 1 for k in members])
         begin = np.cumsum(sizes) - sizes
         which = np.searchsorted(begin, order, side="right") - 1
         parts.append(before)
+        steps.append(step)
         owner.append(np.array(members)[which])
         places.append(order - begin[which])
-    shard, block = merge_transforms(parts, length)
-    piece, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for x in range(len(parts)):
-        piece[shard == x], offset[shard == x] = owner[x], places[x]
-    many = np.bincount(block)[block] > 1
-    piece, offset, block = piece[many], offset[many], block[many]
+    rows, block = merge_transforms(parts, steps, length)
+    piece, offset = np.concatenate(owner)[rows], np.concatenate(places)[rows]
     order = np.lexsort((start[piece] + offset, document[piece], block))
     piece, offset, block = piece[order], offset[order], block[order]
     late = np.zeros(len(block), bool)
@@ -258,23 +275,23 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             return None
         return docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
-    def pieces(minis: DataFrame, known, texts: bool) -> DataFrame:
-        found = _pieces(docs, known, length, gram, texts)
+    def pieces(minis: DataFrame, known, more: str = "") -> DataFrame:
+        found = _pieces(docs, known, length, gram, more)
         return found if known is not None else found.join(minis, "mini")
 
     minis = cut_lineage(_occurrences(docs, length, gram).groupBy("mini").count().where("count > 1").select("mini"))
     known = sent(minis)
     place = F.struct("doc_id", "key", "start")
-    firsts = cut_lineage(pieces(minis, known, False).groupBy("mini", "h", "g").agg(
+    firsts = cut_lineage(pieces(minis, known, "twice").groupBy("mini", "h", "g").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max("size").alias("size")))
     copied = firsts.where("n > 1").select("h", "g", "first")
-    whole = pieces(minis, known, False).join(copied, ["h", "g"]).where(place != F.col("first")).select(
+    whole = pieces(minis, known).join(copied, ["h", "g"]).where(place != F.col("first")).select(
         "key", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
     # A single piece that holds its minimizer once repeats in its copies only.
     sizes = cut_lineage(firsts.groupBy("mini").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("pieces"), F.max("twice").alias("twice"))
                         .where("pieces > 1 OR twice").select("mini", "bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    texts = pieces(sizes.select("mini"), sent(sizes.select("mini")), True).groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
+    texts = pieces(sizes.select("mini"), sent(sizes.select("mini")), "piece").groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
     hot = cut_lineage(sizes.where(f"bytes > {HOT_BYTES}").select("mini", F.lit(True).alias("hot")))
     flat = texts.join(F.broadcast(hot), "mini", "left").select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece", "hot")
     buckets = max(1, -(-total // BUCKET_BYTES))

@@ -90,3 +90,25 @@ def test_rare_keys_leave_before_the_shuffle(spark):
     assert len(kept) <= 1.01 * sum(counts.values())
     few = [r["h"] for r in maybe_repeated(df, "h", 2, bits=1 << 15).collect()]  # more false hits, none lost
     assert all(few.count(k) == n for k, n in counts.items()) and len(few) < len(keys)
+
+
+def test_line_figures_follow_the_lines(spark):
+    """Line count, bytes in lines, long lines and density against the lines themselves, in any mix of line ends and alphabets."""
+    rnd = random.Random(11)
+    pieces = ["\n", "\r\n", "\r", "\n\n", "é" * 60, "x" * 199, "x" * 201, "\U0001f600" * 51, " ", "\u2028", "\u00a0", "\x1c", "a b", "\u3000\t"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(9))) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    white = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+    for r in S.obfuscation_metrics(df).collect():
+        text = texts[r["id"]]
+        lines = re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text)) if text else []
+        sizes = [len(x.encode()) for x in lines]
+        want = (sum(sizes) / len(lines), sum(n > 200 for n in sizes) / len(lines), sum(c not in white for c in text) / len(text.encode())) if lines else (None,) * 3
+        assert (r["avg_line_length"], r["long_line_ratio"], r["density"]) == want, repr(text)
+
+
+def test_lines_of_the_whole_scan_are_rows(spark, files):
+    """Rules are tried on rows of lines: no pattern is left inside a lambda, where it would be interpreted."""
+    plan = S.scan_all(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and not any("filter(transform(" in line for line in plan.splitlines())
+    assert "regexp_extract_all" not in plan

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import rules as R
-from tracewright.functions.lines import any_contains, any_match, explode_lines, split_lines, trimmed
+from tracewright.functions.lines import any_contains, any_match, explode_lines, line_count, split_lines, trimmed
+from tracewright.functions.plan import computed_once
 from tracewright.model import as_findings, severity_of
 from tracewright.operators.files import byte_entropy, file_name
 from tracewright.rules import Rule
@@ -155,19 +156,20 @@ def scan_signatures(files: DataFrame, signatures: Sequence[tuple[str, str]] = R.
 
 
 def _line_stats(files: DataFrame) -> DataFrame:
-    """Line count, bytes in lines and long lines, from one pass over the line array."""
-    lines = split_lines(F.col("content"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("long"))
-    stats = F.aggregate(lines, zero, lambda a, x: F.struct(
-        (a["n"] + 1).alias("n"), (a["bytes"] + F.octet_length(x)).alias("bytes"),
-        (a["long"] + F.when(F.octet_length(x) > 200, 1).otherwise(0)).alias("long"),
-    ))
-    return files.withColumn("_s", stats)
+    """Line count, bytes in lines and long lines; lines are only split where the text has 201 bytes between line ends."""
+    content = F.col("content")
+    plain = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    line_ends = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+    # 51 characters may be 201 bytes; in ASCII it takes as many characters
+    maybe = F.when(F.length(content) == F.octet_length(content), content.rlike(r"(?m)^[^\n]{201}")).otherwise(content.rlike(r"(?m)^[^\n]{51}"))
+    over = F.when(maybe, F.size(F.filter(split_lines(content), lambda x: F.octet_length(x) > 200))).otherwise(0)
+    return computed_once(files, "_s", F.struct(
+        line_count(plain).alias("n"), (F.octet_length(plain) - line_ends).cast("long").alias("bytes"), over.alias("long")))
 
 
 def obfuscation_metrics(files: DataFrame) -> DataFrame:
     s = F.col("_s")
-    dense = F.regexp_count("content", F.lit(r"(?U)\S")) / F.octet_length("content")
+    dense = F.length(F.regexp_replace("content", r"(?U)\s+", "")) / F.octet_length("content")
     return (
         _line_stats(files)
         .withColumn("avg_line_length", F.when(s["n"] > 0, s["bytes"] / s["n"]))
@@ -247,8 +249,8 @@ def scan_all(files: DataFrame, line_rules: Sequence[tuple[Rule, bool]] = LINE_RU
     """All findings of files(job_id, path, language, file_type, content) from one scan of the texts.
 
     Every file gives one array: what its path and its whole text raise (path fragments, hidden folders, exposed names, configured
-    credentials, obfuscation) and the hits of all line rules, tagged by rule. Lines are only split where a rule's literals are in
-    the file, and patterns only tried where they are in the line. Rows are what the single scanners give.
+    credentials, obfuscation) and its lines, which become rows that all line rules are tried on. Lines are only split where a rule's
+    literals are in the file, and patterns only tried where they are in the line. Rows are what the single scanners give.
     """
     rules, redacted = [r for r, _ in line_rules], [r.name for r, hidden in line_rules if hidden]
     language, path, content = F.col("language"), F.col("path"), F.col("content")
@@ -264,15 +266,16 @@ def scan_all(files: DataFrame, line_rules: Sequence[tuple[Rule, bool]] = LINE_RU
         found("hidden", path, hidden), found("exposed", name, name.isin(*R.EXPOSED_FILE_NAMES)),
         found("config", F.lit("credential_pattern_matching"), (F.col("file_type") == "config") & any_match(content, R.CREDENTIAL_PATTERNS)),
         found("obfuscated", F.round("density", 6), F.col("is_obfuscated")))
-    tagged = F.transform(split_lines(content), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
-    hits = F.flatten(F.transform(
-        F.filter(tagged, lambda x: may_match(x["line"], rules, language)),
-        lambda x: F.transform(matching_rules(x["line"], rules, language), lambda ix: F.struct(
-            F.lit("line").alias("kind"), ix.alias("_ix"), x["n"].cast("int").alias("line_number"), x["line"].alias("line")))))
+    tagged = F.transform(split_lines(content), lambda x, i: F.struct(
+        F.lit("line").alias("kind"), F.lit(None).cast("int").alias("_ix"), (i + 1).cast("int").alias("line_number"), x.alias("line")))
     empty = F.array().cast("array<struct<kind:string,_ix:int,line_number:int,line:string>>")
-    lines = F.when(may_match(content, rules, language), hits).otherwise(empty)
-    rows = is_obfuscated(files.select("job_id", "path", "language", "file_type", "content")).select(
-        "job_id", "path", F.explode(F.concat(fragments, F.array_compact(whole), lines)).alias("f")).select("job_id", "path", "f.*")
+    lines = F.when(may_match(content, rules, language), tagged).otherwise(empty)
+    is_line, line = F.col("kind") == "line", F.col("line")
+    raised = is_obfuscated(files.select("job_id", "path", "language", "file_type", "content")).select(
+        "job_id", "path", "language", F.explode(F.concat(fragments, F.array_compact(whole), lines)).alias("f")).select("job_id", "path", "language", "f.*")
+    # Rows of lines, not lambdas over them: their tests are compiled.
+    rows = raised.where(~is_line | may_match(line, rules, language)).withColumn(
+        "_ix", F.explode(F.when(is_line, matching_rules(line, rules, language)).otherwise(F.array(F.col("_ix")))))
     by_kind = {
         "path": (F.concat(F.lit("path:"), F.col("line")), "suspicious_code", "medium", "Suspicious file path detected", 0.7),
         "hidden": (F.lit("hidden"), "suspicious_code", "low", "Hidden directory detected", 0.5),

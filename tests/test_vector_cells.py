@@ -97,3 +97,8 @@ def test_rings_prune_clusters(spark):
     assert (homes.sum(1) == 1).all() and (packed.packs(taken) >= homes).all() and packed.packs(taken).mean() < 0.6
     held = rings.holding(d, 5)
     assert ((cells.chord(x, x) <= held[:, None] + 1e-9).sum(1) >= 5).all()
+
+
+def test_blocks_of_a_range_join_grow_with_the_table():
+    """The other table is copied to each block, so their number is bounded until blocks are as large as a task may hold."""
+    assert [cells.block_size(128, n) for n in (0, 1000, 24 * 128, 24 * 5000, 10 ** 9)] == [128, 128, 128, 5000, cells.MOST_ROWS]

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 MAX_PIVOTS = 1024
 #: Rows of one Arrow batch of copies.
 BATCH_ROWS = 16_384
+#: Blocks grow up to so many rows (32 MB at 64 components) while a table still has so many of them.
+MOST_ROWS, LEAST_BLOCKS = 65_536, 24
 #: Distances are roots of rounded differences; bounds give way by more than that.
 SLACK = 1e-7
 
@@ -42,6 +44,11 @@ def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
     return np.array([r["_u"] for r in rows.orderBy(F.xxhash64("id"), "id").select("_u").limit(wanted).collect()], dtype=np.float64)
 
 
+def block_size(block_rows: int, count: int) -> int:
+    """Rows of a block in a table of ``count`` rows: every row of the other table is copied to each block, so few large ones."""
+    return max(block_rows, min(MOST_ROWS, count // LEAST_BLOCKS))
+
+
 def deal(rows: DataFrame, pivots: np.ndarray, choose: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
     """Rows with ``_far`` from their nearest pivot and ``_place``, once for each place that ``choose(distances, batch)`` marks for them."""
     names = rows.columns

@@ -27,6 +27,8 @@ from tracewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
 KERNEL_ROWS = 2048
+#: Scores of one product in a search or range join at most.
+KERNEL_SCORES = KERNEL_ROWS * BLOCK_ROWS
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -215,7 +217,7 @@ def _scores_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 
 def _kernel(choose):
-    """Products of two blocks, KERNEL_ROWS queries at a time; ``choose(scores)`` gives the (row, column) places that stay.
+    """Products of two blocks, as many queries at a time as KERNEL_SCORES and KERNEL_ROWS allow; ``choose(scores)`` gives the (row, column) places that stay.
 
     Columns are in the order of the ids.
     """
@@ -223,8 +225,9 @@ def _kernel(choose):
         right = right.take(pc.sort_indices(right.column("id")))
         a, b = cells.matrix(left.column("_u")), cells.matrix(right.column("_u"))
         found = []
-        for s in range(0, len(a), KERNEL_ROWS):
-            scores = a[s:s + KERNEL_ROWS] @ b.T
+        rows = max(1, min(KERNEL_ROWS, KERNEL_SCORES // len(b)))
+        for s in range(0, len(a), rows):
+            scores = a[s:s + rows] @ b.T
             x, y = choose(scores)
             found.append(pa.table({
                 "query_id": left.column("id").take(pa.array(x + s)), "id": right.column("id").take(pa.array(y)), "score": pa.array(scores[x, y])}))
@@ -311,6 +314,7 @@ def _range_join(mine: DataFrame, known: DataFrame, threshold: float, block_rows:
         return mine.sparkSession.createDataFrame([], _scores_schema(mine, known))
     reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold))))
     members = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    block_rows = cells.block_size(block_rows, members.count())
     rings = cells.Rings(members, pivots, block_rows)
     copies = cells.deal(guests, pivots, lambda d, batch: rings.packs(rings.within(d, np.full(len(d), reach))))
     hits = cells.block_pairs(copies, members, rings, block_rows, _kernel(lambda scores: np.nonzero(scores >= threshold)), schema)

@@ -102,3 +102,23 @@ def test_rings_prune_clusters(spark):
 def test_blocks_of_a_range_join_grow_with_the_table():
     """The other table is copied to each block, so their number is bounded until blocks are as large as a task may hold."""
     assert [cells.block_size(128, n) for n in (0, 1000, 24 * 128, 24 * 5000, 10 ** 9)] == [128, 128, 128, 5000, cells.MOST_ROWS]
+
+
+def test_copies_of_a_search_grow_with_the_rows(spark, monkeypatch):
+    """Without clusters a query goes to every block; there are about SEARCH_BLOCKS of these, and a pack that just fills one is not two."""
+    copies, block_pairs = [], cells.block_pairs
+
+    def counted(guests, members, rings, block_rows, kernel, schema):
+        copies.append(sum(r["count"] * cells.blocks_of(int(rings.pack_count[r["_place"]]), block_rows) for r in guests.groupBy("_place").count().collect()))
+        return block_pairs(guests, members, rings, block_rows, kernel, schema)
+
+    monkeypatch.setattr(cells, "block_pairs", counted)
+    rng = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 32)))]
+    df = spark.createDataFrame(vectors, SCHEMA).repartition(3)
+    got = found(S.knn_join(df, df, 3, 8))
+    assert sum(copies) <= (cells.SEARCH_BLOCKS + 1) * 800  # packs of 8 rows, cut in two, took many times as many
+    want = nearest(vectors, vectors, 3)
+    assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-8) for q in want)
+    assert [cells.block_size(512, n, cells.SEARCH_BLOCKS) for n in (100, 80_000, 10 ** 9)] == [512, 10_000, cells.MOST_ROWS]
+    assert [cells.blocks_of(n, 100) for n in (7, 100, 199, 250)] == [1, 1, 1, 2]

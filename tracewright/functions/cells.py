@@ -24,6 +24,8 @@ MAX_PIVOTS = 1024
 BATCH_ROWS = 16_384
 #: Blocks grow up to so many rows (32 MB at 64 components) while a table still has so many of them.
 MOST_ROWS, LEAST_BLOCKS = 65_536, 24
+#: A search copies both of its sides, so its tables are cut into about so many blocks from small ones on: copies grow with the rows.
+SEARCH_BLOCKS = 8
 #: Distances are roots of rounded differences; bounds give way by more than that.
 SLACK = 1e-7
 
@@ -44,9 +46,14 @@ def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
     return np.array([r["_u"] for r in rows.orderBy(F.xxhash64("id"), "id").select("_u").limit(wanted).collect()], dtype=np.float64)
 
 
-def block_size(block_rows: int, count: int) -> int:
+def block_size(block_rows: int, count: int, blocks: int = LEAST_BLOCKS) -> int:
     """Rows of a block in a table of ``count`` rows: every row of the other table is copied to each block, so few large ones."""
-    return max(block_rows, min(MOST_ROWS, count // LEAST_BLOCKS))
+    return max(block_rows, min(MOST_ROWS, count // blocks))
+
+
+def blocks_of(count: int, block_rows: int) -> int:
+    """Blocks of a pack: packs end with the cell that fills a block, so they hold a little more than one, which is no second block."""
+    return max(1, count // block_rows)
 
 
 def deal(rows: DataFrame, pivots: np.ndarray, choose: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -134,7 +141,7 @@ def block_pairs(guests: DataFrame, members: DataFrame, rings: Rings, block_rows:
     pack, tables bounded by the pivots.
     """
     spark = guests.sparkSession
-    packs = spark.createDataFrame([(p, max(1, math.ceil(n / block_rows))) for p, n in enumerate(rings.pack_count.tolist())], "_place int, _inside int")
+    packs = spark.createDataFrame([(p, blocks_of(n, block_rows)) for p, n in enumerate(rings.pack_count.tolist())], "_place int, _inside int")
     asked = guests.groupBy("_place").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_outside"))
     sizes = F.broadcast(packs.join(F.broadcast(asked), "_place"))
 

@@ -26,6 +26,8 @@ from tracewright.functions.skew import join_counted
 from tracewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
+#: Rows of a block of a search at least.
+SEARCH_ROWS = 512
 KERNEL_ROWS = 2048
 #: Scores of one product in a search or range join at most.
 KERNEL_SCORES = KERNEL_ROWS * BLOCK_ROWS
@@ -260,6 +262,7 @@ def _top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def _nearest(asked: DataFrame, members: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> DataFrame:
     """The k nearest members (id, _u) of every asked (id, _u): first around home, then in all cells the k-th distance reaches."""
     members = cut_lineage(cells.deal(members, pivots, cells.at_home))
+    block_rows = cells.block_size(block_rows, members.count(), cells.SEARCH_BLOCKS)
     rings = cells.Rings(members, pivots, block_rows)
     schema = _scores_schema(asked, members)
     home = cells.deal(asked, pivots, lambda d, batch: rings.packs(cells.at_home(d)))
@@ -278,14 +281,14 @@ def _nearest(asked: DataFrame, members: DataFrame, pivots: np.ndarray, k: int, b
     return _top(first.drop("rank").unionByName(more), k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = SEARCH_ROWS) -> DataFrame:
     """query_id, id, score, rank: the k nearest vectors of every query, itself (the same id) excluded; ties to the smaller id.
 
     Exact, in two rounds: the cells around a query's home give the distance of its k-th best, and a copy of the
     query goes only to the other packs of cells of which a ring meets that distance; vectors stay in their cells. Equal
     queries are asked once, and of equal vectors only the k + 1 of the smallest ids can be among the nearest, so a
     group of copies costs as much as those. Where vectors have no clusters the rings prune nothing, and the
-    search is quadratic.
+    comparisons are quadratic; copies are not, as blocks grow with the table up to ``cells.MOST_ROWS``.
     """
     few = _top(vectors.select("id", "embedding", F.lit(0.0).alias("score")), k + 1, "embedding")
     members = cut_lineage(_unit_rows(few.select("id", "embedding")).select("id", "_u"))

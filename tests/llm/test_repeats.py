@@ -97,3 +97,25 @@ def test_merge_keeps_only_suffixes_that_repeat():
         for row, b in zip(rows.tolist(), block.tolist()):
             got.setdefault(b, set()).add(row)
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1), (letters, depth)
+
+
+def test_settled_suffixes_are_not_sorted_again(monkeypatch):
+    """Suffixes come in order of their first symbols; later rounds sort only those that still share theirs."""
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(0, 256, 150).astype(np.uint8) for _ in range(60)] + [np.full(40, 97, np.uint8)] * 3
+    pieces += [np.concatenate([pieces[0][:100], pieces[1][:30]]), np.frombuffer(b"ab" * 30, np.uint8)]
+    sorted_rows, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, **how: sorted_rows.append(len(a)) or argsort(a, **how))
+    order, before, step = repeats.transform(pieces, 100)
+    monkeypatch.undo()
+    symbols = np.concatenate([np.append(p.astype(int) + 1, 0) for p in pieces])
+    ends = np.flatnonzero(symbols == 0)
+
+    def text(k):  # up to its terminator, which is unlike the others
+        end = ends[np.searchsorted(ends, k)]
+        return (*symbols[k:end], 0, k)
+
+    depth = [text(k)[:100] for k in order]
+    assert sorted(order) == list(range(len(symbols))) and depth == sorted(depth)
+    assert (before == symbols[order - 1]).all() and (order[step] == (order - 1) % len(order)).all()
+    assert sorted_rows[0] == len(symbols) and max(sorted_rows[1:]) < len(symbols) / 10

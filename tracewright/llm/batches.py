@@ -38,26 +38,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Spread every input bit over all 64 output bits; one-to-one for a given salt."""
     h = h + np.uint64((salt * 0x9E3779B97F4A7C15) % (1 << 64))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    shifted = h >> np.uint64(30)
+    h ^= shifted
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, np.uint64(27), out=shifted)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, np.uint64(31), out=shifted)
+    return h
 
 
-def span_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of code[start:end], equal for equal bytes wherever they stand."""
-    forth, back = powers(len(code))
+def span_sums(code: np.ndarray) -> np.ndarray:
+    """Sums of the polynomial before every place, of which the hashes of spans are differences."""
     sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[code] * forth[:len(code)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * back[start])
+    terms = _BYTE_VALUE[code]
+    terms *= powers(len(code))[0][:len(code)]
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
 
+def span_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of code[start:end], equal for equal bytes wherever they stand; ``sums`` of the code, if they are known."""
+    sums = span_sums(code) if sums is None else sums
+    return mix((sums[end] - sums[start]) * powers(len(code))[1][start])
 
-def gram_spans(code: np.ndarray, size: int) -> np.ndarray:
+
+def gram_spans(code: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     """``span_hashes`` of the ``size`` bytes from every place that has so many."""
-    forth, back = powers(len(code))
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[code] * forth[:len(code)], out=sums[1:])
+    sums = span_sums(code) if sums is None else sums
     spans = sums[size:] - sums[:len(sums) - size]
-    spans *= back[:len(spans)]
+    spans *= powers(len(code))[1][:len(spans)]
     return mix(spans)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import among, byte_slices, gram_spans, span_hashes, spread, text_column, window_min, word_hashes
+from tracewright.llm.batches import among, byte_slices, gram_spans, span_hashes, span_sums, spread, text_column, window_min, word_hashes
 from tracewright.session import cut_lineage
 
 LENGTH = 100
@@ -37,20 +37,22 @@ GRAM = 28
 BUCKET_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
 HOT_BYTES = 1 << 20
+#: Bytes of texts that a task hashes at a time: few enough for a core's cache.
+SLICE_BYTES = 1 << 17
 #: Repeated minimizers sent to all tasks at most; beyond, pieces are joined with them by a shuffle.
 BROADCAST_KEYS = 4 << 20
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
     """Hash of the ``gram`` bytes from every place."""
     if len(data) < gram:
         return np.zeros(0, np.uint64)
-    return gram_spans(data, gram)
+    return gram_spans(data, gram, sums)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes by place, the minimizer of every window, and whether the window lies in one row."""
-    hashes = gram_hashes(data, gram)
+    hashes = gram_hashes(data, gram, sums)
     if len(data) < length:
         return hashes, np.zeros(0, np.uint64), np.zeros(0, bool)
     inside = np.ones(len(data) - length + 1, bool)
@@ -71,7 +73,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Every place whose hash is the minimizer of some window, as its hash."""
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in byte_slices(text_column(batch)):
+            for _, _, data, offsets in byte_slices(text_column(batch), SLICE_BYTES):
                 hashes, least, inside = windows(data, offsets, length, gram)
                 chosen = hashes[chosen_places(hashes, least, inside, length - gram + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int64))], names=["mini"])
@@ -85,15 +87,15 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, more: str = "") ->
     def run(batches):
         known = shared.value if shared is not None else None
         for batch in batches:
-            for first, end, data, offsets in byte_slices(text_column(batch)):
-                hashes, least, inside = windows(data, offsets, length, gram)
-                at = np.flatnonzero(inside)
-                if not len(at):
+            for first, end, data, offsets in byte_slices(text_column(batch), SLICE_BYTES):
+                sums = span_sums(data)
+                hashes, least, inside = windows(data, offsets, length, gram, sums)
+                if not inside.any():
                     continue
-                fresh = np.ones(len(at), bool)
-                fresh[1:] = (least[at[1:]] != least[at[:-1]]) | (np.diff(at) > 1)
-                begin = np.flatnonzero(fresh)
-                start, stop = at[begin], at[np.append(begin[1:], len(at)) - 1] + length
+                change = np.ones(len(least) + 1, bool)
+                change[1:-1] = (least[1:] != least[:-1]) | ~(inside[1:] & inside[:-1])
+                start = np.flatnonzero(change[:-1] & inside)
+                stop = np.flatnonzero(change[1:] & inside) + length
                 mini = least[start]
                 if known is not None:
                     ok = among(mini, known)
@@ -101,7 +103,7 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, more: str = "") ->
                 if not len(start):
                     continue
                 h = word_hashes(data, start, stop)
-                g = span_hashes(data ^ 0x55, start, stop)
+                g = span_hashes(data, start, stop, sums)
                 row = np.searchsorted(offsets, start, side="right") - 1
                 which = pa.array(row + first)
                 columns = [pa.array(mini.astype(np.int64)), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64)), batch.column(0).take(which), batch.column(2).take(which),
@@ -132,29 +134,38 @@ PACKED = 7
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of strings laid end to end, by their first ``depth`` symbols at least; ``ends`` are the terminators."""
+    """Suffixes of strings laid end to end, by their first ``depth`` symbols at least; ``ends`` are the terminators.
+
+    A suffix alone with its first symbols is settled, so a round sorts only those that still share theirs, within their places.
+    """
     n, have = len(symbols), PACKED
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(PACKED, np.int64)])
     for k in range(PACKED):  # what follows a terminator does not count
         key = (key << 9) + np.where(alive, padded[k:k + n], 0)
         alive &= padded[k:k + n] > 0
-    order = np.argsort(key, kind="stable")  # of equal ones that end alike the earlier has the earlier terminator
-    while True:
-        if have >= depth:
-            return order
-        sorted_key = key[order]
-        fresh = np.zeros(n, np.int64)
-        fresh[1:] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        later = np.zeros(n, np.int64)
-        if have < n:
-            later[:-have] = rank[have:] + 1
-        key = rank * (n + 2) + later
-        alive[:] = True  # terminators have told these apart
+    order = np.argsort(key)
+    ended = np.flatnonzero(~alive[order])  # of equal ones, which all end, the earlier has the earlier terminator
+    order[ended] = order[ended][np.lexsort((order[ended], key[order[ended]]))]
+    sorted_key = key[order]
+    fresh = np.ones(n + 1, bool)
+    fresh[1:-1] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
+    rank = np.empty(n, np.int64)  # of equal ones the place of the first
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
+    left = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+    while have < depth and len(left):
+        suffix = order[left]
+        later = suffix + have
+        key = rank[suffix] * (n + 2) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        key, suffix = key[turn], suffix[turn]
+        order[left] = suffix
+        fresh = np.ones(len(left) + 1, bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        rank[suffix] = np.maximum.accumulate(np.where(fresh[:-1], left, 0))
+        left = left[~(fresh[:-1] & fresh[1:])]
         have *= 2
-        order = order[np.argsort(key[order], kind="stable")]
+    return order
 
 
 def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,36 +182,58 @@ def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return order, symbols[order - 1], row[order - 1]
 
 
+#: Symbols that a round of the merge takes.
+STRIDE = 16
+
+
+def ranked(values: np.ndarray) -> np.ndarray:
+    """The number of smaller distinct values, for each."""
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = np.zeros(len(values), np.uint32)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.cumsum(fresh, dtype=np.uint32)
+    return rank
+
+
 def merge_transforms(parts: list[np.ndarray], steps: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the shards' transforms, numbered through, of the suffixes that share their first ``depth`` symbols with another,
     and the block of suffixes they share them with.
 
-    A round sorts the rows by the two symbols before them and steps to the rows of the suffixes these begin, which refines
-    the interleave of the shards by two symbols; an odd depth begins with a round of one. A suffix alone in its block is settled,
-    and so are all that end in it: they leave, so a round costs what still repeats. Terminators are unlike each other.
+    A round sorts the rows by the STRIDE symbols before them, as one rank, and steps to the rows of the suffixes these begin,
+    which refines the interleave of the shards by so many symbols; what is over of the depth is taken in shorter rounds first.
+    A suffix alone in its block is settled, and so are all that end in it: they leave, so a round costs what still repeats.
+    Terminators are unlike each other.
     """
     first = np.cumsum([0] + [len(p) for p in parts])
     before = np.concatenate(parts)
-    step = np.concatenate([s + np.int32(f) for s, f in zip(steps, first)])
-    starts = before == 0
+    onward = np.concatenate([s + np.int32(f) for s, f in zip(steps, first)])
+    gone = before == 0
     used = np.bincount(before, minlength=1) > 0
     used[0] = False
-    narrow = (np.cumsum(used) - 1).astype(np.uint8)  # 256 bytes at most
-    before = narrow[before]
-    pair, twice, early = before[step] * np.uint16(256) + before, step[step], starts | starts[step]
-    rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
-    while depth > 0 and len(rows):
-        symbols, onward, gone, taken = (before, step, starts, 1) if depth % 2 else (pair, twice, early, 2)
+    symbols = (np.cumsum(used) - 1).astype(np.uint8)[before].astype(np.uint32)  # 256 bytes at most
+    rounds, taken, rest = [], 1, depth
+    while rest:
+        if taken == STRIDE or rest & taken:
+            rounds += [(symbols, onward, gone)] * (rest // taken if taken == STRIDE else 1)
+            rest = 0 if taken == STRIDE else rest - taken
+        if rest:  # twice as many symbols
+            pair = symbols[onward].astype(np.uint64) << np.uint64(8 * taken if taken < 4 else 32) | symbols
+            symbols = pair.astype(np.uint32) if taken < 4 else ranked(pair)
+            gone = gone | gone[onward]
+            onward, taken = onward[onward], 2 * taken
+    rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int64)
+    for symbols, onward, gone in rounds:
         inner = ~gone[rows]
-        rows, block = rows[inner], block[inner]
-        symbol = symbols[rows]
-        order = np.argsort(symbol, kind="stable")
-        rows, symbol, block = onward[rows[order]], symbol[order], block[order]
-        split = np.ones(len(rows) + 1, bool)
-        split[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        rows = rows[inner]
+        key = symbols[rows].astype(np.int64) << 31 | block[inner]
+        order = np.argsort(key)
+        key = key[order]
+        split = np.ones(len(key) + 1, bool)
+        split[1:-1] = key[1:] != key[:-1]
         shared = ~(split[:-1] & split[1:])
-        rows, block = rows[shared], np.cumsum(split[:-1], dtype=np.int32)[shared]
-        depth -= taken
+        rows, block = onward[rows[order[shared]]], np.cumsum(split[:-1])[shared]
     return rows, block
 
 
@@ -213,18 +246,18 @@ def later_windows(pieces: list[np.ndarray], document: np.ndarray, start: np.ndar
             size = 0
         shards[-1].append(k)
         size += len(piece)
-    places, parts, steps, owner = [], [], [], []
+    places, parts, steps, first = [], [], [], 0
     for members in shards:
         order, before, step = transform([pieces[k] for k in members], length)
-        sizes = np.array([len(pieces[k]) + 1 for k in members])
-        begin = np.cumsum(sizes) - sizes
-        which = np.searchsorted(begin, order, side="right") - 1
         parts.append(before)
         steps.append(step)
-        owner.append(np.array(members)[which])
-        places.append(order - begin[which])
+        places.append(order + first)
+        first += len(order)
     rows, block = merge_transforms(parts, steps, length)
-    piece, offset = np.concatenate(owner)[rows], np.concatenate(places)[rows]
+    at = np.concatenate(places)[rows]
+    ends = np.cumsum([len(piece) + 1 for piece in pieces])  # shards hold the pieces in order
+    piece = np.searchsorted(ends, at, side="right")
+    offset = at - ends[piece] + np.array([len(p) + 1 for p in pieces])[piece]
     order = np.lexsort((start[piece] + offset, document[piece], block))
     piece, offset, block = piece[order], offset[order], block[order]
     late = np.zeros(len(block), bool)
@@ -290,18 +323,22 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     # A single piece that holds its minimizer once repeats in its copies only.
     sizes = cut_lineage(firsts.groupBy("mini").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("pieces"), F.max("twice").alias("twice"))
                         .where("pieces > 1 OR twice").select("mini", "bytes"))
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    texts = pieces(sizes.select("mini"), sent(sizes.select("mini")), "piece").groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
-    hot = cut_lineage(sizes.where(f"bytes > {HOT_BYTES}").select("mini", F.lit(True).alias("hot")))
-    flat = texts.join(F.broadcast(hot), "mini", "left").select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece", "hot")
+
+    def texts(minis: DataFrame) -> DataFrame:
+        """Every different piece of the minimizers once, at its earliest place."""
+        found = pieces(minis, sent(minis), "piece").groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
+        return found.select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece")
+
+    calm, hot = (cut_lineage(sizes.where(f"bytes {than} {HOT_BYTES}")) for than in ("<=", ">"))
+    total = calm.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     merged = (
-        flat.where("hot IS NULL").drop("hot").withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
+        texts(calm.select("mini")).withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
         .groupBy("bucket").applyInArrow(lambda table: _covered(table, length), "key long, low long, high long"))
     ranges = whole.union(merged)
     if not hot.limit(1).count():
         return ranges
-    single = _single_windows(flat.where("hot"), length)
+    single = _single_windows(texts(hot.select("mini")), length)  # a pass of its own, which lets only these pieces out
     earliest = single.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = single.join(earliest, ["h", "g"]).where(place != F.col("first"))
     return ranges.union(late.select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))

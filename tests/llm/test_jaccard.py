@@ -116,3 +116,26 @@ def test_class_counts_keep_every_similar_pair():
     assert {k for k, s in enumerate(similar) if s} <= kept
     unlike = [k for k, s in enumerate(similar) if not s]
     assert sum(k in kept for k in unlike) < len(unlike) / 2
+
+
+def test_small_frames_of_a_round_have_few_partitions(spark):
+    """Frames that are small beside the table do not leave a file in every partition of a shuffle, and stay whole."""
+    from tracewright.llm.graph import components
+    from tracewright.session import PARTITION_ROWS, few
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        wide = spark.range(1000).repartition(40, "id")
+        assert few(wide, 1000).rdd.getNumPartitions() == cores and few(wide, 1000).count() == 1000
+        assert few(wide, 17 * PARTITION_ROWS).rdd.getNumPartitions() == 17
+        assert few(wide, 40 * PARTITION_ROWS).rdd.getNumPartitions() == 40
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19] + [(7, 7)], "a long, b long")
+        found = components(edges)
+        assert {tuple(r) for r in found.collect()} == {(i, i // 20 * 20) for i in range(60)}
+        assert found.rdd.getNumPartitions() <= cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, few
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder after every round. Minima are combined before the shuffle, so hubs are cheap.
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
+    rows = both.count()
+    both = few(both, rows)
+    labels = cut_lineage(few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")), rows).select("node", F.least("node", "low").alias("comp")))
     while True:
-        near = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        seen = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
+        near = few(both.join(labels.toDF("b", "label"), "b"), rows).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = few(labels.join(near, "node"), rows).select("node", "comp", F.least("comp", "near").alias("low"))
         roots = seen.groupBy("comp").agg(F.min("low").alias("root"))
-        hooked = seen.join(roots, "comp").select("node", "comp", "root")
+        hooked = few(seen.join(roots, "comp"), rows).select("node", "comp", "root")
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        fresh = cut_lineage(hooked.join(jump, "root").select("node", "comp", F.least("root", "next").alias("root")))
+        fresh = cut_lineage(few(hooked.join(jump, "root"), rows).select("node", "comp", F.least("root", "next").alias("root")))
         labels = fresh.select("node", F.col("root").alias("comp"))
         if not fresh.where("root < comp").limit(1).count():
             return labels

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.skew import bits_for, maybe_in, maybe_repeated
 from tracewright.llm.batches import NONSPACE, Words, byte_slices, mix, spread, text_column
 from tracewright.llm.graph import components
-from tracewright.session import cut_lineage, release
+from tracewright.session import cut_lineage, few, release
 
 SHINGLE = 4
 PERCENT = 85
@@ -44,6 +44,8 @@ UNIT_TOKENS = 4 << 20
 MOST_COMMON = 2 << 20
 #: Classes of tokens whose counts bound how many two sets can share.
 CLASSES = 256
+#: Rows of a few columns that one with a sketch or a prefix counts for.
+ROW_WEIGHT = 8
 #: Stars go on while open buckets hold so many pairs a member or more, and links are found in this share of the pairs tried.
 CROWD = 16
 FAIR_SHARE = 1 / 16
@@ -263,24 +265,29 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
 
     table = cut_lineage(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         first_prefix, "doc_id long, text_hash long, node long, n long, sketch binary, first array<long>"))
+    nodes = table.count()
+    table = few(table, ROW_WEIGHT * nodes)
     members = table.select("doc_id", "text_hash", "node", "n")
     prefix = table.where("n > 0").select(F.posexplode("first").alias("pos", "token"), "node", "n")
-    likely = cut_lineage(maybe_repeated(prefix, "token", 1, bits_for(4 * table.count())).distinct())
+    likely = cut_lineage(maybe_repeated(prefix, "token", 1, bits_for(4 * nodes)).distinct())
     shared = likely.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = cut_lineage(likely.join(shared, "token"))
+    entries = buckets.count()
+    buckets = few(buckets, entries)
     del likely, shared, prefix  # their files may go
     state = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("comp", F.col("node"))
     reps = members.join(state.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
-    state = cut_lineage(state.join(reps, "node").select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
-    sketches = cut_lineage(table.select("node", "n", "sketch").join(state.select("node"), "node").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch"))
+    state = cut_lineage(few(state.join(reps, "node"), nodes).select("node", "degree", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    sketches = cut_lineage(few(table.select("node", "n", "sketch").join(state.select("node"), "node").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("s")), ROW_WEIGHT * nodes).select("node", "s.n", "s.sketch"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return _sets(docs, cut_lineage(state.join(nodes.select("node").distinct(), "node").select("node", "rep_id", "rep_hash")), orders, size)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets(docs, cut_lineage(few(state.join(wanted.select("node").distinct(), "node"), nodes).select("node", "rep_id", "rep_hash")), orders, size)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, many: int) -> DataFrame:
         """Pairs (a, b) that share a prefix token under every other order and reach the similarity."""
         one, other = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
-        pairs = cut_lineage(pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _may_reach(x, percent), "a long, b long"))
+        pairs = few(pairs.join(one, "a"), ROW_WEIGHT * many).join(other, "b")
+        pairs = cut_lineage(few(pairs, ROW_WEIGHT * many).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _may_reach(x, percent), "a long, b long"))
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         both = pairs.join(sets.toDF("a", "ta", *(f"{c}a" for c in OTHER_COLUMNS)), "a").join(sets.toDF("b", "tb", *(f"{c}b" for c in OTHER_COLUMNS)), "b")
         for c in OTHER_COLUMNS:
@@ -293,26 +300,28 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         comps = state.select("node", "comp")
         between = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         moved = components(between).toDF("comp", "_to")
-        return cut_lineage(state.join(moved, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).select(*state.columns))
+        return cut_lineage(few(state.join(moved, "comp", "left"), nodes).withColumn("comp", F.coalesce("_to", "comp")).select(*state.columns))
 
     def still_open() -> DataFrame:
-        left = buckets.join(state.select("node", "comp", "degree"), "node")
+        left = few(buckets.join(state.select("node", "comp", "degree"), "node"), entries)
         tokens = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        return cut_lineage(left.join(tokens, "token"))
+        return cut_lineage(few(left.join(tokens, "token"), entries))
 
     def crowded(left: DataFrame) -> bool:
         each = left.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("m"))
         members, pairs = each.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
         return pairs > CROWD * members
 
-    number, left = 0, buckets.join(state.select("node", "comp", "degree"), "node")
+    number, left = 0, few(buckets.join(state.select("node", "comp", "degree"), "node"), entries)
     while True:
         lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
         stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        stars = cut_lineage(stars.distinct())
-        links = cut_lineage(verified(stars))
-        tried, good = stars.count(), links.count()
+        stars = cut_lineage(few(stars.distinct(), entries))
+        tried = stars.count()
+        links = cut_lineage(verified(stars, tried))
+        good = links.count()
+        links = few(links, good)
         if not good:
             break
         state = joined(links)
@@ -321,7 +330,11 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         release(docs.sparkSession)
         if good < FAIR_SHARE * tried or not crowded(left):
             break
-    links = cut_lineage(verified(cut_lineage(_open_pairs(still_open() if number == 0 else left, percent))))
+    pairs = cut_lineage(_open_pairs(still_open() if number == 0 else left, percent))
+    many = pairs.count()
+    links = cut_lineage(verified(few(pairs, many), many))
+    links = few(links, links.count())
+    del pairs
     del left, buckets, sketches
     release(docs.sparkSession)
     state = joined(links)

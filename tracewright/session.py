@@ -62,6 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few columns that fill a partition.
+PARTITION_ROWS = 1 << 17
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than so many rows fill, or cores there are, if a shuffle has more.
+
+    For frames of an iteration that are small beside the table: each task of a stage leaves files and records of its own,
+    whatever it holds.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows // PARTITION_ROWS))
+    return df.coalesce(wanted) if wanted < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffles and checkpoints of frames that are no longer held.
 

@@ -139,3 +139,35 @@ def test_small_frames_of_a_round_have_few_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def estimate_digits(df, capsys):
+    """Decimal digits of the largest size that Spark expects in the plan of a frame, 0 for what is written without an exponent."""
+    capsys.readouterr()
+    df.explain("cost")
+    return max([0, *map(int, re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out))])
+
+
+def test_estimates_do_not_multiply_by_round(spark, capsys):
+    """The expected size of labels is that of their rows however many rounds they took; it filled the driver."""
+    import os
+
+    from tracewright.session import checkpoint_dir
+
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 400)
+    found = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
+    assert {r["comp"] for r in found.collect()} == {min(ids)} and found.count() == 400
+    digits = estimate_digits(found, capsys)
+    assert digits == 0
+    assert not [x for x in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if x.startswith("components-")]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_estimates_of_linked_documents_stay_small(spark, docs_of, capsys):
+    """Each round of stars adds to the expected size of the nodes, and does not multiply it."""
+    texts = near_copies(7, 3, 12, (60, 90), (0, 6))
+    got = similar_documents(docs_of(texts))
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute(texts)
+    digits = estimate_digits(got, capsys)
+    assert digits < 1000

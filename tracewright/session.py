@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for frames that an iteration rereads; ``remove_folder`` ends it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def reread(df: DataFrame, place: str) -> DataFrame:
+    """``df`` written to ``place`` and read again, so that its size is that of its files.
+
+    A checkpoint keeps the estimate of the plan behind it, and a join's estimate is the product of its sides. Where each round
+    joins what the last one left, the digits of that number multiply by round until they fill the driver.
+    """
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``scratch_folder`` wherever the cluster keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a few columns that fill a partition.
 PARTITION_ROWS = 1 << 17
 

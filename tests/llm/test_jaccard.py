@@ -171,3 +171,26 @@ def test_estimates_of_linked_documents_stay_small(spark, docs_of, capsys):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute(texts)
     digits = estimate_digits(got, capsys)
     assert digits < 1000
+
+
+def test_copies_beside_longer_texts_find_their_hub(spark, docs_of, monkeypatch):
+    """Copies of a text are each like it and less like each other, and longer texts that hold it share more: pairs stay few."""
+    from tracewright.llm import jaccard
+
+    short = [f"s{i}" for i in range(80)]
+    long = short + [f"l{i}" for i in range(40)]
+    texts = [" ".join(x) for x in (short, long)]
+    for base, copies in ((long, 36), (short, 25)):
+        for i in range(copies):
+            place = 2 + i * (len(base) - 4) // copies
+            texts.append(" ".join([*base[:place], f"c{len(texts)}", *base[place + 1:]]))
+    met, pairs_of = [], jaccard._open_pairs
+
+    def counted(left, percent):
+        pairs = pairs_of(left, percent)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_open_pairs", counted)
+    assert {r[0]: (r[1], r[2]) for r in similar_documents(docs_of(texts)).collect()} == brute(texts)
+    assert met[0] < len(texts)

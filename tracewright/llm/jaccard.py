@@ -7,7 +7,8 @@ prefix token under the first order (a bucket) are candidates if their sizes and
 share one under each of the others; what is left is verified on the whole sets. Before texts are read again for that, counts
 of tokens in 256 classes bound what two sets can have in common.
 
-Equal sets are one node. Inside a bucket the node with most shared tokens is verified against all others first.
+Equal sets are one node. Inside a bucket, members of like sizes are first verified against one of them, the set with the fewest
+rarer tokens: copies of a text are like that text, but less like each other, and longer texts that hold it too are not like it.
 Members found connected need no more comparison, so a large group of near copies costs its size, not its
 square; this is repeated with other nodes while it links a fair share of what it tries and buckets are crowded. Members of a
 bucket that are then in different components are compared inside tasks, in blocks, by their sizes and the token's places;
@@ -23,6 +24,8 @@ holds some thirty times its bytes; other columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -308,14 +311,23 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
         return cut_lineage(few(left.join(tokens, "token"), entries))
 
     def crowded(left: DataFrame) -> bool:
-        each = left.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        members, pairs = each.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+        each = left.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        members, pairs = each.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0.0))).first()
         return pairs > CROWD * members
 
+    step = math.log(100 / percent) or 1e-6  # of sizes that may be similar
     number, left = 0, few(buckets.join(state.select("node", "comp", "degree"), "node"), entries)
     while True:
-        lead = left.groupBy("token").agg(F.max_by(F.struct("node", "n", "comp", "pos"), F.struct("degree" if number == 0 else F.xxhash64("node", F.lit(number)), "node")).alias("hub"))
-        stars = left.join(lead, "token").withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
+        # Members of like sizes have a hub of their own: the set with the fewest rarer tokens, as copies of a text are each like
+        # this text but less like each other. One member of each component goes against it, and in every other round the hub is
+        # of a component drawn whatever its members, else a large one would be the hub of all that it does not reach.
+        alike, purest = ["token", "class"], [F.col("pos"), -F.col("degree"), F.xxhash64("node")]
+        spokes = left.withColumn("class", F.floor(F.log("n") / step + number / 2))
+        if number:
+            spokes = spokes.groupBy(*alike, "comp").agg(F.min_by(F.struct("node", "n", "pos", "degree"), F.struct(*purest)).alias("s")).select(*alike, "comp", "s.*")
+        first = F.struct(F.xxhash64("comp", F.lit(number)), *purest) if number % 2 else F.struct(*purest)
+        lead = spokes.groupBy(*alike).agg(F.min_by(F.struct("node", "n", "comp", "pos"), first).alias("hub"))
+        stars = spokes.join(lead, alike).withColumn("own", F.struct("n", "pos")).where("comp <> hub.comp").where(_needed("own", "hub", percent)).select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         stars = cut_lineage(few(stars.distinct(), entries))
         tried = stars.count()
@@ -326,7 +338,7 @@ def linked_texts(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
             break
         state = joined(links)
         left, number = still_open(), number + 1
-        del lead, stars, links
+        del spokes, lead, stars, links
         release(docs.sparkSession)
         if good < FAIR_SHARE * tried or not crowded(left):
             break

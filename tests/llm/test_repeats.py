@@ -119,3 +119,42 @@ def test_settled_suffixes_are_not_sorted_again(monkeypatch):
     assert sorted(order) == list(range(len(symbols))) and depth == sorted(depth)
     assert (before == symbols[order - 1]).all() and (order[step] == (order - 1) % len(order)).all()
     assert sorted_rows[0] == len(symbols) and max(sorted_rows[1:]) < len(symbols) / 10
+
+
+def test_many_minimizers_are_sent_as_a_bitmap(spark, docs_of, monkeypatch):
+    """Beyond what the driver lists, tasks still leave out the pieces of minimizers that stand once, before any shuffle."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
+    texts += [texts[0][:400] + t[:300] for t in texts[1:4]]
+    seen, pieces = [], repeats._pieces
+
+    def counted(docs, shared, *how):
+        out = pieces(docs, shared, *how)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(repeats, "_pieces", counted)
+    docs = docs_of(texts)
+    got = {r[0]: tuple(r[1:]) for r in repeats.remove_repeats(docs).drop("kept").collect()}
+    assert got == brute(texts, 100)
+    every = pieces(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")), None, 100, repeats.GRAM).count()
+    assert len(seen) == 3 and max(seen) < every / 8
+
+
+@pytest.mark.parametrize("listed", [0, 5000])
+def test_bitmap_holds_its_minimizers_and_few_others(spark, monkeypatch, listed):
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", listed)
+    rng = np.random.default_rng(2)
+    held, other = rng.integers(-2 ** 63, 2 ** 63, 5000), rng.integers(-2 ** 63, 2 ** 63, 50000)
+    held[:3] = 0, -1, 1 << 40
+    bitmap = repeats.bitmap_of(spark.createDataFrame([(int(m),) for m in held], "mini long"), len(held))
+    assert repeats.in_bitmap(held.view(np.uint64), bitmap).all() and repeats.in_bitmap(other.view(np.uint64), bitmap).mean() < 0.02
+    assert not repeats.bitmap_of(spark.createDataFrame([], "mini long"), 0 if listed else 1).any()
+
+
+def test_found_ranges_are_kept_as_runs(spark):
+    ranges = [(1, 5, 9), (1, 9, 12), (1, 20, 30), (1, 22, 25), (1, 26, 31), (2, 0, 4), (2, 5, 6), (3, 7, 8), (3, 7, 8)]
+    got = repeats._runs(spark.createDataFrame(ranges, "key long, low long, high long").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 12), (1, 20, 31), (2, 0, 4), (2, 5, 6), (3, 7, 8)]
+    assert repeats._runs(spark.createDataFrame([], "key long, low long, high long")).count() == 0

@@ -13,6 +13,9 @@ the symbols before the suffixes, until suffixes are in order of their first ``le
 interleave split as their common prefixes end, so the blocks of the last round are the repeated intervals.
 In each, all windows but the earliest are covered. The windows of a minimizer with too many pieces for a
 bucket are not merged: they are compared by a 128-bit hash of the whole window, which spreads them evenly.
+Tasks know the minimizers they look for by a bitmap of bounded size, so pieces of no others are shuffled, but for a few that
+only seem to be among them: these bring unique windows, which cost time and change nothing. What a step found is kept as
+runs by document, and the shuffles behind it go before the next step begins.
 
 Cases: null texts are empty; a very long text is read whole by one task, which holds some thirty times its bytes; texts under ``length`` bytes lose nothing; rows with equal doc_id and text are
 one document; null ids come first; other columns are ignored; an empty table gives an empty result.
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.skew import join_counted
 from tracewright.llm.batches import among, byte_slices, gram_spans, span_hashes, span_sums, spread, text_column, window_min, word_hashes
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, release
 
 LENGTH = 100
 #: Longer grams recur less by chance, but give more and shorter pieces, of which each holds LENGTH - 1 bytes of the next.
@@ -39,8 +43,12 @@ SHARD_BYTES = 1 << 18
 HOT_BYTES = 1 << 20
 #: Bytes of texts that a task hashes at a time: few enough for a core's cache.
 SLICE_BYTES = 1 << 17
-#: Repeated minimizers sent to all tasks at most; beyond, pieces are joined with them by a shuffle.
+#: Repeated minimizers that the driver lists at most to make the bitmap by which tasks know them; beyond, tasks make its pages.
 BROADCAST_KEYS = 4 << 20
+#: Bits of that bitmap at most (64 MB): two of them tell 24 million minimizers from all but one in a hundred of the others.
+BITMAP_BITS = 1 << 29
+#: Bits of one page of a bitmap, as Spark's functions make them, and of a minimizer between its two spots.
+PAGE_BITS, SPOT_SHIFT = 1 << 15, 28
 
 
 def gram_hashes(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
@@ -81,11 +89,45 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "mini long")
 
 
+def listed(minis: DataFrame) -> np.ndarray:
+    """Sorted for the driver."""
+    return np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def bitmap_of(minis: DataFrame, count: int) -> np.ndarray:
+    """Bytes of a bitmap in which two bits of every minimizer are set, at least 16 bits for each of ``count`` up to BITMAP_BITS."""
+    bits = min(BITMAP_BITS, 1 << max(20, (16 * count - 1).bit_length()))
+    if count <= BROADCAST_KEYS:
+        keys, flags = listed(minis), np.zeros(bits, bool)
+        for shift in (0, SPOT_SHIFT):
+            flags[keys >> np.uint64(shift) & np.uint64(bits - 1)] = True
+        return np.packbits(flags, bitorder="little")
+    spots = F.explode(F.array(*[1 + F.pmod(v, F.lit(bits)) for v in (F.col("mini"), F.shiftrightunsigned("mini", SPOT_SHIFT))]))
+    # Spots meet by page before pages are made, else every task makes every page.
+    placed = minis.select(spots.alias("spot")).select(F.bitmap_bucket_number("spot").alias("page"), F.bitmap_bit_position("spot").alias("bit"))
+    pages = placed.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    bitmap = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), np.uint8)
+    for page, raw in zip(pages.column(0).to_pylist(), pages.column(1)):
+        bitmap[page - 1] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return bitmap.ravel()
+
+
+def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether both bits of each value are set."""
+    found = np.ones(len(values), bool)
+    for shift in (0, SPOT_SHIFT):
+        spot = values >> np.uint64(shift) & np.uint64(8 * len(bitmap) - 1)
+        found &= bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 > 0
+    return found
+
+
 def _pieces(docs: DataFrame, shared, length: int, gram: int, more: str = "") -> DataFrame:
     """(mini, h, g, doc_id, key, start, size) of the pieces under shared minimizers, all if ``shared`` is None, and ``more``:
-    ``piece``, their bytes, or ``twice``, whether the minimizer stands in the piece more than once."""
+    ``piece``, their bytes, or ``twice``, whether the minimizer stands in the piece more than once.
+
+    ``shared`` holds a bitmap of the minimizers, and a sorted list of others that are not meant."""
     def run(batches):
-        known = shared.value if shared is not None else None
+        known, others = shared.value if shared is not None else (None, None)
         for batch in batches:
             for first, end, data, offsets in byte_slices(text_column(batch), SLICE_BYTES):
                 sums = span_sums(data)
@@ -98,7 +140,8 @@ def _pieces(docs: DataFrame, shared, length: int, gram: int, more: str = "") ->
                 stop = np.flatnonzero(change[1:] & inside) + length
                 mini = least[start]
                 if known is not None:
-                    ok = among(mini, known)
+                    ok = in_bitmap(mini, known)
+                    ok[ok] = ~among(mini[ok], others)
                     start, stop, mini = start[ok], stop[ok], mini[ok]
                 if not len(start):
                     continue
@@ -186,15 +229,15 @@ def transform(pieces: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
 STRIDE = 16
 
 
-def ranked(values: np.ndarray) -> np.ndarray:
-    """The number of smaller distinct values, for each."""
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of smaller distinct values, for each, and the order of the values."""
     order = np.argsort(values)
     ordered = values[order]
     fresh = np.zeros(len(values), np.uint32)
     fresh[1:] = ordered[1:] != ordered[:-1]
     rank = np.empty(len(values), np.uint32)
     rank[order] = np.cumsum(fresh, dtype=np.uint32)
-    return rank
+    return rank, order
 
 
 def merge_transforms(parts: list[np.ndarray], steps: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +245,8 @@ def merge_transforms(parts: list[np.ndarray], steps: list[np.ndarray], depth: in
     and the block of suffixes they share them with.
 
     A round sorts the rows by the STRIDE symbols before them, as one rank, and steps to the rows of the suffixes these begin,
-    which refines the interleave of the shards by so many symbols; what is over of the depth is taken in shorter rounds first.
+    which refines the interleave of the shards by so many symbols; what is over of the depth is taken in shorter rounds last,
+    when few rows are left. The first round finds the rows in the order that gave the ranks.
     A suffix alone in its block is settled, and so are all that end in it: they leave, so a round costs what still repeats.
     Terminators are unlike each other.
     """
@@ -213,27 +257,33 @@ def merge_transforms(parts: list[np.ndarray], steps: list[np.ndarray], depth: in
     used = np.bincount(before, minlength=1) > 0
     used[0] = False
     symbols = (np.cumsum(used) - 1).astype(np.uint8)[before].astype(np.uint32)  # 256 bytes at most
-    rounds, taken, rest = [], 1, depth
+    rounds, short, taken, rest, order = [], [], 1, depth, None
     while rest:
-        if taken == STRIDE or rest & taken:
-            rounds += [(symbols, onward, gone)] * (rest // taken if taken == STRIDE else 1)
-            rest = 0 if taken == STRIDE else rest - taken
+        if taken == STRIDE:
+            rounds, rest = [(symbols, onward, gone)] * (rest // taken), 0
+        elif rest & taken:
+            short.append((symbols, onward, gone))
+            rest -= taken
         if rest:  # twice as many symbols
             pair = symbols[onward].astype(np.uint64) << np.uint64(8 * taken if taken < 4 else 32) | symbols
-            symbols = pair.astype(np.uint32) if taken < 4 else ranked(pair)
+            symbols, order = (pair.astype(np.uint32), None) if taken < 4 else ranked(pair)
             gone = gone | gone[onward]
             onward, taken = onward[onward], 2 * taken
     rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int64)
-    for symbols, onward, gone in rounds:
-        inner = ~gone[rows]
-        rows = rows[inner]
-        key = symbols[rows].astype(np.int64) << 31 | block[inner]
-        order = np.argsort(key)
-        key = key[order]
+    for number, (symbols, onward, gone) in enumerate(rounds + short):
+        if number == 0 and rounds and order is not None:
+            rows = order[~gone[order]].astype(np.int32)
+            key = symbols[rows]
+        else:
+            inner = ~gone[rows]
+            rows = rows[inner]
+            key = symbols[rows].astype(np.int64) << 31 | block[inner]
+            turn = np.argsort(key)
+            key, rows = key[turn], rows[turn]
         split = np.ones(len(key) + 1, bool)
         split[1:-1] = key[1:] != key[:-1]
         shared = ~(split[:-1] & split[1:])
-        rows, block = onward[rows[order[shared]]], np.cumsum(split[:-1])[shared]
+        rows, block = onward[rows[shared]], np.cumsum(split[:-1])[shared]
     return rows, block
 
 
@@ -300,48 +350,70 @@ def _single_windows(hot: DataFrame, length: int) -> DataFrame:
     return hot.select("doc_id", "key", "start", "piece").mapInArrow(run, "h long, g long, doc_id long, key long, start long")
 
 
+def _runs(ranges: DataFrame) -> DataFrame:
+    """The ranges with those that overlap or touch in one, kept in the shared folder; the shuffles behind them are let go."""
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
+            low, high = (spans.flatten().field(k).to_numpy() for k in (0, 1))
+            beyond = row * (int(high.max(initial=0)) + 2)  # the ranges of a row end before the next one's begin
+            order = np.argsort(low + beyond)
+            row, low, high = row[order], (low + beyond)[order], np.maximum.accumulate((high + beyond)[order])
+            fresh = np.ones(len(low), bool)
+            fresh[1:] = low[1:] > high[:-1]
+            begin = np.flatnonzero(fresh)
+            last = np.append(begin[1:], len(low)) - 1 if len(low) else begin
+            shift = beyond[order][begin]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[begin])), pa.array(low[begin] - shift), pa.array(high[last] - shift)], names=["key", "low", "high"])
+
+    kept = cut_lineage(ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high"))).mapInArrow(run, "key long, low long, high long"))
+    release(ranges.sparkSession)
+    return kept
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, low, high): byte ranges of documents (doc_id, text, key) covered by strings that also start earlier."""
-    def sent(minis: DataFrame):
-        """Sorted for every task if they fit the bound, else None."""
-        if minis.count() > BROADCAST_KEYS:
-            return None
-        return docs.sparkSession.sparkContext.broadcast(np.sort(minis.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    spark = docs.sparkSession
 
-    def pieces(minis: DataFrame, known, more: str = "") -> DataFrame:
-        found = _pieces(docs, known, length, gram, more)
-        return found if known is not None else found.join(minis, "mini")
+    def sent(minis: DataFrame, others: DataFrame | None = None):
+        """A bitmap of them for every task, which may hold others too; ``others`` are not meant in any case."""
+        return spark.sparkContext.broadcast((bitmap_of(minis, minis.count()), listed(others) if others is not None else np.zeros(0, np.uint64)))
 
     minis = cut_lineage(_occurrences(docs, length, gram).groupBy("mini").count().where("count > 1").select("mini"))
+    release(spark)
     known = sent(minis)
     place = F.struct("doc_id", "key", "start")
-    firsts = cut_lineage(pieces(minis, known, "twice").groupBy("mini", "h", "g").agg(
+    firsts = cut_lineage(_pieces(docs, known, length, gram, "twice").groupBy("mini", "h", "g").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max("size").alias("size")))
+    release(spark)
     copied = firsts.where("n > 1").select("h", "g", "first")
-    whole = pieces(minis, known).join(copied, ["h", "g"]).where(place != F.col("first")).select(
+    whole = _pieces(docs, known, length, gram).join(copied, ["h", "g"]).where(place != F.col("first")).select(
         "key", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
     # A single piece that holds its minimizer once repeats in its copies only.
     sizes = cut_lineage(firsts.groupBy("mini").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("pieces"), F.max("twice").alias("twice"))
                         .where("pieces > 1 OR twice").select("mini", "bytes"))
 
-    def texts(minis: DataFrame) -> DataFrame:
+    def texts(known) -> DataFrame:
         """Every different piece of the minimizers once, at its earliest place."""
-        found = pieces(minis, sent(minis), "piece").groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
+        found = _pieces(docs, known, length, gram, "piece").groupBy("mini", "h", "g").agg(F.min(place).alias("first"), F.first("piece").alias("piece"))
         return found.select(F.col("mini").alias("deal"), "first.doc_id", "first.key", "first.start", "piece")
 
-    calm, hot = (cut_lineage(sizes.where(f"bytes {than} {HOT_BYTES}")) for than in ("<=", ">"))
-    total = calm.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    calm, hot = (cut_lineage(sizes.where(f"bytes {than} {HOT_BYTES}").select("mini")) for than in ("<=", ">"))  # of hot ones there are few: each has HOT_BYTES of pieces
+    total = sizes.where(f"bytes <= {HOT_BYTES}").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
+    release(spark)
     merged = (
-        texts(calm.select("mini")).withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
+        texts(sent(calm, hot)).withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
         .groupBy("bucket").applyInArrow(lambda table: _covered(table, length), "key long, low long, high long"))
-    ranges = whole.union(merged)
+    ranges = _runs(whole.union(merged))
     if not hot.limit(1).count():
         return ranges
-    single = _single_windows(texts(hot.select("mini")), length)  # a pass of its own, which lets only these pieces out
-    earliest = single.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = single.join(earliest, ["h", "g"]).where(place != F.col("first"))
-    return ranges.union(late.select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
+    single = _single_windows(cut_lineage(texts(sent(hot))), length).withColumn("window", F.struct("h", "g"))  # a pass of its own, which lets only these pieces out
+    earliest = cut_lineage(single.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    release(spark)
+    late = join_counted(single, earliest, "window", "n", salt=["key", "start"]).where(place != F.col("first"))
+    return ranges.union(_runs(late.select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high"))))
 
 
 def _cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -122,3 +122,53 @@ def test_copies_of_a_search_grow_with_the_rows(spark, monkeypatch):
     assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-8) for q in want)
     assert [cells.block_size(512, n, cells.SEARCH_BLOCKS) for n in (100, 80_000, 10 ** 9)] == [512, 10_000, cells.MOST_ROWS]
     assert [cells.blocks_of(n, 100) for n in (7, 100, 199, 250)] == [1, 1, 1, 2]
+
+
+def pairs_of(rows, threshold, key=lambda row: 0):
+    s = scores([(i, v) for i, v, *_ in rows], [(i, v) for i, v, *_ in rows])
+    return {(min(a[0], b[0]), max(a[0], b[0])) for x, a in enumerate(rows) for y, b in enumerate(rows) if x < y and key(a) == key(b) and s[x, y] > threshold}
+
+
+def test_copies_of_a_pair_search_grow_with_the_rows(spark, monkeypatch):
+    """Without clusters a vector goes to half of all blocks, not of all cells, and pairs are not joined with what belongs to their vectors."""
+    from pyspark.sql.group import GroupedData
+
+    copies, plans = [], []
+    for name in ("applyInArrow", "applyInPandas"):
+        def counted(self, *how, apply=getattr(GroupedData, name)):
+            copies.append(self._df.count())
+            return apply(self, *how)
+
+        monkeypatch.setattr(GroupedData, name, counted)
+    rng = np.random.default_rng(7)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    df = spark.createDataFrame(vectors, SCHEMA).repartition(3)
+    found = S.similar_pairs(df, 0.3, 8)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert {(r["id_a"], r["id_b"]) for r in found.collect()} == pairs_of(vectors, 0.3)
+    assert max(copies) <= S.PAIR_BLOCKS * 900
+    assert [S._block_rows(512, n, d) for n, d in ((100, 64), (120_000, 64), (10 ** 9, 64), (10 ** 9, 1024))] == [512, 10_000, cells.MOST_ROWS, cells.MOST_ROWS // 16]
+    before, after = plans[0].split("FlatMapGroups", 1)
+    assert "Join" not in before
+
+
+def test_home_between_two_pivots_loses_no_pair(spark):
+    """Cells are reached by what pivots tell: a row as close to two pivots is found from either."""
+    rng = np.random.default_rng(11)
+    pivots = rng.normal(size=(6, 3))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots[3] = pivots[2]  # rows of one direction may live in either cell
+    x = rng.normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:40] = pivots[2]
+    homes = spark.createDataFrame([(int(i),) for i in cells.chord(x, pivots).argmin(1)], "_place int")
+    line = cells.Line(homes, pivots)
+    d = cells.chord(x, pivots)
+    near = d.min(1)
+    for home in (d.argmin(1), np.array([np.flatnonzero(r <= r.min() + 1e-12)[-1] for r in d])):
+        met = line.reached(d, home, near, 0.3)
+        close = cells.chord(x, x) <= 0.3
+        assert all(met[i, c] for i, j in zip(*np.nonzero(close)) for c in np.flatnonzero(d[j] <= near[j] + 1e-12))
+    for packs in (1, 2, 6):
+        share = line.share(packs)
+        assert share.min() == 0 and share.max() < packs and (np.diff(share[line.order]) >= 0).all()

@@ -83,6 +83,16 @@ def at_home(d: np.ndarray, batch: pa.RecordBatch | None = None) -> np.ndarray:
     return out
 
 
+def chain(between: np.ndarray) -> list[int]:
+    """All cells, from each to the nearest one that is left."""
+    left, order = set(range(1, len(between))), [0]
+    while left:
+        rest = np.fromiter(left, np.int64)
+        order.append(int(rest[between[order[-1]][rest].argmin()]))
+        left.discard(order[-1])
+    return order
+
+
 class Rings:
     """Members and least and greatest pivot distance of every cell, and the packs of neighbouring cells; empty cells have none.
 
@@ -96,16 +106,13 @@ class Rings:
             self.count[r["_place"]], self.low[r["_place"]], self.high[r["_place"]] = r["n"], r["low"], r["high"]
         self.between = chord(pivots, pivots)
         self.pack = np.zeros(m, np.int64)
-        left, cell, held, number = set(range(m)), 0, 0, 0
-        while left:  # from cell to nearest cell
-            left.discard(cell)
+        self.order = chain(self.between)
+        held, number = 0, 0
+        for cell in self.order:
             self.pack[cell] = number
             held += self.count[cell]
             if held >= block_rows:
                 held, number = 0, number + 1
-            if left:
-                rest = np.fromiter(left, np.int64)
-                cell = int(rest[self.between[cell][rest].argmin()])
         self.in_pack = self.pack[:, None] == np.arange(self.pack.max() + 1)[None, :]
         self.pack_count = self.count @ self.in_pack
 
@@ -134,6 +141,35 @@ class Rings:
             & (d * d - near * near <= 2 * reach * self.between[home] + SLACK))
 
 
+class Line:
+    """Cells in a line from neighbour to neighbour, and how many rows live in each. Tasks get this object, so it holds arrays only.
+
+    What cells a row may reach is told by pivots alone: a row between two of them may have its home in either.
+    """
+
+    def __init__(self, homes: DataFrame, pivots: np.ndarray):
+        self.pivots, self.between = pivots, chord(pivots, pivots)
+        self.order, count = np.array(chain(self.between)), np.zeros(len(pivots), np.int64)
+        for r in homes.groupBy("_place").count().collect():
+            count[r["_place"]] = r["count"]
+        self.place = np.argsort(self.order)
+        before = np.cumsum(count[self.order]) - count[self.order]
+        self.before, self.total = before[self.place], max(1, int(count.sum()))
+
+    def share(self, packs: int) -> np.ndarray:
+        """The pack of every cell where the line is cut into ``packs`` of about equal rows."""
+        return np.minimum(self.before * int(packs) // self.total, packs - 1)
+
+    def reached(self, d: np.ndarray, home: np.ndarray, near: np.ndarray, reach: float, some=slice(None)) -> np.ndarray:
+        """Which of ``some`` cells, at distances ``d``, may hold a vector within ``reach`` of rows whose home is at ``near``.
+
+        Such a vector is at most ``near`` and the reach from the row's home, and no farther from its own pivot, which is one reach
+        more from the row at most; and the row is within the reach of the plane between the two pivots.
+        """
+        near, wide = near[:, None], reach + SLACK
+        return (d <= near + 2 * wide) & (d * d - near * near <= 2 * wide * self.between[home][:, some] + SLACK)
+
+
 def block_pairs(guests: DataFrame, members: DataFrame, rings: Rings, block_rows: int, kernel, schema: T.StructType) -> DataFrame:
     """kernel(guests, members) over every block of guests and block of members of a pack.
 

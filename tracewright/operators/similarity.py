@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +22,7 @@ from tracewright.functions import cells
 from tracewright.functions.lines import any_contains, occurrences
 from tracewright.functions.plan import computed_once
 from tracewright.functions.skew import join_counted
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, release
 
 BLOCK_ROWS = 4096
 #: Rows of a block of a search at least.
@@ -71,86 +70,135 @@ def _unit_rows(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("_u", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def _deal(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
-    """Rows by cell: each with its nearest pivot, and a copy in every cell ahead whose members it may reach.
+#: A pair search copies a vector to half of its blocks, so its tables are cut into about so many, until these are as large as a task may hold.
+PAIR_BLOCKS = 12
+#: Blocks of rows that meet a block of members in one task, so members are copied for every so many blocks only.
+SLOT_BLOCKS = 4
+#: Rows that are dealt to their cells at a time, and of one batch of pairs.
+DEAL_ROWS, PAIR_ROWS = 2048, 1 << 17
 
-    In the chord metric, a vector within ``reach`` of a member of another cell is at most its own pivot
-    distance plus twice the reach from that cell's pivot, and within the reach of the plane between the two
-    pivots. Of two cells only the one ahead in cyclic order gets copies, so every pair meets in one cell.
+
+def _unit(embedding: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    return embedding.astype(np.float64) / norms[:, None]
+
+
+def _deal(rows: DataFrame, line: cells.Line, reach: float) -> DataFrame:
+    """Rows by pack: each with its home, the cell of the nearest pivot, and a copy in every pack ahead whose members it may reach.
+
+    ``_packs`` says over how many packs a row's group is dealt. Of two packs only the one ahead in cyclic order gets copies, so
+    every pair meets in one pack, where at least one of the two is a member.
     """
-    between = cells.chord(pivots, pivots)
-    m, names = len(pivots), rows.columns
-    at = names.index("_u")
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = cells.chord(cells.matrix(batch.column(at)), pivots)
-            home = d.argmin(1)
-            near = d[np.arange(len(d)), home][:, None]
-            ahead = (np.arange(m)[None, :] - home[:, None]) % m
-            take = (
-                (ahead > 0) & ((2 * ahead < m) | ((2 * ahead == m) & (home[:, None] < np.arange(m)[None, :])))
-                & (d <= near + 2 * reach) & (d * d - near * near <= 2 * reach * between[home]))
-            row, cell = np.nonzero(take | (ahead == 0))
-            for low in range(0, len(row), cells.BATCH_ROWS):
-                r, c = row[low:low + cells.BATCH_ROWS], cell[low:low + cells.BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [*(column.take(pa.array(r)) for column in batch.columns), pa.array(c, pa.int32()), pa.array(home[r] == c)], names=[*names, "_cell", "_member"])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_member", T.BooleanType())]))
-
-
-def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block_rows: int) -> DataFrame:
-    """(id_a, id_b, score) with score > threshold over distinct vectors, within ``group`` when given.
-
-    Cells are cut into blocks of about ``block_rows`` members and as many visitors, by counts that are
-    joined to the rows, and each pair of blocks is one matrix product.
+        for whole in batches:
+            for low in range(0, whole.num_rows, DEAL_ROWS):
+                batch = whole.slice(low, DEAL_ROWS)
+                d = cells.chord(_unit(cells.matrix(batch.column(names.index("embedding"))), batch.column(names.index("_norm")).to_numpy()), line.pivots)
+                home = d.argmin(1)
+                near = d[np.arange(len(d)), home]
+                reached = line.reached(d, home, near, reach).astype(np.float32)
+                packs = batch.column(names.index("_packs")).to_numpy()
+                for n in np.unique(packs):
+                    row, pack_of = np.flatnonzero(packs == n), line.share(n)
+                    own = pack_of[home[row]][:, None]
+                    ahead = (np.arange(n)[None, :] - own) % n
+                    take = (reached[row] @ (pack_of[:, None] == np.arange(n)[None, :]).astype(np.float32) > 0) & (
+                        (2 * ahead < n) | ((2 * ahead == n) & (own < np.arange(n)[None, :])))
+                    at, pack = np.nonzero(take | (ahead == 0))
+                    for k in range(0, len(at), cells.BATCH_ROWS):
+                        r, c = row[at[k:k + cells.BATCH_ROWS]], pack[k:k + cells.BATCH_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(column.take(pa.array(r)) for column in batch.columns), pa.array(home[r], pa.int32()), pa.array(near[r]), pa.array(c, pa.int32()),
+                             pa.array(pack_of[home[r]] == c)], names=[*names, "_cell", "_near", "_pack", "_member"])
+
+    return rows.mapInArrow(run, T.StructType([
+        *rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_near", T.DoubleType()), T.StructField("_pack", T.IntegerType()),
+        T.StructField("_member", T.BooleanType())]))
+
+
+def _block_rows(block_rows: int, count: int, dims: int) -> int:
+    """Rows of a block, which grow with the table while a block takes no more memory than MOST_ROWS of 64 components."""
+    return max(block_rows, min(cells.block_size(block_rows, count, PAIR_BLOCKS), cells.MOST_ROWS * 64 // max(1, dims)))
+
+
+def _vector_pairs(vectors: DataFrame, threshold: float, group: str | None, block_rows: int, carried: Sequence[str]) -> DataFrame:
+    """(group, id_a, id_b, score) with score > threshold over distinct vectors, within ``group`` when given, and the ``carried`` columns of both.
+
+    A group is dealt over as many packs of neighbouring cells as it fills blocks, and blocks grow with the table, so a vector is
+    copied once a block, by about half their number at most. Packs of more than one and a half are cut into blocks, by counts that
+    are broadcast: only groups of as much have any. Copies cross one shuffle, as they came in and with their norm; what pairs
+    need of their vectors goes along, so pairs are not shuffled. Inside a block only cells within reach are compared.
     """
     spark = vectors.sparkSession
-    by = [group] if group else []
-    rows = cut_lineage(_unit_rows(vectors).select(*by, "id", "_u"))
-    id_type = vectors.schema["id"].dataType
-    out = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("score", T.DoubleType())])
-    pivots = cells.pivots_of(rows, rows.count())
+    by = group or "_group"
+    if not isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType):
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    given = vectors.where(F.col(group).isNotNull()) if group else vectors.withColumn(by, F.lit(0))
+    normed = computed_once(given, "_norm", norm(F.col("embedding"))).where(F.col("_norm") > 0)
+    rows = cut_lineage(normed.select(by, "id", *carried, "embedding", "_norm"))
+    release(spark)
+    types = {f.name: f.dataType for f in rows.schema}
+    out = T.StructType([
+        T.StructField(by, types[by]), T.StructField("id_a", types["id"]), T.StructField("id_b", types["id"]), T.StructField("score", T.DoubleType()),
+        *[T.StructField(f"{c}_{s}", types[c]) for s in "ab" for c in carried]])
+    count = rows.count()
+    units = rows.select("id", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("_u"))
+    pivots = cells.pivots_of(units, count)
     if not len(pivots):
         return spark.createDataFrame([], out)
     reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, threshold)))) + 1e-9
-    dealt = cut_lineage(_deal(rows, pivots, reach))
-    if group:
-        dealt = dealt.where(F.col(group).isNotNull())
-    place = [*by, "_cell"]
-    sizes = dealt.groupBy(*place).agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if("_member") / block_rows)).cast("int").alias("_inside"),
-        F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("_outside"))
-    cut = dealt.join(sizes, place).withColumns({
-        "_own": F.pmod(F.xxhash64("id", F.lit(1)), F.col("_inside")).cast("int"), "_slot": F.pmod(F.xxhash64("id", F.lit(2)), F.col("_outside")).cast("int")})
-    homes = cut.where("_member").select(
-        *place, F.col("_own").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_outside") - 1)).alias("_slot"), F.lit(True).alias("_home"), F.col("_own").alias("_at"), "id", "_u")
-    from_block = F.when(F.col("_member"), F.col("_own")).otherwise(0)
-    guests = cut.select(
-        *place, F.explode(F.sequence(from_block, F.col("_inside") - 1)).alias("_block"), "_slot", F.lit(False).alias("_home"),
-        F.when(F.col("_member"), F.col("_own")).otherwise(-1).alias("_at"), "id", "_u")
-
-    def products(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part["_home"]], part[~part["_home"]]
-        a_ids, b_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"id_a": a_ids[:0], "id_b": b_ids[:0], "score": np.zeros(0)})
-        a, b = np.vstack(left["_u"].to_numpy()), np.vstack(right["_u"].to_numpy())
-        a_at, b_at = left["_at"].to_numpy(), right["_at"].to_numpy()
-        found = []
-        for s in range(0, len(a), KERNEL_ROWS):
-            scores = a[s:s + KERNEL_ROWS] @ b.T
-            x, y = np.nonzero(scores > threshold)
-            ia, ib = a_ids[x + s], b_ids[y]
-            keep = (a_at[x + s] != b_at[y]) | (ia < ib)  # inside a block each pair once
-            lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
-            found.append(pd.DataFrame({"id_a": lo[keep], "id_b": hi[keep], "score": scores[x, y][keep]}))
-        return pd.concat(found, ignore_index=True)
-
-    return homes.unionByName(guests).groupBy(*place, "_block", "_slot").applyInPandas(products, out)
+    block = _block_rows(block_rows, count, pivots.shape[1])
+    line = cells.Line(cells.deal(units, pivots, cells.at_home), pivots)
+    packs = F.least(F.lit(len(pivots)), F.round(F.col("count") / block)).cast("int").alias("_packs")
+    large = rows.groupBy(by).count().where(F.col("count") > 1.5 * block).select(by, packs)
+    sized = rows.join(F.broadcast(large), by, "left").withColumn("_packs", F.coalesce("_packs", F.lit(1)))
+    sizes = _deal(sized.where("_packs > 1"), line, reach).groupBy(by, "_pack").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("_member") / (1.5 * block))).cast("int").alias("_inside"),
+        F.greatest(F.lit(1), F.ceil(F.count("*") / (SLOT_BLOCKS * block))).cast("int").alias("_outside"))
+    dealt = _deal(sized, line, reach).join(F.broadcast(sizes), [by, "_pack"], "left")
+    inside, outside = (F.coalesce(c, F.lit(1)) for c in ("_inside", "_outside"))
+    cut = dealt.withColumns({
+        "_own": F.when(F.col("_member"), F.pmod(F.xxhash64("id", F.lit(1)), inside).cast("int")).otherwise(-1), "_slot": F.pmod(F.xxhash64("id", F.lit(2)), outside).cast("int")})
+
+    def at(block, slot, home):
+        return F.struct(block.alias("block"), slot.alias("slot"), F.lit(home).alias("home"))
+
+    # A member is at home once a slot of its block, and a guest of its own block and those behind it; a visitor is a guest of all.
+    homes = F.when(F.col("_member"), F.transform(F.sequence(F.lit(0), outside - 1), lambda s: at(F.col("_own"), s, True))).otherwise(F.array())
+    guests = F.transform(F.sequence(F.greatest("_own", F.lit(0)), inside - 1), lambda b: at(b, F.col("_slot"), False))
+    copies = cut.withColumn("_at", F.explode(F.concat(homes, guests))).select(
+        by, "_pack", F.col("_at.block").alias("_block"), F.col("_at.slot").alias("_slot"), F.col("_at.home").alias("_home"), "_own", "_cell", "_near", "id", *carried, "embedding", "_norm")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        vector = cells.matrix(table.column("embedding"))
+        column = {c: table.column(c).to_numpy() for c in ("_home", "_own", "_cell", "_near", "_norm", "id")}
+        left, right = np.flatnonzero(column["_home"]), np.flatnonzero(~column["_home"].astype(bool))
+        left = left[np.argsort(line.place[column["_cell"][left]], kind="stable")]
+        kept = table.select([by, "id", *carried])
+        for s in range(0, len(left), KERNEL_ROWS):
+            x = left[s:s + KERNEL_ROWS]
+            some, u = np.unique(column["_cell"][x]), _unit(vector[x], column["_norm"][x])
+            for t in range(0, len(right), BLOCK_ROWS):
+                y = right[t:t + BLOCK_ROWS]
+                v = _unit(vector[y], column["_norm"][y])
+                met = line.reached(cells.chord(v, line.pivots[some]), column["_cell"][y], column["_near"][y], reach, some).any(1)
+                y, v = y[met], v[met]
+                scores = u @ v.T
+                i, j = np.nonzero(scores > threshold)
+                for k in range(0, len(i), PAIR_ROWS):
+                    i_k, j_k = i[k:k + PAIR_ROWS], j[k:k + PAIR_ROWS]
+                    a, b = x[i_k], y[j_k]
+                    first = column["id"][a] < column["id"][b]
+                    keep = (column["_own"][a] != column["_own"][b]) | first  # inside a block each pair once
+                    a, b, first = a[keep], b[keep], first[keep]
+                    lo, hi = (kept.take(pa.array(np.where(f, a, b))).combine_chunks() for f in (first, ~first))
+                    yield from pa.table({
+                        by: lo.column(by), "id_a": lo.column("id"), "id_b": hi.column("id"), "score": pa.array(scores[i_k, j_k][keep]),
+                        **{f"{c}_{n}": side.column(c) for n, side in (("a", lo), ("b", hi)) for c in carried}}).to_batches()
+
+    return copies.groupBy(by, "_pack", "_block", "_slot").applyInArrow(products, out)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -158,14 +206,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int =
 
     vectors(id, embedding). Identical vectors are one side each (see ``copies_of``).
     """
-    reps = collapse_equal(vectors)
-    pairs = _vector_pairs(reps, threshold, None, block_rows)
-    size = reps.select("id", "copies")
-    return (
-        pairs.join(size.select(F.col("id").alias("id_a"), F.col("copies").alias("copies_a")), "id_a")
-        .join(size.select(F.col("id").alias("id_b"), F.col("copies").alias("copies_b")), "id_b")
-        .select("id_a", "id_b", "score", "copies_a", "copies_b")
-    )
+    return _vector_pairs(collapse_equal(vectors), threshold, None, block_rows, ["copies"]).select("id_a", "id_b", "score", "copies_a", "copies_b")
 
 
 def similar_chunks(chunks: DataFrame, threshold: float = 0.8, min_bytes: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -176,17 +217,9 @@ def similar_chunks(chunks: DataFrame, threshold: float = 0.8, min_bytes: int = 0
     """
     usable = chunks.where((F.col("bytes") >= min_bytes) & F.col("language").isNotNull())
     reps = collapse_equal(usable, ["language"], [F.min("file").alias("lo"), F.max("file").alias("hi")])
-    pairs = _vector_pairs(reps, threshold, "language", block_rows)
-    side = reps.select("id", "language", "copies", "lo", "hi")
-
-    def named(s):
-        return side.select(*[F.col(c).alias(c if c == "language" and s == "a" else f"{c}_{s}") for c in side.columns])
-
+    pairs = _vector_pairs(reps, threshold, "language", block_rows, ["copies", "lo", "hi"])
     one_file = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
-    return (
-        pairs.join(named("a"), "id_a").join(named("b"), "id_b").where(~one_file)
-        .select("id_a", "id_b", "language", "score", "copies_a", "copies_b")
-    )
+    return pairs.where(~one_file).select("id_a", "id_b", "language", "score", "copies_a", "copies_b")
 
 
 def search_similar(

@@ -152,6 +152,25 @@ def test_copies_of_a_pair_search_grow_with_the_rows(spark, monkeypatch):
     assert "Join" not in before
 
 
+@pytest.mark.parametrize("slots, block_rows", [(1, 5), (4, 20), (4, 1000)])
+def test_pairs_of_large_small_and_dense_groups(spark, monkeypatch, slots, block_rows):
+    """Languages dealt over many packs, over one, and one whose vectors crowd in a few cells; copies scaled by a factor stay apart."""
+    monkeypatch.setattr(S, "SLOT_BLOCKS", slots)
+    monkeypatch.setattr(S, "KERNEL_ROWS", 16)
+    monkeypatch.setattr(S, "PAIR_ROWS", 50)
+    monkeypatch.setattr(S, "PAIR_BLOCKS", 10 ** 9)
+    rng = np.random.default_rng(9)
+    plain = [(i, v.tolist(), "a") for i, v in enumerate(rng.normal(size=(220, 6)))]
+    dense = [(1000 + i, (np.ones(6) + rng.normal(scale=0.01, size=6)).tolist(), "b") for i in range(90)]
+    scaled = [(2000 + i, (2.0 * np.array(v)).tolist(), "a") for i, v, _ in plain[:30]]
+    few = [(3000 + i, v, "c" if i % 2 else "d") for i, v, _ in plain[:9]] + [(4000, [0.0] * 6, "a"), (4001, plain[0][1], None)]
+    rows = plain + dense + scaled + few
+    df = spark.createDataFrame([(i, f"f{i}", g, 60, v) for i, v, g in rows], "id long, file string, language string, bytes int, embedding array<double>").repartition(3)
+    got = [(r["id_a"], r["id_b"]) for r in S.similar_chunks(df, 0.6, block_rows=block_rows).collect()]
+    usable = [r for r in rows if r[2] and any(r[1])]
+    assert len(got) == len(set(got)) and set(got) == pairs_of(usable, 0.6, lambda row: row[2])
+
+
 def test_home_between_two_pivots_loses_no_pair(spark):
     """Cells are reached by what pivots tell: a row as close to two pivots is found from either."""
     rng = np.random.default_rng(11)
@@ -172,3 +191,22 @@ def test_home_between_two_pivots_loses_no_pair(spark):
     for packs in (1, 2, 6):
         share = line.share(packs)
         assert share.min() == 0 and share.max() < packs and (np.diff(share[line.order]) >= 0).all()
+
+
+def test_a_language_is_dealt_by_its_own_size(spark, monkeypatch):
+    """Blocks are those of the whole table, so a language that fills one or less is not copied to others."""
+    from pyspark.sql.group import GroupedData
+
+    copies = []
+    for name in ("applyInArrow", "applyInPandas"):
+        def counted(self, *how, apply=getattr(GroupedData, name)):
+            copies.append(self._df.count())
+            return apply(self, *how)
+
+        monkeypatch.setattr(GroupedData, name, counted)
+    rng = np.random.default_rng(8)
+    rows = [(i, f"f{i}", f"lang{i % 10}", 60, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    df = spark.createDataFrame(rows, "id long, file string, language string, bytes int, embedding array<double>").repartition(3)
+    got = {(r["id_a"], r["id_b"]) for r in S.similar_chunks(df, 0.25, block_rows=8).collect()}
+    assert got == pairs_of([(r[0], r[4], r[2]) for r in rows], 0.25, lambda row: row[2])
+    assert max(copies) <= 4 * 900
